@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import line_quality, packing, sentencepiece, sharding, token_files
+from vellum.llm import fingerprints, jaccard_join, line_quality, packing, sentencepiece, sharding, substring_dedup, suffix_dedup, token_files, warc
 from vellum.llm.encoders import tokenizer_path
 
 
@@ -16,6 +16,10 @@ def op1_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_documents(spark, d), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_documents(spark, d))
+
+
 def op3_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return sentencepiece.digests(_documents(spark, d), tokenizer_path("piece_bpe_32k.model"))
 
@@ -24,6 +28,18 @@ def op4_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.write_and_read(_documents(spark, d), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, d))
+
+
+def op6_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.write_and_read(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+def op7_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.compare(_documents(spark, d))
+
+
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard(_documents(spark, d))
 
@@ -32,7 +48,11 @@ def op9_line_quality(spark: SparkSession, d: str) -> DataFrame:
     return line_quality.verdicts(line_quality.facts(_documents(spark, d))).drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_sentencepiece, op4_token_files, op8_sharding, op9_line_quality)}
+def op10_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.join(_documents(spark, d)).drop("text_hash")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sentencepiece, op4_token_files, op5_suffix_dedup, op6_warc, op7_fingerprints, op8_sharding, op9_line_quality, op10_jaccard_join)}
 
 ORACLE_SQL = {
     "op9_line_quality": r"""
@@ -61,5 +81,35 @@ x AS (SELECT d.doc_id, CAST(len(ws.w) AS BIGINT) AS n_words,
       FROM d JOIN ws USING (u) LEFT JOIN dl USING (u) LEFT JOIN rep USING (u) LEFT JOIN gone USING (u)),
 y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
 SELECT *, NOT base_failed AND (n_words - n_removed_words) >= 0.5 * n_words AS kept FROM y
+""",
+    "op2_substring_dedup": r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+low AS (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM win),
+gone AS MATERIALIZED (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM low WHERE m < doc_id),
+pos AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM pos ANTI JOIN gone USING (r, p) GROUP BY r),
+n AS (SELECT r, count(*) AS g FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+x AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+y AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM x)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM y
+""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE m >= 0.8 * (x.n + y.n - m)),
+t(r, o) AS (SELECT r, r FROM d UNION SELECT t.r, e.b FROM t JOIN e ON e.a = t.o),
+k AS (SELECT t.r, min(d.doc_id) AS class_id FROM t JOIN d ON d.r = t.o GROUP BY t.r),
+l AS (SELECT a AS r, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, k.class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM d JOIN k USING (r) LEFT JOIN l USING (r)
 """,
 }

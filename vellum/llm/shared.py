@@ -82,6 +82,10 @@ def id_ranges(df: DataFrame, key: str, size: Column, each: int) -> tuple[Column,
         out[-1]["bytes"] += r["b"]
         out[-1]["high"] = r["hi"]
         of[r["c"]] = out[-1]["range"]
-    # four bytes for each step, sliced by position: constant time a row, and no expression for each step
-    table = F.lit(b"".join(x.to_bytes(4, "big") for x in of))
-    return F.conv(F.hex(F.substring(table, cell * 4 + 1, F.lit(4))), 16, 10).cast("int"), out
+    return lookup(of, cell).cast("int"), out
+
+
+def lookup(values: list[int], index: Column) -> Column:
+    """values[index] for non-negative longs: eight bytes each in one literal, sliced by position in constant time."""
+    table = F.lit(b"".join(x.to_bytes(8, "big") for x in values))
+    return F.conv(F.hex(F.substring(table, index * 8 + 1, F.lit(8))), 16, 10).cast("long")
