@@ -179,7 +179,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     """(doc_id, text_hash, class_id, n_links) for each row."""
     bands, rows = banding(threshold, recall)
     found = written(sketches(docs, n, bands, rows, id_column, text_column), "sketches")
-    sets = found.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"))
+    sets = found.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"))
     sets = written(sets.select("node", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "bands"), "sets")
     shared = sets.select("node", F.explode("bands").alias("key"))
     # bands that hold two sets or more; of those that hold the same sets one is enough
@@ -203,7 +203,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     links = found_links.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found_links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     per = sets.select("node", "copies", "first_id").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = per.filter("label <> node or first_id is not null").groupBy("label").agg(F.min("first_id").alias("class_id"))
+    least = per.groupBy("label").agg(F.min("first_id").alias("class_id"))
     per = per.join(least, "label", "left").join(links, "node", "left").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return found.select("doc_id", "text_hash", "node").join(per, "node", "left").select("doc_id", "text_hash", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -213,9 +213,9 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     text_column, id_column = options.get("text_column", "text"), options.get("id_column", "doc_id")
     rows = written(join(docs, **options), "classes").withColumn("none", F.col("class_id").isNull())
     kept = rows.groupBy("class_id", "none").agg(F.min("text_hash").alias("any_hash"), F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("text_hash"))).alias("text_hash"))
-    kept = kept.select(F.col("class_id").alias("_id"), F.coalesce("text_hash", "any_hash").alias("_hash"))
-    hashed = docs.withColumn("_text", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
-    out = hashed.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    kept = kept.select(F.col("class_id").alias("_vellum_id"), F.coalesce("text_hash", "any_hash").alias("_vellum_hash"))
+    hashed = docs.withColumn("_vellum_text", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
+    out = hashed.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col("_vellum_id")) & (F.col("_vellum_text") == F.col("_vellum_hash")), "left_semi")
     if not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # repeated rows are rare; only they need this exchange
-        out = out.dropDuplicates([id_column, "_text"])
-    return out.drop("_text")
+        out = out.dropDuplicates([id_column, "_vellum_text"])
+    return out.drop("_vellum_text")

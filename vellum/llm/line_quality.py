@@ -132,10 +132,10 @@ def verdicts(found: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHAR
 def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """docs without the rejected rows, and without the frequent lines of the others; all columns stay."""
     found = facts(docs, id_column, text_column, host_column)
-    gone = frequent_lines(found).groupBy("rid").agg(F.collect_set("line").alias("_gone"))
-    kept = verdicts(found).filter("kept").select(F.col("rid").alias("_rid")).distinct()
-    gone = kept.join(gone, F.col("_rid") == F.col("rid"), "left").select("_rid", "_gone")
-    rows = docs.withColumn("_rid", _row_key(id_column, text_column, host_column)).join(gone, "_rid")
+    gone = frequent_lines(found).groupBy("rid").agg(F.collect_set("line").alias("_vellum_gone"))
+    kept = verdicts(found).filter("kept").select(F.col("rid").alias("_vellum_rid")).distinct()
+    gone = kept.join(gone, F.col("_vellum_rid") == F.col("rid"), "left").select("_vellum_rid", "_vellum_gone")
+    rows = docs.withColumn("_vellum_rid", _row_key(id_column, text_column, host_column)).join(gone, "_vellum_rid")
     columns = docs.columns
 
     def run(batches):
@@ -143,11 +143,11 @@ def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             for part in slices(batch, text_column):
                 yield _without(part, text_column, columns)
 
-    return rows.select(*columns, "_gone").mapInArrow(run, docs.schema)
+    return rows.select(*columns, "_vellum_gone").mapInArrow(run, docs.schema)
 
 
 def _without(part: pa.RecordBatch, text_column: str, columns: list[str]) -> pa.RecordBatch:
-    texts, gone = part.column(text_column), part.column("_gone")
+    texts, gone = part.column(text_column), part.column("_vellum_gone")
     touched = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
     out = texts.to_pylist()
     if len(touched):

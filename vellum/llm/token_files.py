@@ -114,8 +114,8 @@ def load(data: bytes) -> tuple[pa.Array, np.ndarray, Dac]:
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, range_bytes: int = 4 * MB, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Writes the files of docs under path and returns the manifest (range, path, n_docs, n_tokens, first_token)."""
-    docs = docs.selectExpr(f"cast(`{id_column}` as long) doc_id", f"`{text_column}` text")
-    part, _ = id_ranges(docs, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 1, range_bytes)
+    docs = docs.selectExpr(f"cast(`{id_column}` as long) doc_id", f"coalesce(`{text_column}`, '') text")
+    part, _ = id_ranges(docs, "doc_id", F.octet_length("text") + 1, range_bytes)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
