@@ -33,7 +33,7 @@ def scored(df: DataFrame, pred: str = "pred", gt: str = "gt", words: bool = True
     """Adds char_errors, gt_chars and cer; with words also word_errors, gt_words and wer."""
     df = df.withColumn("char_errors", edit_distance(F.col(pred), F.col(gt)).cast("long")).withColumn("gt_chars", F.length(gt).cast("long")).withColumn("cer", rate(F.col("char_errors"), F.col("gt_chars")))
     if words:
-        df = df.withColumn("word_errors", bit_distance(tokens(F.col(pred)), tokens(F.col(gt)))).withColumn("gt_words", F.size(tokens(F.col(gt))).cast("long")).withColumn("wer", rate(F.col("word_errors"), F.col("gt_words")))
+        df = df.withColumn("word_errors", bit_distance(tokens(F.col(pred)), tokens(F.col(gt)))).withColumn("gt_words", F.size(tokens(F.col(gt))).cast("long")).withColumn("wer", F.when(F.col("gt_chars") > 0, rate(F.col("word_errors"), F.col("gt_words"))))
     return df
 
 

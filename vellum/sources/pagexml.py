@@ -22,6 +22,9 @@ REGION = "struct<region_pos:int,region_id:string,parent_ids:array<string>,coords
 PARSED = f"image_filename string, image_width int, image_height int, created string, creator string, comments string, regions array<{REGION}>, lines array<{LINE}>, error string"
 
 
+FIELDS = ["image_filename", "image_width", "image_height", "created", "creator", "comments", "regions", "lines", "error"]
+
+
 class LayoutError(ValueError):
     """A document that is not usable PageXML."""
 
@@ -109,8 +112,9 @@ def parsed(xml: Column, with_text: bool = False, boxes: bool = True, strict: boo
             try:
                 out.append(parse(t, with_text, boxes, strict))
             except (ET.ParseError, ValueError, AttributeError, TypeError) as e:
-                out.append({"error": f"{type(e).__name__}: {e}"})
-        return pd.DataFrame(out, columns=[c.split()[0] for c in re.split(r", (?=\w+ (?:string|int|array))", PARSED)])
+                out.append(dict.fromkeys(FIELDS) | {"error": f"{type(e).__name__}: {e}"})
+        rows = pd.DataFrame({f: pd.Series([r[f] for r in out], dtype=object) for f in FIELDS})
+        return rows.astype({"image_width": "Int32", "image_height": "Int32"})
 
     return run(xml)
 
@@ -180,8 +184,10 @@ def emitted(pages: DataFrame, key: str = "page_id", with_text: bool = True) -> D
     """(page_id, xml) of pages with image_filename, image_width, image_height, regions, lines and maybe creator, created and comments."""
     extra = [c for c in ("creator", "created", "comments") if c in pages.columns]
 
-    @F.pandas_udf("string")
-    def run(p: pd.DataFrame) -> pd.Series:
-        return pd.Series([written(r["image_filename"], int(r["image_width"]), int(r["image_height"]), r["regions"], r["lines"], with_text=with_text, **{k: r[k] for k in extra}) for r in p.to_dict("records")])
+    def run(batches):
+        for p in batches:
+            xml = [written(r["image_filename"], int(r["image_width"]), int(r["image_height"]), r["regions"], r["lines"], with_text=with_text, **{k: r[k] for k in extra}) for r in p.to_dict("records")]
+            yield pd.DataFrame({key: p[key], "xml": pd.Series(xml, index=p.index, dtype=object)})
 
-    return pages.select(key, run(F.struct("image_filename", "image_width", "image_height", "regions", "lines", *extra)).alias("xml"))
+    rows = pages.select(key, "image_filename", "image_width", "image_height", "regions", "lines", *extra)
+    return rows.mapInPandas(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, xml string")

@@ -110,7 +110,7 @@ def write_samples(samples: DataFrame, path: str, mode: str = "error") -> None:
 
 def samples(images: DataFrame, texts: DataFrame, masks: DataFrame, channels: DataFrame | None = None) -> DataFrame:
     """Line samples from files() by stem: image and text must be there, so must the mask; the channel may be missing."""
-    out = images.select("stem", F.col("content").alias("img")).join(texts.select("stem", F.rtrim(F.decode("content", "utf-8")).alias("transcription")), "stem")
+    out = images.select("stem", F.col("content").alias("img")).join(texts.select("stem", F.regexp_replace(F.decode("content", "utf-8"), r"(?U)\s+$", "").alias("transcription")), "stem")
     out = out.join(masks.select("stem", F.col("content").alias("binary_mask")), "stem", "left")
     out = out.filter(F.when(F.col("binary_mask").isNull(), F.raise_error(F.concat(F.lit("no mask for "), F.col("stem")))).otherwise(True))
     return out.join(channels.select("stem", F.col("content").alias("img_channel")), "stem", "left") if channels is not None else out
