@@ -26,6 +26,15 @@ MINIMISER = 3
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def word_hashes(raw: np.ndarray, ws: np.ndarray, we: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Hashes of words, some at a time, so that no array of 64-bit values spans all bytes."""
+    out = np.empty(len(ws), U64)
+    for lo in range(0, len(ws), block):
+        a, b = ws[lo : lo + block], we[lo : lo + block]
+        out[lo : lo + block] = Rolling(SPREAD[raw[a[0] : b[-1]]]).of(a - a[0], b - a[0])
+    return out
+
+
 class _Chunk:
     """A chunk's words (each followed by one blank) and its super-k-mers."""
 
@@ -39,30 +48,49 @@ class _Chunk:
         self.start = np.append(0, np.cumsum(size + 1))
         self.raw = np.full(self.start[-1], 0x20, np.uint8)
         self.raw[gather(self.start[:-1], size)] = raw[gather(ws, size)]
-        value = Rolling(SPREAD[raw]).of(ws, we)
-        roll = Rolling(value)
-        self.doc, at = spans(np.diff(self.before))
+        roll = word_hashes(raw, ws, we)
         counts = np.diff(self.before)
-        known = self.ids.is_valid().to_numpy(zero_copy_only=False)
-        places = np.flatnonzero((at + width <= counts[self.doc]) & known[self.doc])
-        grams = np.arange(max(0, self.n - MINIMISER + 1))
-        hashes = roll.of(grams, grams + MINIMISER)
-        centre = minimisers(hashes, places, width - MINIMISER + 1)
-        self.first, last, centre = runs(places, centre, self.doc[places])
-        self.windows = last - self.first + 1
-        self.end = last + width
-        self.key = hashes[centre]
-        self.content = roll.of(self.first, self.end)
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        counts = np.where(self.ids.is_valid().to_numpy(zero_copy_only=False), counts, 0)
+        found = [_pieces(roll[self.before[lo] : self.before[hi]], self.before[lo : hi + 1] - self.before[lo], counts[lo:hi], width) for lo, hi in blocks(self.before, 1 << 16)]
+        base = np.repeat(np.array([self.before[lo] for lo, _ in blocks(self.before, 1 << 16)], np.int64), [len(x[0]) for x in found])
+        self.first, self.windows, self.key, self.content = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.first = self.first + base
+        self.end = self.first + self.windows - 1 + width
         self.id = self.ids.fill_null(0).to_numpy()[self.doc[self.first]] if len(self.first) else np.zeros(0, np.int64)
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 // 2, bucket_bytes: int = MB * 3 // 2, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
+def blocks(at: np.ndarray, most: int):
+    """(lo, hi) of consecutive texts of about `most` elements; 64-bit arrays over them stay that small (or as one text)."""
+    lo, n = 0, len(at) - 1
+    while lo < n or lo == n == 0:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1) if n else 0
+        yield lo, hi
+        lo = hi if n else 1
+
+
+def _pieces(values: np.ndarray, at: np.ndarray, counts: np.ndarray, width: int):
+    """(first word, windows, minimiser's hash, content hash) of the super-k-mers of some texts, from the hashes of their words."""
+    roll = Rolling(values)
+    long = np.flatnonzero(counts >= width)
+    n = counts[long] - width + 1
+    places = gather(at[:-1][long], n)
+    grams = np.arange(max(0, len(values) - MINIMISER + 1))
+    hashes = roll.of(grams, grams + MINIMISER)
+    centre = minimisers(hashes, places, width - MINIMISER + 1)
+    first, last, centre = runs(places, centre, np.repeat(long, n))
+    return first, last - first + 1, hashes[centre], roll.of(first, last + width)
+
+
+def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 // 2, bucket_bytes: int = MB // 2, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
     """SCHEMA for each row; with_text adds the kept words as `text`."""
     routing = Routing(docs, chunk_bytes, bucket_bytes, id_column, text_column)
     buckets = routing.buckets
 
     def ask(group: pa.Table) -> pa.Table:
         c = _Chunk(group, width)
+        if not len(c.first):
+            return table([], [], [])
         number = group["chunk"][0].as_py()
         order = np.lexsort((c.id, c.content))
         content = c.content[order]
@@ -101,7 +129,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 /
         result[order[0]] = least[np.cumsum(lead) - 1]
         before = np.cumsum(windows) - windows
         need = np.minimum.reduceat(result, before) < low + more if len(before) else np.zeros(0, bool)
-        content = Rolling(Rolling(SPREAD[raw]).of(ws, we)).of(starts[:-1], starts[1:])
+        content = Rolling(word_hashes(raw, ws, we)).of(starts[:-1], starts[1:])
         out = ([], [], [])
         bucket = group["bucket"][0].as_py()
         p = np.flatnonzero(need)
