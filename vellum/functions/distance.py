@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Length from which bit vectors are faster.
-LONG = 160
+LONG = 48
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -70,10 +70,90 @@ def bits(x: Sequence, y: Sequence) -> int:
     return score
 
 
+#: Longest sequence, in blocks of 64, that many_bits() handles together with others.
+MOST_BLOCKS = 8
+
+
+def _trimmed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sequences without their common ends, the shorter first."""
+    if len(x) > len(y):
+        x, y = y, x
+    n = len(x)
+    apart = np.flatnonzero(x != y[:n])
+    lo = int(apart[0]) if len(apart) else n
+    x, y = x[lo:], y[lo:]
+    apart = np.flatnonzero(x[::-1] != y[::-1][: len(x)])
+    hi = len(x) - (int(apart[0]) if len(apart) else len(x))
+    return x[:hi], y[: len(y) - (len(x) - hi)]
+
+
+def many_bits(pairs: Sequence[tuple[np.ndarray, np.ndarray]], together: int = 2048) -> np.ndarray:
+    """bits() of many pairs of integer arrays: pairs with equally many blocks advance together, one element of y at a time."""
+    short = [_trimmed(x, y) for x, y in pairs]
+    out = np.array([len(y) for _, y in short], np.int64)
+    blocks = np.array([(len(x) + 63) // 64 for x, _ in short], np.int64)
+    for k in np.flatnonzero(blocks > MOST_BLOCKS):
+        out[k] = bits(short[k][0].tolist(), short[k][1].tolist())
+    some = np.flatnonzero((blocks > 0) & (blocks <= MOST_BLOCKS))
+    some = some[np.lexsort((-out[some], blocks[some]))]
+    lo = 0
+    while lo < len(some):
+        width = int(blocks[some[lo]])
+        hi = min(len(some), lo + together, lo + int(np.searchsorted(blocks[some[lo:]], width, "right")))
+        out[some[lo:hi]] = _advance([short[k] for k in some[lo:hi]], width)
+        lo = hi
+    return out
+
+
+def _advance(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
+    """Pairs by descending length of y; the carries of a row pass from block to block as two bits."""
+    one, top = np.uint64(1), np.uint64(63)
+    m, n = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
+    symbols, x = np.unique(np.concatenate([x for x, _ in pairs]), return_inverse=True)
+    kinds = len(symbols) + 1
+    row, at = np.repeat(np.arange(len(pairs)), m), np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+    same = np.zeros((width, len(pairs) * kinds), np.uint64)
+    np.add.at(same.reshape(-1), (at >> 6) * (len(pairs) * kinds) + row * kinds + x, one << (at & 63).astype(np.uint64))
+    place = np.searchsorted(symbols, y := np.concatenate([y for _, y in pairs]))
+    place[(place == len(symbols)) | (symbols[np.minimum(place, len(symbols) - 1)] != y)] = len(symbols)
+    steps = np.zeros((int(n[0]), len(pairs)), np.int64)
+    steps[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(len(pairs)), n)] = place + np.repeat(np.arange(len(pairs)) * kinds, n)
+    rise, fall = np.full((width, len(pairs)), ~np.uint64(0)), np.zeros((width, len(pairs)), np.uint64)
+    last, score = ((m - 1) & 63).astype(np.uint64), m.astype(np.int64)
+    live = np.searchsorted(-n, -np.arange(int(n[0])), "left")
+    for j in range(int(n[0])):
+        count = int(live[j])
+        plus, minus = one, np.uint64(0)
+        for b in range(width):
+            eq, pv, mv = same[b][steps[j, :count]], rise[b, :count], fall[b, :count]
+            down = eq | mv
+            eq = eq | minus
+            across = (((eq & pv) + pv) ^ pv) | eq
+            up, low = mv | ~(across | pv), pv & across
+            if b == width - 1:
+                score[:count] += (up >> last[:count] & one).astype(np.int64) - (low >> last[:count] & one).astype(np.int64)
+            else:
+                carry = up >> top, low >> top
+            up, low = up << one | plus, low << one | minus
+            rise[b, :count], fall[b, :count] = low | ~(down | up), up & down
+            if b < width - 1:
+                plus, minus = carry
+    return score
+
+
 @F.pandas_udf(T.LongType())
 def bit_distance(x: pd.Series, y: pd.Series) -> pd.Series:
-    """bits() of two columns of strings or arrays; null where one is null."""
-    return pd.Series([None if a is None or b is None else bits(a, b) for a, b in zip(x, y, strict=True)], dtype="Int64")
+    """Levenshtein distances of two columns of strings or arrays; null where one is null."""
+    on = [k for k, (a, b) in enumerate(zip(x, y, strict=True)) if a is not None and b is not None]
+    if on and isinstance(x.iloc[on[0]], str):
+        code = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
+        pairs = [(code(x.iloc[k]), code(y.iloc[k])) for k in on]
+    else:
+        pairs = _numbered([x.iloc[k] for k in on], [y.iloc[k] for k in on])
+    out = pd.Series(pd.NA, index=range(len(x)), dtype="Int64")
+    if on:
+        out.iloc[on] = many_bits(pairs)
+    return out
 
 
 def _numbered(xs, ys) -> list[tuple[np.ndarray, np.ndarray]]:
