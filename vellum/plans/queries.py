@@ -46,7 +46,7 @@ LETTERS = Alphabet.from_classes([*charsets.SPACE, *charsets.latin(), *charsets.P
 _OF = ALPHABET.representatives
 _MOVED = {s: _OF[c] for s, c in ALPHABET.codes.items() if _OF[c] != s}
 _Q = lambda s: "'" + s.replace("'", "''") + "'"
-_KNOWN = "".join(f"\\x{{{ord(s):x}}}" for s in sorted({*ALPHABET.codes, "?"}))
+_KNOWN = alpha.ranges({*ALPHABET.codes, "?"})
 REDUCE_SQL = f"translate(regexp_replace({{0}}, '[^{_KNOWN}]', '?', 'g'), {_Q(''.join(_MOVED))}, {_Q(''.join(_MOVED.values()))})"
 
 
@@ -181,7 +181,7 @@ def encode_lines(spark, d):
 
 _LOF = LETTERS.representatives
 _LMOVED = {s: _LOF[c] for s, c in LETTERS.codes.items() if _LOF[c] != s}
-_LKNOWN = "".join(f"\\x{{{ord(s):x}}}" for s in sorted({*LETTERS.codes, "?"}))
+_LKNOWN = alpha.ranges({*LETTERS.codes, "?"})
 
 
 @query(f"SELECT conv_id, turn, translate(regexp_replace({NORMAL_SQL.replace('{0}', 'text')}, '[^{_LKNOWN}]', '?', 'g'), {_Q(''.join(_LMOVED))}, {_Q(''.join(_LMOVED.values()))}) AS decoded FROM conversations")
