@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from vellum.llm.flat import SPREAD, U64, Rolling, covered, flat, gather, spans
 from vellum.llm.routing import Routing, bucket_of, minimisers, ordered, pack, runs, table, unpack
 from vellum.llm.shared import MB
-from vellum.llm.substring_dedup import _groups
+from vellum.llm.substring_dedup import _groups, blocks
 
 ANCHOR = 32
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -37,20 +37,25 @@ class _Chunk:
         group = ordered(group)
         self.group, self.ids = group, group["doc_id"].combine_chunks()
         self.raw, self.at = flat(group["text"])
-        size = np.diff(self.at)
-        roll = Rolling(SPREAD[self.raw])
-        grams = np.arange(max(0, len(self.raw) - ANCHOR + 1))
-        hashes = roll.of(grams, grams + ANCHOR)
-        long = np.flatnonzero(size >= length)
-        counts = size[long] - length + 1
-        places = gather(self.at[:-1][long], counts)
-        centre = minimisers(hashes, places, length - ANCHOR + 1)
-        self.first, last, centre = runs(places, centre, np.repeat(long, counts))
-        self.windows = last - self.first + 1
-        self.end = last + length
-        self.key = hashes[centre]
-        self.place = (centre - self.first).astype("<u2")
-        self.content = roll.of(self.first, self.end)
+        found = [_pieces(self.raw[self.at[lo] : self.at[hi]], self.at[lo : hi + 1] - self.at[lo], length) for lo, hi in blocks(self.at, 1 << 18)]
+        base = np.repeat(np.array([self.at[lo] for lo, _ in blocks(self.at, 1 << 18)], np.int64), [len(x[0]) for x in found])
+        self.first, self.windows, self.key, self.place, self.content = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.first = self.first + base
+        self.end = self.first + self.windows - 1 + length
+
+
+def _pieces(raw: np.ndarray, at: np.ndarray, length: int):
+    """(first byte, windows, minimiser's hash, its place in the piece, content hash) of the pieces of some texts."""
+    size = np.diff(at)
+    roll = Rolling(SPREAD[raw])
+    grams = np.arange(max(0, len(raw) - ANCHOR + 1))
+    hashes = roll.of(grams, grams + ANCHOR)
+    long = np.flatnonzero(size >= length)
+    counts = size[long] - length + 1
+    places = gather(at[:-1][long], counts)
+    centre = minimisers(hashes, places, length - ANCHOR + 1)
+    first, last, centre = runs(places, centre, np.repeat(long, counts))
+    return first, last - first + 1, hashes[centre], (centre - first).astype("<u2"), roll.of(first, last + length)
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +79,7 @@ def repeated_anchors(group: pa.Table) -> pa.Table:
     return table(*out)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bucket_bytes: int = 4 * MB, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bucket_bytes: int = MB, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
     """SCHEMA for each row; with_text adds the kept text as `text` and the row's other columns as `rest`."""
     routing = Routing(docs, chunk_bytes, bucket_bytes, id_column, text_column, with_text)
     buckets = routing.buckets
@@ -119,12 +124,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
         # only pieces whose minimiser another piece has can share part of their windows
         _, group_of, members = np.unique(key, return_inverse=True, return_counts=True)
         shared = np.flatnonzero(members[group_of] > 1)
-        flags = np.zeros(0, bool)
+        # groups with a common minimiser go together, half a MB at a time
+        shared = shared[np.argsort(group_of[shared], kind="stable")]
+        n = size[one[shared]].astype(np.int64)
         text_at = np.zeros(len(one), np.int64)
-        if len(shared):
-            n = size[one[shared]]
-            flags = repeated(raw[gather(lo[one[shared]], n)], n, length)
-            text_at[shared] = np.cumsum(n) - n
+        text_at[shared] = np.cumsum(n) - n
+        flags = np.zeros(int(n.sum()), bool)
+        for a, b in _batches(group_of[shared], n):
+            some = one[shared[a:b]]
+            to = int(text_at[shared[a]])
+            flags[to : to + int(n[a:b].sum())] = repeated(raw[gather(lo[some], size[some])], size[some], length)
         windows = size[one].astype(np.int64) - length + 1
         starts, ends, of = [], [], []
         part = np.zeros(len(one), bool)
@@ -201,12 +210,27 @@ def clean(docs: DataFrame, length: int = 200, id_column: str = "doc_id", text_co
 
 def _same_pieces(raw, lo, size, times, place):
     """Equal pieces once: their content hashes, one index of each, which each piece is, how often it occurs, its minimiser's hash."""
-    roll = Rolling(SPREAD[raw])
-    hashes = roll.of(lo, lo + size)
+    hashes, keys = np.empty(len(size), U64), np.empty(len(size), U64)
+    for a, b in blocks(np.append(lo, len(raw)), 1 << 18):
+        if a < b:
+            roll = Rolling(SPREAD[raw[lo[a] : lo[b - 1] + size[b - 1]]])
+            at = lo[a:b] - lo[a]
+            hashes[a:b], anchor = roll.of(at, at + size[a:b]), at + place[a:b]
+            keys[a:b] = roll.of(anchor, anchor + ANCHOR)
     content, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-    total = np.bincount(which, weights=times, minlength=len(content))
-    anchor = lo[one] + place[one]
-    return content, one, which, total, roll.of(anchor, anchor + ANCHOR)
+    return content, one, which, np.bincount(which, weights=times, minlength=len(content)), keys[one]
+
+
+def _batches(groups: np.ndarray, sizes: np.ndarray, most: int = 1 << 19):
+    """(lo, hi) of whole groups of about `most` bytes; groups are sorted."""
+    cut = np.append(np.flatnonzero(np.diff(groups)) + 1, len(groups))
+    total = np.append(0, np.cumsum(sizes))
+    lo = 0
+    while lo < len(groups):
+        fits = cut[(cut > lo) & (total[cut] <= total[lo] + most)]
+        hi = int(fits[-1]) if len(fits) else int(cut[np.searchsorted(cut, lo, "right")])
+        yield lo, hi
+        lo = hi
 
 
 def suffix_array(text: np.ndarray, size: np.ndarray) -> np.ndarray:
