@@ -19,6 +19,8 @@ from vellum.functions.text import characters, normalize_string, normalized
 #: Fixed values.
 NULL, UNKNOWN, START, END = "ϵ", "?", "↦", "⇥"
 NULL_CODE, UNKNOWN_CODE, FIRST_CODE = 0, 1, 2
+#: Where encode() puts codes on their way: a private area of Unicode.
+BASE = 0xE000
 VIRTUAL = (NULL, UNKNOWN, START, END)
 
 
@@ -133,40 +135,43 @@ class Alphabet:
 
     # columns
 
-    def _map(self, items: dict) -> Column:
-        return F.create_map(*(F.lit(x) for kv in items.items() for x in kv))
+    def _translated(self, text: Column, of: dict[str, str], unknown: str) -> Column:
+        """Characters replaced as in `of`, all others with `unknown`: one translate() that also lists the row's other characters."""
+        known = "".join(of)
+        other = F.array_join(F.array_distinct(characters(F.translate(text, known, ""))), "")
+        return F.call_function("translate", text, F.concat(F.lit(known), other), F.concat(F.lit("".join(of.values())), F.repeat(F.lit(unknown), F.length(other))))
 
     def encode(self, text: Column, normal: bool = True) -> Column:
-        """array<int> of codes; unknown characters get 1.  normal: bring the text to its normal form first."""
-        table = self._map(self.codes)
-        return F.transform(characters(normalized(text) if normal else text), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(UNKNOWN_CODE)))
+        """array<int> of codes; unknown characters get 1.  normal: bring the text to its normal form first.
+
+        Characters are first moved to code points from BASE on, by code, whose numbers are then read off.
+        """
+        of = {s: chr(BASE + c) for s, c in self.codes.items() if len(s) == 1}
+        moved = self._translated(normalized(text) if normal else text, of, chr(BASE + UNKNOWN_CODE))
+        return F.transform(characters(moved), lambda c: F.ascii(c) - BASE)
 
     def encode_one_hot(self, text: Column) -> Column:
         return nested.one_hot(self.encode(text), len(self))
 
     def decode(self, codes: Column, length: Column | int = -1) -> Column:
         """Text of codes, of the first `length` if that is not negative; unknown codes give `?`."""
-        table = self._map(self.representatives)
+        of = self.representatives
+        table = F.array(*(F.lit(of.get(c, UNKNOWN)) for c in range(max(of) + 1)))
         if not isinstance(length, int):
             codes = F.when(length >= 0, F.slice(codes, F.lit(1), F.greatest(length, F.lit(0)))).otherwise(codes)
         elif length >= 0:
             codes = F.slice(codes, 1, length)
-        return F.array_join(F.transform(codes, lambda c: F.coalesce(F.try_element_at(table, c), F.lit(UNKNOWN))), "")
+        return F.array_join(F.transform(codes, lambda c: F.coalesce(F.get(table, c), F.lit(UNKNOWN))), "")
 
     def decode_ctc(self, labels: Column) -> Column:
         """Text of frame labels: repeated neighbours count once, null labels not at all."""
         return self.decode(collapsed(labels))
 
     def reduce(self, text: Column) -> Column:
-        """Each character replaced with its class's representative, unknown ones with `?`; one translate() and one pattern."""
+        """Each character replaced with its class's representative, unknown ones with `?`; representatives of several characters stay as their symbols."""
         of = self.representatives
-        single = {s: of[c] for s, c in self.codes.items() if len(s) == 1}
-        moved = {s: r for s, r in single.items() if s != r and len(r) == 1}
-        text = F.regexp_replace(text, f"[^{ranges({*single, UNKNOWN})}]", UNKNOWN)
-        for s, r in single.items():  # a representative of several characters
-            if len(r) > 1:
-                text = F.replace(text, F.lit(s), F.lit(r))
-        return F.translate(text, "".join(moved), "".join(moved.values())) if moved else text
+        single = {s: of[c] if len(of[c]) == 1 else s for s, c in self.codes.items() if len(s) == 1}
+        return self._translated(text, single, UNKNOWN)
 
 
 def ranges(symbols: Iterable[str]) -> str:

@@ -25,14 +25,23 @@ def split(df: DataFrame, key: str, parts: dict[str, float], seed: str = "", limi
     before, run = {}, 0
     for c in sorted(counts):
         before[c], run = run, run + counts[c]
-    mixed = [c for c in counts if any(before[c] < b < before[c] + counts[c] for b in borders)]
-    table = F.create_map(*(F.lit(x) for c in sorted(counts) for x in (c, before[c]))) if counts else F.create_map()
-    inner = F.when(F.col("_cell").isin(mixed), F.row_number().over(Window.partitionBy(F.when(F.col("_cell").isin(mixed), F.col("_cell")).otherwise(F.concat("_cell", F.substring("_hash", 4, 4)))).orderBy("_hash", key))).otherwise(1)
-    place = F.try_element_at(table, F.col("_cell")) + inner - 1
-    part: Column = F.lit(None).cast("string")
-    for name, b in reversed(list(zip(names, borders, strict=True))):
-        part = F.when(place < b, F.lit(name)).otherwise(part)
-    out = rows.withColumn("part", part).drop("_hash", "_cell")
+    # the cell that holds each part's last row, and how many of its rows belong to the part
+    last = []
+    for b in borders:
+        cell = max((c for c in before if before[c] < b), default="")
+        last.append((cell, b - before.get(cell, 0)))
+    mixed = sorted({c for c, k in last if c and k < counts[c]})
+
+    def parted(inner: Column) -> Column:
+        part = F.lit(None).cast("string")
+        for name, (c, k) in reversed(list(zip(names, last, strict=True))):
+            part = F.when((F.col("_cell") < c) | ((F.col("_cell") == c) & (inner <= k)), F.lit(name)).otherwise(part)
+        return part
+
+    whole = rows.filter(~F.col("_cell").isin(mixed)).withColumn("part", parted(F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_cell").orderBy("_hash", key))
+    some = rows.filter(F.col("_cell").isin(mixed)).withColumn("_place", place)
+    out = whole.unionByName(some.withColumn("part", parted(F.col("_place"))).drop("_place")).drop("_hash", "_cell")
     return out.filter("part is not null") if limit is not None else out
 
 
