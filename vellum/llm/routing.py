@@ -28,7 +28,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         kind = next(i for i, k in enumerate(KINDS) if a.dtype == np.dtype(k))
         parts += [struct.pack("<BQ", kind, len(a)), np.ascontiguousarray(a).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack(body: bytes) -> list[np.ndarray]:

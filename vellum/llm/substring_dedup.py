@@ -82,7 +82,7 @@ def _pieces(values: np.ndarray, at: np.ndarray, counts: np.ndarray, width: int):
     return first, last - first + 1, hashes[centre], roll.of(first, last + width)
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 // 2, bucket_bytes: int = MB // 2, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 // 2, bucket_bytes: int = MB * 3 // 4, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
     """SCHEMA for each row; with_text adds the kept words as `text`."""
     routing = Routing(docs, chunk_bytes, bucket_bytes, id_column, text_column)
     buckets = routing.buckets
