@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from vellum.llm.flat import BLANK, flat, gather, spans, strings
+from vellum.llm.flat import BLANK, flat, gather, strings
 from vellum.llm.merges import Merges, merge_rounds
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -209,7 +209,7 @@ class VocabularyEncoder(Encoder):
         self.inner = np.array([vocab[letter[b]] for b in range(256)])
         self.final = np.array([vocab[letter[b] + self.tail] for b in range(256)])
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
-        first, rank = {}, []
+        first: dict = {}
         for r, (a, b) in enumerate(pairs):
             first.setdefault((vocab[a], vocab[b]), (r, vocab[a + b]))
         rank = [r for r, _ in first.values()]
@@ -288,12 +288,8 @@ class VocabularyEncoder(Encoder):
         bad = kind == X
         sizes = np.diff(at)
         odd = np.logical_or.reduceat(bad, at[:-1]) if len(raw) else np.zeros(0, bool)
-        if self.marks:
-            kinds_of = units.to_pylist() if any(m[:1] in (b"<",) and (raw == m[0]).any() for m in self.marks) else None
-            if kinds_of is not None:
-                odd |= np.array([any(m in u for m in self.marks) for u in kinds_of], bool)
-        if not self.strip and len(raw):  # a unit that runs over a blank inside was cut by the library's rule
-            pass
+        if any((raw == m[0]).any() for m in self.marks):
+            odd |= np.array([any(m in u for m in self.marks) for u in units.to_pylist()], bool)
         good = ~odd
         index = gather(at[:-1][good], sizes[good])
         sym = self.inner[raw[index]]
@@ -334,4 +330,4 @@ def with_end(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.
     return out, to
 
 
-__all__ = ["Encoder", "PieceEncoder", "VocabularyEncoder", "encoder", "spans", "tokenizer_path", "with_end"]
+__all__ = ["Encoder", "PieceEncoder", "VocabularyEncoder", "encoder", "tokenizer_path", "with_end"]
