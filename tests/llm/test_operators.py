@@ -325,6 +325,23 @@ def test_line_quality_removes_frequent_lines(spark):
     same([(r.doc_id, r.text) for r in out.collect()], [(v[0], t) for v, t in want if v[8]])
 
 
+def test_line_quality_counts_texts_that_differ_only_in_form(spark):
+    rng = random.Random(10)
+    notice = [f"Notice {k} {prose(rng, 20)}" for k in range(3)]
+    forms = [lambda x: x, str.upper, str.title, lambda x: x.replace(" ", "  "), lambda x: f" {x}\t"]
+    made = []
+    for i in range(30):
+        lines = [forms[i % 5](x) for x in notice]
+        made.append((i, "\n".join(lines[i % 3 :] + lines[: i % 3] + lines[: i // 15]), "en", "h", 0))
+    made += [(100 + i, prose(rng, 60), "en", "h", 0) for i in range(70)] + [(200 + i, made[0][1], "en", "h", 0) for i in range(3)]
+    assert len({r[1] for r in made}) == 100 and len({" ".join(sorted(set(r[1].lower().split()))) for r in made[:30]}) == 1
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    want = list(brute_quality(made, 20, 0.1))
+    assert sum(v[6] > 0 for v, _ in want) == 33
+    same([tuple(r) for r in line_quality.verdicts(line_quality.facts(df)).drop("rid").collect()], [v for v, _ in want])
+    same([(r.doc_id, r.text) for r in line_quality.clean(df).collect()], [(v[0], t) for v, t in want if v[8]])
+
+
 def brute_links(rows_, threshold=0.8):
     sets = []
     for r in rows_:

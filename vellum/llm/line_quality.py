@@ -23,7 +23,7 @@ from vellum.llm.shared import written
 LEAST_DOCS, SHARE, KEEP_SHARE = 20, 0.1, 0.5
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
-FACTS = "rid long, doc_id long, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+FACTS = "rid long, doc_id long, host long, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 
 
 def _lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +88,7 @@ def _facts(part) -> pa.RecordBatch:
     total = np.add.reduceat(w, begin) if len(begin) else w
     to = np.append(0, np.cumsum(np.bincount(d[begin], minlength=n))).astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [part.column("rid"), part.column("doc_id"), part.column("host"), *(pa.array(x.astype(np.int64)) for x in (n_words, np.diff(head[offsets]), np.diff(symbols[offsets]), dups, np.diff(repeats[before]))), pa.ListArray.from_arrays(pa.array(to), pa.array(h[begin].view(np.int64))), pa.ListArray.from_arrays(pa.array(to), pa.array(total.astype(np.int32)))],
+        [*(part.column(x) for x in ("rid", "doc_id", "host", "text_hash")), *(pa.array(x.astype(np.int64)) for x in (n_words, np.diff(head[offsets]), np.diff(symbols[offsets]), dups, np.diff(repeats[before]))), pa.ListArray.from_arrays(pa.array(to), pa.array(h[begin].view(np.int64))), pa.ListArray.from_arrays(pa.array(to), pa.array(total.astype(np.int32)))],
         [x.split(" ")[0] for x in FACTS.split(", ")],
     )
 
@@ -98,21 +98,21 @@ def _row_key(id_column: str, text_column: str, host_column: str):
 
 
 def facts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """FACTS for each row, as a written table without the texts.  host is a hash; rid names rows that are alike in id, host and text."""
+    """FACTS for each row, as a written table without the texts.  host and text_hash are hashes; rid names rows that are alike in id, host and text."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 yield _facts(part)
 
-    rows = docs.select(_row_key(id_column, text_column, host_column).alias("rid"), F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(host_column), F.lit("\0"))).alias("host"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = docs.select(_row_key(id_column, text_column, host_column).alias("rid"), F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(host_column), F.lit("\0"))).alias("host"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return written(rows.mapInArrow(run, FACTS), "facts")
 
 
 def frequent_lines(found: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
     """(rid, line, words): the lines above the limit of each row's host that the row holds."""
-    # one row for each distinct text of a host; its lines stand for those of its copies
-    texts = found.select("host", "lines").groupBy("host", "lines").agg(F.count(F.lit(1)).alias("copies"))
+    # one row for each distinct text of a host (texts with equal lines may differ); its lines stand for those of its copies
+    texts = found.select("host", "text_hash", "lines").groupBy("host", "text_hash", "lines").agg(F.count(F.lit(1)).alias("copies"))
     hosts = texts.groupBy("host").agg(F.greatest(F.lit(float(least_docs)), F.lit(share) * F.count(F.lit(1))).alias("limit"))
     counts = texts.select(F.explode("lines").alias("line"), "host").groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
     above = counts.filter(F.col("docs") > least_docs).join(hosts, "host").filter(F.col("docs") > F.col("limit")).select("host", "line")
@@ -123,7 +123,7 @@ def frequent_lines(found: DataFrame, least_docs: int = LEAST_DOCS, share: float
 def verdicts(found: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
     """The base columns of each row, n_removed_words, base_failed and kept."""
     gone = frequent_lines(found, least_docs, share).groupBy("rid").agg(F.sum("words").alias("n_removed_words"))
-    out = found.drop("lines", "line_words", "host").join(gone, "rid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
+    out = found.drop("lines", "line_words", "host", "text_hash").join(gone, "rid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     return out.select("rid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", failed.alias("base_failed"), (~failed & (left >= keep_share * F.col("n_words"))).alias("kept"))
