@@ -242,6 +242,15 @@ def test_warc(spark):
     assert warc.write_and_read(df.limit(0)).count() == 0
 
 
+def test_warc_rolls_by_compressed_size_at_its_own_parameters(spark):
+    html = "array_join(transform(sequence(1, 1600), i -> translate(sha2(concat(id, '-', i), 256), '89abcdef', '01234567')), ' ')"
+    df = spark.range(600).selectExpr("id AS page_id", "concat('http://a/', id) AS url", f"{html} AS html")
+    made = sorted(tuple(r) for r in warc.write(df, fresh(spark, "warc")).select("range", "name", "records", "bytes").collect())
+    assert sum(r[2] for r in made) == 600
+    rolled = [a for a, b in zip(made, made[1:], strict=False) if a[0] == b[0]]  # files that do not end their range
+    assert len(rolled) > len(made) / 2 and all(4 << 20 <= r[3] < (4 << 20) + 60000 for r in rolled)
+
+
 def test_fingerprints(docs, empty):
     assert fingerprints.compare(empty).count() == 0
     order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), text(r)))

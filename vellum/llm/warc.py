@@ -1,7 +1,7 @@
 """Operator 6: a deterministic, sharded writer of WARC archives, and their reader.
 
 Records are range-sorted by page_id (ranges follow from the rows alone), each range is written in order, and a file is closed
-when its compressed size passes a limit.  Headers, record ids and digests are made anew from the record; dates are a
+when its compressed size passes a limit; a range holds several files' worth, so that only its last file ends with the range.  Headers, record ids and digests are made anew from the record; dates are a
 parameter.  A file is written under a temporary name and renamed when complete, and a manifest lists the files, so
 an attempt that is repeated writes the same bytes under the same names.
 
@@ -66,7 +66,7 @@ def member(data: bytes, level: int = 4) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def write(pages: DataFrame, path: str, roll_bytes: int = 4 * MB, range_bytes: int = 8 * MB, least: int = 1000, date: str = DATE, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
+def write(pages: DataFrame, path: str, roll_bytes: int = 4 * MB, range_bytes: int = 32 * MB, least: int = 1000, date: str = DATE, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
     """Writes the archives of pages under path and returns the manifest (range, name, records, bytes, sha256)."""
     pages = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(payload_column), F.lit("")).alias("payload"))
     narrow = written(pages.select("page_id", F.sha1(F.col("payload").cast("binary")).alias("digest"), F.octet_length("payload").alias("size")), "digests")
