@@ -144,6 +144,25 @@ def test_suffix_dedup(docs, empty):
     same([tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()], want)
 
 
+def test_suffix_dedup_settles_equal_pieces_by_the_transform(spark, monkeypatch):
+    rng = random.Random(11)
+    one, two = prose(rng, 150), prose(rng, 150)
+    df = spark.createDataFrame([(1, one), (2, one), (3, two), (4, prose(rng, 150))], "doc_id long, text string")
+    sent = [r.n_removed for r in suffix_dedup.remove_repeats(df, chunk_bytes=1000).orderBy("doc_id").collect()]
+    assert sent == [len(one.encode())] * 2 + [0, 0]
+    monkeypatch.setattr(suffix_dedup, "repeated", lambda raw, size, length: np.zeros(len(raw), bool))
+    by_hash = suffix_dedup.remove_repeats(df, chunk_bytes=1000)
+    assert [r.n_removed for r in by_hash.collect()] == [0] * 4  # nothing is removed that the expansion has not found
+
+
+def test_equal_content_hashes_of_different_pieces_are_noticed():
+    raw = np.frombuffer(b"aaab", np.uint8)
+    at, size = np.array([0, 2, 1]), np.array([2, 2, 2])
+    suffix_dedup._alike(raw, at, size, np.array([0]), np.array([2]))
+    with pytest.raises(ValueError):
+        suffix_dedup._alike(raw, at, size, np.array([0]), np.array([1]))
+
+
 def test_suffix_dedup_keeps_columns(docs):
     out = suffix_dedup.clean(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

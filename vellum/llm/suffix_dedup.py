@@ -2,7 +2,8 @@
 
 Candidates first: each window of `length` bytes has a minimiser, the 32 bytes of smallest hash in it.  Chunks ask which
 minimisers occur more than once in the corpus, and send only the pieces (consecutive windows with one such minimiser) to its
-bucket, equal pieces of a chunk once.  A bucket builds the transform of its distinct pieces, expands intervals
+bucket, equal pieces of a chunk once.  A bucket builds the transform of its distinct pieces, with two copies of those that
+occur more often (all copies are compared byte by byte with the first), expands intervals
 breadth-first by backward extension, which yields the common prefixes of neighbouring suffixes by increasing value, and stops
 at `length`: boundaries without a value by then join suffixes that share `length` bytes.
 
@@ -101,7 +102,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
         number = group["chunk"][0].as_py()
         known = np.concatenate([unpack(x.as_py())[0] for x in answers["body"]])
         some = np.flatnonzero(np.isin(c.key, known))
-        _, index, times = _distinct(c.content[some])
+        values, index, times = _distinct(c.content[some])
+        _alike(c.raw, c.first, c.end - c.first, some, some[index[np.searchsorted(values, c.content[some])]])
         some = some[index]
         to = bucket_of(c.key[some], buckets)
         by = np.argsort(to, kind="stable")
@@ -119,37 +121,29 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
         raw, size, times, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         owner = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
         lo = np.cumsum(size) - size
-        content, one, which, total, key = _same_pieces(raw, lo, size, times, place)
-        full = total >= 2
-        # only pieces whose minimiser another piece has can share part of their windows
-        _, group_of, members = np.unique(key, return_inverse=True, return_counts=True)
+        content, one, two, which, key = _same_pieces(raw, lo, size, times, place)
+        # a piece that occurs twice or more goes in twice, as suffixes of their own; alone, only one whose minimiser another has can share windows
+        twice = np.flatnonzero(two >= 0)
+        given, of_piece = np.append(one, two[twice]), np.append(np.arange(len(one)), twice)
+        _, group_of, members = np.unique(key[of_piece], return_inverse=True, return_counts=True)
         shared = np.flatnonzero(members[group_of] > 1)
         # groups with a common minimiser go together, half a MB at a time
         shared = shared[np.argsort(group_of[shared], kind="stable")]
-        n = size[one[shared]].astype(np.int64)
-        text_at = np.zeros(len(one), np.int64)
+        n = size[given[shared]].astype(np.int64)
+        text_at = np.zeros(len(given), np.int64)
         text_at[shared] = np.cumsum(n) - n
         flags = np.zeros(int(n.sum()), bool)
         for a, b in _batches(group_of[shared], n):
-            some = one[shared[a:b]]
+            some = given[shared[a:b]]
             to = int(text_at[shared[a]])
             flags[to : to + int(n[a:b].sum())] = repeated(raw[gather(lo[some], size[some])], size[some], length)
         windows = size[one].astype(np.int64) - length + 1
-        starts, ends, of = [], [], []
-        part = np.zeros(len(one), bool)
-        part[shared] = True
-        p = np.flatnonzero(full)
-        starts.append(np.zeros(len(p), np.int64)), ends.append(windows[p]), of.append(p)
-        p = np.flatnonzero(part & ~full)
-        if len(p):
-            run, at = spans(windows[p])
-            on = flags[text_at[p][run] + at]
-            head = np.flatnonzero(on & ((at == 0) | ~np.append(False, on)[:-1]))
-            tail = np.flatnonzero(on & ((at == windows[p][run] - 1) | ~np.append(on, False)[1:]))
-            starts.append(at[head]), ends.append(at[tail] + 1), of.append(p[run[head]])
-        start, end, of_ = (np.concatenate(x) for x in (starts, ends, of))
-        order = np.argsort(of_, kind="stable")
-        start, end, of_ = start[order], end[order], of_[order]
+        p = np.sort(shared[shared < len(one)])
+        run, at = spans(windows[p])
+        on = flags[text_at[p][run] + at]
+        head = np.flatnonzero(on & ((at == 0) | ~np.append(False, on)[:-1]))
+        tail = np.flatnonzero(on & ((at == windows[p][run] - 1) | ~np.append(on, False)[1:]))
+        start, end, of_ = at[head], at[tail] + 1, p[run[head]]
         count = np.bincount(of_, minlength=len(one))
         before = np.cumsum(count) - count
         need = np.flatnonzero(count[which] > 0)
@@ -208,8 +202,16 @@ def clean(docs: DataFrame, length: int = 200, id_column: str = "doc_id", text_co
     return out.select(*(new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
+def _alike(raw, first, size, a, b) -> None:
+    """Pieces a and b, of equal content hashes, must have equal bytes."""
+    for lo, hi in blocks(np.append(0, np.cumsum(size[a], dtype=np.int64)), 1 << 18):
+        x, y = a[lo:hi], b[lo:hi]
+        if (size[x] != size[y]).any() or (raw[gather(first[x], size[x])] != raw[gather(first[y], size[y])]).any():
+            raise ValueError("different pieces have one content hash")
+
+
 def _same_pieces(raw, lo, size, times, place):
-    """Equal pieces once: their content hashes, one index of each, which each piece is, how often it occurs, its minimiser's hash."""
+    """Equal pieces once: their content hashes, one index of each, another (that of the same bytes if a chunk has both; -1: none), which each piece is, its minimiser's hash."""
     hashes, keys = np.empty(len(size), U64), np.empty(len(size), U64)
     for a, b in blocks(np.append(lo, len(raw)), 1 << 18):
         if a < b:
@@ -218,7 +220,13 @@ def _same_pieces(raw, lo, size, times, place):
             hashes[a:b], anchor = roll.of(at, at + size[a:b]), at + place[a:b]
             keys[a:b] = roll.of(anchor, anchor + ANCHOR)
     content, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-    return content, one, which, np.bincount(which, weights=times, minlength=len(content)), keys[one]
+    _alike(raw, lo, size, np.arange(len(size)), one[which])
+    two = np.full(len(content), -1)
+    total = np.bincount(which, weights=times, minlength=len(content))
+    two[total >= 2] = one[total >= 2]
+    other = np.flatnonzero(one[which] != np.arange(len(which)))
+    two[which[other]] = other
+    return content, one, two, which, keys[one]
 
 
 def _batches(groups: np.ndarray, sizes: np.ndarray, most: int = 1 << 19):
