@@ -238,6 +238,12 @@ def wer_lines(spark, d):
     return metrics.scored(_read(_table(spark, d, "benchmark"))).select("item_id", "gt_words", "word_errors")
 
 
+@query()
+def wer_turns(spark, d):
+    """wer_lines over each turn of conversations; SQL folds are too slow there."""
+    return metrics.scored(_read(_table(spark, d, "conversations"))).select("conv_id", "turn", "gt_words", "word_errors")
+
+
 @query()
 def wer_conversations(spark, d):
     out = metrics.error_rates(metrics.scored(_read(_table(spark, d, "conversations"))), ["role"])
@@ -257,6 +263,13 @@ def masked_distance(spark, d):
     return metrics.mask_scored(rows).select("item_id", "masked_errors")
 
 
+@query()
+def masked_turns(spark, d):
+    """masked_distance over each turn of conversations; SQL folds are too slow there."""
+    rows = _read(_table(spark, d, "conversations")).withColumn("masks", _masks())
+    return metrics.mask_scored(rows).select("conv_id", "turn", "masked_errors")
+
+
 @query()
 def mer_conversations(spark, d):
     rows = _read(_table(spark, d, "conversations")).withColumn("masks", _masks())
@@ -275,8 +288,8 @@ def near_lines(spark, d):
 
 @query()
 def alignment_pairs(spark, d):
-    rows = _read(_table(spark, d, "benchmark"))
-    return rows.select("item_id", F.size(distance.align("pred", "gt")).alias("n_aligned"), F.size(distance.align_lcs("pred", "gt")).alias("n_lcs"))
+    rows = _read(_table(spark, d, "conversations"))
+    return rows.select("conv_id", "turn", F.size(distance.align("pred", "gt")).alias("n_aligned"), F.size(distance.align_lcs("pred", "gt")).alias("n_lcs"))
 
 
 @query()
