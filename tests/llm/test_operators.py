@@ -12,8 +12,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
-from vellum.llm import fingerprints, jaccard_join, line_quality, packing, sentencepiece, sharding, substring_dedup, suffix_dedup, token_files, warc
+from vellum.llm import fingerprints, flat, jaccard_join, line_quality, merges, packing, sentencepiece, sharding, shared, substring_dedup, suffix_dedup, token_files, warc
 from vellum.llm.encoders import encoder, tokenizer_path
 from vellum.llm.shared import fresh
 
@@ -40,6 +41,14 @@ def rows():
 ROWS = rows()
 
 
+def far_apart():
+    """Ids at both ends of their type, one that many texts share, and none."""
+    rng = random.Random(12)
+    ids = [-(1 << 63), 7, (1 << 63) - 1, *[5] * 30, None, None, 7]
+    made = [(i, prose(rng, rng.randint(10, 150))) for i in ids]
+    return [(i, t, "en", "h", len(t), *[None] * 16) for i, t in made]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
@@ -54,6 +63,12 @@ def text(row) -> str:
     return row[1] or ""
 
 
+def tie(row) -> int:
+    """Spark's hash of a text, which orders rows of one id."""
+    h = xxhash.xxh64_intdigest(text(row).encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def same(got, want):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
@@ -91,16 +106,50 @@ def test_packing(docs, empty):
             assert any(zlib.crc32(w[4 * start : 4 * (start + length)]) == crc for w in whole if len(w) == 4 * n)
 
 
+def plain_assign(lengths, capacity, linear=1.0, quadratic=1.0 / 4096):
+    """The rule in words: full sequences first; then pieces in descending order to the cheapest sequence with room, cut at the largest room where none has."""
+    out, full, items = [], 0, []
+    for doc, n in enumerate(lengths):
+        for k in range(n // capacity):
+            out.append((doc, k * capacity, capacity, full, 0))
+            full += 1
+        if n % capacity:
+            items.append((n % capacity, doc, n - n % capacity))
+    open_ = [[capacity, 0.0] for _ in range(-(-sum(x[0] for x in items) // capacity))]
+    while items:
+        items.sort(key=lambda x: (-x[0], x[1], x[2]))
+        size, doc, start = items.pop(0)
+        fits = [s for s, (room, _) in enumerate(open_) if room >= size]
+        s = min(fits, key=lambda s: (open_[s][1], s)) if fits else max(range(len(open_)), key=lambda s: (open_[s][0], -s))
+        take = min(size, open_[s][0])
+        if take < size:
+            items.append((size - take, doc, start + take))
+        out.append((doc, start, take, full + s, capacity - open_[s][0]))
+        open_[s][0] -= take
+        open_[s][1] += linear * take + quadratic * take * take
+    return out
+
+
 def test_packing_assigns_to_lowest_cost():
-    out = packing.assign(np.array([4096, 3000, 2000, 1500, 1000, 600, 5000]), 4096)
-    by = collections.defaultdict(list)
-    for doc, start, n, seq, offset in out:
-        by[seq].append((offset, n))
-    assert sum(n for v in by.values() for _, n in v) == 17196
-    assert len(by) == 5
+    rng = random.Random(6)
+    for _ in range(200):
+        capacity = rng.choice([8, 64, 4096])
+        lengths = [rng.randint(1, rng.choice([capacity // 4 + 1, capacity, 3 * capacity])) for _ in range(rng.randint(0, 40))]
+        assert sorted(packing.assign(np.array(lengths, np.int64), capacity)) == sorted(plain_assign(lengths, capacity))
     assert packing.assign(np.array([5]), 4096) == [(0, 0, 5, 0, 0)]
 
 
+def test_packing_a_text_longer_than_a_group(spark):
+    df = spark.createDataFrame([(1, "word " * 3000), (2, "a b c"), (3, "other " * 2500)], "doc_id long, text string")
+    want = {r.doc_id: r.doc_tokens for r in packing.pack(df, tokenizer_path("word_bpe_49k.json")).collect()}
+    got = packing.pack(df.coalesce(1), tokenizer_path("word_bpe_49k.json"), group_tokens=1000).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append((r.start, r.length))
+    for d, v in by.items():
+        assert sum(n for _, n in v) == want[d] and [a for a, _ in sorted(v)] == [0, *np.cumsum([n for _, n in sorted(v)])[:-1]]
+
+
 def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
     words = [(r[0], WORD.findall(text(r))) for r in ROWS]
@@ -215,19 +264,43 @@ def test_encoders_equal_their_libraries(name):
     assert got == want
 
 
-def test_token_files(docs, empty):
+def test_merges_of_long_units(monkeypatch):
+    import sentencepiece as library
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model, rng = library.SentencePieceProcessor(model_file=path), random.Random(13)
+    texts = [unit * n for unit in ("the", "ing", "abcabd", "a", "tion", "hehe") for n in (700, 20_000)] + ["the" * 350_000]
+    texts += ["".join(rng.choice("abcdefghij"[: rng.randint(2, 10)]) if rng.random() < 0.8 else rng.choice(["the", "ing", "漢", "字", "é"]) for _ in range(2000)) for _ in range(20)]
+    for most in (256, 4):  # 4: most words end in the queue
+        monkeypatch.setattr(merges, "LONG", most)
+        for t in texts if most > 4 else texts[13:]:
+            ids, _ = encoder(path).encode(pa.array([t]))
+            assert ids.tolist() == model.encode(t)
+    m = encoder(path).merges
+    for t in texts[13:]:
+        sym = encoder(path).char[np.array([ord(c) for c in t])]
+        assert merges.merge_queue(m, sym).tolist() == merges.merge_rounds(m, sym, np.array([len(sym)]))[0].tolist()
+
+
+def test_token_files(spark, empty):
     from tokenizers import Tokenizer
 
     path = tokenizer_path("byte_bpe_50k.json")
     assert token_files.write_and_read(empty, path).count() == 0
     library = Tokenizer.from_file(path)
-    coded = [(r[0], text(r), np.array([*library.encode(text(r), add_special_tokens=False).ids, 0], "<u4")) for r in ROWS]
-    coded.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    at, want = 0, []
-    for d, _, ids in coded:
-        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
-    same([tuple(r) for r in token_files.write_and_read(docs, path).collect()], want)
+    for made in (ROWS, far_apart()):
+        coded = [(r[0], tie(r), np.array([*library.encode(text(r), add_special_tokens=False).ids, 0], "<u4")) for r in made]
+        coded.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        at, want = 0, []
+        for d, _, ids in coded:
+            want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+            at += len(ids)
+        df = spark.createDataFrame(made, SCHEMA).repartition(3)
+        same([tuple(r) for r in token_files.write_and_read(df, path).collect()], want)
+        where = fresh(spark, "tokens")
+        manifest = token_files.write(df, path, where, range_bytes=3000, file_tokens=200)
+        same([tuple(r) for r in token_files.read(manifest).collect()], want)
+        assert manifest.count() > manifest.select("range").distinct().count() > 3
 
 
 @pytest.mark.parametrize("bits", [4, 8, 16])
@@ -255,6 +328,10 @@ def test_warc(spark):
         to = top.get(h) if i is not None and i != top.get(h) else None
         want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "response" if to is None else "revisit", to))
     same([tuple(r) for r in warc.write_and_read(df).collect()], want)
+    far = [(i, "u", t) for i, t, *_ in far_apart()] + [(-(1 << 63), "u", "x" * 2000), ((1 << 63) - 1, "v", "x" * 2000)]
+    got = warc.write_and_read(spark.createDataFrame(far, "page_id long, url string, html string")).collect()
+    same([(r.page_id, r.payload_bytes) for r in got], [(i, len(t.encode())) for i, _, t in far])
+    assert [(r.page_id, r.refers_to) for r in got if r.refers_to is not None] == [(-(1 << 63), (1 << 63) - 1)]
     one, two = fresh(spark, "warc"), fresh(spark, "warc")
     made = [sorted(tuple(r) for r in warc.write(x, p, roll_bytes=1500, range_bytes=4000).collect()) for x, p in ((df, one), (df.repartition(5), two))]
     assert made[0] == made[1] and len(made[0]) > 3  # the same files, whatever the partitions
@@ -270,18 +347,66 @@ def test_warc_rolls_by_compressed_size_at_its_own_parameters(spark):
     assert len(rolled) > len(made) / 2 and all(4 << 20 <= r[3] < (4 << 20) + 60000 for r in rolled)
 
 
-def test_fingerprints(docs, empty):
+def plain_fingerprint(raw: bytes) -> tuple[int, list[str]]:
+    """(block size, letters at it, at twice and at four times it), byte by byte from the definition."""
+    m = (1 << 64) - 1
+    base, spread = flat.BASE, [int(x) for x in flat.SPREAD]
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    def hashed(part):
+        total = sum(spread[b] * pow(base, k, 1 << 64) for k, b in enumerate(part))
+        return mix(total + len(part) * 0xD6E8FEB86659FD93 & m)
+
+    rolled = [hashed(raw[max(0, k - 6) : k + 1]) for k in range(len(raw))]
+    ends = lambda level: [k + 1 for k, h in enumerate(rolled) if h % (4 << level) == 0]
+    level = 0
+    while len(ends(level)) > 63:
+        level += 1
+    parts = []
+    for k in range(level, level + 3):
+        cut = [0, *ends(k), len(raw)]
+        parts.append("".join(chr(fingerprints.LETTERS[hashed(raw[a:b]) >> 58]) for a, b in zip(cut, cut[1:], strict=False)))
+    return 4 << level, parts
+
+
+def plain_likeness(p, q) -> float:
+    best = 0.0
+    for i, x in enumerate(p[1]):
+        for j, y in enumerate(q[1]):
+            if p[0] << i == q[0] << j:
+                row = list(range(len(y) + 1))
+                for a, c in enumerate(x, 1):
+                    last, row = row, [a]
+                    for b, d in enumerate(y, 1):
+                        row.append(min(last[b] + 1, row[-1] + 1, last[b - 1] + (c != d)))
+                like = 1 - row[-1] / max(len(x), len(y))
+                if like == 1 or {x[k : k + 3] for k in range(len(x) - 2)} & {y[k : k + 3] for k in range(len(y) - 2)}:
+                    best = max(best, like)
+    return best
+
+
+def test_fingerprints(spark, empty):
     assert fingerprints.compare(empty).count() == 0
-    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), text(r)))
-    want = []
-    for a, b in zip(order, [*order[1:], order[0]], strict=True):
-        s, t = text(a), text(b)
-        half = len(s) // 2
-        want.append((a[0], len(s), hashlib.sha256((s[: len(s) - half] + t[:half]).encode()).hexdigest(), fingerprints.fingerprint([s])[0]))
-    for each in (2 << 20, 3000):
-        got = fingerprints.compare(docs, range_bytes=each).collect()
-        same([(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint) for r in got], want)
-        assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    for made in (ROWS, far_apart()):
+        order = sorted(made, key=lambda r: (r[0] is None, -(r[0] or 0), -tie(r)))
+        prints = [plain_fingerprint(text(r).encode()) for r in order]
+        named = lambda p: ":".join([str(p[0]), *p[1]])
+        want = []
+        for k, a in enumerate(order):
+            n = (k + 1) % len(order)
+            s, t = text(a), text(order[n])
+            half = len(s) // 2
+            edited = (s[: len(s) - half] + t[:half]).encode()
+            other = plain_fingerprint(edited)
+            want.append((a[0], len(s), hashlib.sha256(edited).hexdigest(), named(prints[k]), named(other), round(plain_likeness(prints[k], other), 9), round(plain_likeness(prints[k], prints[n]), 9)))
+        df = spark.createDataFrame(made, SCHEMA).repartition(3)
+        for each in (2 << 20, 3000):
+            got = fingerprints.compare(df, range_bytes=each).collect()
+            same([(*r[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in got], want)
 
 
 def test_fingerprint_likeness():
@@ -309,6 +434,44 @@ def test_sharding(docs, empty):
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
 
 
+@pytest.mark.parametrize("parts", [1, 1000])
+def test_sharding_equals_a_plain_sort(spark, parts):
+    made = ROWS + far_apart()
+    df = spark.createDataFrame(made, SCHEMA).repartition(3)
+    ordered = sorted(((tie(r), -(1 << 63) if r[0] is None else r[0]), len(text(r).encode()) + 1, zlib.crc32(text(r).encode()), r[0]) for r in [(x[0], x[1]) for x in made] for x in [r])
+    total = sum(x[1] for x in ordered)
+    got = sharding.shard(df, 4, part_bytes=parts).collect()
+    for s in range(4):  # shards are consecutive in the sorted order, rows in its order; a border is the nearest place between different keys
+        mine = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine)))
+    line = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [(r["size"], r.text_crc32) for r in line] == [x[1:3] for x in ordered]
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(x[3] for x in ordered)
+    places, at = {0, total}, 0
+    for a, b in zip(ordered, ordered[1:], strict=False):
+        at += a[1]
+        if a[0] != b[0]:
+            places.add(at)
+    for s in range(1, 4):
+        below = sum(r["size"] for r in got if r.shard < s)
+        assert abs(below - total * s / 4) <= max(0.01 * total / 4, min(abs(p - total * s / 4) for p in places))
+
+
+def test_splitters_equal_brute_force(spark):
+    rng = random.Random(8)
+    keys = [rng.choice([5, 5, 5, rng.getrandbits(20), rng.getrandbits(128)]) for _ in range(500)]
+    df = spark.createDataFrame([(k.to_bytes(16, "big"), 1 + k % 7) for k in keys], "key binary, size long")
+    keys.sort()
+    total = sum(1 + k % 7 for k in keys)
+    targets = [total * i / 10 for i in range(1, 10)]
+    for cut, target in zip(shared.splitters(df, targets, 0), targets, strict=True):
+        below = lambda c: sum(1 + k % 7 for k in keys if k < c)
+        assert abs(below(int.from_bytes(cut, "big")) - target) == min(abs(below(c) - target) for c in {*keys, keys[-1] + 1})
+    cuts = sorted(set(shared.splitters(df, targets, 0)))
+    got = df.select("key", shared.cell_of(cuts, shared.F.col("key")).alias("c")).collect()
+    assert all(r.c == sum(c <= bytes(r.key) for c in cuts) for r in got)
+
+
 def test_sharding_splits_a_hot_group(spark):
     df = spark.createDataFrame([(i, "same text" if i % 3 else f"text {i}") for i in range(3000)], "doc_id long, text string")
     sizes = [r["sum(size)"] for r in sharding.shard(df, 8).groupBy("shard").sum("size").collect()]

@@ -6,8 +6,12 @@ base64 letter for each chunk at that block size, at twice and at four times that
 they have a block size in common: likeness is 1 - edit distance / longer length of the parts at that block size (the best such
 if several), and 0 unless three letters in a row agree.
 
-Null texts count as empty, which have one chunk and all the same fingerprint; equal doc_ids follow the order of their
-texts; null doc_ids come last; repeated rows are documents of their own; an empty table gives no rows.
+Documents are exchanged into ranges of their order, by exact counts of bytes; a range is passed over in order, and the
+first document of the range that follows is its guest, so that the last one has its next.
+
+Null texts count as empty, which have one chunk and all the same fingerprint; equal doc_ids follow the order of a hash of their
+texts, descending, and may fill many ranges; null doc_ids come last; ids may lie as far apart as they can; repeated
+rows are documents of their own; an empty table gives no rows.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,14 +20,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.flat import SPREAD, U64, Rolling, flat
-from vellum.llm.shared import MB, id_ranges, lookup, partitions
+from vellum.llm.flat import SPREAD, U64, Rolling, flat, slices
+from vellum.llm.shared import MB, cell_of, drop, order_key, ranges, written
 
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 WINDOW, MOST, RUN, PARTS = 7, 63, 3, 3
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 class Prints:
@@ -127,40 +132,58 @@ def fingerprint(texts: list[str]) -> list[str]:
     return Prints(*flat(pa.array(texts, pa.string()))).strings()
 
 
-def compare(docs: DataFrame, range_bytes: int = 2 * MB, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def compare(docs: DataFrame, range_bytes: int = 4 * MB, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Fingerprints of texts and of their edited texts (second half from the next document in descending doc_id), and likenesses."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    part, ranges = id_ranges(docs, "doc_id", F.octet_length("text") + 1, range_bytes)
-    n = len(ranges)
-    docs = docs.withColumn("range", part)
-    if n > 1:
-        # the first document of each range is a guest in the range before it in this order, for its last document
-        low = ranges[0]["low"]
-        head = F.col("doc_id") - F.lit(low) == lookup([r["high"] - low for r in ranges], F.col("range"))
-        own = F.struct("range", F.lit(False).alias("guest"))
-        guest = F.struct(((F.col("range") + 1) % n).alias("range"), F.lit(True).alias("guest"))
-        docs = docs.select("doc_id", "text", F.explode(F.when(head, F.array(own, guest)).otherwise(F.array(own))).alias("to")).select("doc_id", "text", "to.*")
-    else:
-        docs = docs.withColumn("guest", F.lit(False))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return docs.repartition(partitions(docs.sparkSession), "range").groupBy("range").applyInArrow(_compare, schema)
-
-
-def _compare(group: pa.Table) -> pa.Table:
-    # ascending on the negated order: guests last, then descending doc_id with nulls last, then text
-    group = group.sort_by([("guest", "ascending"), ("doc_id", "descending"), ("text", "ascending")])
-    own = group.num_rows - int(np.count_nonzero(group["guest"].to_numpy()))
-    texts = group["text"].to_pylist()
-    texts = texts[: own + 1] if len(texts) > own else [*texts, texts[0]]
+    docs = docs.withColumn("key", order_key(F.col("doc_id"), F.col("text")))
+    keys = written(docs.select("key", (F.octet_length("text") + 1).cast("long").alias("size")), "keys")
+    cuts = ranges(keys, range_bytes)
+    # the first document of each range, in this order; a row for each range that has any
+    heads = sorted(keys.groupBy(cell_of(cuts, F.col("key")).alias("range")).agg(F.max("key").alias("head")).collect(), key=lambda r: r["range"])
+    drop(keys)
+    cuts = [cuts[r["range"] - 1] for r in heads[1:]]
+    n, width = len(cuts) + 1, len(heads[0]["head"]) if heads else 1
+    table = F.lit(b"".join(bytes(r["head"]) for r in heads))
+    docs = in_ranges_with_guests(docs, cuts, F.substring(table, cell_of(cuts, F.col("key")) * width + 1, F.lit(width)) == F.col("key"), n)
+
+    def run(batches):
+        names, texts, done = [], [], False
+        for batch in batches:
+            for part in slices(batch, "text"):
+                if done:
+                    continue
+                guest = part.column("guest").to_numpy(zero_copy_only=False)
+                done = bool(guest.any())
+                own = int(guest.argmax()) if done else part.num_rows
+                names.append(part.column("doc_id").slice(0, own))
+                texts += part.column("text").slice(0, own + done).to_pylist()
+                ready = len(texts) - 1
+                if ready:
+                    ids = pa.concat_arrays(names)
+                    yield _compare(ids.slice(0, ready), texts)
+                    names, texts = [ids.slice(ready)], texts[-1:]
+
+    return docs.sortWithinPartitions("guest", F.desc("key"), F.desc("text")).select("doc_id", "text", "guest").mapInArrow(run, SCHEMA)
+
+
+def in_ranges_with_guests(docs: DataFrame, cuts: list[bytes], head: Column, n: int) -> DataFrame:
+    """docs in ranges; the rows for which head holds are guests of the next range, too (the last range's of the first)."""
+    own = F.struct(cell_of(cuts, F.col("key")).alias("range"), F.lit(False).alias("guest"))
+    guest = F.struct(((cell_of(cuts, F.col("key")) + 1) % n).cast("int").alias("range"), F.lit(True).alias("guest"))
+    both = docs.withColumn("to", F.explode(F.when(head, F.array(own, guest)).otherwise(F.array(own))))
+    return both.select("doc_id", "text", "key", "to.range", "to.guest").repartitionById(n, "range")
+
+
+def _compare(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    """Rows of the documents but the last, each with the next one."""
     edited = []
     for a, b in zip(texts[:-1], texts[1:], strict=True):
         half = len(a) // 2
         edited.append(a[: len(a) - half] + b[:half])
     p = Prints(*flat(pa.array(texts, pa.string())))
     q = Prints(*flat(pa.array(edited, pa.string())))
-    i = np.arange(own)
-    return pa.table({
-        "doc_id": group["doc_id"].slice(0, own), "n_chars": pa.array([len(x) for x in texts[:own]], pa.int64()),
-        "edited_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in edited], "fingerprint": p.strings()[:own], "edited_fingerprint": q.strings(),
-        "near_edited": likeness(p, q, i, i), "near_next": likeness(p, p, i, i + 1),
+    i = np.arange(len(edited))
+    return pa.RecordBatch.from_pydict({
+        "doc_id": ids, "n_chars": pa.array([len(x) for x in texts[:-1]], pa.int64()), "edited_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in edited],
+        "fingerprint": p.strings()[:-1], "edited_fingerprint": q.strings(), "near_edited": likeness(p, q, i, i), "near_next": likeness(p, p, i, i + 1),
     })

@@ -1,9 +1,10 @@
 """Operator 8: shards of nearly equal bytes by histogram sort, in DataFrame operations only.
 
-Rows have the key (hash of the text, doc_id), so that equal texts stand together.  Splitters between shards are
-found by counting the exact bytes below candidate keys and probing again inside the cells that hold a
-target, until each splitter is within the tolerance; a group of equal texts is cut only where no place
-outside it is close enough.  Then one exchange by ranges of the key puts the rows in order.
+Rows have the key (hash of the text, doc_id), so that equal texts stand together.  Splitters between shards, and between
+parts of a shard that one task can sort, are found by counting the exact bytes below candidate keys and probing
+again inside the cells that hold a target, until each splitter is within the tolerance; a group of equal texts is cut
+only where no place outside it is close enough.  Then one exchange puts each row into the part that the splitters give
+it, where rows are sorted; the place of a row in its shard follows from the order there and the counts of the parts before.
 
 Null texts have size 1 and count as empty; null doc_ids sort as the smallest; rows with equal keys stay together
 (they are interchangeable); an empty table gives no rows.  The law is `bytes`.
@@ -14,81 +15,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import MB, partitions, pieces_for, written
-
-DIGITS = 32
-TOP = 1 << 4 * DIGITS
+from vellum.llm.shared import MB, cell_of, drop, fixed, splitters, spread, written
 
 
 def sort_key(text: Column, doc_id: Column) -> Column:
-    """32 hexadecimal digits whose order is that of (hash of the text, doc_id)."""
-    sign = F.lit(-(1 << 63)).cast("long")
-    hexed = lambda x: F.lpad(F.hex(F.coalesce(x, sign).bitwiseXOR(sign)), 16, "0")
-    return F.concat(hexed(F.xxhash64(text)), hexed(doc_id.cast("long")))
+    """16 bytes whose order is that of (hash of the text, doc_id)."""
+    return F.unhex(F.concat(fixed(F.xxhash64(text)), fixed(F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))))))
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float = 0.01, probes: int = 16, rounds: int = 40) -> list[str]:
-    """shards-1 keys; shard i holds the keys from the i-th up to the next.  keys has (key, size).
+def cuts(keys: DataFrame, shards: int, parts: int, tolerance: float = 0.01) -> tuple[list[bytes], list[int]]:
+    """(splitters, the shard of each part): `parts` parts a shard, of about equal bytes.  keys has (key, size).
 
-    Each round brings one row for each of at most shards * probes + 1 cells to the driver.
+    Borders of shards are within tolerance * a shard's bytes of their places, those of parts within a quarter of a part.
     """
     total = keys.agg(F.sum("size")).first()[0] or 0
-    targets = [total * i / shards for i in range(1, shards)]
-    slack = tolerance * total / shards
-    found: dict[int, str] = {}
-    bounds = sorted({TOP * i // (shards * probes) for i in range(1, shards * probes)})
-    for _ in range(rounds):
-        names = [f"{b:0{DIGITS}X}" for b in bounds]
-        rows = sorted(keys.groupBy(_cell(names).alias("cell")).agg(F.sum("size").alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect(), key=lambda r: r["cell"])
-        open_, below = [], 0
-        cells = []
-        for r in rows:
-            cells.append((below, below + r["b"], r["lo"], r["hi"]))
-            below += r["b"]
-        for i, t in enumerate(targets):
-            if i in found:
-                continue
-            at = next((c for c in cells if c[1] > t), None)
-            if at is None:
-                found[i] = f"{TOP - 1:0{DIGITS}X}"
-                continue
-            begin, end, lo, hi = at
-            after = f"{int(hi, 16) + 1:0{DIGITS}X}"
-            if lo == hi or min(t - begin, end - t) <= slack:
-                found[i] = lo if t - begin <= end - t else after
-            else:
-                open_.append((int(lo, 16), int(hi, 16)))
-        if not open_:
-            break
-        bounds = sorted({lo + (hi - lo) * k // probes for lo, hi in open_ for k in range(1, probes + 1)} | {lo for lo, _ in open_})
-    return [found[i] for i in range(shards - 1)]
-
-
-def _cell(names: list[str]) -> Column:
-    """The number of names not above the key, by halving."""
-    if not names:
-        return F.lit(0)
-    mid = len(names) // 2
-    low, high = names[:mid], names[mid + 1 :]
-    return F.when(F.col("key") < F.lit(names[mid]), _cell(low)).otherwise(F.lit(mid + 1) + _cell(high))
+    main = splitters(keys, [total * i / shards for i in range(1, shards)], tolerance * total / shards)
+    if not main or parts == 1:
+        return main, list(range(len(main) + 1))
+    n = shards * parts
+    inner = sorted(set(splitters(keys, [total * i / n for i in range(1, n) if i % parts], total / n / 4, 8)) - set(main))
+    every = sorted([*((c, 1) for c in main), *((c, 0) for c in inner)])
+    shard = [0]
+    for _, border in every:
+        shard.append(shard[-1] + border)
+    return [c for c, _ in every], shard
 
 
-def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, part_bytes: int = 8 * MB, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs' rows as (doc_id, size, text_crc32, law, shard, slot, grown_shard), slots in order of the key."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), sort_key(text, F.col(id_column)).alias("key"))
     rows = written(rows, "sizes")
-    cuts = splitters(rows, shards, tolerance)
-    # the one exchange; the place of a row in its partition follows from the order there
-    placed = rows.repartitionByRange(pieces_for(docs, 64 * MB, partitions(docs.sparkSession)), "key").sortWithinPartitions("key")
-    placed = placed.withColumn("id", F.monotonically_increasing_id()).withColumn("shard", _cell(sorted(cuts)) if cuts else F.lit(0))
-    placed = written(placed.withColumn("part", F.shiftright("id", 33).cast("int")), "placed")
-    # a row for each partition and shard: at most partitions + shards of them
-    runs = placed.groupBy("part", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).collect()
-    seen: dict[int, int] = {}
+    found, shard_of = cuts(rows, shards, -(-spread(rows, part_bytes) // shards), tolerance)
+    # the one exchange, by the splitters
+    placed = rows.withColumn("part", cell_of(found, F.col("key"))).repartitionById(len(shard_of), "part").sortWithinPartitions("key")
+    placed = placed.select("doc_id", "size", "text_crc32", "part", F.monotonically_increasing_id().alias("id"))
+    placed = written(placed, "placed")
+    drop(rows)
+    # a row for each part
+    runs = sorted(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).collect(), key=lambda r: r["part"])
+    seen = [0] * (shards + 1)
     base = []
-    for r in sorted(runs, key=lambda r: (r["shard"], r["part"])):
-        base.append((r["part"], r["shard"], seen.get(r["shard"], 0) - r["first"]))
-        seen[r["shard"]] = seen.get(r["shard"], 0) + r["n"]
+    for r in runs:
+        at = shard_of[r["part"]]
+        base.append((r["part"], at, seen[at] - r["first"]))
+        seen[at] += r["n"]
     base = docs.sparkSession.createDataFrame(base, "part int, shard int, base long")
-    return placed.join(F.broadcast(base), ["part", "shard"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("id") + F.col("base")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.join(F.broadcast(base), "part").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("id") + F.col("base")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -1,4 +1,4 @@
-"""What the operators share: the cluster's shared folder, tables written to it, and sizing."""
+"""What the operators share: the cluster's shared folder, tables written to it, sizing, and ranges of an order."""
 
 from __future__ import annotations
 
@@ -12,31 +12,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MB = 1 << 20
+_own: dict[str, str] = {}  # application -> its temporary folder, where spark.checkpoint.dir is unset
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (single machines, tests) a temporary one."""
+    """This application's folder in spark.checkpoint.dir.  Where that is unset, a temporary one on a local master, and an error on any other."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="vellum-")
-        atexit.register(shutil.rmtree, found, True)
-        sc._conf.set("spark.checkpoint.dir", found)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="vellum-")
+            atexit.register(shutil.rmtree, _own[sc.applicationId], True)
+        found = _own[sc.applicationId]
+    return f"{found.rstrip('/')}/vellum-{sc.applicationId}"
 
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts the lineage, survives lost executors."""
+    """df as a table in the shared folder, read again: cuts the lineage, survives lost executors.  drop() deletes it."""
     path = fresh(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._vellum_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read any more."""
+    for t in tables:
+        remove(t.sparkSession, t._vellum_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -45,47 +55,109 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Deletes all that this application's operators keep in the shared folder; for use when their results have been stored."""
+    remove(spark, shared_dir(spark))
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's stored size; used only to choose how finely work is split."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Stored bytes of df by Catalyst's estimate, or where it has none the bytes of its strings, counted; used only to choose how finely work is split."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if found < 1 << 50:
+        return found
+    sizes = [F.coalesce(F.octet_length(df[f"`{c}`"]), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    return df.agg(F.sum(sum(sizes, F.lit(8)))).first()[0] or 0
 
 
-def pieces_for(df: DataFrame, each: int, least: int = 1, most: int = 1 << 20) -> int:
+def pieces_for(df: DataFrame, each: int, least: int = 1) -> int:
     """How many parts of about `each` stored bytes df makes."""
-    return max(least, min(most, math.ceil(input_bytes(df) / each)))
+    return max(least, math.ceil(input_bytes(df) / each))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_ranges(df: DataFrame, key: str, size: Column, each: int) -> tuple[Column, list[dict]]:
-    """Splits the integer key into consecutive ranges of about `each` bytes of `size`.
+def spread(df: DataFrame, each: int = 16 * MB) -> int:
+    """Partitions for an exchange of df: the session's number, more where a partition would hold over `each` stored bytes."""
+    return pieces_for(df, each, partitions(df.sparkSession))
+
+
+def fixed(value: Column) -> Column:
+    """A long as 16 hexadecimal digits in the order of the numbers."""
+    return F.lpad(F.hex(value.cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
+
+
+def order_key(number: Column, text: Column) -> Column:
+    """Rows by (id, hash of the text), null ids first, as binary keys of 17 bytes; rows that share an id part by their texts."""
+    return F.unhex(F.concat(F.when(number.isNull(), "00").otherwise("01"), fixed(F.coalesce(number, F.lit(0))), fixed(F.xxhash64(text))))
+
 
-    Exact bytes are counted in equal steps between the smallest and the largest key (at most 2**18 rows
-    reach the driver, whatever the input), and neighbouring steps are joined.  The ranges depend on the
-    rows alone, not on their partitions.  Null keys count as the smallest.  Returns the range as a column
-    and, in ascending order, a dict (range, rows, bytes, low, high) for each.
+def cell_of(cuts: list[bytes], key: Column) -> Column:
+    """How many of the sorted cuts (of one width) are not above the binary key, by binary search in one literal."""
+    if not cuts:
+        return F.lit(0)
+    width, table = len(cuts[0]), F.lit(b"".join(cuts))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+
+    def step(at: Column, k: Column) -> Column:
+        to = at + k
+        return F.when((to <= len(cuts)) & (F.substring(table, (to - 1) * width + 1, F.lit(width)) <= key), to).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def splitters(keys: DataFrame, targets: list[float], slack: float, probes: int = 16, rounds: int = 64) -> list[bytes]:
+    """For each target (ascending) a binary key below which about so much of `size` lies.  keys has (key, size).
+
+    Histogram sort: exact bytes below candidate keys are counted, and each cell that holds an open target is probed
+    again, until the nearer border of the target's cell is within the slack or the cell is a single key.  A round brings a
+    row for each cell to the driver, at most (targets + 1) * (probes + 1) of them.  A result may lie above all keys.
     """
-    low, high, total = df.agg(F.min(key), F.max(key), F.sum(size)).first()
+    low, high = keys.agg(F.min("key"), F.max("key")).first()
     if low is None:
-        low = high = 0
-    cells = min(1 << 18, max(256, 16 * -(-(total or 0) // each)))
-    step = max(1, -(-(high - low + 1) // cells))
-    cell = F.coalesce(F.expr(f"cast((`{key}` - ({low}L)) div {step}L as int)"), F.lit(0))
-    rows = df.groupBy(cell.alias("c")).agg(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
-    of, out = [0] * (max((r["c"] for r in rows), default=0) + 1), []
-    for r in sorted(rows, key=lambda r: r["c"]):
-        if not out or out[-1]["rows"] and out[-1]["bytes"] + r["b"] > each:
-            out.append({"range": len(out), "rows": 0, "bytes": 0, "low": r["lo"], "high": r["hi"]})
-        out[-1]["rows"] += r["n"]
-        out[-1]["bytes"] += r["b"]
-        out[-1]["high"] = r["hi"]
-        of[r["c"]] = out[-1]["range"]
-    return lookup(of, cell).cast("int"), out
-
-
-def lookup(values: list[int], index: Column) -> Column:
-    """values[index] for non-negative longs: eight bytes each in one literal, sliced by position in constant time."""
-    table = F.lit(b"".join(x.to_bytes(8, "big") for x in values))
-    return F.conv(F.hex(F.substring(table, index * 8 + 1, F.lit(8))), 16, 10).cast("long")
+        return []
+    width, number = len(low), lambda b: int.from_bytes(b, "big")
+    low, high = number(low), number(high)
+    found: dict[int, int] = {}
+    n = (len(targets) + 1) * probes
+    bounds = sorted({low + (high - low) * k // n for k in range(1, n)})
+    for _ in range(rounds):
+        cells = keys.groupBy(cell_of([b.to_bytes(width, "big") for b in bounds], F.col("key")).alias("cell")).agg(F.sum("size").alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
+        cells.sort(key=lambda r: r["cell"])
+        open_: set[tuple[int, int]] = set()
+        at, begin = 0, 0
+        for i, target in enumerate(targets):
+            while at < len(cells) and begin + cells[at]["b"] <= target:
+                begin += cells[at]["b"]
+                at += 1
+            if i in found:
+                continue
+            if at == len(cells):
+                found[i] = high + 1
+                continue
+            end, lo, hi = begin + cells[at]["b"], number(cells[at]["lo"]), number(cells[at]["hi"])
+            if lo == hi or min(target - begin, end - target) <= slack:
+                found[i] = lo if target - begin <= end - target else hi + 1
+            else:
+                open_.add((lo, hi))
+        if not open_:
+            return [min(found[i], (1 << 8 * width) - 1).to_bytes(width, "big") for i in range(len(targets))]
+        bounds = sorted({lo + (hi - lo) * k // probes for lo, hi in open_ for k in range(probes + 1)} | {hi + 1 for _, hi in open_ if hi < high})
+    raise RuntimeError(f"splitters did not settle in {rounds} rounds")
+
+
+def ranges(keys: DataFrame, each: int, most: int = 1 << 16) -> list[bytes]:
+    """Cuts between consecutive ranges of about `each` bytes; keys has (key, size).
+
+    The cuts follow from the rows alone, not from their partitions.  Beyond `most` ranges the ranges grow instead, since
+    each cut is a row on the driver; those who use them pass over a range in order and hold no range whole.
+    """
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    n = min(most, max(1, round(total / each)))
+    return sorted(set(splitters(keys, [total * i / n for i in range(1, n)], total / n / 4, 8))) if n > 1 else []
+
+
+def in_ranges(df: DataFrame, cuts: list[bytes]) -> DataFrame:
+    """df exchanged by its binary `key`, a partition for each range; adds the range."""
+    return df.withColumn("range", cell_of(cuts, F.col("key"))).repartitionById(len(cuts) + 1, "range")

@@ -2,11 +2,13 @@
 
 An id is split into chunks of `bits` bits, lowest first.  Level k holds, for all ids that have one, their chunk k; a
 bitmap beside it says which go on to level k+1, and a rank directory (ones before each 512th bit)
-says where.  So any token is found with one step a level, and no block is decoded.  A file holds one
-range of documents in ascending order of doc_id; a manifest lists the files.
+says where.  So any token is found with one step a level, and no block is decoded.  Documents are exchanged into
+ranges of their order, by exact counts of bytes; a range is passed over in order and closes a file whenever it has
+enough tokens, so that none is held whole.  A manifest lists the files.
 
-Null texts count as empty; a null doc_id comes first; repeated rows are documents of their own, equal doc_ids stand in
-the order of their texts; an empty table gives no files and no rows.  Further columns are ignored.
+Null texts count as empty; a null doc_id comes first; repeated rows are documents of their own; equal doc_ids stand in
+the order of a hash of their texts, so that one id may fill many ranges; ids may have any sign and lie as far
+apart as they can; an empty table gives no files and no rows.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from vellum.llm import files
 from vellum.llm.encoders import encoder, with_end
 from vellum.llm.flat import slices
-from vellum.llm.shared import MB, fresh, id_ranges, partitions, written
+from vellum.llm.shared import MB, drop, fresh, in_ranges, order_key, ranges, written
 
 MAGIC, DIRECTORY = b"VDAC0001", 512
 
@@ -112,29 +114,45 @@ def load(data: bytes) -> tuple[pa.Array, np.ndarray, Dac]:
     return pa.array(names, mask=null), at, Dac(levels, bits)
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, range_bytes: int = 4 * MB, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Writes the files of docs under path and returns the manifest (range, path, n_docs, n_tokens, first_token)."""
-    docs = docs.selectExpr(f"cast(`{id_column}` as long) doc_id", f"coalesce(`{text_column}`, '') text")
-    part, _ = id_ranges(docs, "doc_id", F.octet_length("text") + 1, range_bytes)
+def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, range_bytes: int = 4 * MB, file_tokens: int = 1 << 21, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Writes the files of docs under path and returns the manifest (range, file, path, n_docs, n_tokens, first_token)."""
+    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    docs = docs.withColumn("key", order_key(F.col("doc_id"), F.col("text")))
+    keys = written(docs.select("key", (F.octet_length("text") + 1).cast("long").alias("size")), "keys")
+    cuts = ranges(keys, range_bytes)
+    drop(keys)
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        if nulls := group["doc_id"].null_count:
-            group = pa.concat_tables([group.slice(group.num_rows - nulls), group.slice(0, group.num_rows - nulls)])
-        ids, sizes = [], []
-        for x in slices(group.combine_chunks(), "text", 4 << 20):
-            a, at = with_end(*encoder(tokenizer).encode(x.column("text")), end_id)
-            ids.append(a.astype(np.uint32))
-            sizes.append(np.diff(at))
-        flat, size = np.concatenate(ids), np.concatenate(sizes)
-        number = group["range"][0].as_py()
-        name = f"{path}/tokens-{number:07d}.dac"
-        with files.committed(name) as f:
-            f.write(dump(group["doc_id"].combine_chunks(), np.append(0, np.cumsum(size)), flat))
-        return pa.table({"range": pa.array([number], pa.int32()), "path": [name], "n_docs": [len(size)], "n_tokens": [len(flat)]})
+    def run(batches):
+        number, made, names, ids, sizes, tokens = 0, 0, [], [], [], 0
+
+        def close():
+            nonlocal made, tokens
+            flat, size = np.concatenate(ids), np.concatenate(sizes)
+            name = f"{path}/tokens-{number:07d}-{made:05d}.dac"
+            with files.committed(name) as f:
+                f.write(dump(pa.concat_arrays(names), np.append(0, np.cumsum(size)), flat))
+            out = pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([number << 24 | made]), pa.array([name]), pa.array([len(size)]), pa.array([len(flat)])], ["range", "file", "path", "n_docs", "n_tokens"])
+            made, tokens = made + 1, 0
+            for x in (names, ids, sizes):
+                x.clear()
+            return out
 
-    rows = docs.withColumn("range", part).repartition(partitions(docs.sparkSession), "range")
-    return written(running(written(rows.groupBy("range").applyInArrow(run, "range int, path string, n_docs long, n_tokens long"), "files"), "range", "n_tokens", "first_token"), "manifest")
+        for batch in batches:
+            for x in slices(batch, "text", min(4 << 20, 4 * file_tokens)):
+                number = x.column("range")[0].as_py()
+                a, at = with_end(*encoder(tokenizer).encode(x.column("text")), end_id)
+                names.append(x.column("doc_id")), ids.append(a.astype(np.uint32)), sizes.append(np.diff(at))
+                tokens += len(a)
+                if tokens >= file_tokens:
+                    yield close()
+        if ids:
+            yield close()
+
+    rows = in_ranges(docs, cuts).sortWithinPartitions("key", "text").select("doc_id", "text", "range")
+    made = written(rows.mapInArrow(run, "range int, file long, path string, n_docs long, n_tokens long"), "files")
+    manifest = written(running(made, "file", "n_tokens", "first_token", 1 << 24), "manifest")
+    drop(made)
+    return manifest
 
 
 def running(table: DataFrame, key: str, value: str, name: str, block: int = 4096) -> DataFrame:
@@ -163,7 +181,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     crc += [zlib.crc32(view[a:b]) for a, b in zip(bound, bound[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([docs, pa.array(first + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("path", "first_token", "range").repartition(partitions(manifest.sparkSession), "range").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    count = (manifest.agg(F.max("range")).first()[0] or 0) + 1
+    return manifest.select("path", "first_token", "range").repartitionById(count, "range").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

@@ -1,13 +1,15 @@
 """Operator 6: a deterministic, sharded writer of WARC archives, and their reader.
 
-Records are range-sorted by page_id (ranges follow from the rows alone), each range is written in order, and a file is closed
-when its compressed size passes a limit; a range holds several files' worth, so that only its last file ends with the range.  Headers, record ids and digests are made anew from the record; dates are a
-parameter.  A file is written under a temporary name and renamed when complete, and a manifest lists the files, so
-an attempt that is repeated writes the same bytes under the same names.
+Records are range-sorted by page_id (ranges follow from the rows alone), each range is written in order as it is read, and a
+file is closed when its compressed size passes a limit; a range holds several files' worth, so that only its last file
+ends with the range.  Headers, record ids and digests are made anew from the record; dates are a parameter.  A file is
+written under a temporary name and renamed when complete, and a manifest lists the files, so an attempt that is
+repeated writes the same bytes under the same names.
 
 Of records with equal payloads of at least `least` bytes, that with the largest page_id is a response and the
 others are revisits of it (equal page_ids with equal payloads: all responses).  Null payloads count as empty; a null
-page_id stays null, comes first, and is never referred to; an empty table gives no files and no rows.
+page_id stays null, comes first, and is never referred to; rows with one page_id stand in the order of a hash of
+their payloads, and may fill many ranges; ids may lie as far apart as they can; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import files
-from vellum.llm.shared import MB, fresh, id_ranges, partitions, written
+from vellum.llm.shared import MB, drop, fresh, in_ranges, order_key, ranges, written
 
 SPACE = uuid.UUID("5b0c4d1e-7f0b-4d5e-9a77-1f2b6c3d4e5f")
 DATE = "2000-01-01T00:00:00Z"
@@ -69,47 +71,49 @@ def member(data: bytes, level: int = 4) -> bytes:
 def write(pages: DataFrame, path: str, roll_bytes: int = 4 * MB, range_bytes: int = 32 * MB, least: int = 1000, date: str = DATE, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> DataFrame:
     """Writes the archives of pages under path and returns the manifest (range, name, records, bytes, sha256)."""
     pages = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(payload_column), F.lit("")).alias("payload"))
-    narrow = written(pages.select("page_id", F.sha1(F.col("payload").cast("binary")).alias("digest"), F.octet_length("payload").alias("size")), "digests")
-    part, _ = id_ranges(narrow, "page_id", F.col("size") + 512, range_bytes)
-    large = narrow.filter((F.col("size") >= least) & F.col("page_id").isNotNull())
+    pages = pages.withColumn("key", order_key(F.col("page_id"), F.col("payload")))
+    narrow = written(pages.select("page_id", "key", F.sha1(F.col("payload").cast("binary")).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), (F.octet_length("payload") + 512).cast("long").alias("size")), "digests")
+    cuts = ranges(narrow, range_bytes)
+    large = narrow.filter((F.col("bytes") >= least) & F.col("page_id").isNotNull())
     copies = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    visits = large.join(copies, "digest").filter("page_id < refers_to").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", "refers_to")
-    rows = pages.select("page_id", "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    rows = visits.distinct().unionByName(rows).withColumn("range", part)
+    # a row without a payload goes before the pages of its key and says what they refer to
+    none = F.lit(None).cast("string")
+    visits = large.join(copies, "digest").filter("page_id < refers_to").select("page_id", none.alias("url"), none.alias("payload"), "key", "digest", "refers_to").distinct()
+    rows = visits.unionByName(pages.withColumns({"digest": none, "refers_to": F.lit(None).cast("long")}))
+    rows = in_ranges(rows, cuts).sortWithinPartitions("key", F.col("digest").asc_nulls_last(), "payload", "url")
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("page_id", "ascending"), ("payload", "ascending"), ("url", "ascending")])
-        ids = group["page_id"].to_pylist()
-        digests = group["digest"].to_pylist()
-        refer = {(i, d): r for i, d, r in zip(ids, digests, group["refers_to"].to_pylist(), strict=True) if d is not None}
-        number, made, out = group["range"][0].as_py(), [], []
+    def run(batches):
+        number, made, out, size, refer = 0, 0, [], 0, {}
 
         def close():
-            name = f"pages-{number:07d}-{len(made):04d}.warc.gz"
+            nonlocal made, size
+            name = f"pages-{number:07d}-{made:04d}.warc.gz"
             data = b"".join([member(info(name, date)), *out])
             with files.committed(f"{path}/{name}") as f:
                 f.write(data)
-            made.append((number, name, len(out), len(data), hashlib.sha256(data).hexdigest()))
+            row = pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([name]), pa.array([len(out)]), pa.array([len(data)]), pa.array([hashlib.sha256(data).hexdigest()])], ["range", "name", "records", "bytes", "sha256"])
+            made, size = made + 1, 0
             out.clear()
+            return row
 
-        size = 0
-        order = sorted((k for k, d in enumerate(digests) if d is None), key=lambda k: (ids[k] is not None, ids[k] or 0))
-        urls, payloads = group["url"], group["payload"]
-        for k in order:
-            payload = payloads[k].as_py().encode()
-            to = refer.get((ids[k], hashlib.sha1(payload).hexdigest()))
-            out.append(member(record(ids[k], urls[k].as_py(), payload, to, date)))
-            size += len(out[-1])
-            if size >= roll_bytes:
-                close()
-                size = 0
+        for batch in batches:
+            for i, url, payload, digest, to, number in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to", "range")), strict=True):
+                i, url, digest, number = i.as_py(), url.as_py(), digest.as_py(), number.as_py()
+                if digest is not None:
+                    refer = {k: v for k, v in refer.items() if k[0] == i} | {(i, digest): to.as_py()}
+                    continue
+                data = payload.as_py().encode()
+                out.append(member(record(i, url, data, refer.get((i, hashlib.sha1(data).hexdigest())), date)))
+                size += len(out[-1])
+                if size >= roll_bytes:
+                    yield close()
         if out:
-            close()
-        return pa.table(list(map(pa.array, zip(*made, strict=True))), ["range", "name", "records", "bytes", "sha256"]).cast(pa.schema([("range", pa.int32()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
+            yield close()
 
     spark = pages.sparkSession
-    found = rows.repartition(partitions(spark), "range").groupBy("range").applyInArrow(run, "range int, name string, records long, bytes long, sha256 string")
+    found = rows.select("page_id", "url", "payload", "digest", "refers_to", "range").mapInArrow(run, "range int, name string, records long, bytes long, sha256 string")
     found.write.parquet(f"{path}/_manifest")
+    drop(narrow)
     return spark.read.parquet(f"{path}/_manifest")
 
 
