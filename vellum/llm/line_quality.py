@@ -1,9 +1,10 @@
 """Operator 9: quality rules with cross-document line frequency.
 
-Lines are normalised (lower case, blanks collapsed, ends stripped) and hashed.  For each host the distinct texts that hold a
-line are counted; exact copies count once, so that copies alone never make a text look like boilerplate.  Lines in
-more than max(least_docs, share * texts of the host) texts are removed, and documents that keep less than keep_share of their
-words are rejected, as are those that fail the base rules (n_words < 50, or repeated words).
+Lines are normalised (lower case, blanks collapsed, ends stripped) and hashed.  For each host the distinct documents that hold a
+line are counted; exact copies of a text are one document, so that copies alone never make a text look like boilerplate, and
+texts that differ in anything are two.  Lines in more than `limit` documents of a host are removed; the limit is a
+fixed number, so that boilerplate goes on hosts of every size.  Documents that keep less than keep_share of their words
+are rejected, as are those that fail the base rules (n_words < 50, or repeated words).
 
 Null texts count as empty (and fail the base rules); a null host is a host of its own; repeated rows get equal results;
 an empty table gives no rows.  Further columns are ignored by facts() and verdicts() and kept by clean().
@@ -18,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.flat import BASE, SPREAD, U64, Rolling, flat, mix, slices, spans, words
-from vellum.llm.shared import written
+from vellum.llm.shared import MB, hash128, spread, written
 
-LEAST_DOCS, SHARE, KEEP_SHARE = 20, 0.1, 0.5
+#: Lines in more than 6 documents of a host go, the number that published line-level deduplication of web corpora uses for a
+#: bucket; documents that lose more than a quarter of their words are depleted.
+LIMIT, KEEP_SHARE = 6, 0.75
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
-FACTS = "rid long, doc_id long, host long, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+PAIR = "struct<a: long, b: long>"
+FACTS = f"rid {PAIR}, doc_id long, host long, text_hash {PAIR}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line: long, words: int, places: array<int>>>"
+NAMES = ["rid", "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
 
 
 def _lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,15 +45,15 @@ def _line_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def line_hashes(column: pa.Array):
-    """For each line with a word, in order: its text's number, start and end in the lowered bytes, hash, words; and those bytes and offsets."""
+    """For each line with a word, in order: its text's number, its place among the text's lines, its hash, its words."""
     raw, offsets = flat(pc.utf8_lower(column))
     ws, we, _ = words(raw, offsets)
     ls, le = _lines(raw, offsets)
     lo, hi = np.searchsorted(ws, ls), np.searchsorted(ws, le)
-    doc = np.repeat(np.arange(len(offsets) - 1), _line_counts(raw, offsets))
+    doc, place = spans(_line_counts(raw, offsets))
     hashes = Rolling(Rolling(SPREAD[raw]).of(ws, we)).of(lo, hi)
     full = hi > lo
-    return doc[full], ls[full], le[full], hashes[full], (hi - lo)[full], raw, offsets
+    return doc[full], place[full], hashes[full], (hi - lo)[full]
 
 
 def _facts(part) -> pa.RecordBatch:
@@ -78,23 +83,23 @@ def _facts(part) -> pa.RecordBatch:
     lkey = mix(Rolling(SPREAD[raw]).of(ls[full], le[full]) + ldoc[full].astype(U64) * U64(BASE))
     _, which = np.unique(lkey, return_index=True)
     dups = np.bincount(ldoc[full], minlength=n) - np.bincount(ldoc[full][which], minlength=n)
-    # distinct normalised lines, with all their words in the text
-    d, _, _, h, w, _, _ = line_hashes(part.column("text"))
+    # distinct normalised lines, with all their words in the text and their places among its lines
+    d, place, h, w = line_hashes(part.column("text"))
     order = np.lexsort((h, d))
-    d, h, w = d[order], h[order], w[order]
+    d, h, w, place = d[order], h[order], w[order], place[order]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
     begin = np.flatnonzero(new)
     total = np.add.reduceat(w, begin) if len(begin) else w
     to = np.append(0, np.cumsum(np.bincount(d[begin], minlength=n))).astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [*(part.column(x) for x in ("rid", "doc_id", "host", "text_hash")), *(pa.array(x.astype(np.int64)) for x in (n_words, np.diff(head[offsets]), np.diff(symbols[offsets]), dups, np.diff(repeats[before]))), pa.ListArray.from_arrays(pa.array(to), pa.array(h[begin].view(np.int64))), pa.ListArray.from_arrays(pa.array(to), pa.array(total.astype(np.int32)))],
-        [x.split(" ")[0] for x in FACTS.split(", ")],
-    )
+    places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(d)).astype(np.int32)), pa.array(place.astype(np.int32)))
+    lines = pa.StructArray.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(total.astype(np.int32)), places], ["line", "words", "places"])
+    counts = (pa.array(x.astype(np.int64)) for x in (n_words, np.diff(head[offsets]), np.diff(symbols[offsets]), dups, np.diff(repeats[before])))
+    return pa.RecordBatch.from_arrays([*(part.column(x) for x in NAMES[:4]), *counts, pa.ListArray.from_arrays(pa.array(to), lines)], NAMES)
 
 
 def _row_key(id_column: str, text_column: str, host_column: str):
-    return F.xxhash64(F.col(id_column), F.coalesce(F.col(host_column), F.lit("\0")), F.coalesce(F.col(text_column), F.lit("")))
+    return hash128(F.col(id_column).cast("long"), F.coalesce(F.col(host_column), F.lit("\0")), F.coalesce(F.col(text_column), F.lit("")))
 
 
 def facts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
@@ -105,62 +110,43 @@ def facts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             for part in slices(batch, "text"):
                 yield _facts(part)
 
-    rows = docs.select(_row_key(id_column, text_column, host_column).alias("rid"), F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(host_column), F.lit("\0"))).alias("host"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    text, host = F.coalesce(F.col(text_column), F.lit("")), F.coalesce(F.col(host_column), F.lit("\0"))
+    rows = docs.select(_row_key(id_column, text_column, host_column).alias("rid"), F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(host).alias("host"), hash128(text).alias("text_hash"), text.alias("text"))
     return written(rows.mapInArrow(run, FACTS), "facts")
 
 
-def frequent_lines(found: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
-    """(rid, line, words): the lines above the limit of each row's host that the row holds."""
-    # one row for each distinct text of a host (texts with equal lines may differ); its lines stand for those of its copies
-    texts = found.select("host", "text_hash", "lines").groupBy("host", "text_hash", "lines").agg(F.count(F.lit(1)).alias("copies"))
-    hosts = texts.groupBy("host").agg(F.greatest(F.lit(float(least_docs)), F.lit(share) * F.count(F.lit(1))).alias("limit"))
-    counts = texts.select(F.explode("lines").alias("line"), "host").groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
-    above = counts.filter(F.col("docs") > least_docs).join(hosts, "host").filter(F.col("docs") > F.col("limit")).select("host", "line")
-    held = found.select("rid", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("rid", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    return held.join(above, ["host", "line"]).select("rid", "line", "words").distinct()
+def frequent_lines(found: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(rid, words, places): the lines above the limit of its host that a row holds, a row for each line."""
+    # one row for each distinct text of a host: copies have equal lines
+    texts = found.select("host", "text_hash", F.transform("lines", lambda x: x["line"]).alias("lines")).distinct()
+    above = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > limit).select("host", "line")
+    held = found.select("rid", "host", F.explode("lines").alias("x")).select("rid", "host", "x.*")
+    return held.join(above, ["host", "line"]).select("rid", "line", "words", "places").distinct()
 
 
-def verdicts(found: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """The base columns of each row, n_removed_words, base_failed and kept."""
-    gone = frequent_lines(found, least_docs, share).groupBy("rid").agg(F.sum("words").alias("n_removed_words"))
-    out = found.drop("lines", "line_words", "host", "text_hash").join(gone, "rid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    left = F.col("n_words") - F.col("n_removed_words")
-    return out.select("rid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", failed.alias("base_failed"), (~failed & (left >= keep_share * F.col("n_words"))).alias("kept"))
+def _losses(found: DataFrame, limit: int) -> DataFrame:
+    """(rid, n_removed_words, places) of the rows that lose lines."""
+    return frequent_lines(found, limit).groupBy("rid").agg(F.sum("words").alias("n_removed_words"), F.flatten(F.collect_list("places")).alias("places"))
 
 
-def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """docs without the rejected rows, and without the frequent lines of the others; all columns stay."""
-    found = facts(docs, id_column, text_column, host_column)
-    gone = frequent_lines(found).groupBy("rid").agg(F.collect_set("line").alias("_vellum_gone"))
-    kept = verdicts(found).filter("kept").select(F.col("rid").alias("_vellum_rid")).distinct()
-    gone = kept.join(gone, F.col("_vellum_rid") == F.col("rid"), "left").select("_vellum_rid", "_vellum_gone")
-    rows = docs.withColumn("_vellum_rid", _row_key(id_column, text_column, host_column)).join(gone, "_vellum_rid")
-    columns = docs.columns
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, text_column):
-                yield _without(part, text_column, columns)
-
-    return rows.select(*columns, "_vellum_gone").mapInArrow(run, docs.schema)
-
-
-def _without(part: pa.RecordBatch, text_column: str, columns: list[str]) -> pa.RecordBatch:
-    texts, gone = part.column(text_column), part.column("_vellum_gone")
-    touched = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
-    out = texts.to_pylist()
-    if len(touched):
-        some = texts.take(pa.array(touched))
-        doc, _, _, hashes, _, _, _ = line_hashes(some)
-        bad = gone.take(pa.array(touched)).to_pylist()
-        of: list[set[int]] = [set() for _ in touched]
-        for d, h in zip(doc.tolist(), hashes.view(np.int64).tolist(), strict=True):
-            of[d].add(h)
-        for k, i in enumerate(touched.tolist()):
-            drop = set(bad[k]) & of[k]
-            lines = out[i].split("\n")
-            named = line_hashes(pa.array(lines))
-            hash_of = dict(zip(named[0].tolist(), named[3].view(np.int64).tolist(), strict=True))
-            out[i] = "\n".join(x for j, x in enumerate(lines) if hash_of.get(j) not in drop)
-    return pa.RecordBatch.from_arrays([pa.array(out, texts.type) if c == text_column else part.column(c) for c in columns], columns)
+def verdicts(found: DataFrame, limit: int = LIMIT, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """The base columns of each row, n_removed_words, the places of the lines to remove, base_failed and kept."""
+    out = found.drop("lines", "host", "text_hash").join(_losses(found, limit), "rid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    left = F.col("n_words") - F.col("n_removed_words")
+    return out.select("rid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "places", failed.alias("base_failed"), (~failed & (left >= keep_share * F.col("n_words"))).alias("kept"))
+
+
+def clean(docs: DataFrame, limit: int = LIMIT, keep_share: float = KEEP_SHARE, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", part_bytes: int = 8 * MB) -> DataFrame:
+    """docs without the rejected rows, and without the frequent lines of the others; all columns stay.
+
+    The decisions are a narrow table, a row for each row kept with the places of the lines to remove.  Texts are exchanged once
+    to meet them, into parts of bounded bytes, and are neither sorted nor sent to Python.
+    """
+    kept = written(verdicts(facts(docs, id_column, text_column, host_column), limit, keep_share).filter("kept").select(F.col("rid").alias("_vellum_rid"), F.col("places").alias("_vellum_places")).distinct(), "kept")
+    n = spread(docs, part_bytes)
+    rows = docs.withColumn("_vellum_rid", _row_key(id_column, text_column, host_column)).repartition(n, "_vellum_rid")
+    rows = rows.join(kept.repartition(n, "_vellum_rid").hint("shuffle_hash"), "_vellum_rid")
+    left = F.filter(F.split(F.col(text_column), "\n", -1), lambda x, i: ~F.array_contains("_vellum_places", i))
+    text = F.when(F.col("_vellum_places").isNull(), F.col(text_column)).otherwise(F.array_join(left, "\n"))
+    return rows.withColumn(text_column, text).select(*docs.columns)

@@ -45,11 +45,11 @@ def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_line_quality(spark: SparkSession, d: str) -> DataFrame:
-    return line_quality.verdicts(line_quality.facts(_documents(spark, d))).drop("rid")
+    return line_quality.verdicts(line_quality.facts(_documents(spark, d))).drop("rid", "places")
 
 
 def op10_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
-    return jaccard_join.join(_documents(spark, d)).drop("text_hash")
+    return jaccard_join.join(_documents(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sentencepiece, op4_token_files, op5_suffix_dedup, op6_warc, op7_fingerprints, op8_sharding, op9_line_quality, op10_jaccard_join)}
@@ -63,8 +63,7 @@ ul AS (SELECT u, host, unnest(string_split(lower(text), chr(10))) AS line FROM u
 un AS (SELECT u, host, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') AS line,
               len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM ul),
 uf AS MATERIALIZED (SELECT u, host, line, sum(w) AS w FROM un WHERE w > 0 GROUP BY ALL),
-hosts AS (SELECT host, count(*) AS n FROM u GROUP BY host),
-above AS (SELECT host, line FROM uf JOIN hosts USING (host) GROUP BY host, line, n HAVING count(*) > greatest(20.0, 0.1 * n)),
+above AS (SELECT host, line FROM uf GROUP BY host, line HAVING count(*) > 6),
 gone AS (SELECT u, sum(w) AS g FROM uf JOIN above USING (host, line) GROUP BY u),
 ws AS MATERIALIZED (SELECT u, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM u),
 pos AS (SELECT u, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM ws),
@@ -80,7 +79,7 @@ x AS (SELECT d.doc_id, CAST(len(ws.w) AS BIGINT) AS n_words,
              CAST(coalesce(gone.g, 0) AS BIGINT) AS n_removed_words
       FROM d JOIN ws USING (u) LEFT JOIN dl USING (u) LEFT JOIN rep USING (u) LEFT JOIN gone USING (u)),
 y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
-SELECT *, NOT base_failed AND (n_words - n_removed_words) >= 0.5 * n_words AS kept FROM y
+SELECT *, NOT base_failed AND (n_words - n_removed_words) >= 0.75 * n_words AS kept FROM y
 """,
     "op2_substring_dedup": r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

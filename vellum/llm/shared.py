@@ -88,6 +88,11 @@ def fixed(value: Column) -> Column:
     return F.lpad(F.hex(value.cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
 
 
+def hash128(*columns: Column) -> Column:
+    """128 bits of some columns: two hashes that begin apart, so that even 10**12 rows stay distinct."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
 def order_key(number: Column, text: Column) -> Column:
     """Rows by (id, hash of the text), null ids first, as binary keys of 17 bytes; rows that share an id part by their texts."""
     return F.unhex(F.concat(F.when(number.isNull(), "00").otherwise("01"), fixed(F.coalesce(number, F.lit(0))), fixed(F.xxhash64(text))))
