@@ -478,7 +478,7 @@ def test_sharding_splits_a_hot_group(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.05 * sum(sizes) / 8
 
 
-def brute_quality(rows_, least, share):
+def brute_quality(rows_, limit=6, keep_share=0.75):
     texts = collections.defaultdict(set)
     for r in rows_:
         texts[r[3]].add(text(r))
@@ -486,7 +486,7 @@ def brute_quality(rows_, least, share):
     above = {}
     for host, group in texts.items():
         count = collections.Counter(x for t in group for x in norm(t))
-        above[host] = {x for x, n in count.items() if n > max(least, share * len(group))}
+        above[host] = {x for x, n in count.items() if n > limit}
     for r in rows_:
         w = WORD.findall(text(r))
         windows = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
@@ -495,13 +495,13 @@ def brute_quality(rows_, least, share):
         gone = sum(len(WORD.findall(x)) for x in text(r).split("\n") if " ".join(WORD.findall(x.lower())) in above[r[3]])
         failed = len(w) < 50 or 100 * len(marked) > 50 * len(w)
         kept = "\n".join(x for x in text(r).split("\n") if " ".join(WORD.findall(x.lower())) not in above[r[3]])
-        yield (r[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text(r)), len(lines) - len(set(lines)), len(marked), gone, failed, not failed and len(w) - gone >= 0.5 * len(w)), kept
+        yield (r[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text(r)), len(lines) - len(set(lines)), len(marked), gone, failed, not failed and len(w) - gone >= keep_share * len(w)), kept
 
 
 def test_line_quality(docs, empty):
     assert line_quality.verdicts(line_quality.facts(empty)).count() == 0
-    got = line_quality.verdicts(line_quality.facts(docs)).drop("rid")
-    same([tuple(r) for r in got.collect()], [v for v, _ in brute_quality(ROWS, 20, 0.1)])
+    got = line_quality.verdicts(line_quality.facts(docs)).drop("rid", "places")
+    same([tuple(r) for r in got.collect()], [v for v, _ in brute_quality(ROWS)])
 
 
 def test_line_quality_removes_frequent_lines(spark):
@@ -509,8 +509,8 @@ def test_line_quality_removes_frequent_lines(spark):
     made = [(i, f"Menu  here #1\n{prose(rng, 70)}" if i % 2 else prose(rng, 60), "en", "h", 0) for i in range(80)]
     made += [(100 + i, "menu here #1\n" + "more of it " * 4 + f"\nmenu here #1\nMENU here #1 \n{prose(rng, 5)}", "en", "h", 0) for i in range(4)]
     df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
-    want = list(brute_quality(made, 20, 0.1))
-    same([tuple(r) for r in line_quality.verdicts(line_quality.facts(df)).drop("rid").collect()], [v for v, _ in want])
+    want = list(brute_quality(made))
+    same([tuple(r) for r in line_quality.verdicts(line_quality.facts(df)).drop("rid", "places").collect()], [v for v, _ in want])
     out = line_quality.clean(df)
     assert out.columns == df.columns
     same([(r.doc_id, r.text) for r in out.collect()], [(v[0], t) for v, t in want if v[8]])
@@ -527,13 +527,14 @@ def test_line_quality_counts_texts_that_differ_only_in_form(spark):
     made += [(100 + i, prose(rng, 60), "en", "h", 0) for i in range(70)] + [(200 + i, made[0][1], "en", "h", 0) for i in range(3)]
     assert len({r[1] for r in made}) == 100 and len({" ".join(sorted(set(r[1].lower().split()))) for r in made[:30]}) == 1
     df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
-    want = list(brute_quality(made, 20, 0.1))
+    want = list(brute_quality(made))
     assert sum(v[6] > 0 for v, _ in want) == 33
-    same([tuple(r) for r in line_quality.verdicts(line_quality.facts(df)).drop("rid").collect()], [v for v, _ in want])
+    same([tuple(r) for r in line_quality.verdicts(line_quality.facts(df)).drop("rid", "places").collect()], [v for v, _ in want])
     same([(r.doc_id, r.text) for r in line_quality.clean(df).collect()], [(v[0], t) for v, t in want if v[8]])
 
 
-def brute_links(rows_, threshold=0.8):
+def brute_classes(rows_, threshold=0.8):
+    """(row, class number or None, links) for each row."""
     sets = []
     for r in rows_:
         w = WORD.findall(text(r))
@@ -543,14 +544,27 @@ def brute_links(rows_, threshold=0.8):
     label = list(range(n))
     for _ in range(n):
         label = [min([label[i], *(label[j] for j in range(n) if linked[i][j])]) for i in range(n)]
-    least = {c: min((rows_[i][0] for i in range(n) if label[i] == c and rows_[i][0] is not None), default=None) for c in set(label)}
-    return [(rows_[i][0], least[label[i]], sum(map(bool, linked[i]))) for i in range(n)]
+    return [(rows_[i], label[i] if sets[i] else None, sum(map(bool, linked[i]))) for i in range(n)]
+
+
+def brute_links(rows_, threshold=0.8):
+    found = brute_classes(rows_, threshold)
+    least = {c: min((r[0] for r, x, _ in found if x == c and r[0] is not None), default=None) for _, c, _ in found}
+    return [(r[0], r[0] if c is None else least[c], n) for r, c, n in found]
+
+
+def brute_one_of_each(rows_):
+    """The rows that stay: of each class that of the smallest id, null last; ties by text are left open."""
+    groups = collections.defaultdict(list)
+    for k, (r, c, _) in enumerate(brute_classes(rows_)):
+        groups[("none", k) if c is None else c].append((r[0] is None, r[0] or 0, text(r)))
+    return [{x for x in v if x[:2] == min(v)[:2]} for v in groups.values()]
 
 
 def test_jaccard_join(docs, empty):
     assert jaccard_join.join(empty).count() == 0
     want = brute_links(ROWS)
-    for options in ({}, {"block": 3}, {"most": 1}, {"most": 1, "block": 2}):
+    for options in ({}, {"block": 3}, {"block_grams": 200}):
         same([(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.join(docs, **options).collect()], want)
 
 
@@ -565,15 +579,26 @@ def test_jaccard_join_large_near_group(spark):
         made.append((i, " ".join(w)))
     df = spark.createDataFrame(made, "doc_id long, text string")
     want = brute_links(made)
-    for options in ({"block": 16}, {"most": 1, "block": 16}):
+    for options in ({"block": 16}, {"block": 1}):
         same([(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.join(df, **options).collect()], want)
-
-
-def test_one_of_each(docs):
-    out = jaccard_join.one_of_each(docs)
-    assert out.columns == docs.columns
-    want = {c if c is not None else d for d, c, _ in brute_links(ROWS)}
-    assert {r.doc_id for r in out.collect()} == want
+    # fewer bands lose the same pairs whatever the size of the blocks
+    few = [sorted(tuple(r) for r in jaccard_join.join(df, recall=0.5, block=b).collect()) for b in (1024, 8)]
+    assert few[0] == few[1] and 0.3 < sum(r[2] for r in few[0]) / sum(w[2] for w in want) < 1
+
+
+def test_one_of_each(spark, docs):
+    rng = random.Random(14)
+    unrelated = [(i, prose(rng, 40)) for i in (5, 5, None, None)]
+    near = [(7, unrelated[0][1]), (None, unrelated[2][1] + " end"), (5, unrelated[1][1]), (9, None), (9, None), (9, " ")]
+    for made, df in ((ROWS, docs), (unrelated + near, spark.createDataFrame(unrelated + near, "doc_id long, text string"))):
+        out = jaccard_join.one_of_each(df)
+        assert out.columns == df.columns
+        got = collections.Counter((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
+        want = brute_one_of_each(made)
+        assert sum(got.values()) == len(want)
+        for one in want:  # each class has its row
+            assert any(got[x] > 0 for x in one)
+            got.subtract([next(x for x in one if got[x] > 0)])
 
 
 def test_banding_reaches_its_recall():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import written
+from vellum.llm.shared import drop, written
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -21,8 +21,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         step = written(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        changed = not step.filter("old <> label").isEmpty()
-        labels = step.drop("old")
-        if not changed:
-            return labels
+        drop(labels)
+        if step.filter("old <> label").isEmpty():
+            drop(both)
+            return step.drop("old")
+        path, labels = step._vellum_path, step.drop("old")
+        labels._vellum_path = path
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -1,16 +1,14 @@
 """Operator 10: join of documents whose sets of word n-grams have a Jaccard similarity of at least the threshold.
 
 MinHash banding: the numbers of bands and rows follow from the recall wanted at the threshold.  Documents with equal n-gram sets
-stand for each other from the start.  Distinct sets that share a band are candidates; each candidate pair is
-verified on its full sets, in blocks of bounded size, so that a group of any size spreads over tasks and
-no pair leaves its task: only each set's number of links and a spanning edge for each linked set do.
-
-Candidates are compared by connected component of the band graph, where a set travels once a block; components of more than
-`most` sets are compared by band instead, and a pair then counts in the smallest band that it shares.
+stand for each other from the start.  Distinct sets that share a band are candidates, in groups of any size alike: each group
+of a band is exchanged in blocks of bounded bytes, every two blocks meet in a task, and each pair is verified on
+its full sets in the first band that it shares.  Bands that hold the same sets as an earlier one are left out.  No pair
+leaves its task: only each set's number of links and a spanning edge for each linked set do.
 
 Words are runs of anything but ASCII blanks; a text of 1 to n-1 words has one n-gram, all of it; a null or blank text has
 none, links to nothing and is a class of its own; repeated rows and copies count as links of each other; the
-class id is the smallest doc_id in it (null if all are null); an empty table gives no rows.  Further columns are ignored.
+class id is the smallest doc_id in it (null if all are null; classes may share it where doc_ids repeat); an empty table gives no rows.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.flat import BASE, SPREAD, U64, Rolling, flat, mix, slices, spans, words
+from vellum.llm.flat import BASE, SPREAD, U64, Rolling, flat, gather, mix, slices, spans, words
 from vellum.llm.graphs import components
-from vellum.llm.shared import partitions, written
+from vellum.llm.shared import MB, drop, hash128, spread, written
 
-SKETCH = "doc_id long, text_hash long, node string, size int, bands array<long>"
+SKETCH = "doc_id long, rid struct<a: long, b: long>, node binary, size int, bands array<long>"
 
 
 def banding(threshold: float, recall: float, hashes: int = 128) -> tuple[int, int]:
@@ -65,40 +63,43 @@ def _sketch(part: pa.RecordBatch, n: int, bands: int, rows: int) -> pa.RecordBat
         out[:, b] = value
     one = np.add.reduceat(mix(h), begin) if len(full) else h[:0]
     two = np.bitwise_xor.reduceat(mix(h ^ U64(BASE)), begin) if len(full) else h[:0]
-    node: list[str | None] = [None] * texts
+    node: list[bytes | None] = [None] * texts
     for i, a, b in zip(full.tolist(), one.tolist(), two.tolist(), strict=True):
-        node[i] = f"{a:016x}{b:016x}"
+        node[i] = a.to_bytes(8, "big") + b.to_bytes(8, "big")
     at = np.append(0, np.cumsum((size > 0) * bands)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(node, pa.string()), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(out.reshape(-1).view(np.int64)))], ["doc_id", "text_hash", "node", "size", "bands"])
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(node, pa.binary()), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(out.reshape(-1).view(np.int64)))], ["doc_id", "rid", "node", "size", "bands"])
 
 
-def similar(hashes: np.ndarray, doc: np.ndarray, size: np.ndarray, threshold: float, columns: int = 4096) -> np.ndarray:
-    """Matrix of which sets (given by distinct hashes and their set) are at least `threshold` alike."""
-    m = len(size)
+def similar(hashes: np.ndarray, doc: np.ndarray, size: np.ndarray, split: int, threshold: float, columns: int = 4096) -> np.ndarray:
+    """Matrix of which of the sets before split (given by distinct hashes and their set) are `threshold` alike to which of those after it; split 0: of all to all."""
+    left, right = (split, len(size) - split) if split else (len(size), len(size))
     _, col, times = np.unique(hashes, return_inverse=True, return_counts=True)
     shared = times > 1
     rank = np.cumsum(shared) - 1
     on = shared[col]
     row, col = doc[on], rank[col[on]]
-    common = np.zeros((m, m), np.float32)
+    common = np.zeros((left, right), np.float32)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     for lo in range(0, int(shared.sum()), columns):
         a, b = np.searchsorted(col, [lo, lo + columns])
-        x = np.zeros((m, min(columns, int(shared.sum()) - lo)), np.float32)
+        x = np.zeros((len(size), min(columns, int(shared.sum()) - lo)), np.float32)
         x[row[a:b], col[a:b] - lo] = 1
-        common += x @ x.T
-    union = size[:, None] + size[None, :] - common
+        common += x[:split] @ x[split:].T if split else x @ x.T
+    union = size[:left, None] + size[None, split:] - common
     out = common >= threshold * union - 1e-6
-    np.fill_diagonal(out, False)
+    if not split:
+        np.fill_diagonal(out, False)
     return out
 
 
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """The smallest member of each row's component."""
-    label = np.arange(len(linked))
+def _roots(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest member of the component of each of 0 .. n-1 by the edges x, y."""
+    label = np.arange(n)
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label)))
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
         new = new[new]
         if (new == label).all():
             return label
@@ -106,19 +107,17 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 
 
 def _verified(batches, n: int, threshold: float, most_bytes: int = 4 << 20):
-    """Groups (gid, i, j) of rows in order -> (node, links, root) of the linked sets of each."""
+    """Meetings (band, key, i, j) of blocks, rows in order -> (node, links, root) of the linked sets of each."""
 
-    def groups():
+    def meetings():
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t.combine_chunks()
             if not t.num_rows:
                 continue
-            gid, i, j = t["gid"].to_pylist(), t["i"].to_numpy(), t["j"].to_numpy()
-            new = np.ones(len(gid), bool)
-            new[1:] = [a != b for a, b in zip(gid[1:], gid[:-1], strict=True)]
-            new[1:] |= (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            new = np.ones(t.num_rows, bool)
+            new[1:] = np.logical_or.reduce([np.diff(t[c].to_numpy()) != 0 for c in ("band", "key", "i", "j")])
             cut = np.flatnonzero(new)
             held = t.slice(int(cut[-1]))
             if len(cut) > 1:
@@ -126,11 +125,11 @@ def _verified(batches, n: int, threshold: float, most_bytes: int = 4 << 20):
         if held is not None and held.num_rows:
             yield held, np.array([0])
 
-    for t, cut in groups():
+    for t, cut in meetings():
         _, at = flat(t["text"])
         ends = np.append(cut[1:], t.num_rows)
         lo = 0
-        while lo < len(cut):  # some groups at a time
+        while lo < len(cut):  # some meetings at a time
             hi = max(lo + 1, int(np.searchsorted(at[ends], at[cut[lo]] + most_bytes, "right")))
             part = t.slice(int(cut[lo]), int(ends[hi - 1] - cut[lo])).combine_chunks()
             yield from _some(part, cut[lo:hi] - cut[lo], ends[lo:hi] - cut[lo], n, threshold)
@@ -142,27 +141,28 @@ def _some(t: pa.Table, cut, ends, n, threshold):
     begin = np.searchsorted(doc, np.arange(t.num_rows + 1))
     size = np.diff(begin)
     nodes, block, copies = t["node"].to_pylist(), t["block"].to_numpy(), t["copies"].to_numpy()
-    keys, gids, i, j = t["keys"].to_pylist(), t["gid"].to_pylist(), t["i"].to_numpy(), t["j"].to_numpy()
+    band, i, j = (t[c].to_numpy() for c in ("band", "i", "j"))
+    marks = np.frombuffer(b"".join(t["marks"].to_pylist()), ">i4").reshape(t.num_rows, -1)
     out: tuple[list, list, list] = ([], [], [])
     for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
-        some = np.array(sorted({nodes[k]: k for k in range(a, b)}.values()))  # repeated rows once
-        if len(some) < 2:
+        some = np.array(sorted({nodes[k]: k for k in range(a, b)}.values(), key=lambda k: (block[k] != i[a], nodes[k])))  # repeated rows once
+        split = int(np.count_nonzero(block[some] == i[a])) if i[a] != j[a] else 0
+        if len(some) < 2 or i[a] != j[a] and split in (0, len(some)):
             continue
-        index = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in some])
-        linked = similar(h[index], np.repeat(np.arange(len(some)), size[some]), size[some], threshold)
-        if i[a] != j[a]:
-            side = block[some] == i[a]
-            linked &= side[:, None] != side[None, :]
-        if len(keys[a]) > 1 or any(len(keys[k]) > 1 for k in some):  # count a pair in the smallest band that it shares
-            for x, y in zip(*np.nonzero(np.triu(linked)), strict=True):
-                if min(set(keys[some[x]]) & set(keys[some[y]])) != gids[a]:
-                    linked[x, y] = linked[y, x] = False
-        root = _roots(linked)
-        links = linked @ copies[some]
-        for k in np.flatnonzero(linked.any(axis=1)).tolist():
+        index = gather(begin[some], size[some])
+        linked = similar(h[index], np.repeat(np.arange(len(some)), size[some]), size[some], split, threshold)
+        x, y = np.nonzero(linked if split else np.triu(linked))
+        y = y + split
+        earlier = np.zeros(len(x), bool)  # pairs that share a band before this one were counted there
+        for k in range(band[a]):
+            earlier |= marks[some[x], k] == marks[some[y], k]
+        x, y = x[~earlier], y[~earlier]
+        root = _roots(x, y, len(some))
+        links = np.bincount(x, copies[some[y]], len(some)) + np.bincount(y, copies[some[x]], len(some))
+        for k in np.flatnonzero(links).tolist():
             out[0].append(nodes[some[k]]), out[1].append(int(links[k])), out[2].append(nodes[some[root[k]]])
     if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], pa.int64()), pa.array(out[2])], ["node", "links", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["node", "links", "root"])
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -172,50 +172,67 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int, id_column: str = "d
                 yield _sketch(part, n, bands, rows)
 
     text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), _row_key(id_column, text_column).alias("rid"), text.alias("text")).mapInArrow(run, SKETCH)
+
 
+def _row_key(id_column: str, text_column: str):
+    return hash128(F.col(id_column).cast("long"), F.coalesce(F.col(text_column), F.lit("")))
 
-def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 128, most: int = 8192, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, text_hash, class_id, n_links) for each row."""
+
+def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 1024, block_grams: int = 1 << 19, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, rid, label, class_id, n_links) for each row: rid names rows that are alike in id and text, label its class (null without words)."""
     bands, rows = banding(threshold, recall)
     found = written(sketches(docs, n, bands, rows, id_column, text_column), "sketches")
-    sets = found.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"))
-    sets = written(sets.select("node", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "bands"), "sets")
-    shared = sets.select("node", F.explode("bands").alias("key"))
-    # bands that hold two sets or more; of those that hold the same sets one is enough
-    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("m > 1")
-    kept = sizes.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m")
-    members = written(shared.join(kept, "key").select("node", F.lpad(F.hex("key"), 16, "0").alias("key"), "m"), "members")
-    of = components(members.select(F.col("node").alias("a"), F.concat(F.lit("~"), "key").alias("b"))).filter("node not like '~%'")
-    of = of.join(of.groupBy("label").agg(F.count(F.lit(1)).alias("of_size")), "label")
-    small = of.filter(F.col("of_size") <= most).select("node", F.col("label").alias("gid"), F.col("of_size").alias("m"), F.array("label").alias("keys"))
-    large = of.filter(F.col("of_size") > most).select("node").join(members, "node")
-    large = large.join(large.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node").select("node", F.col("key").alias("gid"), "m", "keys")
-    placed = small.unionByName(large).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("node", "gid", "keys", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    wanted = sets.join(of.select("node"), "node").select("node", "copies", F.col("first_id"), F.col("first_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    sets = found.filter("node is not null").groupBy("node", "size").agg(F.count(F.lit(1)).alias("copies"), first, F.first("bands").alias("bands"))
+    sets = written(sets.select("node", "size", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rid"), "bands"), "sets")
+    shared = sets.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    # groups of two sets or more; of those that hold the same sets the one of the first band is enough
+    groups = shared.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("m > 1")
+    groups = groups.groupBy("m", "grams", "x", "y").agg(F.min(F.struct("band", "key")).alias("g"))
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("grams") / block_grams)).cast("int")
+    groups = groups.select("g.band", "g.key", blocks.alias("blocks"))
+    members = written(shared.drop("size").join(groups, ["band", "key"]), "members")
+    placed = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("node", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # 32 bits of each band tell which pairs share one
+    marks = F.concat(*(F.unhex(F.substring(F.lpad(F.hex(F.col("bands")[b]), 16, "0"), 9, 8)) for b in range(bands)))
+    wanted = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "copies", "rid", marks.alias("marks"))
     text = F.coalesce(F.col(text_column), F.lit(""))
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["first_id"]) & (texts["hash"] == wanted["first_hash"])).select("node", "copies", "text")
-    rows_ = texts.join(placed, "node").repartition(partitions(docs.sparkSession), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    found_links = written(rows_.mapInArrow(lambda b: _verified(b, n, threshold), "node string, links long, root string"), "links")
-    links = found_links.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(found_links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    per = sets.select("node", "copies", "first_id").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = per.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    per = per.join(least, "label", "left").join(links, "node", "left").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return found.select("doc_id", "text_hash", "node").join(per, "node", "left").select("doc_id", "text_hash", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    parts = spread(docs)
+    texts = docs.select(_row_key(id_column, text_column).alias("rid"), text.alias("text")).repartition(parts, "rid")
+    texts = texts.join(wanted.repartition(parts, "rid").hint("shuffle_hash"), "rid").select("node", "copies", "marks", "text")
+    meetings = texts.join(placed, "node").repartition(parts, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    links = written(meetings.mapInArrow(lambda b: _verified(b, n, threshold), "node binary, links long, root binary"), "links")
+    drop(members)
+    label = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+    per = sets.select("node", "copies", "first_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per = per.join(per.groupBy("label").agg(F.min("first_id").alias("class_id")), "label")
+    per = per.join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+    per = per.select("node", "label", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = found.select("doc_id", "rid", "node").join(per, "node", "left")
+    return out.select("doc_id", "rid", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def join(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, n_links) for each row; options as for classes()."""
+    return classes(docs, **options).select("doc_id", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class: that of the class id (smallest doc_id), first by hash of its text and once if repeated."""
+    """docs with one row of each class: that of the smallest doc_id (null last), then by hash; once if it is repeated.
+
+    Classes are told apart by their label, so that classes which share a doc_id, or have none, keep a row each.  Rows without words all stay.
+    """
     text_column, id_column = options.get("text_column", "text"), options.get("id_column", "doc_id")
-    rows = written(join(docs, **options), "classes").withColumn("none", F.col("class_id").isNull())
-    kept = rows.groupBy("class_id", "none").agg(F.min("text_hash").alias("any_hash"), F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("text_hash"))).alias("text_hash"))
-    kept = kept.select(F.col("class_id").alias("_vellum_id"), F.coalesce("text_hash", "any_hash").alias("_vellum_hash"))
-    hashed = docs.withColumn("_vellum_text", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
-    out = hashed.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col("_vellum_id")) & (F.col("_vellum_text") == F.col("_vellum_hash")), "left_semi")
-    if not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # repeated rows are rare; only they need this exchange
-        out = out.dropDuplicates([id_column, "_vellum_text"])
-    return out.drop("_vellum_text")
+    rows = written(classes(docs, **options).filter("label is not null").select("doc_id", "rid", "label"), "classes")
+    kept = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")).select(F.col("first.rid").alias("_vellum_rid"))
+    kept = written(kept, "kept")
+    repeated = not rows.join(kept, rows["rid"] == kept["_vellum_rid"], "left_semi").groupBy("rid").count().filter("count > 1").isEmpty()
+    drop(rows)
+    parts = spread(docs, 8 * MB)
+    keyed = docs.withColumn("_vellum_rid", _row_key(id_column, text_column)).repartition(parts, "_vellum_rid")
+    out = keyed.join(kept.repartition(parts, "_vellum_rid").hint("shuffle_hash"), "_vellum_rid", "left_semi")
+    out = out.dropDuplicates(["_vellum_rid"]) if repeated else out
+    blank = docs.filter(~F.coalesce(F.col(text_column), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*docs.columns).unionByName(blank)
