@@ -199,7 +199,7 @@ def test_suffix_dedup_settles_equal_pieces_by_the_transform(spark, monkeypatch):
     df = spark.createDataFrame([(1, one), (2, one), (3, two), (4, prose(rng, 150))], "doc_id long, text string")
     sent = [r.n_removed for r in suffix_dedup.remove_repeats(df, chunk_bytes=1000).orderBy("doc_id").collect()]
     assert sent == [len(one.encode())] * 2 + [0, 0]
-    monkeypatch.setattr(suffix_dedup, "repeated", lambda raw, size, length: np.zeros(len(raw), bool))
+    monkeypatch.setattr(suffix_dedup, "repeated", lambda raw, size, length, times: np.zeros(len(raw), bool))
     by_hash = suffix_dedup.remove_repeats(df, chunk_bytes=1000)
     assert [r.n_removed for r in by_hash.collect()] == [0] * 4  # nothing is removed that the expansion has not found
 
@@ -224,9 +224,10 @@ def test_interval_expansion_on_random_strings():
     for _ in range(60):
         texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 8))]
         size = np.array([len(t) for t in texts])
+        times = np.array([rng.choice([1, 1, 3]) for _ in texts])
         for length in (1, 2, 5, 9):
-            got = suffix_dedup.repeated(np.frombuffer("".join(texts).encode(), np.uint8), size, length)
-            count = collections.Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
+            got = suffix_dedup.repeated(np.frombuffer("".join(texts).encode(), np.uint8), size, length, times)
+            count = collections.Counter(t[k : k + length] for t, m in zip(texts, times, strict=True) for k in range(len(t) - length + 1) for _ in range(m))
             want = [k + length <= len(t) and count[t[k : k + length]] > 1 for t in texts for k in range(len(t))]
             assert got.tolist() == want, (texts, length)
 

@@ -16,8 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.flat import U64, sliding_min
-from vellum.llm.shared import partitions, pieces_for
+from vellum.llm.flat import BASE, U64, mix, sliding_min
+from vellum.llm.shared import pieces_for, spread
 
 ROW = "bucket int, chunk int, body binary"
 KINDS = ["<u1", "<i4", "<i8", "<u8", "<u2"]
@@ -45,19 +45,21 @@ def table(buckets: list[int], chunks: list[int], bodies: list[bytes]) -> pa.Tabl
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int64)
+    """Minimisers are the small ones among hashes, so they are mixed again before they are dealt out."""
+    return ((mix(hashes ^ U64(BASE)) >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int64)
 
 
 class Routing:
     def __init__(self, docs: DataFrame, chunk_bytes: int, bucket_bytes: int, id_column: str = "doc_id", text_column: str = "text", carry: bool = False):
         """carry: chunks also hold each row's other columns, in `rest`."""
-        spark = docs.sparkSession
-        self.partitions = partitions(spark)
+        self.partitions = spread(docs)
         n = pieces_for(docs, chunk_bytes)
         self.buckets = pieces_for(docs, bucket_bytes)
-        others = [F.struct(F.lit(True).alias("_"), *(c for c in docs.columns if c != text_column)).alias("rest")] if carry else []
+        rest = [c for c in docs.columns if c != text_column]
+        mark = "_" * (1 + max(map(len, docs.columns)))  # so that the struct has a field
+        others = [F.struct(F.lit(True).alias(mark), *(F.col(f"`{c}`") for c in rest)).alias("rest")] if carry else []
         rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), *others)
-        self.docs = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")).repartition(self.partitions, "chunk")
+        self.docs = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(self.partitions, "chunk")
 
     def ask(self, f: Callable[[pa.Table], pa.Table]) -> DataFrame:
         """f: a chunk -> its questions, a row (ROW) for each bucket."""
@@ -84,6 +86,8 @@ def ordered(group: pa.Table) -> pa.Table:
 def minimisers(hashes: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     """For windows that start at these places: the place of the smallest hash (leftmost on ties) among width places."""
     bits = U64(28)
+    if len(hashes) >> 28:
+        raise ValueError("a text of 2**28 places or more")
     packed = hashes >> bits << bits | np.arange(len(hashes)).astype(U64)
     return (sliding_min(packed, width)[places] & (U64(1) << bits) - U64(1)).astype(np.int64)
 

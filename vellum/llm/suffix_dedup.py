@@ -2,12 +2,12 @@
 
 Candidates first: each window of `length` bytes has a minimiser, the 32 bytes of smallest hash in it.  Chunks ask which
 minimisers occur more than once in the corpus, and send only the pieces (consecutive windows with one such minimiser) to its
-bucket, equal pieces of a chunk once.  A bucket builds the transform of its distinct pieces, with two copies of those that
-occur more often (all copies are compared byte by byte with the first), expands intervals
-breadth-first by backward extension, which yields the common prefixes of neighbouring suffixes by increasing value, and stops
-at `length`: boundaries without a value by then join suffixes that share `length` bytes.
+bucket, equal pieces of a chunk once.  A bucket builds the transform of its distinct pieces, each with its multiplicity (all copies
+are compared byte by byte with the first), expands intervals breadth-first by backward extension, which yields the common
+prefixes of neighbouring suffixes by increasing value, and stops at `length`: boundaries without a value by then join
+suffixes that share `length` bytes, and an interval whose suffixes count twice or more, by their multiplicities, is repeated.
 
-Null and empty texts have no bytes; texts shorter than `length` lose none; rows with equal doc_ids are documents of
+Null and empty texts have no bytes; texts shorter than `length` lose none (a text of 2**28 bytes or more is an error); rows with equal doc_ids are documents of
 their own, so repeated rows remove each other; a null doc_id is a document like others; an empty table gives no rows.
 A cut may fall inside a character: kept bytes are defined, and `text` (with_text) drops the rests of such characters.
 """
@@ -121,24 +121,22 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
         raw, size, times, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         owner = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
         lo = np.cumsum(size) - size
-        content, one, two, which, key = _same_pieces(raw, lo, size, times, place)
-        # a piece that occurs twice or more goes in twice, as suffixes of their own; alone, only one whose minimiser another has can share windows
-        twice = np.flatnonzero(two >= 0)
-        given, of_piece = np.append(one, two[twice]), np.append(np.arange(len(one)), twice)
-        _, group_of, members = np.unique(key[of_piece], return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(members[group_of] > 1)
-        # groups with a common minimiser go together, half a MB at a time
-        shared = shared[np.argsort(group_of[shared], kind="stable")]
-        n = size[given[shared]].astype(np.int64)
-        text_at = np.zeros(len(given), np.int64)
-        text_at[shared] = np.cumsum(n) - n
+        content, one, which, times, key = _same_pieces(raw, lo, size, times, place)
+        # a piece that occurs once and whose minimiser no other has shares no window
+        _, group_of, members = np.unique(key, return_inverse=True, return_counts=True)
+        given = np.flatnonzero((members[group_of] > 1) | (times > 1))
+        # pieces with a common minimiser go together, half a MB at a time
+        given = given[np.argsort(group_of[given], kind="stable")]
+        n = size[one[given]].astype(np.int64)
+        text_at = np.zeros(len(one), np.int64)
+        text_at[given] = np.cumsum(n) - n
         flags = np.zeros(int(n.sum()), bool)
-        for a, b in _batches(group_of[shared], n):
-            some = given[shared[a:b]]
-            to = int(text_at[shared[a]])
-            flags[to : to + int(n[a:b].sum())] = repeated(raw[gather(lo[some], size[some])], size[some], length)
+        for a, b in _batches(group_of[given], n):
+            some = one[given[a:b]]
+            to = int(text_at[given[a]])
+            flags[to : to + int(n[a:b].sum())] = repeated(raw[gather(lo[some], size[some])], size[some], length, times[given[a:b]])
         windows = size[one].astype(np.int64) - length + 1
-        p = np.sort(shared[shared < len(one)])
+        p = np.sort(given)
         run, at = spans(windows[p])
         on = flags[text_at[p][run] + at]
         head = np.flatnonzero(on & ((at == 0) | ~np.append(False, on)[:-1]))
@@ -211,7 +209,7 @@ def _alike(raw, first, size, a, b) -> None:
 
 
 def _same_pieces(raw, lo, size, times, place):
-    """Equal pieces once: their content hashes, one index of each, another (that of the same bytes if a chunk has both; -1: none), which each piece is, its minimiser's hash."""
+    """Equal pieces once: their content hashes, one index of each, which of them each piece is, their multiplicities, their minimisers' hashes."""
     hashes, keys = np.empty(len(size), U64), np.empty(len(size), U64)
     for a, b in blocks(np.append(lo, len(raw)), 1 << 18):
         if a < b:
@@ -221,12 +219,7 @@ def _same_pieces(raw, lo, size, times, place):
             keys[a:b] = roll.of(anchor, anchor + ANCHOR)
     content, one, which = np.unique(hashes, return_index=True, return_inverse=True)
     _alike(raw, lo, size, np.arange(len(size)), one[which])
-    two = np.full(len(content), -1)
-    total = np.bincount(which, weights=times, minlength=len(content))
-    two[total >= 2] = one[total >= 2]
-    other = np.flatnonzero(one[which] != np.arange(len(which)))
-    two[which[other]] = other
-    return content, one, two, which, keys[one]
+    return content, one, which, np.bincount(which, weights=times, minlength=len(content)), keys[one]
 
 
 def _batches(groups: np.ndarray, sizes: np.ndarray, most: int = 1 << 19):
@@ -241,47 +234,56 @@ def _batches(groups: np.ndarray, sizes: np.ndarray, most: int = 1 << 19):
         lo = hi
 
 
-def suffix_array(text: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of pieces with these sizes, each piece followed by its own end mark (marks: -1 in text, by piece)."""
+def suffix_array(text: np.ndarray, size: np.ndarray, depth: int) -> np.ndarray:
+    """Order by their first `depth` symbols of all suffixes of pieces with these sizes, each piece followed by its own end mark (marks: -1 in text, by piece).
+
+    Suffixes are sorted by as many symbols as fit into 64 bits, and those that are still equal by the ranks of their next stretches: three
+    at a time where their ranks fit, else two.
+    """
     n = len(text)
     piece, at = spans(size + 1)
     left = (size + 1)[piece] - at  # symbols to the piece's end mark, with it
-    sym = (text + 1).astype(U64)
-    padded = np.append(sym, np.zeros(7, U64))
+    codes = np.zeros(257, U64)
+    codes[1:] = np.cumsum(np.bincount(text + 1, minlength=257)[1:] > 0)
+    bits = int(codes[-1]).bit_length()
+    h = 64 // bits
+    sym = codes[text + 1]
+    padded = np.append(sym, np.zeros(h, U64))
     key = np.zeros(n, U64)
-    for k in range(7):
-        key = key << U64(9) | np.where(left > k, padded[k : n + k], U64(0))
+    for k in range(h):
+        key = key << U64(bits) | np.where(left > k, padded[k : n + k], U64(0))
     order = np.argsort(key)
     lead = np.ones(n, bool)
     lead[1:] = key[order[1:]] != key[order[:-1]]
-    h = 7
-    begin = np.maximum.accumulate(np.where(lead, np.arange(n), 0))
     rank = np.empty(n, np.int64)
-    rank[order] = begin
+    rank[order] = np.maximum.accumulate(np.where(lead, np.arange(n), 0))
+    width = (n + len(size)).bit_length()
+    ways = 3 if 3 * width <= 64 else 2
     while True:
-        alone = lead & np.append(lead[1:], True)
-        some = np.flatnonzero(~alone)
-        if not len(some):
+        some = np.flatnonzero(~(lead & np.append(lead[1:], True)))
+        if not len(some) or h >= depth:
             return order
         who = order[some]
-        # past an end mark the piece's number decides
-        second = np.where(left[who] <= h, piece[who], len(size) + rank[np.minimum(who + h, n - 1)])
-        key = rank[who].astype(U64) << U64(32) | second.astype(U64)
-        by = np.argsort(key)
+        key = rank[who]
+        for k in range(1, ways):
+            # past an end mark the piece's number decides
+            key = key << width | np.where(left[who] <= k * h, piece[who], len(size) + rank[np.minimum(who + k * h, n - 1)])
+        by = np.argsort(key.view(U64))
         who, key = who[by], key[by]
         order[some] = who
         new = np.ones(len(some), bool)
         new[1:] = key[1:] != key[:-1]
         lead[some] = new
         rank[who] = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
-        h *= 2
+        h *= ways
 
 
-def repeated(raw: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
-    """For each byte of pieces of these sizes (in one array): does the string of `length` bytes from it also start elsewhere?
+def repeated(raw: np.ndarray, size: np.ndarray, length: int, times: np.ndarray) -> np.ndarray:
+    """For each byte of pieces of these sizes (in one array), which occur so many times: does the string of `length` bytes from it also start elsewhere?
 
     Breadth-first expansion over intervals of the transform: a child of the interval of w is that of cw; the
-    first interval to end at a boundary gives the boundary's common prefix, the length of w.
+    first interval to end at a boundary gives the boundary's common prefix, the length of w.  An interval's children are
+    found from the transform's runs in it: the last place of a byte in an interval ends a run or the interval.
     """
     size = size.astype(np.int64)
     n = len(raw) + len(size)
@@ -289,7 +291,7 @@ def repeated(raw: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
     piece, at = spans(size)
     where = np.arange(len(raw)) + piece
     text[where] = raw
-    order = suffix_array(text, size)
+    order = suffix_array(text, size, length)
     before = text[order - 1]  # the transform; order 0 looks at the last end mark
     rows = np.arange(n)
     by = np.argsort(before, kind="stable")
@@ -308,11 +310,13 @@ def repeated(raw: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
     hi = np.append(np.arange(1, marks + 1), marks + np.cumsum(count)[count > 0])
     lo = np.append(np.arange(marks), (marks + np.cumsum(count) - count)[count > 0])
     known[hi] = True
+    ends = np.append(np.flatnonzero(before[1:] != before[:-1]), n - 1)  # of the transform's runs
+    run_of = np.searchsorted(ends, rows)
     for _ in range(1, length):
         if not len(lo):
             break
-        run, k = spans(hi - lo)
-        row = lo[run] + k
+        run, k = spans(run_of[hi - 1] - run_of[lo] + 1)
+        row = np.minimum(ends[run_of[lo][run] + k], hi[run] - 1)
         last = byte[row] & (follows[row] >= hi[run])
         row, run = row[last], run[last]
         end = to[row] + 1
@@ -321,10 +325,14 @@ def repeated(raw: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
         known[end] = True
         begin = np.searchsorted(keys, before[row].astype(np.int64) * (n + 1) + lo[run])
         lo, hi = begin, end
-    open_ = np.flatnonzero(~known[1:n]) + 1
+    # the intervals that are left, and how often their strings occur
+    interval = np.cumsum(known[:n]) - 1
+    count = np.zeros(n)
+    count[where] = times[piece]
+    total = np.bincount(interval, weights=count[order])
     flag = np.zeros(n, bool)
-    flag[order[open_]] = flag[order[open_ - 1]] = True
-    return flag[where]
+    flag[order] = total[interval] >= 2
+    return flag[where] & (at + length <= size[piece])
 
 
 __all__ = ["remove_repeats", "repeated", "suffix_array"]
