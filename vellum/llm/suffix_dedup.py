@@ -90,6 +90,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
         number = group["chunk"][0].as_py()
         keys, _, times = _distinct(c.key)
         to = bucket_of(keys, buckets)
+        by = np.argsort(to, kind="stable")
+        to, keys, times = to[by], keys[by], times[by]
         out = ([], [], [])
         for lo, hi in _groups(to):
             out[0].append(int(to[lo])), out[1].append(number), out[2].append(pack(keys[lo:hi], times[lo:hi]))
