@@ -194,3 +194,43 @@ def test_augmentation(spark):
     rows = spark.createDataFrame([("p", 0, [[1, 1], [5, 1], [5, 5]], "t"), ("p", 1, [[1, 1], [5, 1]], "flat")], "page_id string, line_pos int, coords array<array<int>>, text string")
     out = raster.augmented(rows, 3, 4, seed=1).orderBy("iteration").collect()
     assert [r.iteration for r in out] == [0, 1, 2, 3] and out[0].coords == [[1, 1], [5, 1], [5, 5]] and {r.text for r in out} == {"t"}
+
+
+def test_lines_of_unknown_regions_are_written(spark):
+    square = [[0, 0], [9, 0], [9, 9]]
+    regions_ = [{"region_pos": 0, "region_id": "r1", "parent_ids": [], "coords": square}, {"region_pos": 1, "region_id": "r3", "parent_ids": ["r2"], "coords": square}]
+    at = [["r1"], ["r9"], ["r2", "r3"], None, []]
+    lines_ = [{"line_id": f"l{k}", "line_pos": k, "region_ids": x, "coords": square, "baseline": None, "text": f"t{k}"} for k, x in enumerate(at)]
+    xml = pagexml.written("a.png", 10, 10, regions_, lines_)
+    assert [xml.count(f"<Unicode>t{k}</Unicode>") for k in range(5)] == [1] * 5
+
+
+def test_pages_by_size(spark):
+    pages = spark.createDataFrame([("a", 10, 10), ("b", 100_000, 100_000), ("c", None, 5)], "page_id string, image_width int, image_height int")
+    kept, log = layout.by_size(pages, 100)
+    assert sorted(r.page_id for r in kept.collect()) == ["a", "c"] and [tuple(r) for r in log.collect()] == [("b", 10**10, "too large")]
+
+
+def test_region_documents(spark):
+    import json
+
+    found_regions = spark.createDataFrame([("p", "r1", 0, [], [[5, 6], [15, 6], [15, 26]]), ("p", "r2", 1, [], [[0, 0], [3, 3]])], "page_id string, region_id string, region_pos int, parent_ids array<string>, coords array<array<int>>")
+    found_lines = spark.createDataFrame([("p", f"l{k}", k, ["r1"], [[5 + k, 7], [9, 9]], [[6, 8]], f"t{k}") for k in (1, 0)], "page_id string, line_id string, line_pos int, region_ids array<string>, coords array<array<int>>, baseline array<array<int>>, text string")
+    (row,) = layout.region_documents(spark.createDataFrame([("p",)], "page_id string"), found_regions, found_lines).collect()
+    assert (row.region_id, row.l, row.t, row.r, row.b) == ("r1", 5, 6, 15, 26)
+    body = json.loads(row.json)
+    assert (body["image_filename"], body["image_width"], body["image_height"]) == ("p-r1", 11, 21)
+    assert [(x["id"], x["coords"], x["baseline"], x["text"]) for x in body["lines"]] == [(f"l{k}", [[k, 1], [4, 3]], [[1, 2]], f"t{k}") for k in (0, 1)]
+
+
+def test_images_move_with_their_polygons(spark):
+    import numpy as np
+
+    image = np.arange(1, 31, dtype=np.uint8).reshape(5, 6)
+    df = spark.createDataFrame([("p", 0, [[1, 1], [3, 1], [3, 3]], raster.image_of(image))], "page_id string, line_pos int, coords array<array<int>>, image struct<height:int,width:int,channels:int,data:binary>")
+    got = raster.augmented(df, 6, 2, 1, ("image",)).collect()
+    assert len(got) == 7 and len({str(r.coords) for r in got}) > 2
+    for r in got:
+        dx, dy = 1 - r.coords[0][0], 1 - r.coords[0][1]
+        want = [[int(image[y + dy, x + dx]) if 0 <= y + dy < 5 and 0 <= x + dx < 6 else 0 for x in range(6)] for y in range(5)]
+        assert np.frombuffer(r.image["data"], np.uint8).reshape(5, 6).tolist() == want

@@ -6,8 +6,9 @@ processed without joins or shuffles.  Prototypes come from the distinct characte
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +70,11 @@ class Alphabet:
         chars = sorted(c for c in set(found) if c == " " or not c.isspace())
         return cls.from_classes(merged(grouped(standard, chars) if many_to_one else [[c] for c in chars], merge))
 
+    @classmethod
+    def prototype_of_files(cls, spark: SparkSession, glob: str, standard: Sequence[str | Sequence[str]], merge: Sequence[str] = (), many_to_one: bool = True) -> Alphabet:
+        """prototype() of all text files whose paths match a pattern; none is an error."""
+        return cls.prototype(spark.read.text(glob).withColumnRenamed("value", "text"), "text", standard, merge, many_to_one)
+
     @classmethod
     def prototype(cls, texts: DataFrame, column: str, standard: Sequence[str | Sequence[str]], merge: Sequence[str] = (), many_to_one: bool = True) -> Alphabet:
         """from_charset() of all lines of a corpus, ends stripped.  Only its distinct characters reach the driver (at most one for each code point)."""
@@ -141,15 +147,35 @@ class Alphabet:
         other = F.array_join(F.array_distinct(characters(F.translate(text, known, ""))), "")
         return F.call_function("translate", text, F.concat(F.lit(known), other), F.concat(F.lit("".join(of.values())), F.repeat(F.lit(unknown), F.length(other))))
 
-    def encode(self, text: Column, normal: bool = True) -> Column:
-        """array<int> of codes; unknown characters get 1.  normal: bring the text to its normal form first.
+    def symbols(self, text: Column) -> Column:
+        """The text cut into symbols: at each place the longest symbol of several characters that begins there, else one character."""
+        long = sorted((s for s in self.codes if len(s) > 1), key=lambda s: (-len(s), s))
+        if not long:
+            return characters(text)
+        quoted = "|".join(re.sub(r"([^\w\s])", r"\\\1", s) for s in long)
+        return F.regexp_extract_all(text, F.lit(f"(?s){quoted}|."), F.lit(0))
+
+    def encode(self, text: Column, normal: bool = True, tokenizer: Callable[[Column], Column] | None = None) -> Column:
+        """array<int> of codes; unknown symbols get 1.  normal: bring the text to its normal form first.
 
-        Characters are first moved to code points from BASE on, by code, whose numbers are then read off.
+        tokenizer: a function from a column of texts to one of arrays of symbols; without one a text is cut by symbols().
+        Characters are first moved to code points from BASE on, by code, whose numbers are then read off; alphabets
+        with symbols of several characters, and tokenizers, look each symbol up in a map.
         """
+        if tokenizer is not None or any(len(s) > 1 for s in self.codes):
+            table = F.create_map(*(F.lit(x) for s, c in sorted(self.codes.items()) for x in (s, c)))
+            return F.transform((tokenizer or self.symbols)(normalized(text) if normal else text), lambda s: F.coalesce(F.try_element_at(table, s), F.lit(UNKNOWN_CODE)))
         of = {s: chr(BASE + c) for s, c in self.codes.items() if len(s) == 1}
         moved = self._translated(normalized(text) if normal else text, of, chr(BASE + UNKNOWN_CODE))
         return F.transform(characters(moved), lambda c: F.ascii(c) - BASE)
 
+    def encode_batch(self, df: DataFrame, text: str, batch: Sequence[str], normal: bool = True) -> DataFrame:
+        """df with codes, filled with null codes up to the longest of the row's batch, and their own length; a null text is empty."""
+        rows = df.withColumn("codes", self.encode(F.coalesce(F.col(text), F.lit("")), normal)).withColumn("length", F.size("codes"))
+        widest = rows.groupBy(*batch).agg(F.max("length").alias("_width"))
+        rows = rows.join(widest.select(*(F.col(c).alias(f"_{c}") for c in batch), "_width"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in batch])
+        return rows.withColumn("codes", nested.padded(F.col("codes"), F.col("_width"), NULL_CODE)).select(*df.columns, "codes", "length")
+
     def encode_one_hot(self, text: Column) -> Column:
         return nested.one_hot(self.encode(text), len(self))
 
@@ -194,6 +220,11 @@ def duplicates(groups: Sequence[Sequence[str]]) -> list[str]:
     return sorted(s for s, n in Counter(s for g in groups for s in g).items() if n > 1)
 
 
+def repeated(classes: DataFrame, symbols: str) -> DataFrame:
+    """(symbol, n): symbols that stand more than once in a column of classes, and how often."""
+    return classes.select(F.explode(symbols).alias("symbol")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def merged(groups: Sequence[Sequence[str]], merge: Sequence[str]) -> list[list[str]]:
     """Classes joined that hold characters of the same merge string; later strings see the earlier joins."""
     out = [list(g) for g in groups]

@@ -126,3 +126,22 @@ def sample_name(stem: Column, region: Column | None = None, line: Column | None
     if iteration is not None:
         parts.append(F.concat(F.lit("-i"), iteration.cast("string")))
     return F.concat(*parts)
+
+
+def by_size(pages: DataFrame, most_pixels: int, width: str = "image_width", height: str = "image_height", key: str = "page_id") -> tuple[DataFrame, DataFrame]:
+    """(pages of at most so many pixels, log of the others with their pixels); an unknown size counts as small enough."""
+    pixels = F.coalesce(F.col(width).cast("long") * F.col(height), F.lit(0))
+    return pages.filter(pixels <= most_pixels), pages.filter(pixels > most_pixels).select(key, pixels.alias("pixels"), F.lit("too large").alias("reason"))
+
+
+def region_documents(pages: DataFrame, found_regions: DataFrame, found_lines: DataFrame, key: str = "page_id") -> DataFrame:
+    """(page_id, region_id, l, t, r, b, json): for each outermost region that owns a line its box, and its lines in its frame as a document.
+
+    Crops of the same box give the images that go with the documents.
+    """
+    boxes = found_regions.filter(F.size("parent_ids") == 0).withColumn("_b", nested.box(F.col("coords"))).select(key, "region_id", "_b.*")
+    rows = in_region(found_lines, boxes, key)
+    line = F.struct("line_pos", F.col("line_id").alias("id"), "coords", "baseline", "text")
+    body = F.struct(F.concat_ws("-", F.col(key), F.col("region_id")).alias("image_filename"), (F.col("r") - F.col("l") + 1).alias("image_width"), (F.col("b") - F.col("t") + 1).alias("image_height"), F.col("_lines").alias("lines"))
+    grouped = rows.groupBy(key, "region_id", "l", "t", "r", "b").agg(F.sort_array(F.collect_list(line)).alias("_lines"))
+    return grouped.select(key, "region_id", "l", "t", "r", "b", F.to_json(body).alias("json"))

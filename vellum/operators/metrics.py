@@ -84,6 +84,11 @@ def mean_confusions(df: DataFrame, batch: str, pred: str = "pred", gt: str = "gt
     return shares.groupBy("gt_char", "pred_char").agg((F.sum("share") / batches).alias("share"))
 
 
+def epoch_losses(log: DataFrame, epoch: str = "epoch", loss: str = "loss") -> DataFrame:
+    """(epoch, n, loss): the mean loss of each epoch's batches; nulls do not count."""
+    return log.groupBy(epoch).agg(F.count(loss).alias("n"), F.avg(loss).alias("loss"))
+
+
 def epochs(log: DataFrame, by: Sequence[str] = (), epoch: str = "epoch", metric: str = "cer", patience: int = 50) -> DataFrame:
     """A training log with the best value so far, its epoch, the epochs since and whether patience has run out."""
     w = Window.partitionBy(*by).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)

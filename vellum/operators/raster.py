@@ -184,13 +184,27 @@ def mask_box(points: Column) -> Column:
     return F.struct(b["l"].alias("l"), b["t"].alias("t"), (b["r"] - 1).alias("r"), (b["b"] - 1).alias("b"))
 
 
-def augmented(found: DataFrame, copies: int, shift: int, seed: int) -> DataFrame:
-    """Lines with `copies` seeded shifts of their polygons; copies without area are dropped with their texts."""
+@_frame_udf(IMAGE)
+def moved(image, dx, dy):
+    """The image shifted by (-dx, -dy) as shifted() moves polygons; 0 where nothing comes from."""
+    a = array_of(image)
+    out = np.zeros_like(a)
+    h, w = a.shape[:2]
+    y, x = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
+    if y.start < y.stop and x.start < x.stop:
+        out[y, x] = a[y.start + dy : y.stop + dy, x.start + dx : x.stop + dx]
+    return image_of(out)
+
+
+def augmented(found: DataFrame, copies: int, shift: int, seed: int, images: tuple[str, ...] = ()) -> DataFrame:
+    """Lines with `copies` seeded shifts of their polygons, and of the images and masks in the columns named; copies without area are dropped with their texts."""
     from vellum.functions.nested import box, has_area, shifted
 
     rows = found.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(copies))))
     move = lambda k: F.when(F.col("iteration") == 0, 0).otherwise(F.pmod(F.xxhash64("page_id", "line_pos", "iteration", F.lit(seed), F.lit(k)), F.lit(2 * shift + 1)).cast("int") - shift)
     rows = rows.withColumn("coords", shifted(F.col("coords"), move(0), move(1)))
+    for c in images:
+        rows = rows.withColumn(c, moved(image=F.col(c), dx=move(0), dy=move(1)))
     return rows.filter(has_area(box(F.col("coords"))))
 
 

@@ -12,7 +12,10 @@ from vellum.sources import pagexml
 
 
 def compile_lines(pages: DataFrame, stem: str = "page_id") -> DataFrame:
-    """Parsed pages to line samples: sample_id, region frame coordinates, size of the crop and text; one lazy plan."""
+    """Parsed pages to line samples: sample_id, region frame coordinates, size of the crop and text; one lazy plan.
+
+    A sample is named by its region, so lines without one give none; outside_regions() has them.
+    """
     found = pagexml.lines(pages, stem).filter(F.size("region_ids") > 0)
     outer = pagexml.regions(pages, stem).filter(F.size("parent_ids") == 0)
     outer = outer.withColumn("_b", nested.box(F.col("coords"))).select(stem, "region_id", "_b.*")
@@ -22,6 +25,11 @@ def compile_lines(pages: DataFrame, stem: str = "page_id") -> DataFrame:
     return rows.select(layout.sample_name(F.col(stem), F.col("region_id"), F.col("_k")).alias("sample_id"), stem, "region_id", F.col("_k").alias("line_pos"), "coords", "baseline", (F.col("_box.r") - F.col("_box.l") + 1).alias("width"), (F.col("_box.b") - F.col("_box.t") + 1).alias("height"), F.col("text").alias("transcription"))
 
 
+def outside_regions(pages: DataFrame, stem: str = "page_id") -> DataFrame:
+    """The lines that compile_lines() leaves out: those without a region."""
+    return pagexml.lines(pages, stem).filter(F.coalesce(F.size("region_ids"), F.lit(0)) <= 0)
+
+
 def _in_order(stem: str):
     from pyspark.sql import Window
 

@@ -141,7 +141,15 @@ def alphabet_stats(spark, d):
     return alpha.charset(_table(spark, d, "documents"), "text", ["lang"]).groupBy("lang").agg(F.count_distinct("symbol").alias("symbols"))
 
 
-@query()
+_CLASS_OF = {x: k for k, g in enumerate(STANDARD) for x in g}
+_CLASS_OF |= {x: _CLASS_OF["i"] for x, k in _CLASS_OF.items() if k == _CLASS_OF["j"]}
+
+
+@query("WITH " + CHARS_SQL.replace("{k}", "1 AS k") + f""", classes(symbol, g) AS (VALUES {", ".join(f"({_Q(x)}, '{k}')" for x, k in _CLASS_OF.items())}),
+members AS (SELECT symbol, min(symbol) OVER (PARTITION BY coalesce(g, 'x' || symbol)) AS repr FROM s LEFT JOIN classes USING (symbol) WHERE symbol NOT IN ({", ".join(map(_Q, alpha.VIRTUAL))})),
+numbered AS (SELECT symbol, CAST(dense_rank() OVER (ORDER BY repr) + 1 AS INT) AS code, repr FROM members)
+SELECT * FROM numbered UNION ALL SELECT x.symbol, CAST(x.code + CASE WHEN x.code < 2 THEN 0 ELSE (SELECT max(code) FROM numbered) - 1 END AS INT), x.symbol
+FROM (VALUES ({_Q(alpha.NULL)}, 0), ({_Q(alpha.UNKNOWN)}, 1), ({_Q(alpha.START)}, 2), ({_Q(alpha.END)}, 3)) AS x(symbol, code)""")
 def alphabet_prototype(spark, d):
     """The many-to-one alphabet of all documents, by the standard classes."""
     return Alphabet.prototype(_table(spark, d, "documents"), "text", STANDARD, ["ij"]).table(spark)
@@ -149,8 +157,9 @@ def alphabet_prototype(spark, d):
 
 @query("SELECT symbol, count(*) AS n FROM (SELECT unnest([" + ", ".join(_Q(s) for g in STANDARD for s in g) + "]) AS symbol UNION ALL SELECT unnest(string_split(mode, '')) FROM (SELECT 'aA' AS mode)) GROUP BY symbol HAVING count(*) > 1")
 def duplicate_symbols(spark, d):
-    rows = spark.createDataFrame([(s,) for s in alpha.duplicates([*STANDARD, ["a", "A"]])], "symbol string")
-    return rows.withColumn("n", F.lit(2).cast("long"))
+    """Symbols in more than one class of the standard ones and one more; reads no table."""
+    classes = spark.createDataFrame([(g,) for g in [list(g) for g in STANDARD] + [["a", "A"]]], "symbols array<string>")
+    return alpha.repeated(classes, "symbols")
 
 
 NORMAL_SQL = "replace(replace(replace(replace(replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), 'ß', 'ss'), 'æ', 'ae'), 'Æ', 'AE'), 'œ', 'oe'), 'Œ', 'OE')"
@@ -238,13 +247,21 @@ def wer_lines(spark, d):
     return metrics.scored(_read(_table(spark, d, "benchmark"))).select("item_id", "gt_words", "word_errors")
 
 
-@query()
+#: Words of each turn, as the recogniser's stand-in reads them, and the errors among them.
+TURNS_SQL = f"""t AS MATERIALIZED (SELECT conv_id, turn, role, gt, translate(gt, '{READ_FROM}', '{READ_TO}') AS pred FROM (SELECT *, {_reduced_sql('text')} AS gt FROM conversations)),
+w AS (SELECT *, string_split(gt, ' ') AS ref, string_split(pred, ' ') AS hyp FROM t),
+e AS MATERIALIZED (SELECT conv_id, turn, role, gt, pred, CAST(len(ref) AS BIGINT) AS gt_words, CAST({_fold('hyp', 'ref')} AS BIGINT) AS word_errors FROM w)"""
+
+
+@query(f"WITH {TURNS_SQL} SELECT conv_id, turn, gt_words, word_errors FROM e")
 def wer_turns(spark, d):
-    """wer_lines over each turn of conversations; SQL folds are too slow there."""
+    """wer_lines over each turn of conversations."""
     return metrics.scored(_read(_table(spark, d, "conversations"))).select("conv_id", "turn", "gt_words", "word_errors")
 
 
-@query()
+@query(f"""WITH {TURNS_SQL}, x AS (SELECT *, length(gt) AS n, CASE WHEN gt = pred THEN 0 WHEN gt = '' OR pred = '' THEN greatest(length(gt), length(pred)) ELSE levenshtein(pred, gt) END AS c FROM e)
+SELECT role, count(*) FILTER (n > 0) AS n, count(*) FILTER (n = 0) AS n_empty, round(avg(c / n) FILTER (n > 0), 6) AS cer, round(avg(CASE WHEN c > 0 THEN 1.0 ELSE 0.0 END) FILTER (n > 0), 6) AS ler,
+       round(avg(word_errors / gt_words) FILTER (n > 0), 6) AS wer, round(sum(c) / sum(n), 6) AS cer_micro, round(sum(word_errors) / sum(gt_words), 6) AS wer_micro FROM x GROUP BY role""")
 def wer_conversations(spark, d):
     out = metrics.error_rates(metrics.scored(_read(_table(spark, d, "conversations"))), ["role"])
     return out.select("role", "n", "n_empty", *(_round(F.col(c)).alias(c) for c in ("cer", "ler", "wer", "cer_micro", "wer_micro")))
@@ -332,7 +349,15 @@ def ctc_scores(spark, d):
     return decoding.ctc_scores(frames, ["user_id"], "event_id", score="value")
 
 
-@query()
+_REPRESENTATIVES = [LETTERS.representatives.get(c, alpha.UNKNOWN) for c in range(max(LETTERS.representatives) + 1)]
+
+
+@query(f"""
+WITH f AS (SELECT label AS sequence, vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS c FROM embeddings),
+b AS (SELECT *, lag(c) OVER (PARTITION BY sequence ORDER BY vec_id) AS before FROM f),
+k AS (SELECT * FROM b WHERE c <> 0 AND (before IS NULL OR before <> c))
+SELECT sequence, coalesce(string_agg(coalesce([{', '.join(map(_Q, _REPRESENTATIVES))}][c + 1], '?'), '' ORDER BY vec_id), '') AS prediction, CAST(count(c) AS INT) AS n_scores
+FROM (SELECT DISTINCT sequence FROM f) LEFT JOIN k USING (sequence) GROUP BY sequence""")
 def frame_texts(spark, d):
     """Greedy texts and scores of frame arrays, a sequence for each label."""
     frames = F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])
@@ -556,10 +581,32 @@ def pad_scores(spark, d):
     return rows.select("user_id", F.size("v").cast("long").alias("n"), F.size(nested.padded(F.col("v"), width, 0.0)).cast("long").alias("width"))
 
 
-SPECS = ["[4,128,0,3 Cr7,7,32 Mp2,2 Rn64 Rn64 Mp2,2 Rn128 Rn128 Rn128 Rn128 Mp2,2 Rn256 Rn256 Rn256 Rn256]", "[4,256,4096,3 ([Cr3,3,32 Do0.1,2 Mp2,2] [Cl3,3,64 Mp2,2]) S1(1x0)1,3 Lbx200 O1c42]", "[0,0,0,64 A3,32]"]
+SPECS = ["[2,96,0,1 Cr3,3,16 Mp2,2 Cr5,3,24,2,1 Do0.3,2 Mp4,1 S1(1x0)1,3 Lbx48 O1c37]", "[1,20,30,2 ([Cl3,3,8 Gn4] [Rn6 A3,5]) Gfys7 I]", "[1,9,9,4 CTr3,3,5,2,2 RO16,8]"]
 
 
-@query()
+#: The shapes are worked out by hand from the rules of the blocks.
+@query("""SELECT * FROM (VALUES
+(0, 0, 'Cr3,3,16', 'conv', 0, 2, 16, 96, 0), (0, 1, 'Mp2,2', 'maxpool', 0, 2, 16, 48, 0), (0, 2, 'Cr5,3,24,2,1', 'conv', 0, 2, 24, 24, 0), (0, 3, 'Do0.3,2', 'dropout', 0, 2, 24, 24, 0),
+(0, 4, 'Mp4,1', 'maxpool', 0, 2, 24, 6, 0), (0, 5, 'S1(1x0)1,3', 'reshape', 0, 2, 144, 1, 0), (0, 6, 'Lbx48', 'recurrent', 0, 2, 96, 1, 0), (0, 7, 'O1c37', 'output', 0, 2, 37, 1, 0),
+(1, 0, 'Cl3,3,8', 'conv', 2, 1, 8, 20, 30), (1, 1, 'Gn4', 'groupnorm', 2, 1, 8, 20, 30), (1, 2, 'Rn6', 'residual', 2, 1, 6, 20, 30), (1, 3, 'A3,5', 'addition', 2, 1, 5, 20, 30),
+(1, 4, 'Gfys7', 'recurrent', 0, 1, 7, 1, 30), (1, 5, 'I', 'identity', 0, 1, 7, 1, 30), (2, 0, 'CTr3,3,5,2,2', 'conv', 0, 1, 5, 17, 17), (2, 1, 'RO16,8', 'readingorder', 0, 1, 5, 17, 17)
+) AS x(spec_id, idx, block, op, depth, n, c, h, w)""")
 def vgsl_shapes(spark, d):
+    """Shapes of three specifications; reads no table."""
     rows = spark.createDataFrame(list(enumerate(SPECS)), "spec_id int, spec string")
     return rows.select("spec_id", F.explode(network_spec.shapes(F.col("spec"))).alias("b")).select("spec_id", "b.*")
+
+
+@query("WITH m AS (SELECT conv_id, turn, length(text) AS n, max(length(text)) OVER (PARTITION BY conv_id) AS width FROM conversations) SELECT conv_id, turn, CAST(n AS INT) AS length, CAST(width AS INT) AS width, CAST(0 AS BIGINT) AS filled FROM m")
+def encode_batches(spark, d):
+    """Codes of each conversation's turns as one batch, filled up to the longest turn; `filled` counts places beyond a turn's length that are not null."""
+    out = LETTERS.encode_batch(_table(spark, d, "conversations"), "text", ["conv_id"], normal=False)
+    beyond = F.filter(F.slice("codes", F.col("length") + 1, F.size("codes") + 1), lambda c: c != alpha.NULL_CODE)
+    return out.select("conv_id", "turn", "length", F.size("codes").alias("width"), F.size(beyond).cast("long").alias("filled"))
+
+
+@query("SELECT CAST(user_id % 7 AS INT) AS epoch, count(*) AS n, round(avg(value), 6) AS loss FROM events GROUP BY user_id % 7")
+def epoch_losses(spark, d):
+    """Mean loss of each epoch; events stand for batches, their users for epochs."""
+    log = _table(spark, d, "events").select((F.col("user_id") % 7).cast("int").alias("epoch"), F.col("value").alias("loss"))
+    return metrics.epoch_losses(log).select("epoch", "n", _round(F.col("loss")).alias("loss"))

@@ -137,6 +137,8 @@ def regions(pages: DataFrame, key: str = "page_id") -> DataFrame:
 def written(image: str, width: int, height: int, regions_, lines_, creator: str | None = None, created: str | None = None, comments: str | None = None, with_text: bool = True) -> str:
     """One document; lines go under their innermost region, and without any region under one that covers the page.
 
+    A line whose regions are not among those of the page stands outside them, at the end of the page, so that none is lost.
+
     Ids without their letter get it (`r` for regions, `l` for lines that are numbers).  Regions keep their nesting.
     """
     regions_ = [dict(r) for r in regions_ if r is not None] if regions_ is not None else []
@@ -151,6 +153,12 @@ def written(image: str, width: int, height: int, regions_, lines_, creator: str
     out += [f"<{tag}>{escape(v)}</{tag}>" for tag, v in (("Creator", creator), ("Created", created), ("LastChange", created), ("Comments", comments)) if v is not None]
     out += ["</Metadata>", f'<Page imageFilename={quoteattr(image.rsplit("/", 1)[-1])} imageWidth="{width}" imageHeight="{height}">']
 
+    path_of = lambda r: (*(r.get("parent_ids") if r.get("parent_ids") is not None else ()), r["region_id"])
+    known: set[tuple] = set()
+    for r in sorted(regions_, key=lambda r: len(path_of(r))):
+        if len(path_of(r)) == 1 or path_of(r)[:-1] in known:
+            known.add(path_of(r))
+
     def line(x):
         out.append(f"<TextLine id={quoteattr(named(x['line_id'], 'l'))}" + (f" custom={quoteattr(x['custom'])}" if x.get("custom") else "") + ">")
         out.append(f'<Coords points="{points(x["coords"])}"/>')
@@ -175,7 +183,7 @@ def written(image: str, width: int, height: int, regions_, lines_, creator: str
         if r.get("parent_ids") is None or not len(r["parent_ids"]):
             region(r)
     for x in lines_:
-        if not whole and (x.get("region_ids") is None or not len(x["region_ids"])):
+        if not whole and (x.get("region_ids") is None or tuple(x["region_ids"]) not in known):
             line(x)
     return "\n".join([*out, "</Page>", "</PcGts>"])
 
