@@ -179,7 +179,7 @@ def _row_key(id_column: str, text_column: str):
     return hash128(F.col(id_column).cast("long"), F.coalesce(F.col(text_column), F.lit("")))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 1024, block_grams: int = 1 << 19, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 512, block_grams: int = 1 << 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, rid, label, class_id, n_links) for each row: rid names rows that are alike in id and text, label its class (null without words)."""
     bands, rows = banding(threshold, recall)
     found = written(sketches(docs, n, bands, rows, id_column, text_column), "sketches")
