@@ -207,9 +207,9 @@ def test_suffix_dedup_settles_equal_pieces_by_the_transform(spark, monkeypatch):
 def test_equal_content_hashes_of_different_pieces_are_noticed():
     raw = np.frombuffer(b"aaab", np.uint8)
     at, size = np.array([0, 2, 1]), np.array([2, 2, 2])
-    suffix_dedup._alike(raw, at, size, np.array([0]), np.array([2]))
+    substring_dedup.alike(raw, at, size, np.array([0]), np.array([2]))
     with pytest.raises(ValueError):
-        suffix_dedup._alike(raw, at, size, np.array([0]), np.array([1]))
+        substring_dedup.alike(raw, at, size, np.array([0]), np.array([1]))
 
 
 def test_suffix_dedup_keeps_columns(docs):

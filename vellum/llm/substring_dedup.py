@@ -2,7 +2,7 @@
 
 Each window of `width` consecutive words has a minimiser, the three words of smallest hash in it.  Consecutive
 windows that share it travel as one packed string to the minimiser's bucket, with the smallest and the largest doc_id that hold
-the string in the chunk.  A bucket sorts all its windows, so that equal ones meet, and finds the smallest doc_id of each; a
+the string in the chunk (equal hashes of strings are compared byte by byte).  A bucket sorts all its windows, so that equal ones meet, and finds the smallest doc_id of each; a
 word is removed if a window that covers it also starts in a document with a smaller doc_id.
 
 Null and empty texts have no words; texts of fewer than `width` words lose none; rows with the same doc_id do not
@@ -69,6 +69,14 @@ def blocks(at: np.ndarray, most: int):
         lo = hi if n else 1
 
 
+def alike(raw: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Pieces a and b, of equal content hashes, must have equal bytes."""
+    for lo, hi in blocks(np.append(0, np.cumsum(size[a], dtype=np.int64)), 1 << 18):
+        x, y = a[lo:hi], b[lo:hi]
+        if (size[x] != size[y]).any() or (raw[gather(first[x], size[x])] != raw[gather(first[y], size[y])]).any():
+            raise ValueError("different pieces have one content hash")
+
+
 def _pieces(values: np.ndarray, at: np.ndarray, counts: np.ndarray, width: int):
     """(first word, windows, minimiser's hash, content hash) of the super-k-mers of some texts, from the hashes of their words."""
     roll = Rolling(values)
@@ -98,6 +106,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 /
         new[1:] = content[1:] != content[:-1]
         begin = np.flatnonzero(new)
         one = order[begin]
+        alike(c.raw, c.start[c.first], c.start[c.end] - c.start[c.first], order[~new], one[np.cumsum(new) - 1][~new])
         low, high = c.id[one], c.id[order[np.append(begin[1:], len(order)) - 1]]
         to = bucket_of(c.key[one], buckets)
         by = np.argsort(to, kind="stable")
@@ -190,4 +199,4 @@ def same_windows(ids: np.ndarray, first: np.ndarray, width: int) -> tuple[np.nda
     return order, lead
 
 
-__all__ = ["remove_repeats", "same_windows"]
+__all__ = ["alike", "blocks", "remove_repeats", "same_windows"]

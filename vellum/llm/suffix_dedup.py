@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from vellum.llm.flat import SPREAD, U64, Rolling, covered, flat, gather, spans
 from vellum.llm.routing import Routing, bucket_of, minimisers, ordered, pack, runs, table, unpack
 from vellum.llm.shared import MB
-from vellum.llm.substring_dedup import _groups, blocks
+from vellum.llm.substring_dedup import _groups, alike, blocks
 
 ANCHOR = 32
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -105,7 +105,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
         known = np.concatenate([unpack(x.as_py())[0] for x in answers["body"]])
         some = np.flatnonzero(np.isin(c.key, known))
         values, index, times = _distinct(c.content[some])
-        _alike(c.raw, c.first, c.end - c.first, some, some[index[np.searchsorted(values, c.content[some])]])
+        alike(c.raw, c.first, c.end - c.first, some, some[index[np.searchsorted(values, c.content[some])]])
         some = some[index]
         to = bucket_of(c.key[some], buckets)
         by = np.argsort(to, kind="stable")
@@ -202,14 +202,6 @@ def clean(docs: DataFrame, length: int = 200, id_column: str = "doc_id", text_co
     return out.select(*(new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
-def _alike(raw, first, size, a, b) -> None:
-    """Pieces a and b, of equal content hashes, must have equal bytes."""
-    for lo, hi in blocks(np.append(0, np.cumsum(size[a], dtype=np.int64)), 1 << 18):
-        x, y = a[lo:hi], b[lo:hi]
-        if (size[x] != size[y]).any() or (raw[gather(first[x], size[x])] != raw[gather(first[y], size[y])]).any():
-            raise ValueError("different pieces have one content hash")
-
-
 def _same_pieces(raw, lo, size, times, place):
     """Equal pieces once: their content hashes, one index of each, which of them each piece is, their multiplicities, their minimisers' hashes."""
     hashes, keys = np.empty(len(size), U64), np.empty(len(size), U64)
@@ -220,7 +212,7 @@ def _same_pieces(raw, lo, size, times, place):
             hashes[a:b], anchor = roll.of(at, at + size[a:b]), at + place[a:b]
             keys[a:b] = roll.of(anchor, anchor + ANCHOR)
     content, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-    _alike(raw, lo, size, np.arange(len(size)), one[which])
+    alike(raw, lo, size, np.arange(len(size)), one[which])
     return content, one, which, np.bincount(which, weights=times, minlength=len(content)), keys[one]
 
 
