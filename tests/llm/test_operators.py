@@ -458,6 +458,17 @@ def test_sharding_equals_a_plain_sort(spark, parts):
         assert abs(below - total * s / 4) <= max(0.01 * total / 4, min(abs(p - total * s / 4) for p in places))
 
 
+@pytest.mark.parametrize("share", [1, 5, 40, 4096])
+def test_join_counted_equals_a_plain_join(spark, monkeypatch, share):
+    monkeypatch.setattr(shared, "SHARE", share)
+    keys = [None, *[7] * 100, *[8] * 10, 1, 2, 3, None, 99]
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    right = spark.createDataFrame([(k, keys.count(k), f"v{k}") for k in (7, 8, 1, 2, 5)], "k long, n long, v string")
+    got = shared.join_counted(left, shared.written(right, "keys"), ["k"], "n", len(keys))
+    same([(r.k, r.i, r.n, r.v) for r in got.collect()], [(k, i, keys.count(k), f"v{k}") for i, k in enumerate(keys) if k in (7, 8, 1, 2, 5)])
+    assert shared.join_counted(left.limit(0), shared.written(right.limit(0), "keys"), ["k"], "n", 0).count() == 0
+
+
 def test_splitters_equal_brute_force(spark):
     rng = random.Random(8)
     keys = [rng.choice([5, 5, 5, rng.getrandbits(20), rng.getrandbits(128)]) for _ in range(500)]

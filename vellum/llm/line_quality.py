@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.flat import BASE, SPREAD, U64, Rolling, flat, mix, slices, spans, words
-from vellum.llm.shared import MB, hash128, spread, written
+from vellum.llm.shared import MB, hash128, join_counted, spread, written
 
 #: Lines in more than 6 documents of a host go, the number that published line-level deduplication of web corpora uses for a
 #: bucket; documents that lose more than a quarter of their words are depleted.
@@ -118,10 +118,12 @@ def facts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def frequent_lines(found: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(rid, words, places): the lines above the limit of its host that a row holds, a row for each line."""
     # one row for each distinct text of a host: copies have equal lines
-    texts = found.select("host", "text_hash", F.transform("lines", lambda x: x["line"]).alias("lines")).distinct()
-    above = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > limit).select("host", "line")
+    texts = found.select("host", "text_hash", F.transform("lines", lambda x: x["line"]).alias("lines")).groupBy("host", "text_hash", "lines").agg(F.count(F.lit(1)).alias("copies"))
+    counts = texts.select("host", "copies", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.sum("copies").alias("times"))
+    above = written(counts.filter(F.col("docs") > limit).select("host", "line", "times"), "above")
+    total = found.agg(F.sum(F.size("lines"))).first()[0] or 0
     held = found.select("rid", "host", F.explode("lines").alias("x")).select("rid", "host", "x.*")
-    return held.join(above, ["host", "line"]).select("rid", "line", "words", "places").distinct()
+    return join_counted(held, above, ["host", "line"], "times", total).select("rid", "line", "words", "places").distinct()
 
 
 def _losses(found: DataFrame, limit: int) -> DataFrame:

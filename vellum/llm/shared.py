@@ -83,6 +83,21 @@ def spread(df: DataFrame, each: int = 16 * MB) -> int:
     return pieces_for(df, each, partitions(df.sparkSession))
 
 
+#: A key that more than this share of all rows have is frequent: fewer keys than this can be.
+SHARE = 4096
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
+    """Inner join of rows with a stored table of one row a key, whose column `times` says how many of the `total` rows have the key.
+
+    The frequent keys are fewer than SHARE by their counts, so they are broadcast and their rows stay where they are; the
+    others are joined by any plan, no key of them holding over a SHARE-th of all rows.  Null keys meet nothing.
+    """
+    frequent = F.broadcast(table.filter(F.col(times) * SHARE > total))
+    others = rows.join(frequent.select(*on), on, "left_anti").join(table.filter(F.col(times) * SHARE <= total), on)
+    return rows.join(frequent, on).unionByName(others)
+
+
 def fixed(value: Column) -> Column:
     """A long as 16 hexadecimal digits in the order of the numbers."""
     return F.lpad(F.hex(value.cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
