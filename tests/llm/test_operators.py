@@ -49,6 +49,12 @@ def far_apart():
     return [(i, t, "en", "h", len(t), *[None] * 16) for i, t in made]
 
 
+@pytest.fixture(autouse=True)
+def frequent_and_other_keys(monkeypatch):
+    """Small tables have keys of both kinds."""
+    monkeypatch.setattr(shared, "SHARE", 12)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(ROWS, SCHEMA).repartition(3)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.flat import BASE, SPREAD, U64, Rolling, flat, gather, mix, slices, spans, words
 from vellum.llm.graphs import components
-from vellum.llm.shared import MB, drop, hash128, spread, written
+from vellum.llm.shared import MB, drop, hash128, join_counted, spread, written
 
 SKETCH = "doc_id long, rid struct<a: long, b: long>, node binary, size int, bands array<long>"
 
@@ -207,11 +207,15 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     drop(members)
     label = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
     per = sets.select("node", "copies", "first_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per = per.join(per.groupBy("label").agg(F.min("first_id").alias("class_id")), "label")
     per = per.join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
-    per = per.select("node", "label", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = found.select("doc_id", "rid", "node").join(per, "node", "left")
-    return out.select("doc_id", "rid", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    nodes = written(per.select("node", "copies", "first_id", "label", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "nodes")
+    # a large class, or a large group of copies, is a frequent key
+    named = written(nodes.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("nodes")), "named")
+    per = written(join_counted(nodes.drop("first_id"), named, ["label"], "nodes", nodes.count()).select("node", "copies", "label", "class_id", "n_links"), "classes")
+    drop(sets, links, nodes, named)
+    out = join_counted(found.select("doc_id", "rid", "node"), per, ["node"], "copies", found.count()).select("doc_id", "rid", "label", "class_id", "n_links")
+    none = found.filter("node is null").select("doc_id", "rid", F.lit(None).cast("binary").alias("label"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(none)
 
 
 def join(docs: DataFrame, **options) -> DataFrame:
