@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import files
-from vellum.llm.shared import MB, drop, fresh, in_ranges, order_key, ranges, written
+from vellum.llm.shared import MB, drop, fresh, in_ranges, join_counted, order_key, ranges, written
 
 SPACE = uuid.UUID("5b0c4d1e-7f0b-4d5e-9a77-1f2b6c3d4e5f")
 DATE = "2000-01-01T00:00:00Z"
@@ -75,10 +75,10 @@ def write(pages: DataFrame, path: str, roll_bytes: int = 4 * MB, range_bytes: in
     narrow = written(pages.select("page_id", "key", F.sha1(F.col("payload").cast("binary")).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), (F.octet_length("payload") + 512).cast("long").alias("size")), "digests")
     cuts = ranges(narrow, range_bytes)
     large = narrow.filter((F.col("bytes") >= least) & F.col("page_id").isNotNull())
-    copies = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = written(large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
     # a row without a payload goes before the pages of its key and says what they refer to
     none = F.lit(None).cast("string")
-    visits = large.join(copies, "digest").filter("page_id < refers_to").select("page_id", none.alias("url"), none.alias("payload"), "key", "digest", "refers_to").distinct()
+    visits = join_counted(large, copies, ["digest"], "n", narrow.count()).filter("page_id < refers_to").select("page_id", none.alias("url"), none.alias("payload"), "key", "digest", "refers_to").distinct()
     rows = visits.unionByName(pages.withColumns({"digest": none, "refers_to": F.lit(None).cast("long")}))
     rows = in_ranges(rows, cuts).sortWithinPartitions("key", F.col("digest").asc_nulls_last(), "payload", "url")
 
@@ -113,7 +113,7 @@ def write(pages: DataFrame, path: str, roll_bytes: int = 4 * MB, range_bytes: in
     spark = pages.sparkSession
     found = rows.select("page_id", "url", "payload", "digest", "refers_to", "range").mapInArrow(run, "range int, name string, records long, bytes long, sha256 string")
     found.write.parquet(f"{path}/_manifest")
-    drop(narrow)
+    drop(narrow, copies)
     return spark.read.parquet(f"{path}/_manifest")
 
 
