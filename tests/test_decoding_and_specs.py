@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import decoding
+from vellum.operators import decoding, metrics, profile
 from vellum.operators.alphabet import Alphabet
+from vellum.plans import jobs
 from vellum.plans import network_spec as spec
+from vellum.sources import tables
 from vellum.streaming import labels as stream
 
 
@@ -108,3 +110,30 @@ def test_chunks():
 def test_spec_rows(spark):
     rows = spark.createDataFrame([("[0,8,8,3 Mp2,2 Rn4]",), ("bad",)], "s string").select(spec.shapes(F.col("s")).alias("x")).collect()
     assert [tuple(b) for b in rows[0].x] == [(0, "Mp2,2", "maxpool", 0, 0, 3, 4, 4), (1, "Rn4", "residual", 0, 0, 4, 4, 4)] and rows[1].x is None
+
+
+def test_names_and_heads_of_specifications():
+    net = "[1,40,0,1 Cr{first}3,3,16 Mp2,2 S1(1x0)1,3 Lbx24 O1c30]"
+    assert spec.names(net) == ["first", "Mp_1", "S_2", "Lbx_3", "O_4"]
+    assert spec.resized_output(net, 7) == net.replace("O1c30", "O1c7")
+    assert spec.parse(spec.resized_output(net, 7))[2].c == 7
+    bare = net.replace(" O1c30", "")
+    assert spec.appended(bare, "O1c30") == net
+    with pytest.raises(spec.SpecError, match="output"):
+        spec.resized_output(bare, 7)
+    with pytest.raises(spec.SpecError):
+        spec.appended(bare, "Zz9")
+
+
+def test_logs_counts_and_summaries(spark, tmp_path):
+    a = Alphabet({"ϵ": 0, "x": 1, "y": 2})
+    rows = spark.createDataFrame([("b", "xy", "x\u00e9"), ("a", "y", "y"), ("c", "x", None), ("a2", None, "yy")], "id string, prediction string, gt string")
+    reduced = {r.gt: r.r for r in rows.select("gt", a.reduce(F.col("gt")).alias("r")).collect()}
+    assert [tuple(r) for r in jobs.sample_log(rows, a, 3).collect()] == [("a", "y", reduced["y"], "y"), ("a2", None, reduced["yy"], "yy"), ("b", "xy", reduced["x\u00e9"], "x\u00e9")]
+    assert jobs.sample_log(rows.limit(0), a, 3).count() == 0
+    assert tuple(jobs.compiled_counts(rows.withColumn("page_id", F.substring("id", 1, 1))).first()) == (4, 3)
+    assert profile.summary(rows, "lines") == "lines: 4 rows\n  id: string, 4 values\n  prediction: string, 3 values\n  gt: string, 3 values"
+    found = metrics.confusions(rows.select(F.coalesce("prediction", F.lit("")).alias("pred"), F.coalesce("gt", F.lit("")).alias("gt")))
+    tables.write_confusions(found, f"{tmp_path}/confusions")
+    back = spark.read.parquet(f"{tmp_path}/confusions")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, found.collect()))

@@ -15,6 +15,12 @@ def described(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(cut(f(F.col(c))).alias(f"{c}_{m}") for c in columns for m, f in measures.items()))
 
 
+def summary(df: DataFrame, title: str = "") -> str:
+    """A text for people: the title, the number of rows, and each column's type and number of values."""
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(df[f"`{c}`"]).alias(f"c{k}") for k, c in enumerate(df.columns))).first()
+    return "\n".join([f"{title or 'table'}: {counts['n']} rows", *(f"  {c}: {kind}, {counts[f'c{k}']} values" for k, (c, kind) in enumerate(df.dtypes))])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores; larger inputs stay as they are read, without an exchange."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -43,6 +43,16 @@ def decode(samples: DataFrame, alphabet: Alphabet, frames: str = "frames", split
     return decoding.predicted(samples, alphabet, frames)
 
 
+def compiled_counts(compiled: DataFrame, stem: str = "page_id") -> DataFrame:
+    """(n_lines, n_files) of compiled lines."""
+    return compiled.agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct(stem).alias("n_files"))
+
+
+def sample_log(predictions: DataFrame, alphabet: Alphabet, k: int, order: str = "id", pred: str = "prediction", gt: str = "gt") -> DataFrame:
+    """(order, prediction, reduced, gt) of the first k samples, for a run's log; reduced is the ground truth in the alphabet's form."""
+    return predictions.orderBy(order, pred, gt).limit(k).select(order, F.col(pred).alias("prediction"), alphabet.reduce(F.col(gt)).alias("reduced"), F.col(gt).alias("gt"))
+
+
 def evaluate(predictions: DataFrame, alphabet: Alphabet, by: tuple[str, ...] = (), pred: str = "prediction", gt: str = "gt") -> DataFrame:
     """Error rates of predictions against ground truths in the alphabet's reduced form."""
     rows = predictions.withColumn("_gt", alphabet.reduce(F.col(gt)))

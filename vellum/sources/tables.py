@@ -126,6 +126,11 @@ def write_alphabet(table: DataFrame, path: str, mode: str = "error") -> None:
     table.select("symbol", "code").orderBy("symbol").coalesce(1).write.mode(mode).csv(path, sep="\t", quote="")
 
 
+def write_confusions(table: DataFrame, path: str, mode: str = "error") -> None:
+    """Confusions as sparse rows of Parquet; absent pairs are zero."""
+    table.write.mode(mode).parquet(path)
+
+
 def report(predictions: DataFrame, metadata: Sequence[str] = (), decimals: int = 4) -> DataFrame:
     """(id, prediction, gt, scores, metadata...) as strings for a tab-separated report."""
     optional = [F.col("gt")] if "gt" in predictions.columns else []
