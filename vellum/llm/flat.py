@@ -52,14 +52,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+HELD = 1 << 20  # powers that are kept from one call to the next
+_held: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(max(n, 1), U64)
-    done, b = 1, base & (1 << 64) - 1
-    while done < n:
-        take = min(done, n - done)
-        out[done : done + take] = out[:take] * U64(pow(b, done, 1 << 64))
-        done += take
+    out = _held.get(base)
+    if out is None or len(out) < n:
+        size = max(n, 1 << 18)
+        out = np.ones(size, U64)
+        done, b = 1, base & (1 << 64) - 1
+        while done < size:
+            take = min(done, size - done)
+            out[done : done + take] = out[:take] * U64(pow(b, done, 1 << 64))
+            done += take
+        out.flags.writeable = False
+        if size <= HELD:
+            _held[base] = out
     return out[:n]
 
 
@@ -75,6 +85,14 @@ class Rolling:
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((self.sums[hi] - self.sums[lo]) * self.back[lo] + (hi - lo).astype(U64) * U64(0xD6E8FEB86659FD93))
 
+    def each(self, width: int) -> np.ndarray:
+        """The hashes of all slices of this width, by place."""
+        n = max(0, len(self.sums) - width)
+        out = self.sums[width:] - self.sums[:n]
+        out *= self.back[:n]
+        out += U64(width * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+        return mix(out)
+
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and for each text the number of words before it."""

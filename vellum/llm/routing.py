@@ -88,7 +88,9 @@ def minimisers(hashes: np.ndarray, places: np.ndarray, width: int) -> np.ndarray
     bits = U64(28)
     if len(hashes) >> 28:
         raise ValueError("a text of 2**28 places or more")
-    packed = hashes >> bits << bits | np.arange(len(hashes)).astype(U64)
+    packed = hashes >> bits
+    packed <<= bits
+    packed |= np.arange(len(hashes), dtype=U64)
     return (sliding_min(packed, width)[places] & (U64(1) << bits) - U64(1)).astype(np.int64)
 
 

@@ -71,6 +71,8 @@ def blocks(at: np.ndarray, most: int):
 
 def alike(raw: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Pieces a and b, of equal content hashes, must have equal bytes."""
+    other = np.flatnonzero(a != b)
+    a, b = a[other], b[other]
     for lo, hi in blocks(np.append(0, np.cumsum(size[a], dtype=np.int64)), 1 << 18):
         x, y = a[lo:hi], b[lo:hi]
         if (size[x] != size[y]).any() or (raw[gather(first[x], size[x])] != raw[gather(first[y], size[y])]).any():
@@ -83,8 +85,7 @@ def _pieces(values: np.ndarray, at: np.ndarray, counts: np.ndarray, width: int):
     long = np.flatnonzero(counts >= width)
     n = counts[long] - width + 1
     places = gather(at[:-1][long], n)
-    grams = np.arange(max(0, len(values) - MINIMISER + 1))
-    hashes = roll.of(grams, grams + MINIMISER)
+    hashes = roll.each(MINIMISER)
     centre = minimisers(hashes, places, width - MINIMISER + 1)
     first, last, centre = runs(places, centre, np.repeat(long, n))
     return first, last - first + 1, hashes[centre], roll.of(first, last + width)

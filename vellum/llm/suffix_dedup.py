@@ -36,7 +36,6 @@ class _Chunk:
 
     def __init__(self, group: pa.Table, length: int):
         group = ordered(group)
-        self.group, self.ids = group, group["doc_id"].combine_chunks()
         self.raw, self.at = flat(group["text"])
         found = [_pieces(self.raw[self.at[lo] : self.at[hi]], self.at[lo : hi + 1] - self.at[lo], length) for lo, hi in blocks(self.at, 1 << 18)]
         base = np.repeat(np.array([self.at[lo] for lo, _ in blocks(self.at, 1 << 18)], np.int64), [len(x[0]) for x in found])
@@ -49,8 +48,7 @@ def _pieces(raw: np.ndarray, at: np.ndarray, length: int):
     """(first byte, windows, minimiser's hash, its place in the piece, content hash) of the pieces of some texts."""
     size = np.diff(at)
     roll = Rolling(SPREAD[raw])
-    grams = np.arange(max(0, len(raw) - ANCHOR + 1))
-    hashes = roll.of(grams, grams + ANCHOR)
+    hashes = roll.each(ANCHOR)
     long = np.flatnonzero(size >= length)
     counts = size[long] - length + 1
     places = gather(at[:-1][long], counts)
@@ -104,26 +102,33 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
         number = group["chunk"][0].as_py()
         known = np.concatenate([unpack(x.as_py())[0] for x in answers["body"]])
         some = np.flatnonzero(np.isin(c.key, known))
-        values, index, times = _distinct(c.content[some])
-        alike(c.raw, c.first, c.end - c.first, some, some[index[np.searchsorted(values, c.content[some])]])
-        some = some[index]
-        to = bucket_of(c.key[some], buckets)
+        _, index, which, times = np.unique(c.content[some], return_index=True, return_inverse=True, return_counts=True)
+        times = np.minimum(times, 2).astype(np.uint8)
+        one = some[index]
+        alike(c.raw, c.first, c.end - c.first, some, one[which])
+        to = bucket_of(c.key[one], buckets)
         by = np.argsort(to, kind="stable")
-        out = ([], [], [])
+        ordinal = np.empty(len(by), "<i4")
+        ordinal[by] = np.arange(len(by))
+        # a note to the chunk itself: where its pieces begin, and which of the distinct ones they are
+        out = ([-1 - number], [number], [pack(np.diff(c.first[some], prepend=0).astype("<i4"), ordinal[which])])
         for lo, hi in _groups(to[by]):
-            p = some[by[lo:hi]]
+            p = one[by[lo:hi]]
             size = c.end[p] - c.first[p]
-            body = pack(c.raw[gather(c.first[p], size)], size.astype("<i4"), times[by[lo:hi]], c.place[p])
+            body = pack(c.raw[gather(c.first[p], size)], size.astype("<i4"), times[by[lo:hi]], c.place[p], np.array([lo], "<i4"))
             out[0].append(int(to[by[lo]])), out[1].append(number), out[2].append(body)
         return table(*out)
 
     def answer(group: pa.Table) -> pa.Table:
+        if group["bucket"][0].as_py() < 0:
+            return group
         chunks = group["chunk"].to_pylist()
         parts = [unpack(x.as_py()) for x in group["body"]]
-        raw, size, times, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        raw, size, times, place, number = (np.concatenate(x) for x in zip(*parts, strict=True))
+        begin = np.cumsum([0] + [len(p[1]) for p in parts])
         owner = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
         lo = np.cumsum(size) - size
-        content, one, which, times, key = _same_pieces(raw, lo, size, times, place)
+        one, which, times, key = _same_pieces(raw, lo, size, times, place)
         # a piece that occurs once and whose minimiser no other has shares no window
         _, group_of, members = np.unique(key, return_inverse=True, return_counts=True)
         given = np.flatnonzero((members[group_of] > 1) | (times > 1))
@@ -149,29 +154,27 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
         need = np.flatnonzero(count[which] > 0)
         out = ([], [], [])
         for a, b in _groups(owner[need]):
-            w = which[need[a:b]]
+            w, whose = which[need[a:b]], owner[need[a]]
             index = gather(before[w], count[w])
-            out[0].append(group["bucket"][0].as_py()), out[1].append(chunks[owner[need[a]]])
-            out[2].append(pack(content[w], count[w].astype("<i4"), start[index].astype("<i4"), end[index].astype("<i4")))
+            out[0].append(group["bucket"][0].as_py()), out[1].append(chunks[whose])
+            out[2].append(pack((need[a:b] - begin[whose] + number[whose]).astype("<i4"), count[w].astype("<i4"), start[index].astype("<i4"), end[index].astype("<i4")))
         return table(*out)
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Chunk(group, length) if answers.num_rows else None
-        group = ordered(group) if c is None else c.group
-        if c is None:
-            ids, (raw, at) = group["doc_id"].combine_chunks(), flat(group["text"])
-        else:
-            ids, raw, at = c.ids, c.raw, c.at
+        group = ordered(group)
+        ids, (raw, at) = group["doc_id"].combine_chunks(), flat(group["text"])
         gone = np.zeros(len(raw), bool)
-        if c is not None:
-            content, count, start, end = (np.concatenate(x) for x in zip(*(unpack(b.as_py()) for b in answers["body"]), strict=True))
-            before = np.cumsum(count) - count
-            order = np.argsort(content)
-            place = np.minimum(np.searchsorted(content[order], c.content), len(order) - 1)
-            hit = np.flatnonzero(content[order][place] == c.content)
-            found = order[place[hit]]
-            index = gather(before[found], count[found])
-            base = np.repeat(c.first[hit], count[found])
+        parts = [(b.as_py(), unpack(x.as_py())) for b, x in zip(answers["bucket"], answers["body"], strict=True)]
+        told = [x for b, x in parts if b >= 0]
+        if told:
+            steps, which = next(x for b, x in parts if b < 0)
+            piece, count, start, end = (np.concatenate(x) for x in zip(*told, strict=True))
+            many, before = np.zeros((2, int(which.max()) + 1), np.int64)
+            many[piece], before[piece] = count, np.cumsum(count) - count
+            hit = np.flatnonzero(many[which])
+            found = which[hit]
+            index = gather(before[found], many[found])
+            base = np.repeat(np.cumsum(steps, dtype=np.int64)[hit], many[found])
             gone = covered(base + start[index], base + end[index] - 1 + length, len(raw))
         sums = np.append(0, np.cumsum(gone))
         head = gone.copy()
@@ -203,7 +206,7 @@ def clean(docs: DataFrame, length: int = 200, id_column: str = "doc_id", text_co
 
 
 def _same_pieces(raw, lo, size, times, place):
-    """Equal pieces once: their content hashes, one index of each, which of them each piece is, their multiplicities, their minimisers' hashes."""
+    """Equal pieces once: one index of each, which of them each piece is, their multiplicities, their minimisers' hashes."""
     hashes, keys = np.empty(len(size), U64), np.empty(len(size), U64)
     for a, b in blocks(np.append(lo, len(raw)), 1 << 18):
         if a < b:
@@ -213,7 +216,7 @@ def _same_pieces(raw, lo, size, times, place):
             keys[a:b] = roll.of(anchor, anchor + ANCHOR)
     content, one, which = np.unique(hashes, return_index=True, return_inverse=True)
     alike(raw, lo, size, np.arange(len(size)), one[which])
-    return content, one, which, np.bincount(which, weights=times, minlength=len(content)), keys[one]
+    return one, which, np.bincount(which, weights=times, minlength=len(content)), keys[one]
 
 
 def _batches(groups: np.ndarray, sizes: np.ndarray, most: int = 1 << 19):
@@ -242,10 +245,14 @@ def suffix_array(text: np.ndarray, size: np.ndarray, depth: int) -> np.ndarray:
     bits = int(codes[-1]).bit_length()
     h = 64 // bits
     sym = codes[text + 1]
-    padded = np.append(sym, np.zeros(h, U64))
-    key = np.zeros(n, U64)
-    for k in range(h):
-        key = key << U64(bits) | np.where(left > k, padded[k : n + k], U64(0))
+    key, have = sym, 1
+    while have < h:  # by doubling
+        step = min(have, h - have)
+        more = np.zeros(n, U64)
+        more[:-have] = key[have:] >> U64(bits * (have - step))
+        more[left <= have] = 0
+        key = key << U64(bits * step) | more
+        have += step
     order = np.argsort(key)
     lead = np.ones(n, bool)
     lead[1:] = key[order[1:]] != key[order[:-1]]
@@ -317,7 +324,10 @@ def repeated(raw: np.ndarray, size: np.ndarray, length: int, times: np.ndarray)
         fresh = ~known[end]
         row, run, end = row[fresh], run[fresh], end[fresh]
         known[end] = True
-        begin = np.searchsorted(keys, before[row].astype(np.int64) * (n + 1) + lo[run])
+        first = lo[run]
+        begin = to[first]
+        other = np.flatnonzero(before[first] != before[row])  # where the interval does not begin with the byte
+        begin[other] = np.searchsorted(keys, before[row[other]].astype(np.int64) * (n + 1) + first[other])
         lo, hi = begin, end
     # the intervals that are left, and how often their strings occur
     interval = np.cumsum(known[:n]) - 1
