@@ -132,7 +132,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
         # a piece that occurs once and whose minimiser no other has shares no window
         _, group_of, members = np.unique(key, return_inverse=True, return_counts=True)
         given = np.flatnonzero((members[group_of] > 1) | (times > 1))
-        # pieces with a common minimiser go together, half a MB at a time
+        # pieces with a common minimiser go together, some 64 KB at a time
         given = given[np.argsort(group_of[given], kind="stable")]
         n = size[one[given]].astype(np.int64)
         text_at = np.zeros(len(one), np.int64)
@@ -219,8 +219,8 @@ def _same_pieces(raw, lo, size, times, place):
     return one, which, np.bincount(which, weights=times, minlength=len(content)), keys[one]
 
 
-def _batches(groups: np.ndarray, sizes: np.ndarray, most: int = 1 << 19):
-    """(lo, hi) of whole groups of about `most` bytes; groups are sorted."""
+def _batches(groups: np.ndarray, sizes: np.ndarray, most: int = 1 << 16):
+    """(lo, hi) of whole groups of about `most` bytes, whose arrays stay in a core's cache; groups are sorted."""
     cut = np.append(np.flatnonzero(np.diff(groups)) + 1, len(groups))
     total = np.append(0, np.cumsum(sizes))
     lo = 0
