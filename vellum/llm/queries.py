@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import fingerprints, jaccard_join, line_quality, packing, sentencepiece, sharding, substring_dedup, suffix_dedup, token_files, warc
+from vellum.llm import branch_merge, centroids, fingerprints, jaccard_join, line_quality, packing, sentencepiece, sharding, substring_dedup, suffix_dedup, token_counts, token_files, warc
 from vellum.llm.encoders import tokenizer_path
 
 
@@ -52,9 +52,77 @@ def op10_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.join(_documents(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sentencepiece, op4_token_files, op5_suffix_dedup, op6_warc, op7_fingerprints, op8_sharding, op9_line_quality, op10_jaccard_join)}
+def op11_centroids(spark: SparkSession, d: str) -> DataFrame:
+    return centroids.clustered(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
+def op12_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, d), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_branch_merge(spark: SparkSession, d: str) -> DataFrame:
+    return branch_merge.digests(_documents(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_sentencepiece, op4_token_files, op5_suffix_dedup, op6_warc, op7_fingerprints, op8_sharding, op9_line_quality, op10_jaccard_join, op11_centroids, op12_token_counts, op13_branch_merge)}
+
+def _rounds_sql(k: int = 40, rounds: int = 5) -> str:
+    """Plain rounds of assignment and floored means."""
+    squared = "CAST(list_inner_product(v.q, v.q) - 2 * list_inner_product(v.q, c.q) + list_inner_product(c.q, c.q) AS BIGINT)"
+    parts = [
+        f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS c, q FROM v QUALIFY c < {k})"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, m % {k} AS c, m // {k} AS d FROM (SELECT v.r, min({squared} * {k} + c.c) AS m FROM v, c{i} c GROUP BY v.r))")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT c, i, CAST(sum(CAST(q[i] AS BIGINT)) AS HUGEINT) AS s, count(*) AS n FROM a{i} JOIN v USING (r), range(1, 65) t(i) GROUP BY c, i)")
+            parts.append(f"n{i} AS (SELECT c, list(CAST((s - (s % n + n) % n) // n AS DOUBLE) ORDER BY i) AS q FROM s{i} GROUP BY c)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(n{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN n{i} USING (c))")
+    parts.append(f"h AS (SELECT c, sha256(array_to_string(list_transform(q, lambda x: CAST(x AS BIGINT)), ',')) AS h FROM c{rounds})")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN h USING (c)
+"""
+
 
 ORACLE_SQL = {
+    "op11_centroids": _rounds_sql(),
+    "op13_branch_merge": r"""
+WITH t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+             lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS v FROM range(256) x(i))),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+u AS (SELECT r, b, unnest(list_concat(['row', 'lang', 'source'], list_transform(range(len(w)), lambda i: CAST(i AS VARCHAR)))) AS name,
+             unnest(list_concat([NULL, lang, source], w)) AS base, unnest(range(-3, len(w))) AS i, b || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS p
+      FROM d, (VALUES ('L'), ('R')) x(b)),
+z AS MATERIALIZED (SELECT r, b, i, base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(p || name, ''), lambda y: CAST(ascii(y) AS BIGINT))),
+             lambda c, y: xor(c // 256, tab[CAST(xor(c % 256, y) + 1 AS INTEGER)])), 4294967295) % 7 AS k FROM u, t),
+s AS (SELECT r, b, i, base, k, CASE WHEN k = 0 AND i < 0 THEN '' WHEN k = 0 THEN NULL WHEN k = 1 THEN base || '!' WHEN k = 2 THEN base || '?' ELSE base END AS x,
+             CASE WHEN i >= 0 AND k = 3 THEN '!' WHEN i >= 0 AND k = 4 THEN '?' END AS g FROM z WHERE i > -3),
+p AS MATERIALIZED (SELECT r, i, l.base, l.x AS lx, q.x AS rx, l.g AS lg, q.g AS rg FROM (SELECT * FROM s WHERE b = 'L') l JOIN (SELECT * FROM s WHERE b = 'R') q USING (r, i)),
+m AS (SELECT r, i, base, lx, rx, lg, rg, lx IS DISTINCT FROM base AS a, rx IS DISTINCT FROM base AS c, lx IS DISTINCT FROM rx AS o FROM p),
+f AS (SELECT r, bool_or(a OR lg IS NOT NULL) AS lch, bool_or(c OR rg IS NOT NULL) AS rch,
+             sum(CASE WHEN (a OR c) AND NOT (a AND c AND o) THEN 1 ELSE 0 END + CASE WHEN coalesce(lg, rg) IS NOT NULL AND NOT coalesce(lg <> rg, false) THEN 1 ELSE 0 END) AS clean,
+             count(*) FILTER (WHERE a AND c AND o AND lx IS NOT NULL AND rx IS NOT NULL) AS ee,
+             count(*) FILTER (WHERE a AND c AND o AND (lx IS NULL OR rx IS NULL)) AS ed, count(*) FILTER (WHERE lg <> rg) AS ii,
+             max(CASE WHEN i = -2 THEN CASE WHEN c THEN rx ELSE lx END END) AS mlang, max(CASE WHEN i = -1 THEN CASE WHEN c THEN rx ELSE lx END END) AS msource,
+             max(CASE WHEN i = -2 THEN rx END) AS rlang, max(CASE WHEN i = -1 THEN rx END) AS rsource FROM m GROUP BY r),
+o AS (SELECT r, i, 0 AS j, CASE WHEN c THEN rx ELSE lx END AS x, rx FROM m WHERE i >= 0 UNION ALL SELECT r, i, 1, coalesce(rg, lg), rg FROM m WHERE i >= 0),
+txt AS (SELECT r, string_agg(x, chr(10) ORDER BY i, j) FILTER (WHERE x IS NOT NULL) AS t, string_agg(rx, chr(10) ORDER BY i, j) FILTER (WHERE rx IS NOT NULL) AS rt FROM o GROUP BY r),
+k AS (SELECT r, max(CASE WHEN b = 'L' THEN k END) AS lk, max(CASE WHEN b = 'R' THEN k END) AS rk FROM z WHERE i = -3 GROUP BY r),
+y AS (SELECT *, lk = 0 OR rk = 0 AS whole, (lk = 0 AND rk <> 0 AND rch) OR (rk = 0 AND lk <> 0 AND lch) AS fight FROM d JOIN f USING (r) JOIN txt USING (r) JOIN k USING (r))
+SELECT doc_id, CASE WHEN NOT whole THEN mlang WHEN fight AND rk <> 0 THEN rlang END AS lang, CASE WHEN NOT whole THEN msource WHEN fight AND rk <> 0 THEN rsource END AS source,
+       CASE WHEN NOT whole THEN sha256(coalesce(t, '')) WHEN fight AND rk <> 0 THEN sha256(coalesce(rt, '')) END AS text_sha256,
+       CAST(CASE WHEN NOT whole THEN clean WHEN fight THEN 0 ELSE 1 END AS BIGINT) AS n_clean, CAST(CASE WHEN whole THEN 0 ELSE ee END AS BIGINT) AS n_edit_edit,
+       CAST(CASE WHEN NOT whole THEN ed WHEN fight THEN 1 ELSE 0 END AS BIGINT) AS n_edit_delete, CAST(CASE WHEN whole THEN 0 ELSE ii END AS BIGINT) AS n_insert_insert FROM y
+UNION ALL
+SELECT -1 - doc_id, lang, source, sha256(CASE WHEN rk IN (3, 4) THEN chr(CASE rk WHEN 3 THEN 33 ELSE 63 END) ELSE chr(CASE lk WHEN 3 THEN 33 ELSE 63 END) END),
+       CASE WHEN lk IN (3, 4) AND rk IN (3, 4) AND lk <> rk THEN 0 ELSE 1 END, 0, 0, CASE WHEN lk IN (3, 4) AND rk IN (3, 4) AND lk <> rk THEN 1 ELSE 0 END
+FROM d JOIN k USING (r) WHERE lk IN (3, 4) OR rk IN (3, 4)
+""",
     "op9_line_quality": r"""
 WITH d AS MATERIALIZED (SELECT doc_id, dense_rank() OVER (ORDER BY coalesce(source, chr(1)), coalesce(text, '')) AS u,
                                coalesce(source, chr(1)) AS host, coalesce(text, '') AS text FROM documents),
