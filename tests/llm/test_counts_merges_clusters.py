@@ -210,15 +210,15 @@ def test_branch_merge(spark):
 
 
 def test_merge_of_given_branches(spark):
-    kind = "struct<dropped:boolean,columns:struct<title:string>,lines:array<struct<text:string,after:string>>,added:string>"
+    side = lambda b: f"{b}_dropped boolean, {b}_columns struct<title:string>, {b}_lines array<struct<text:string,after:string>>, {b}_added string"
     keep = lambda *lines, title="t", dropped=False, added=None: (dropped, (title,), list(lines), added)
     rows = [
-        (1, "t", ["a", "b"], keep(("a", None), ("B", "new")), keep(("A", None), ("b", "other"), title="T")),
-        (2, "t", ["a"], keep(("a", None), dropped=True), keep(("a", None))),
-        (3, "t", ["a"], keep(("a", None), dropped=True), keep(("a", "z"))),
-        (4, "t", ["a"], keep((None, None), added="new\nrow"), keep(("b", None), dropped=False)),
-        (5, "t", [], keep(), keep()),
+        (1, "t", ["a", "b"], *keep(("a", None), ("B", "new")), *keep(("A", None), ("b", "other"), title="T")),
+        (2, "t", ["a"], *keep(("a", None), dropped=True), *keep(("a", None))),
+        (3, "t", ["a"], *keep(("a", None), dropped=True), *keep(("a", "z"))),
+        (4, "t", ["a"], *keep((None, None), added="new\nrow"), *keep(("b", None))),
+        (5, "t", [], *keep(), *keep()),
     ]
-    df = spark.createDataFrame(rows, f"id long, title string, lines array<string>, left {kind}, right {kind}")
+    df = spark.createDataFrame(rows, f"id long, title string, lines array<string>, {side('left')}, {side('right')}")
     got = {r["id"]: (r["title"], r["lines"], *(r[c] for c in branch_merge.COUNTS)) for r in branch_merge.merge(df, "id", ["title"]).collect()}
     assert got == {1: ("T", ["A", "B", "other"], 3, 0, 0, 1), 2: (None, None, 1, 0, 0, 0), 3: ("t", ["a", "z"], 0, 0, 1, 0), 4: ("t", ["b"], 0, 0, 1, 0), 5: ("t", [], 0, 0, 0, 0), -5: ("t", ["new", "row"], 1, 0, 0, 0)}

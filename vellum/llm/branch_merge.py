@@ -15,6 +15,7 @@ in names, and its added row's id is null.  An empty table gives no rows; further
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,84 +24,98 @@ from pyspark.sql import functions as F
 COUNTS = ("n_clean", "n_edit_edit", "n_edit_delete", "n_insert_insert")
 
 
-def _count(*conditions: Column) -> list[Column]:
-    return [F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("long") for c in conditions]
+#: What became of a unit; the last three are conflicts.
+SAME, CLEAN, EDIT_EDIT, EDIT_DELETE, INSERT_INSERT = range(5)
 
 
-def merged_value(base: Column, left: Column, right: Column) -> Column:
-    """(value, and the counters) of a unit whose states are values; null is a dropped line or an empty gap."""
-    a, b = ~left.eqNullSafe(base), ~right.eqNullSafe(base)
-    apart = a & b & ~left.eqNullSafe(right)
-    gone = left.isNull() | right.isNull()
-    counts = _count((a | b) & ~apart, apart & ~base.isNull() & ~gone, apart & ~base.isNull() & gone, apart & base.isNull())
-    return F.struct(F.when(b, right).otherwise(left).alias("value"), *(c.alias(n) for c, n in zip(counts, COUNTS, strict=True)), a.alias("left"), b.alias("right"))
+def kind_of(base: Column, left: Column, right: Column) -> Column:
+    """What became of a column or a line; a null is a dropped line."""
+    apart = F.when(left.isNull() | right.isNull(), F.lit(EDIT_DELETE)).otherwise(F.lit(EDIT_EDIT))
+    both = F.when(left.eqNullSafe(base) | left.eqNullSafe(right), F.lit(CLEAN)).otherwise(apart)
+    return F.when(~right.eqNullSafe(base), both).when(left.eqNullSafe(base), F.lit(SAME)).otherwise(F.lit(CLEAN))
 
 
-FACTS = (*COUNTS, "left", "right")
+def kind_of_gap(left: Column, right: Column) -> Column:
+    """What became of a gap, or of a row that branches may add; null is nothing."""
+    return F.when(left.isNull() & right.isNull(), F.lit(SAME)).when(left.isNull() | right.isNull() | (left == right), F.lit(CLEAN)).otherwise(F.lit(INSERT_INSERT))
 
 
-def _added_up(states: Column) -> Column:
-    """The counters of an array of states, and whether either branch changed anything."""
-    start = F.struct(*(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit(False).alias("left"), F.lit(False).alias("right"))
-    return F.aggregate(states, start, lambda a, s: F.struct(*((a[c] + s[c]).alias(c) for c in COUNTS), *((a[c] | s[c]).alias(c) for c in ("left", "right"))))
+def winner(base: Column, left: Column, right: Column) -> Column:
+    return F.when(right.eqNullSafe(base), left).otherwise(right)
 
 
-def _strings(parts: Column) -> Column:
-    """The strings of an array of arrays, without nulls."""
-    return F.array_compact(F.flatten(parts))
+def _counts(kinds: Sequence[Column], start: Column | None = None) -> Column:
+    """COUNTS of some kinds, added to start."""
+    add = lambda k: sum((F.when(x == k, F.lit(1)).otherwise(F.lit(0)).cast("long") for x in kinds), start[COUNTS[k - 1]] if start is not None else F.lit(0).cast("long"))
+    return F.struct(*(add(k).alias(COUNTS[k - 1]) for k in (CLEAN, EDIT_EDIT, EDIT_DELETE, INSERT_INSERT)))
 
 
 def merge(rows: DataFrame, id_column: str, columns: Sequence[str], lines: str = "lines", left: str = "left", right: str = "right") -> DataFrame:
     """(id, columns..., lines, n_clean, n_edit_edit, n_edit_delete, n_insert_insert) of every id ever present; an absent row has nulls.
 
-    rows: the id, the base's `columns` (strings) and `lines` (array<string>), and for each branch a struct
-    (dropped boolean, columns struct of the same names, lines array<(text, after)>, added string): a null text is a dropped line,
-    `after` a line inserted behind, `added` the text of a row of the id -1-id that the branch adds with the base's columns.
+    rows: the id, the base's `columns` (strings) and `lines` (array<string>), and of each branch, here the one called left:
+    left_dropped boolean, whether it drops the row; left_columns, a struct of its values of `columns`; left_lines, an array as long as lines of
+    (text, after), where a null text is a dropped line and `after` a line inserted behind it; left_added, the text of a row that it adds
+    under the id -1-id with the base's columns, or null.
     """
-    text = F.lit(None).cast("string")
-    states = F.transform(F.arrays_zip(F.col(lines).alias("base"), F.col(f"{left}.lines").alias("l"), F.col(f"{right}.lines").alias("r")), lambda u: F.struct(merged_value(u["base"], u["l"]["text"], u["r"]["text"]).alias("line"), merged_value(text, u["l"]["after"], u["r"]["after"]).alias("gap")))
-    out = rows.withColumn("_units", states)
-    for c in columns:
-        out = out.withColumn(f"_of_{c}", merged_value(F.col(c), F.col(f"{left}.columns.{c}"), F.col(f"{right}.columns.{c}")))
-    slim = lambda s: F.struct(*(s[c].alias(c) for c in FACTS))
-    every = F.concat(F.transform("_units", lambda u: slim(u["line"])), F.transform("_units", lambda u: slim(u["gap"])), F.array(*(slim(F.col(f"_of_{c}")) for c in columns)))
-    out = out.withColumn("_facts", _added_up(every))
-    gone_l, gone_r = F.col(f"{left}.dropped"), F.col(f"{right}.dropped")
-    fight = (gone_l & ~gone_r & F.col("_facts.right")) | (gone_r & ~gone_l & F.col("_facts.left"))
-    whole, absent = gone_l | gone_r, (gone_l | gone_r) & ~(fight & ~gone_r)
-    one = dict(zip(COUNTS, _count(~fight, F.lit(False), fight, F.lit(False)), strict=True))
-    ours = _strings(F.transform("_units", lambda u: F.array(u["line"]["value"], u["gap"]["value"])))
-    theirs = _strings(F.transform(f"{right}.lines", lambda u: F.array(u["text"], u["after"])))
+    now = lambda b, c: F.col(f"{b}_columns.{c}")
+    dropped = {b: F.col(f"{b}_dropped") for b in (left, right)}
+    whole = dropped[left] | dropped[right]
+
+    def state(x: Column, i: Column) -> Column:
+        a, b = F.get(f"{left}_lines", i), F.get(f"{right}_lines", i)
+        kinds = kind_of(x, a["text"], b["text"]).alias("line"), kind_of_gap(a["after"], b["after"]).alias("gap")
+        return F.struct(F.array(winner(x, a["text"], b["text"]), F.coalesce(b["after"], a["after"])).alias("out"), *kinds)
+
+    def changed(b: str) -> Column:
+        of_lines = F.exists(F.arrays_zip(F.col(lines).alias("x"), F.col(f"{b}_lines").alias("y")), lambda u: ~u["x"].eqNullSafe(u["y"]["text"]) | u["y"]["after"].isNotNull())
+        return functools.reduce(Column.__or__, (~now(b, c).eqNullSafe(F.col(c)) for c in columns), of_lines)
+
+    fight = (dropped[left] & ~dropped[right] & changed(right)) | (dropped[right] & ~dropped[left] & changed(left))
+    out = rows.withColumns({"_states": F.when(~whole, F.transform(lines, state)), "_fight": F.when(whole, fight)})
+    of_columns = _counts([kind_of(F.col(c), now(left, c), now(right, c)) for c in columns])
+    of_lines = F.aggregate("_states", of_columns, lambda sums, s: _counts([s["line"], s["gap"]], sums))
+    of_row = _counts([F.when(F.col("_fight"), F.lit(EDIT_DELETE)).otherwise(F.lit(CLEAN))])
+    out = out.withColumns({"_counts": F.when(whole, of_row).otherwise(of_lines), "_stays": ~whole | (F.col("_fight") & ~dropped[right])})
+    strings = lambda parts: F.array_compact(F.flatten(parts))
+    theirs = strings(F.transform(f"{right}_lines", lambda u: F.array(u["text"], u["after"])))
     kept = out.select(
         F.col(id_column),
-        *(F.when(absent, text).when(whole, F.col(f"{right}.columns.{c}")).otherwise(F.col(f"_of_{c}.value")).alias(c) for c in columns),
-        F.when(absent, F.lit(None).cast("array<string>")).when(whole, theirs).otherwise(ours).alias(lines),
-        *(F.when(whole, one[c]).otherwise(F.col(f"_facts.{c}")).alias(c) for c in COUNTS),
+        *(F.when(F.col("_stays"), F.when(whole, now(right, c)).otherwise(winner(F.col(c), now(left, c), now(right, c)))).alias(c) for c in columns),
+        F.when(F.col("_stays"), F.when(whole, theirs).otherwise(strings(F.transform("_states", lambda s: s["out"])))).alias(lines),
+        *(F.col(f"_counts.{c}").alias(c) for c in COUNTS),
     )
-    # the added rows need no text of the base, so their scan reads none
-    more = rows.select(id_column, *columns, merged_value(text, F.col(f"{left}.added"), F.col(f"{right}.added")).alias("_row")).filter("_row.left or _row.right")
-    added = more.select((F.lit(-1).cast("long") - F.col(id_column)).alias(id_column), *columns, F.split("_row.value", "\n").alias(lines), *(F.col(f"_row.{c}").alias(c) for c in COUNTS))
+    # the added rows read no line of the base
+    pair = F.col(f"{left}_added"), F.col(f"{right}_added")
+    more = rows.filter(pair[0].isNotNull() | pair[1].isNotNull()).select(id_column, *columns, F.coalesce(*reversed(pair)).alias("_text"), _counts([kind_of_gap(*pair)]).alias("_counts"))
+    added = more.select((F.lit(-1).cast("long") - F.col(id_column)).alias(id_column), *columns, F.split("_text", "\n").alias(lines), *(F.col(f"_counts.{c}").alias(c) for c in COUNTS))
     return kept.unionByName(added)
 
 
-def coded(rows: DataFrame, name: str, id_column: str, columns: Sequence[str], lines: str = "lines") -> Column:
-    """The branch `name` of rows, as merge() takes it, by the code crc32(name:id:unit) modulo 7 of each unit.
+def coded(rows: DataFrame, branch: str, name: str, id_column: str, columns: Sequence[str], lines: str = "lines") -> DataFrame:
+    """Adds the columns of a branch as merge() takes them, by the code crc32(name:id:unit) modulo 7 of each unit.
 
     Row, columns, and lines 0, 1, ...: 0 drops (columns: empties), 1 and 2 append ! or ? to columns and lines, 3 and 4 insert the line ! or ?
     after a line, or add a row with that text.
     """
     prefix = F.concat(F.lit(f"{name}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(":"))
-    code = lambda unit: (F.crc32(F.concat(prefix, unit)) % 7).cast("int")
+    rows = rows.withColumn("_prefix", prefix)
+    code = lambda unit: F.crc32(F.concat(F.col("_prefix"), unit)) % 7
     edited = lambda value, c, gone: F.when(c == 0, gone).when(c == 1, F.concat(value, F.lit("!"))).when(c == 2, F.concat(value, F.lit("?"))).otherwise(value)
     inserted = lambda c: F.when(c == 3, F.lit("!")).when(c == 4, F.lit("?"))
-    # the code of a line is worked out once, in a struct of its own
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("x"), code(i.cast("string")).alias("c")))
-    return F.struct(
-        (code(F.lit("row")) == 0).alias("dropped"),
-        F.struct(*(edited(F.col(c), code(F.lit(c)), F.lit("")).alias(c) for c in columns)).alias("columns"),
-        F.transform(numbered, lambda u: F.struct(edited(u["x"], u["c"], F.lit(None).cast("string")).alias("text"), inserted(u["c"]).alias("after"))).alias("lines"),
-        inserted(code(F.lit("row"))).alias("added"),
-    )
+    # codes come first, so that each is worked out once
+    rows = rows.withColumns({"_row": code(F.lit("row")), "_of": F.struct(*(code(F.lit(c)).alias(c) for c in columns)), "_codes": F.transform(lines, lambda x, i: code(i.cast("string")))})
+
+    def line(x: Column, i: Column) -> Column:
+        c = F.get("_codes", i)
+        return F.struct(edited(x, c, F.lit(None).cast("string")).alias("text"), inserted(c).alias("after"))
+
+    return rows.withColumns({
+        f"{branch}_dropped": F.col("_row") == 0,
+        f"{branch}_columns": F.struct(*(edited(F.col(c), F.col(f"_of.{c}"), F.lit("")).alias(c) for c in columns)),
+        f"{branch}_lines": F.transform(lines, line),
+        f"{branch}_added": inserted(F.col("_row")),
+    }).drop("_prefix", "_row", "_of", "_codes")
 
 
 def merged_documents(docs: DataFrame) -> DataFrame:
@@ -108,7 +123,7 @@ def merged_documents(docs: DataFrame) -> DataFrame:
     filled = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("lang").alias("lang"), filled("source").alias("source"), F.split(filled("text"), "\n").alias("lines"))
     columns = ["lang", "source"]
-    return merge(rows.withColumns({x: coded(rows, b, "doc_id", columns) for x, b in (("left", "L"), ("right", "R"))}), "doc_id", columns)
+    return merge(coded(coded(rows, "left", "L", "doc_id", columns), "right", "R", "doc_id", columns), "doc_id", columns)
 
 
 def digests(docs: DataFrame) -> DataFrame:
