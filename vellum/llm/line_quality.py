@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.flat import BASE, SPREAD, U64, Rolling, flat, mix, slices, spans, words
-from vellum.llm.shared import MB, hash128, join_counted, spread, written
+from vellum.llm.shared import MB, hash128, join_counted, settled, spread, written
 
 #: Lines in more than 6 documents of a host go, the number that published line-level deduplication of web corpora uses for a
 #: bucket; documents that lose more than a quarter of their words are depleted.
@@ -145,6 +145,7 @@ def clean(docs: DataFrame, limit: int = LIMIT, keep_share: float = KEEP_SHARE, i
     The decisions are a narrow table, a row for each row kept with the places of the lines to remove.  Texts are exchanged once
     to meet them, into parts of bounded bytes, and are neither sorted nor sent to Python.
     """
+    docs = settled(docs)
     kept = written(verdicts(facts(docs, id_column, text_column, host_column), limit, keep_share).filter("kept").select(F.col("rid").alias("_vellum_rid"), F.col("places").alias("_vellum_places")).distinct(), "kept")
     n = spread(docs, part_bytes)
     rows = docs.withColumn("_vellum_rid", _row_key(id_column, text_column, host_column)).repartition(n, "_vellum_rid")

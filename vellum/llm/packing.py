@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from vellum.llm.encoders import encoder, with_end
 from vellum.llm.flat import slices
-from vellum.llm.shared import MB, partitions, pieces_for
+from vellum.llm.shared import MB, partitions, pieces_for, settled
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -104,5 +104,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
         if sizes and tokens:
             yield flush()
 
-    docs = docs.selectExpr(f"cast(`{id_column}` as long) doc_id", f"`{text_column}` text")
+    docs = settled(docs.selectExpr(f"cast(`{id_column}` as long) doc_id", f"`{text_column}` text"))
     return docs.coalesce(max(pieces_for(docs, 4 * MB), partitions(docs.sparkSession))).mapInArrow(run, SCHEMA)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.flat import BASE, U64, mix, sliding_min
-from vellum.llm.shared import pieces_for, spread
+from vellum.llm.shared import pieces_for, settled, spread
 
 ROW = "bucket int, chunk int, body binary"
 KINDS = ["<u1", "<i4", "<i8", "<u8", "<u2"]
@@ -52,6 +52,7 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 class Routing:
     def __init__(self, docs: DataFrame, chunk_bytes: int, bucket_bytes: int, id_column: str = "doc_id", text_column: str = "text", carry: bool = False):
         """carry: chunks also hold each row's other columns, in `rest`."""
+        docs = settled(docs)
         self.partitions = spread(docs)
         n = pieces_for(docs, chunk_bytes)
         self.buckets = pieces_for(docs, bucket_bytes)

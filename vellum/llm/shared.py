@@ -60,11 +60,29 @@ def tidy(spark: SparkSession) -> None:
     remove(spark, shared_dir(spark))
 
 
+#: Plans whose size Catalyst takes from stored files; for others it multiplies guesses, such as both sides of a join.
+SIZED = {"Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LocalRelation"}
+
+
+def plain_scan(df: DataFrame) -> bool:
+    """Does df only select and filter stored rows?"""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() in SIZED:
+        if plan.children().isEmpty():
+            return True
+        plan = plan.children().head()
+    return False
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df itself if it only selects and filters stored rows, else written: for those who pass over df several times and split work by its size."""
+    return df if plain_scan(df) else written(df, "settled")
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Stored bytes of df by Catalyst's estimate, or where it has none the bytes of its strings, counted; used only to choose how finely work is split."""
-    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if found < 1 << 50:
-        return found
+    """Stored bytes of df: Catalyst's figure for a plain scan, for any other plan the bytes of its strings, counted; used only to choose how finely work is split."""
+    if plain_scan(df):
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     sizes = [F.coalesce(F.octet_length(df[f"`{c}`"]), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
     return df.agg(F.sum(sum(sizes, F.lit(8)))).first()[0] or 0
 
