@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vellum.llm import fingerprints, flat, jaccard_join, line_quality, merges, packing, sentencepiece, sharding, shared, substring_dedup, suffix_dedup, token_files, warc
 from vellum.llm.encoders import encoder, tokenizer_path
+from vellum.llm.routing import Routing
 from vellum.llm.shared import fresh
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -622,3 +624,18 @@ def test_one_of_each(spark, docs):
 def test_banding_reaches_its_recall():
     bands, rows_ = jaccard_join.banding(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows_) ** bands >= 0.9999
+
+
+def test_sizes_of_joins_are_those_of_stored_rows(spark, docs):
+    """Catalyst multiplies both sides of a join; work is split by what the join really holds."""
+    stored = shared.written(docs.select("doc_id", "text", "source"), "left")
+    joined = stored.join(shared.written(docs.select("doc_id", F.col("text").alias("other")), "right"), "doc_id", "left").hint("shuffle_hash")
+    kept = shared.written(joined, "joined")
+    assert shared.plain_scan(stored.filter("doc_id > 3").select("text")) and not shared.plain_scan(joined)
+    a, b = (Routing(x, 2000, 500) for x in (joined, kept))
+    assert abs(a.buckets - b.buckets) <= 0.2 * b.buckets and a.partitions <= 1.2 * b.partitions
+    assert shared.input_bytes(joined) < 20 * shared.input_bytes(kept)
+    want = substring_dedup.remove_repeats(kept).collect()
+    same(substring_dedup.remove_repeats(joined).collect(), want)
+    same(suffix_dedup.remove_repeats(joined).collect(), suffix_dedup.remove_repeats(kept).collect())
+    same(jaccard_join.join(joined).collect(), jaccard_join.join(kept).collect())

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.flat import BASE, SPREAD, U64, Rolling, flat, gather, mix, slices, spans, words
 from vellum.llm.graphs import components
-from vellum.llm.shared import MB, drop, hash128, join_counted, spread, written
+from vellum.llm.shared import MB, drop, hash128, join_counted, settled, spread, written
 
 SKETCH = "doc_id long, rid struct<a: long, b: long>, node binary, size int, bands array<long>"
 
@@ -142,7 +142,7 @@ def _some(t: pa.Table, cut, ends, n, threshold):
     size = np.diff(begin)
     nodes, block, copies = t["node"].to_pylist(), t["block"].to_numpy(), t["copies"].to_numpy()
     band, i, j = (t[c].to_numpy() for c in ("band", "i", "j"))
-    marks = np.frombuffer(b"".join(t["marks"].to_pylist()), ">i4").reshape(t.num_rows, -1)
+    marks = np.frombuffer(b"".join(t["marks"].to_pylist()), ">i8").reshape(t.num_rows, -1)
     out: tuple[list, list, list] = ([], [], [])
     for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
         some = np.array(sorted({nodes[k]: k for k in range(a, b)}.values(), key=lambda k: (block[k] != i[a], nodes[k])))  # repeated rows once
@@ -182,6 +182,7 @@ def _row_key(id_column: str, text_column: str):
 def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 512, block_grams: int = 1 << 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, rid, label, class_id, n_links) for each row: rid names rows that are alike in id and text, label its class (null without words)."""
     bands, rows = banding(threshold, recall)
+    docs = settled(docs)
     found = written(sketches(docs, n, bands, rows, id_column, text_column), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     sets = found.filter("node is not null").groupBy("node", "size").agg(F.count(F.lit(1)).alias("copies"), first, F.first("bands").alias("bands"))
@@ -191,20 +192,21 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     groups = shared.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("m > 1")
     groups = groups.groupBy("m", "grams", "x", "y").agg(F.min(F.struct("band", "key")).alias("g"))
     blocks = F.ceil(F.greatest(F.col("m") / block, F.col("grams") / block_grams)).cast("int")
-    groups = groups.select("g.band", "g.key", blocks.alias("blocks"))
-    members = written(shared.drop("size").join(groups, ["band", "key"]), "members")
-    placed = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = written(groups.select("g.band", "g.key", "m", blocks.alias("blocks")), "groups")
+    members = written(join_counted(shared.drop("size"), groups, ["band", "key"], "m", sets.count() * bands).drop("m"), "members")
+    parts = spread(docs)
+    # the members of a large group lie in few files: they are exchanged, as the join below needs them, before each makes a row for every other block
+    placed = members.repartition(parts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("node", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    # 32 bits of each band tell which pairs share one
-    marks = F.concat(*(F.unhex(F.substring(F.lpad(F.hex(F.col("bands")[b]), 16, "0"), 9, 8)) for b in range(bands)))
+    # the bands' keys tell which pairs share an earlier one
+    marks = F.concat(*(F.unhex(F.lpad(F.hex(F.col("bands")[b]), 16, "0")) for b in range(bands)))
     wanted = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "copies", "rid", marks.alias("marks"))
     text = F.coalesce(F.col(text_column), F.lit(""))
-    parts = spread(docs)
     texts = docs.select(_row_key(id_column, text_column).alias("rid"), text.alias("text")).repartition(parts, "rid")
     texts = texts.join(wanted.repartition(parts, "rid").hint("shuffle_hash"), "rid").select("node", "copies", "marks", "text")
     meetings = texts.join(placed, "node").repartition(parts, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
     links = written(meetings.mapInArrow(lambda b: _verified(b, n, threshold), "node binary, links long, root binary"), "links")
-    drop(members)
+    drop(members, groups)
     label = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
     per = sets.select("node", "copies", "first_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per = per.join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
@@ -229,6 +231,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Classes are told apart by their label, so that classes which share a doc_id, or have none, keep a row each.  Rows without words all stay.
     """
     text_column, id_column = options.get("text_column", "text"), options.get("id_column", "doc_id")
+    docs = settled(docs)
     rows = written(classes(docs, **options).filter("label is not null").select("doc_id", "rid", "label"), "classes")
     kept = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")).select(F.col("first.rid").alias("_vellum_rid"))
     kept = written(kept, "kept")
