@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -44,6 +45,33 @@ def test_greedy_and_scores(spark):
     assert decoding.ctc_labels(f, ["seq"], "t").first().labels == [2, 1, 1, 2, 1]
 
 
+@pytest.mark.parametrize("rows", [None, 25])
+def test_runs_of_long_sequences(spark, rows):
+    """One sequence is cut into many cells (rows=25), with runs that go on across borders; others are not."""
+    rng = random.Random(2)
+    made = [(s, t, rng.choice([0, 1, 1, 2]), rng.random()) for s, n in (("long", 400), ("short", 9), (None, 60)) for t in range(n)]
+    made += [("flat", t, 3, rng.random()) for t in range(200)] + [("gaps", t, rng.choice([None, 4]), 1.0) for t in range(120)]
+    frames = spark.createDataFrame(made, "seq string, t int, label int, score double").repartition(4)
+    want = {}
+    for s in {m[0] for m in made}:
+        run, before = 0, "none"
+        for _, t, label, _ in sorted(m for m in made if m[0] == s):
+            starts = before is None or label is None or label != before
+            run += starts
+            want[s, t] = (starts, run)
+            before = label
+    got = decoding.runs(frames, ["seq"], "t", rows=rows)
+    assert {(r.seq, r.t): (r.starts, r.run) for r in got.collect()} == want and got.columns == [*frames.columns, "starts", "run"]
+    scores = {}
+    for s, t, label, score in made:
+        if label:
+            key = s, want[s, t][1], label
+            scores[key] = max(scores.get(key, 0), score)
+    assert {(r.seq, r.run, r.label): r.score for r in decoding.ctc_scores(frames, ["seq"], "t", rows=rows).collect()} == scores
+    labels = {s: [x[2] for x in sorted(m for m in made if m[0] == s) if x[2] and want[s, x[1]][0]] for s in {m[0] for m in made}}
+    assert {r.seq: r.labels for r in decoding.ctc_labels(frames, ["seq"], "t", rows=rows).collect()} == labels
+
+
 def test_texts_of_frame_arrays(spark):
     rows = frames(spark).groupBy("seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "logits"))), lambda x: x["logits"]).alias("frames"))
     a = Alphabet({"ϵ": 0, "x": 1, "y": 2})

@@ -19,6 +19,8 @@ def tables(spark, tmp_path_factory):
     rng = random.Random(21)
     turns = [(c, t, rng.choice(["user", "system"]), "".join(rng.choice("rnumabe é-") for _ in range(rng.choice([0, 1, 7, 25, 60])))) for c in range(6) for t in range(4)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    docs = [(i, rng.choice(["en", "de"]), "s", "\n".join("".join(rng.choice("rnumabe é-?") for _ in range(rng.choice([0, 1, 9, 40, 90, 700]))) for _ in range(4))) for i in range(7)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{path}/documents.parquet")
     frames = [(i, i % 3, [rng.uniform(-2, 2) for _ in range(4)]) for i in range(15)]
     spark.createDataFrame(frames, "vec_id long, label int, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
     read = [(c, t, r, reduced(x), reduced(x).translate(str.maketrans({"r": "m", "n": "m", "u": None}))) for c, t, r, x in turns]
@@ -116,6 +118,20 @@ def test_confusions(spark, tables):
     assert {named(r): r.share for r in queries.QUERIES["confusion_batches"](spark, path).collect()} == {k: pytest.approx(v, abs=2e-6) for k, v in mean.items()}
 
 
+def test_alignments_and_confusions_of_documents(spark, tables):
+    path, *_ = tables
+    lines, by = [], collections.defaultdict(collections.Counter)
+    for r in spark.read.parquet(f"{path}/documents.parquet").collect():
+        for k, line in enumerate(r.text.split("\n")):
+            gt = reduced(line)
+            pred = gt.translate(str.maketrans({"r": "m", "n": "m", "u": None}))
+            lines.append((r.doc_id, k, sum(a == b for a, b in back_trace(pred, gt)), common(pred, gt)))
+            by[r.lang].update(back_trace(gt, pred))
+    assert sorted(map(tuple, queries.QUERIES["alignment_lines"](spark, path).collect())) == sorted(lines)
+    want = {(lang, a, b): (n, pytest.approx(n / sum(m for (x, _), m in counts.items() if x == a), abs=2e-6)) for lang, counts in by.items() for (a, b), n in counts.items()}
+    assert {(r.lang, r.gt_char, r.pred_char): (r.n, r.share) for r in queries.QUERIES["confusion_documents"](spark, path).collect()} == want
+
+
 def test_beams_by_enumeration(spark, tables):
     path, _, frames = tables
     by = collections.defaultdict(list)

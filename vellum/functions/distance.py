@@ -2,15 +2,19 @@
 
 Short strings go through Spark's levenshtein.  Its time is the product of the lengths, so long strings and other sequences go
 through an Arrow function on bit vectors, which handles 64 cells in a step.  Masks and back-traces have no built-in
-either; masks are computed for a batch of pairs at a time along anti-diagonals.
+either; masks are computed for a batch of pairs at a time along anti-diagonals, and back-traces read the bit vectors of the columns they
+pass, so that neither holds a table of distances.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,32 +48,49 @@ def bits(x: Sequence, y: Sequence) -> int:
     x, y = x[lo:hi], y[lo : hi + cut]
     if not len(x):
         return len(y)
-    where: dict = {}
-    for i, v in enumerate(x):
-        where.setdefault(v, []).append(i)
-    size = (len(x) + 7) // 8
-    masks = {}
-    for v, places in where.items():
-        on = bytearray(size)
-        for i in places:
-            on[i >> 3] |= 1 << (i & 7)
-        masks[v] = int.from_bytes(on, "little")
-    full, last, score = (1 << len(x)) - 1, 1 << len(x) - 1, len(x)
+    masks = Masks(x)
+    full, last, score = masks.full, 1 << len(x) - 1, len(x)
     rise, fall = full, 0
     for v in y:
-        same = masks.get(v, 0)
-        across = (((same & rise) + rise) ^ rise) | same
-        down = same | fall
-        up, low = fall | (full & ~(across | rise)), rise & across
+        rise, fall, up, low = _column(masks.of(v), rise, fall, full)
         if up & last:
             score += 1
         elif low & last:
             score -= 1
-        up, low = up << 1 | 1, low << 1
-        rise, fall = (low | ~(down | up)) & full, up & down & full
     return score
 
 
+class Masks:
+    """Where a sequence holds each of its values, as bits of one long integer; those of rare values are made when they are asked for."""
+
+    def __init__(self, x: Sequence, often: int = 8):
+        self.places: dict = {}
+        for i, v in enumerate(x):
+            self.places.setdefault(v, []).append(i)
+        self.full = (1 << len(x)) - 1
+        self.kept = {v: self._bits(p, len(x)) for v, p in self.places.items() if len(p) >= often}
+
+    @staticmethod
+    def _bits(places: list[int], n: int) -> int:
+        on = bytearray((n + 7) // 8)
+        for i in places:
+            on[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(on, "little")
+
+    def of(self, v) -> int:
+        found = self.kept.get(v)
+        return sum(1 << i for i in self.places.get(v, ())) if found is None else found
+
+
+def _column(same: int, rise: int, fall: int, full: int) -> tuple[int, int, int, int]:
+    """From one column of the table to the next: where it rises and falls downwards, and where it rises and falls from the column before."""
+    across = (((same & rise) + rise) ^ rise) | same
+    down = same | fall
+    up, low = fall | (full & ~(across | rise)), rise & across
+    a, b = up << 1 | 1, low << 1
+    return (b | ~(down | a)) & full, a & down & full, up, low
+
+
 #: Longest sequence, in blocks of 64, that many_bits() handles together with others.
 MOST_BLOCKS = 8
 
@@ -105,9 +126,9 @@ def many_bits(pairs: Sequence[tuple[np.ndarray, np.ndarray]], together: int = 20
     return out
 
 
-def _advance(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
-    """Pairs by descending length of y; the carries of a row pass from block to block as two bits."""
-    one, top = np.uint64(1), np.uint64(63)
+def _encoded(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pairs by descending length of y: where each x holds each value, in blocks of 64 bits; the row of these that each element of y asks for; how many pairs reach each column."""
+    one = np.uint64(1)
     m, n = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
     symbols, x = np.unique(np.concatenate([x for x, _ in pairs]), return_inverse=True)
     kinds = len(symbols) + 1
@@ -118,10 +139,20 @@ def _advance(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarr
     place[(place == len(symbols)) | (symbols[np.minimum(place, len(symbols) - 1)] != y)] = len(symbols)
     steps = np.zeros((int(n[0]), len(pairs)), np.int64)
     steps[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(len(pairs)), n)] = place + np.repeat(np.arange(len(pairs)) * kinds, n)
+    return same, steps, np.searchsorted(-n, -np.arange(int(n[0])), "left")
+
+
+def _advance(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, columns: np.ndarray | None = None) -> np.ndarray:
+    """Pairs by descending length of y; the carries of a row pass from block to block as two bits.
+
+    columns, if given, takes the vectors of _column() for each column from 1, (4, columns, blocks, pairs).
+    """
+    one, top = np.uint64(1), np.uint64(63)
+    m = np.array([len(x) for x, _ in pairs])
+    same, steps, live = _encoded(pairs, width)
     rise, fall = np.full((width, len(pairs)), ~np.uint64(0)), np.zeros((width, len(pairs)), np.uint64)
     last, score = ((m - 1) & 63).astype(np.uint64), m.astype(np.int64)
-    live = np.searchsorted(-n, -np.arange(int(n[0])), "left")
-    for j in range(int(n[0])):
+    for j in range(len(steps)):
         count = int(live[j])
         plus, minus = one, np.uint64(0)
         for b in range(width):
@@ -134,8 +165,12 @@ def _advance(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarr
                 score[:count] += (up >> last[:count] & one).astype(np.int64) - (low >> last[:count] & one).astype(np.int64)
             else:
                 carry = up >> top, low >> top
+            if columns is not None:
+                columns[2, j + 1, b, :count], columns[3, j + 1, b, :count] = up, low
             up, low = up << one | plus, low << one | minus
             rise[b, :count], fall[b, :count] = low | ~(down | up), up & down
+            if columns is not None:
+                columns[0, j + 1, b, :count], columns[1, j + 1, b, :count] = rise[b, :count], fall[b, :count]
             if b < width - 1:
                 plus, minus = carry
     return score
@@ -228,17 +263,140 @@ def masked_distance(x: pd.Series, y: pd.Series, masks: pd.Series) -> pd.Series:
     return pd.Series(distances([(code(a), code(b)) for a, b in zip(x, y, strict=True)], free))
 
 
-def table(x: Sequence, y: Sequence) -> np.ndarray:
-    """The whole Levenshtein table of one pair, row by row."""
-    a, b = _numbered([x], [y])[0]
-    steps = np.arange(len(b) + 1)
-    rows = np.empty((len(a) + 1, len(b) + 1), np.int64)
-    rows[0] = steps
-    for i, v in enumerate(a, 1):
-        best = np.minimum(rows[i - 1, :-1] + (b != v), rows[i - 1, 1:] + 1)
-        # a cell may also come from the left: a running minimum of what is left after the steps
-        rows[i] = np.minimum.accumulate(np.append(i, best) - steps) + steps
-    return rows
+#: Steps of a path through the table: both sides, only x, only y.
+BOTH, UP, LEFT = range(3)
+#: Bytes of recorded columns for pairs that are traced together.
+RECORD = 64 << 20
+
+
+def paths(pairs: Sequence[tuple[np.ndarray, np.ndarray]], common: bool = False) -> list[np.ndarray]:
+    """The steps of each pair's back-trace, in order: diagonal where equal or least, then up, then left; common: that of a longest common subsequence.
+
+    Short x advance together on bit vectors whose columns are recorded.  A long x goes through its columns twice: first every
+    few columns are kept, then, from the end, those between are made again, so that memory grows with the sequences and not with their product.
+    """
+    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(pairs)
+    cut, tail = [], np.zeros(len(pairs), np.int64)
+    for k, (x, y) in enumerate(pairs):  # equal ends are diagonal steps
+        n = min(len(x), len(y))
+        apart = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
+        tail[k] = int(apart[0]) if len(apart) else n
+        cut.append((x[: len(x) - tail[k]], y[: len(y) - tail[k]]))
+    size = np.array([len(x) for x, _ in cut], np.int64)
+    steps = np.array([len(y) for _, y in cut], np.int64)
+    blocks = (size + 63) // 64
+    trivial = (size == 0) | (steps == 0)
+    for k in np.flatnonzero(trivial):
+        out[k] = np.full(size[k] + steps[k], UP if size[k] else LEFT, np.uint8)
+    for k in np.flatnonzero(~trivial & (blocks > MOST_BLOCKS)):
+        out[k] = _long_path(cut[k][0].tolist(), cut[k][1].tolist(), common)
+    some = np.flatnonzero(~trivial & (blocks <= MOST_BLOCKS))
+    some = some[np.lexsort((-steps[some], blocks[some]))]
+    lo = 0
+    while lo < len(some):
+        width = int(blocks[some[lo]])
+        each = (int(steps[some[lo]]) + 1) * width * 32
+        hi = min(lo + max(1, min(2048, RECORD // each)), lo + int(np.searchsorted(blocks[some[lo:]], width, "right")))
+        for k, ops in zip(some[lo:hi], _short_paths([cut[k] for k in some[lo:hi]], width, common), strict=True):
+            out[k] = ops
+        lo = hi
+    return [np.append(ops, np.zeros(t, np.uint8)) if t else ops for ops, t in zip(out, tail, strict=True)]
+
+
+def _grow(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, columns: np.ndarray) -> None:
+    """The columns of lengths of common subsequences: bits are off where a column rises."""
+    top = np.uint64(63)
+    same, steps, live = _encoded(pairs, width)
+    flat = np.full((width, len(pairs)), ~np.uint64(0))
+    for j in range(len(steps)):
+        count = int(live[j])
+        carry = np.uint64(0)
+        for b in range(width):
+            v = flat[b, :count]
+            u = v & same[b][steps[j, :count]]
+            total = v + u + carry
+            carry = (v & u | (v | u) & ~total) >> top
+            flat[b, :count] = columns[0, j + 1, b, :count] = total | (v & ~u)
+
+
+def _short_paths(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, common: bool) -> list[np.ndarray]:
+    """Back-traces of pairs by descending length of y, a step of all of them at a time."""
+    m, n = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
+    columns = np.empty((1 if common else 4, int(n[0]) + 1, width, len(pairs)), np.uint64)
+    if common:
+        _grow(pairs, width, columns)
+    else:
+        columns[0, 0], columns[1, 0] = ~np.uint64(0), 0
+        _advance(pairs, width, columns)
+    x, y = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+    at_x, at_y = np.cumsum(m) - m, np.cumsum(n) - n
+    i, j, live = m.copy(), n.copy(), np.arange(len(pairs))
+    ops, done = np.empty((int((m + n).max()), len(pairs)), np.uint8), np.zeros(len(pairs), np.int64)
+    step = 0
+    while len(live):
+        a, b = i[live], j[live]
+        block, place = (a - 1) >> 6, ((a - 1) & 63).astype(np.uint64)
+        bit = lambda kind, column, block=block, place=place: (columns[kind, column, block, live] >> place & np.uint64(1)).astype(np.int8)  # noqa: B023, E731
+        equal = x[at_x[live] + a - 1] == y[at_y[live] + b - 1]
+        if common:
+            op = np.where(equal, BOTH, np.where(bit(0, b) == 1, UP, LEFT))
+        else:
+            up, left = bit(1, b) - bit(0, b), bit(3, b) - bit(2, b)
+            diagonal = left + bit(1, b - 1) - bit(0, b - 1)
+            op = np.where(equal | (diagonal <= np.minimum(up, left)), BOTH, np.where(up <= left, UP, LEFT))
+        ops[step, live] = op
+        i[live] -= op != LEFT
+        j[live] -= op != UP
+        step += 1
+        ended = (i[live] == 0) | (j[live] == 0)
+        done[live[ended]] = step
+        live = live[~ended]
+    return [np.concatenate([np.full(i[k] + j[k], UP if i[k] else LEFT, np.uint8), ops[: done[k], k][::-1]]) for k in range(len(pairs))]
+
+
+def _long_path(x: list, y: list, common: bool) -> np.ndarray:
+    """The back-trace of one pair in long integers."""
+    masks = Masks(x)
+    full, each = masks.full, max(1, math.isqrt(len(y)))
+
+    def after(v, state: tuple[int, ...]) -> tuple[int, ...]:
+        if not common:
+            return _column(masks.of(v), state[0], state[1], full)
+        u = state[0] & masks.of(v)
+        return (((state[0] + u) | (state[0] & ~u)) & full,)
+
+    state: tuple[int, ...] = (full,) if common else (full, 0, 0, 0)
+    kept = [state]
+    for k, v in enumerate(y[: (len(y) - 1) // each * each], 1):
+        state = after(v, state)
+        if k % each == 0:
+            kept.append(state)
+    ops = bytearray()
+    i, j = len(x), len(y)
+    while i and j:
+        first = (j - 1) // each * each
+        block = [kept[first // each]]
+        for v in y[first:j]:
+            block.append(after(v, block[-1]))
+        while i and j > first:
+            now, at = block[j - first], i - 1
+            if x[at] == y[j - 1]:
+                op = BOTH
+            elif common:
+                op = UP if now[0] >> at & 1 else LEFT
+            else:
+                before = block[j - first - 1]
+                up, left = (now[1] >> at & 1) - (now[0] >> at & 1), (now[3] >> at & 1) - (now[2] >> at & 1)
+                op = BOTH if left + (before[1] >> at & 1) - (before[0] >> at & 1) <= min(up, left) else UP if up <= left else LEFT
+            ops.append(op)
+            i, j = i - (op != LEFT), j - (op != UP)
+    ops += bytes([UP]) * i + bytes([LEFT]) * j
+    return np.frombuffer(bytes(ops), np.uint8)[::-1]
+
+
+def places(ops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each step of a path: its place on either side, where it has one."""
+    return np.cumsum(ops != LEFT) - 1, np.cumsum(ops != UP) - 1
 
 
 def alignment(x: Sequence, y: Sequence) -> list[tuple[int, int]]:
@@ -248,59 +406,96 @@ def alignment(x: Sequence, y: Sequence) -> list[tuple[int, int]]:
 
 def edits(x: Sequence, y: Sequence) -> list[tuple[int, int, object, object]]:
     """The back-trace in order: (i, j, x[i], y[j]); None on the side that a deletion or an insertion lacks."""
-    rows, out = table(x, y), []
-    i, j = len(x), len(y)
-    while i or j:
-        diagonal = rows[i - 1, j - 1] if i and j else None
-        up = rows[i - 1, j] if i else None
-        left = rows[i, j - 1] if j else None
-        if diagonal is not None and (x[i - 1] == y[j - 1] or diagonal <= min(up, left)):
-            i, j = i - 1, j - 1
-            out.append((i, j, x[i], y[j]))
-        elif up is not None and (left is None or up <= left):
-            i -= 1
-            out.append((i, j, x[i], None))
-        else:
-            j -= 1
-            out.append((i, j, None, y[j]))
-    return out[::-1]
+    ops = paths(_numbered([x], [y]))[0]
+    i, j = places(ops)
+    return [(a + (op == LEFT), b + (op == UP), None if op == LEFT else x[a], None if op == UP else y[b]) for op, a, b in zip(ops.tolist(), i.tolist(), j.tolist(), strict=True)]
 
 
 def common_subsequence(x: Sequence, y: Sequence) -> list[tuple[int, int]]:
     """Places of a longest common subsequence."""
-    a, b = _numbered([x], [y])[0]
-    rows = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-    for i, v in enumerate(a, 1):
-        rows[i, 1:] = np.maximum.accumulate(np.maximum(rows[i - 1, 1:], rows[i - 1, :-1] + (b == v)))
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif rows[i - 1, j] >= rows[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
+    ops = paths(_numbered([x], [y]), common=True)[0]
+    i, j = places(ops)
+    return list(zip(i[ops == BOTH].tolist(), j[ops == BOTH].tolist(), strict=True))
 
 
 PAIRS = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
-EDITS = T.ArrayType(T.StructType([T.StructField("gt", T.StringType()), T.StructField("pred", T.StringType())]))
-
-
-@F.pandas_udf(PAIRS)
-def align(x: pd.Series, y: pd.Series) -> pd.Series:
-    """alignment() of two strings or arrays."""
-    return pd.Series([[{"i": i, "j": j} for i, j in alignment(a, b)] for a, b in zip(x, y, strict=True)])
+EDITS = T.ArrayType(T.StructType([T.StructField("gt", T.StringType()), T.StructField("pred", T.StringType()), T.StructField("n", T.LongType())]))
 
 
-@F.pandas_udf(PAIRS)
-def align_lcs(x: pd.Series, y: pd.Series) -> pd.Series:
-    """common_subsequence() of two strings or arrays."""
-    return pd.Series([[{"i": i, "j": j} for i, j in common_subsequence(a, b)] for a, b in zip(x, y, strict=True)])
+def _pairs_of(x: pa.Array, y: pa.Array, together: int = 4 << 20):
+    """Parts of two columns of strings or arrays: (their rows without nulls, integer arrays, the values that the integers stand for)."""
+    on = pc.and_(x.is_valid(), y.is_valid()).to_numpy(False)
+    rows, text = np.flatnonzero(on), pa.types.is_string(x.type) or pa.types.is_large_string(x.type)
+    size = np.cumsum([0, *(len(a) + len(b) for a, b in zip(x.take(pa.array(rows)).to_pylist(), y.take(pa.array(rows)).to_pylist(), strict=True))])
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(size, size[lo] + together, "right")) - 1)
+        some = pa.array(rows[lo:hi])
+        xs, ys = x.take(some).to_pylist(), y.take(some).to_pylist()
+        if text:
+            code = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.int64)
+            yield rows[lo:hi], [(code(a), code(b)) for a, b in zip(xs, ys, strict=True)]
+        else:
+            yield rows[lo:hi], _numbered(xs, ys)
+        lo = hi
 
 
-@F.pandas_udf(EDITS)
-def edit_pairs(gt: pd.Series, pred: pd.Series) -> pd.Series:
-    """Aligned characters of two strings; null where the other side has none."""
-    return pd.Series([[{"gt": p, "pred": q} for _, _, p, q in edits(a, b)] for a, b in zip(gt, pred, strict=True)])
+def _lists(n: int, rows: list[np.ndarray], sizes: list[np.ndarray], fields: dict[str, pa.Array], valid: np.ndarray) -> pa.Array:
+    """A column of lists of structs; rows not named are empty, or null where they are not valid."""
+    count = np.zeros(n, np.int64)
+    if rows:
+        count[np.concatenate(rows)] = np.concatenate(sizes)
+    at = pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
+    return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(list(fields.values()), list(fields)), mask=pa.array(~valid))
+
+
+def _aligned(x: pa.Array, y: pa.Array, common: bool) -> pa.Array:
+    rows, sizes, one, two = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for some, pairs in _pairs_of(x, y):
+        n = []
+        for (a, b), ops in zip(pairs, paths(pairs, common), strict=True):
+            i, j = places(ops)
+            on = ops == BOTH
+            i, j = i[on], j[on]
+            if not common:
+                i, j = i[a[i] == b[j]], j[a[i] == b[j]]
+            one.append(i), two.append(j), n.append(len(i))
+        rows.append(some), sizes.append(np.array(n))
+    fields = {k: pa.array(np.concatenate(v).astype(np.int32)) for k, v in (("i", one), ("j", two))}
+    return _lists(len(x), rows, sizes, fields, pc.and_(x.is_valid(), y.is_valid()).to_numpy(False))
+
+
+@F.arrow_udf(PAIRS)
+def align(x: pa.Array, y: pa.Array) -> pa.Array:
+    """alignment() of two strings or arrays; null where one is null."""
+    return _aligned(x, y, False)
+
+
+@F.arrow_udf(PAIRS)
+def align_lcs(x: pa.Array, y: pa.Array) -> pa.Array:
+    """common_subsequence() of two strings or arrays; null where one is null."""
+    return _aligned(x, y, True)
+
+
+#: Stands for the missing side of an insertion or a deletion; no code point.
+NO_CHARACTER = 0x110000
+
+
+@F.arrow_udf(EDITS)
+def edit_counts(gt: pa.Array, pred: pa.Array) -> pa.Array:
+    """Aligned characters of two strings and how often each pair occurs; null where the other side has none, and where one string is null."""
+    rows, sizes, keys, times = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for some, pairs in _pairs_of(gt, pred):
+        n = []
+        for (a, b), ops in zip(pairs, paths(pairs), strict=True):
+            i, j = places(ops)
+            left, right = (np.append(v, NO_CHARACTER)[np.where(ops == skip, len(v), at)] for v, at, skip in ((a, i, LEFT), (b, j, UP)))
+            key, count = np.unique(left << 32 | right, return_counts=True)
+            keys.append(key), times.append(count), n.append(len(key))
+        rows.append(some), sizes.append(np.array(n))
+    key, letters = np.concatenate(keys), {}
+    for side, code in (("gt", key >> 32), ("pred", key & 0xFFFFFFFF)):
+        values, index = np.unique(code, return_inverse=True)
+        texts = pa.array([None if v == NO_CHARACTER else chr(v) for v in values.tolist()], pa.string())
+        letters[side] = texts.take(pa.array(index.reshape(-1)))
+    return _lists(len(gt), rows, sizes, letters | {"n": pa.array(np.concatenate(times))}, pc.and_(gt.is_valid(), pred.is_valid()).to_numpy(False))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.alphabet import NULL_CODE, Alphabet
+from vellum.operators.ranking import CELL, before_cells, in_cells, same
 
 
 def half(scores: Column) -> Column:
@@ -36,21 +37,38 @@ def greedy_frames(frames: DataFrame, keys: Sequence[str], scores: str = "logits"
     return frames.select(*keys, best(F.col(scores)).alias("b")).select(*keys, "b.label", "b.score")
 
 
-def runs(frames: DataFrame, sequence: Sequence[str], time: str, label: str = "label", null: int = NULL_CODE) -> DataFrame:
-    """Frames that begin a run of equal labels, and each frame's run number, in columns `starts` and `run`."""
-    w = Window.partitionBy(*sequence).orderBy(time)
-    starts = F.coalesce(F.col(label) != F.lag(label).over(w), F.lit(True))
-    return frames.withColumn("starts", starts).withColumn("run", F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
+def runs(frames: DataFrame, sequence: Sequence[str], time: str, label: str = "label", rows: int | None = None) -> DataFrame:
+    """Frames that begin a run of equal labels, and each frame's run number, in columns `starts` and `run`.
 
-def ctc_scores(frames: DataFrame, sequence: Sequence[str], time: str, label: str = "label", score: str = "score", null: int = NULL_CODE) -> DataFrame:
+    A sequence of more than `rows` frames (ranking.ROWS) is cut into cells: runs are counted within each, and whether a cell begins with the label that the one
+    before ended with, and how many runs came before, is added from a table of one row a cell.
+    """
+    cut = in_cells(frames, sequence, [time], rows)
+    keys = [*sequence, CELL] if cut is not None else list(sequence)
+    w = Window.partitionBy(*keys).orderBy(time)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    starts = F.coalesce(F.col(label) != F.lag(label).over(w), F.lit(True))
+    if cut is None:
+        return frames.withColumn("starts", starts).withColumn("run", F.sum(F.col("starts").cast("int")).over(so_far))
+    inner = cut.withColumns({"starts": starts, "_first": F.row_number().over(w) == 1})
+    inner = inner.withColumn("_inner", (F.col("starts") & ~F.col("_first")).cast("int"))
+    cells = inner.groupBy(*keys).agg(F.min_by(label, time).alias("_head"), F.max_by(label, time).alias("_tail"), F.sum("_inner").alias("_n"))
+    border = F.coalesce(F.col("_head") != F.lag("_tail").over(Window.partitionBy(*sequence).orderBy(CELL)), F.lit(True))
+    cells = before_cells(cells.withColumn("_border", border), sequence, {"_before": F.sum(F.col("_n") + F.col("_border").cast("int"))})
+    cells = cells.select(*keys, "_border", (F.coalesce("_before", F.lit(0)) + F.col("_border").cast("int")).alias("_before"))
+    out = same(inner.withColumn("run", F.sum("_inner").over(so_far)), cells, keys)
+    out = out.withColumns({"starts": F.when(F.col("_first"), F.col("_border")).otherwise(F.col("starts")), "run": F.col("run") + F.col("_before")})
+    return out.select(*frames.columns, "starts", "run")
+
+
+def ctc_scores(frames: DataFrame, sequence: Sequence[str], time: str, label: str = "label", score: str = "score", null: int = NULL_CODE, rows: int | None = None) -> DataFrame:
     """(sequence..., run, label, score): one row for each run of a label other than null, with its largest score."""
-    return runs(frames, sequence, time, label).filter(F.col(label) != null).groupBy(*sequence, "run").agg(F.first(label).alias("label"), F.max(score).alias("score"))
+    return runs(frames, sequence, time, label, rows).filter(F.col(label) != null).groupBy(*sequence, "run").agg(F.first(label).alias("label"), F.max(score).alias("score"))
 
 
-def ctc_labels(frames: DataFrame, sequence: Sequence[str], time: str, label: str = "label", null: int = NULL_CODE) -> DataFrame:
+def ctc_labels(frames: DataFrame, sequence: Sequence[str], time: str, label: str = "label", null: int = NULL_CODE, rows: int | None = None) -> DataFrame:
     """Collapsed labels of each sequence as an array, in order of time."""
-    kept = runs(frames, sequence, time, label).filter(F.col("starts") & (F.col(label) != null))
+    kept = runs(frames, sequence, time, label, rows).filter(F.col("starts") & (F.col(label) != null))
     ordered = F.sort_array(F.collect_list(F.struct(time, label)))
     return kept.groupBy(*sequence).agg(F.transform(ordered, lambda x: x[label]).alias("labels"))
 

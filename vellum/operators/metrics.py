@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.distance import bit_distance, edit_distance, edit_pairs, masked_distance
+from vellum.functions.distance import bit_distance, edit_counts, edit_distance, masked_distance
 from vellum.functions.text import tokens
-from vellum.operators.ranking import numbered
+from vellum.operators.ranking import CELL, before_cells, in_cells, numbered, same
 
 
 class UnequalSides(ValueError):
@@ -67,13 +67,13 @@ def mask_rates(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def confusions(df: DataFrame, pred: str = "pred", gt: str = "gt", by: Sequence[str] = (), alphabet: str | None = None) -> DataFrame:
     """(by..., gt_char, pred_char, n, share): aligned characters, null for a missing side; share is of the gt_char's row.
 
-    Characters outside the alphabet, if one is given, are not counted.  The table is sparse; pivot it last.
+    Characters outside the alphabet, if one is given, are not counted.  The table is sparse; pivot it last.  A line's pairs are counted before they leave its row.
     """
-    rows = df.select(*by, F.explode(edit_pairs(F.col(gt), F.col(pred))).alias("e")).select(*by, F.col("e.gt").alias("gt_char"), F.col("e.pred").alias("pred_char"))
+    rows = df.select(*by, F.explode(edit_counts(F.col(gt), F.col(pred))).alias("e")).select(*by, F.col("e.gt").alias("gt_char"), F.col("e.pred").alias("pred_char"), F.col("e.n").alias("n"))
     if alphabet is not None:
         known = list(alphabet)
         rows = rows.filter((F.col("gt_char").isNull() | F.col("gt_char").isin(known)) & (F.col("pred_char").isNull() | F.col("pred_char").isin(known)))
-    counts = rows.groupBy(*by, "gt_char", "pred_char").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(*by, "gt_char", "pred_char").agg(F.sum("n").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by, "gt_char")))
 
 
@@ -89,8 +89,19 @@ def epoch_losses(log: DataFrame, epoch: str = "epoch", loss: str = "loss") -> Da
     return log.groupBy(epoch).agg(F.count(loss).alias("n"), F.avg(loss).alias("loss"))
 
 
-def epochs(log: DataFrame, by: Sequence[str] = (), epoch: str = "epoch", metric: str = "cer", patience: int = 50) -> DataFrame:
-    """A training log with the best value so far, its epoch, the epochs since and whether patience has run out."""
-    w = Window.partitionBy(*by).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
-    best = log.withColumn(f"best_{metric}", F.min(metric).over(w)).withColumn("best_epoch", F.min(F.struct(F.col(metric), F.col(epoch))).over(w)[epoch])
+def epochs(log: DataFrame, by: Sequence[str] = (), epoch: str = "epoch", metric: str = "cer", patience: int = 50, rows: int | None = None) -> DataFrame:
+    """A training log with the best value so far, its epoch, the epochs since and whether patience has run out; null values are never the best.
+
+    A log of more than `rows` rows (ranking.ROWS) is cut into cells, whose own minima meet those of the cells before.
+    """
+    value = F.when(F.col(metric).isNotNull(), F.struct(F.col(metric).alias("value"), F.col(epoch).alias("at")))
+    cut = in_cells(log, by, [epoch], rows)
+    keys = [*by, CELL] if cut is not None else list(by)
+    own = F.min(value).over(Window.partitionBy(*keys).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0))
+    if cut is None:
+        best = log.withColumn("_best", own)
+    else:
+        cells = before_cells(cut.groupBy(*keys).agg(F.min(value).alias("_least")), by, {"_before": F.min("_least")}).drop("_least")
+        best = same(cut.withColumn("_own", own), cells, keys).withColumn("_best", F.least("_own", "_before")).drop(CELL, "_own", "_before")
+    best = best.withColumns({f"best_{metric}": F.col("_best.value"), "best_epoch": F.col("_best.at")}).drop("_best")
     return best.withColumn("since_best", F.col(epoch) - F.col("best_epoch")).withColumn("stop", F.col("since_best") >= patience)

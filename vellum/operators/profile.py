@@ -7,12 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators import ranking
 
-def described(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Mean, median, smallest and largest of each column, cut to whole numbers, in columns `<column>_<measure>`, and n."""
+def described(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Mean, median, smallest and largest of each column, cut to whole numbers, in columns `<column>_<measure>`, and n.
+
+    Spark's exact median keeps the distinct values of a group; where a group has more than `rows` rows (ranking.ROWS), it is found by ranking.medians() instead.
+    """
     cut = lambda c: F.floor(c).cast("long")
     measures = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(cut(f(F.col(c))).alias(f"{c}_{m}") for c in columns for m, f in measures.items()))
+    made = lambda names: [cut(measures[m](F.col(c))).alias(f"{c}_{m}") for c in columns for m in names]
+    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= (rows or ranking.ROWS):
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *made(measures))
+    keys = list(by) or ["_every"]
+    if not by:
+        df = df.withColumn("_every", F.lit(True))
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *made([m for m in measures if m != "median"]))
+    for c in columns:
+        out = ranking.same(out, ranking.medians(df, c, keys, f"{c}_median", rows), keys, "left").withColumn(f"{c}_median", cut(F.col(f"{c}_median")))
+    return out.select(*by, "n", *(f"{c}_{m}" for c in columns for m in measures))
 
 
 def summary(df: DataFrame, title: str = "") -> str:

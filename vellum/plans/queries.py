@@ -315,6 +315,20 @@ def confusion_counts(spark, d):
     return out.select("gt_char", "pred_char", "n", _round(F.col("share")).alias("share"))
 
 
+@query()
+def confusion_documents(spark, d):
+    """confusion_counts over every line of documents, by language."""
+    out = metrics.confusions(_read(_lines(spark, d, "lang")), by=["lang"])
+    return out.select("lang", "gt_char", "pred_char", "n", _round(F.col("share")).alias("share"))
+
+
+@query()
+def alignment_lines(spark, d):
+    """alignment_pairs over every line of documents, the longest included."""
+    rows = _read(_lines(spark, d))
+    return rows.select("doc_id", "line_pos", F.size(distance.align("pred", "gt")).alias("n_aligned"), F.size(distance.align_lcs("pred", "gt")).alias("n_lcs"))
+
+
 @query()
 def confusion_batches(spark, d):
     out = metrics.mean_confusions(_read(_table(spark, d, "conversations")), "conv_id")
