@@ -71,10 +71,42 @@ def extended(found_regions: DataFrame, found_lines: DataFrame, key: str = "page_
     return rows.withColumn("l", F.least("l", "_l")).withColumn("t", F.least("t", "_t")).withColumn("r", F.greatest("r", "_r")).withColumn("b", F.greatest("b", "_bb")).drop("_l", "_t", "_r", "_bb")
 
 
-def contained(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Inner boxes (l, t, r, b) with each outer box (ol, ot, or_, ob) of the same page that holds them, borders included."""
+#: Outer boxes of a page from which it is divided into cells.
+CROWDED = 64
+
+
+def _level(size: Column) -> Column:
+    """The exponent of the smallest power of two that is not below a size, -20 at least."""
+    return F.greatest(F.ceil(F.log2(F.greatest(size.cast("double"), F.lit(2.0**-20)))), F.lit(-20)).cast("int")
+
+
+def _cell(x: Column, level: Column) -> Column:
+    return F.floor(x.cast("double") / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def contained(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = ("page_id",), crowded: int = CROWDED) -> DataFrame:
+    """Inner boxes (l, t, r, b) with each outer box (ol, ot, or_, ob) of the same page that holds them, borders included.
+
+    Pages of few outer boxes are joined by their key.  On the others, an outer box lies in the two or so cells a side of a grid as wide and as
+    high as itself, rounded up to powers of two, and an inner box looks up the one cell of its top left corner in each grid of that table that is no finer than itself: each pair is
+    found once, and boxes far apart never meet.  Null places, and boxes that end before they begin, hold nothing and are held by nothing.
+    """
+    keys = list(keys)
+    inner = inner.filter((F.col("l") <= F.col("r")) & (F.col("t") <= F.col("b")))
+    outer = outer.filter((F.col("ol") <= F.col("or_")) & (F.col("ot") <= F.col("ob")))
     holds = (F.col("l") >= F.col("ol")) & (F.col("t") >= F.col("ot")) & (F.col("r") <= F.col("or_")) & (F.col("b") <= F.col("ob"))
-    return inner.join(outer, list(keys)).filter(holds)
+    full = outer.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded).select(*keys)
+    few = inner.join(outer.join(full, keys, "left_anti"), keys).filter(holds)
+    many = outer.join(full, keys, "left_semi").withColumns({"_w": _level(F.col("or_") - F.col("ol")), "_h": _level(F.col("ob") - F.col("ot"))})
+    side = lambda lo, hi, level: F.sequence(_cell(F.col(lo), F.col(level)), _cell(F.col(hi), F.col(level)))
+    spread = many.withColumn("_x", F.explode(side("ol", "or_", "_w"))).withColumn("_y", F.explode(side("ot", "ob", "_h")))
+    # the grids in use, a few hundred at most: sizes come in powers of two
+    grids = many.agg(F.collect_set(F.struct("_w", "_h"))).scalar()
+    asked = inner.join(full, keys, "left_semi").withColumns({"_w0": _level(F.col("r") - F.col("l")), "_h0": _level(F.col("b") - F.col("t")), "_grids": grids})
+    asked = asked.withColumn("_g", F.explode(F.filter("_grids", lambda g: (g["_w"] >= F.col("_w0")) & (g["_h"] >= F.col("_h0"))))).select(*inner.columns, "_g._w", "_g._h")
+    asked = asked.withColumns({"_x": _cell(F.col("l"), F.col("_w")), "_y": _cell(F.col("t"), F.col("_h"))})
+    met = asked.join(spread, [*keys, "_w", "_h", "_x", "_y"]).filter(holds).drop("_w", "_h", "_x", "_y")
+    return few.unionByName(met)
 
 
 def in_grid(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
