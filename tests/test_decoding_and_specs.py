@@ -38,6 +38,53 @@ def frames(spark):
     return spark.createDataFrame([(1, t, [float(x) for x in s]) for t, s in enumerate(scores)], "seq int, t int, logits array<float>")
 
 
+def plain_beam(probabilities, width):
+    """Prefixes as tuples in a dictionary."""
+    beams = {(): (0.0, -np.inf)}
+    for frame in np.log(probabilities):
+        found = {}
+        add = lambda prefix, k, v, found=found: found.setdefault(prefix, [-np.inf, -np.inf]).__setitem__(k, np.logaddexp(found[prefix][k], v))
+        for prefix, (blank, label) in beams.items():
+            add(prefix, 0, np.logaddexp(blank, label) + frame[0])
+            if prefix:
+                add(prefix, 1, label + frame[prefix[-1]])
+            for s in range(1, len(frame)):
+                add((*prefix, s), 1, (blank if prefix[-1:] == (s,) else np.logaddexp(blank, label)) + frame[s])
+        beams = dict(sorted(found.items(), key=lambda x: (-np.logaddexp(*x[1]), x[0]))[:width])
+    prefix, two = next(iter(beams.items()))
+    return list(prefix), float(np.logaddexp(*two))
+
+
+@pytest.mark.parametrize("prune", [3, 4096])
+def test_beams_on_a_trie(spark, monkeypatch, prune):
+    """Against plain prefixes, with the trie pruned all the time or never, and over batches of three frames."""
+    monkeypatch.setattr(decoding.Beams, "PRUNE", prune)
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        x = rng.random((rng.integers(0, 25), rng.integers(2, 6))) + 0.01
+        x = np.round(x * 2) / 2 + 0.5 if seed % 3 == 0 else x  # ties
+        for width in (1, 3, 20):
+            labels, p = decoding.beam(x, width)
+            want, q = plain_beam(x, width)
+            assert labels == want and p == pytest.approx(q)
+    beams = decoding.Beams(3)
+    for frame in np.log(np.random.default_rng(1).random((3000, 12)) ** 9):
+        beams.frame(frame)
+    labels, _ = beams.result()
+    assert len(labels) > 1000 and len(beams.parent) <= 3 * prune + 9 * len(labels)
+    rng = np.random.default_rng(7)
+    rows = [(s, t, rng.normal(size=4).tolist()) for s, n in ((1, 40), (2, 1), (None, 17)) for t in range(n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.s: r for r in decoding.beam_decoded(spark.createDataFrame(rows, "s int, t int, logits array<float>").repartition(3), ["s"], "t").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for s in (1, 2, None):
+        e = np.exp(np.array([v for k, _, v in rows if k == s], np.float32).astype(float))
+        want, q = plain_beam(e / e.sum(axis=1, keepdims=True), 3)
+        assert got[s].labels == want and got[s].log_p == pytest.approx(q, abs=1e-5)
+
+
 def test_greedy_and_scores(spark):
     f = decoding.greedy_frames(frames(spark), ["seq", "t"])
     assert [r.label for r in f.orderBy("t").collect()] == [2, 1, 0, 1, 1, 2, 1]

@@ -279,3 +279,80 @@ def test_contained_on_a_page_of_very_many_boxes(spark):
     assert got.count() == want > 1000
     met = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in met and "NestedLoop" not in met
+
+
+def star(rng, n, size):
+    """A polygon whose edges may cross."""
+    return [[rng.randint(-size // 4, size + size // 4), rng.randint(-size // 4, size + size // 4)] for _ in range(n)]
+
+
+def test_spans_are_those_of_the_mask(spark):
+    rng = random.Random(9)
+    shapes = [star(rng, rng.randint(3, 9), 40) for _ in range(60)] + [[[0, 0], [40, 0], [40, 30], [0, 30]], [[1, 1], [2, 2]], [], [[5, 5], [5, 5], [5, 5]]]
+    for p in shapes:
+        mask = np.zeros((30, 40), bool)
+        for top, bottom in ((0, 11), (11, 30)):
+            for y, lo, hi in zip(*raster.polygon_spans(p, top, bottom, 40), strict=True):
+                assert top <= y < bottom and not mask[y, lo:hi].any()
+                mask[y, lo:hi] = True
+        assert (mask == raster.polygon_mask(p, 30, 40)).all()
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(shapes)] + [(99, None)], "k int, p array<array<int>>")
+    got = {r.k: r.a for r in df.select("k", raster.area(F.col("p"), F.lit(30), F.lit(40)).alias("a")).collect()}
+    assert got == {k: int(raster.polygon_mask(p, 30, 40).sum()) for k, p in enumerate(shapes)} | {99: None}
+
+
+@pytest.mark.parametrize("tile", [7, 256])
+def test_sums_of_masks_by_tile(spark, tile):
+    rng = random.Random(10)
+    rows = [(page, k, star(rng, rng.randint(3, 7), 50)) for page in ("a", "b", None) for k in range(12)] + [("a", 90, None), ("b", 91, [])]
+    df = spark.createDataFrame(rows, "page_id string, line int, coords array<array<int>>").repartition(3)
+    want = {page: sum(raster.polygon_mask(p, 45, 60).astype(int) for q, _, p in rows if q == page and p) for page in ("a", "b", None)}
+    found = {page: np.zeros((70, 300), int) for page in want}
+    tiles = raster.mask_tiles(df, ["page_id"], "coords", 45, 60, tile)
+    for r in tiles.collect():
+        assert all(x.lo < x.hi and x.y // tile == r.tile_row and x.lo // tile == (x.hi - 1) // tile == r.tile_col for x in r.runs)
+        for x in r.runs:
+            found[r.page_id][x.y, x.lo : x.hi] += x.n
+    assert all((found[k][:45, :60] == w).all() and found[k].sum() == w.sum() for k, w in want.items())
+    cover = {r.page_id: (r.covered, r.total, r.most) for r in raster.page_cover(df, ["page_id"], "coords", 45, 60, tile).collect()}
+    assert cover == {k: (int((w > 0).sum()), int(w.sum()), int(w.max())) for k, w in want.items()}
+    image = tiles.select("page_id", "tile_row", "tile_col", raster.tile_image(runs=F.col("runs"), row=F.col("tile_row"), col=F.col("tile_col"), tile=F.lit(tile)).alias("i")).filter("page_id = 'a' and tile_row = 0 and tile_col = 0").first().i
+    part = raster.array_of(image.asDict())[:, :, 0]
+    assert (part[:45, :60] == want["a"][:tile, :tile]).all()
+
+
+def test_a_page_too_large_for_a_bitmap(spark):
+    """10**6 by 10**6 pixels: a thin frame and a square."""
+    n = 1_000_000
+    df = spark.createDataFrame([("p", [[0, 10], [n, 10], [n, 12], [0, 12]]), ("p", [[n - 300, 0], [n, 0], [n, 300], [n - 300, 300]])], "page_id string, coords array<array<int>>")
+    assert tuple(raster.page_cover(df, ["page_id"], "coords", n, n, 4096).first()) == ("p", 2 * n + 300 * 300 - 600, 2 * n + 300 * 300, 2)
+
+
+def test_incremental_jobs_make_each_output_once(spark, tmp_path):
+    from vellum.streaming import incremental
+
+    def put(name, *rows):
+        (tmp_path / "new").mkdir(exist_ok=True)
+        (tmp_path / "new" / name).write_text("".join(json.dumps({"page_id": k, "text": t}) + "\n" for k, t in rows))
+
+    def run(done=None, work=lambda df: df.select("page_id", F.upper("text").alias("text"))):
+        source = spark.readStream.schema("page_id string, text string").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/new")
+        incremental.advance(source, work, ["page_id"], f"{tmp_path}/out", f"{tmp_path}/state", done)
+        return sorted((r.page_id, r.text) for r in incremental.outputs(spark, f"{tmp_path}/out").collect())
+
+    def dies(number):
+        raise RuntimeError("lost after the output, before the commit")
+
+    def broken(df):
+        return df.select("page_id", F.raise_error(F.lit("lost in the middle of a batch")).cast("string").alias("text"))
+
+    put("1.json", ("a", "x"), ("b", "y"), ("b", "y"))
+    assert run() == [("a", "X"), ("b", "Y")]
+    assert run() == [("a", "X"), ("b", "Y")]
+    put("2.json", ("c", "z"), ("a", "again"))
+    put("3.json", ("d", "w"))
+    for options in ({"done": dies}, {"work": broken}):
+        with pytest.raises(Exception, match="lost"):
+            run(**options)
+    assert run() == [("a", "X"), ("b", "Y"), ("c", "Z"), ("d", "W")]
+    assert run() == [("a", "X"), ("b", "Y"), ("c", "Z"), ("d", "W")]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -121,3 +122,38 @@ def test_small_functions(spark):
     assert one(spark, tokens, "a  b") == ["a", "", "b"]
     assert one(spark, lambda c: without(c, "ab"), "cabbage") == "cge"
     assert one(spark, blank, "  \n") is True and one(spark, blank, "x") is False and one(spark, blank, None) is True
+
+
+def test_trie_takes_the_longest_from_the_left():
+    rng = random.Random(3)
+
+    def plain(text, symbols):
+        out, i = [], 0
+        while i < len(text):
+            out.append(max((s for s in symbols if text.startswith(s, i)), key=len, default=text[i]))
+            i += len(out[-1])
+        return out
+
+    mine = lambda trie, t: [x for lo, hi, s in trie.cut(t) for x in (*t[lo:hi], *([s] if s else []))]
+    for k in range(3000):
+        letters = "ab" if k % 2 else "abé👍"
+        symbols = {"".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(1, 6))}
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))
+        assert mine(alpha.Trie(symbols), text) == plain(text, symbols)
+    # time follows the text, not the symbols: each of these would take minutes if places were looked at one by one
+    began = time.monotonic()
+    for symbols, text in (({"a" * 2000 + "b", "aa"}, "a" * 200_000), ({"".join(rng.choice("abcdef") for _ in range(rng.randint(2, 9))) for _ in range(10_000)}, "fedcab " * 30_000)):
+        assert "".join(mine(alpha.Trie(symbols), text)) == text
+    assert time.monotonic() - began < 20
+
+
+def test_many_compound_symbols(spark):
+    rng = random.Random(5)
+    compound = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(2, 7))) for _ in range(10_000)})
+    a = Alphabet.from_classes([*"abcd", *compound])
+    texts = ["".join(rng.choice("abcdx ") for _ in range(300)) for _ in range(40)] + ["", None, "x", "a"]
+    trie = alpha.Trie(compound)
+    want = [None if t is None else [x for lo, hi, s in trie.cut(t) for x in (*t[lo:hi], *([s] if s else []))] for t in texts]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(a.symbols(F.col("t")), a.encode(F.col("t"), normal=False)).collect()
+    assert [r[0] for r in got] == want
+    assert [r[1] for r in got] == [None if w is None else [a.codes.get(x, 1) for x in w] for w in want]

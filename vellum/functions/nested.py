@@ -20,7 +20,8 @@ def deep_sorted(values: Column) -> Column:
 
 def unzipped(rows: Column, *fields: str) -> Column:
     """An array of structs as a struct of arrays."""
-    return F.struct(*(F.transform(rows, lambda r, f=f: r[f]).alias(f) for f in fields))
+    side = lambda f: F.transform(rows, lambda r: r[f])
+    return F.struct(*(side(f).alias(f) for f in fields))
 
 
 def padded(values: Column, width: Column | int, fill: Column | int | float = 0) -> Column:

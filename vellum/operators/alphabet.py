@@ -6,11 +6,11 @@ processed without joins or shuffles.  Prototypes come from the distinct characte
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,22 +149,23 @@ class Alphabet:
 
     def symbols(self, text: Column) -> Column:
         """The text cut into symbols: at each place the longest symbol of several characters that begins there, else one character."""
-        long = sorted((s for s in self.codes if len(s) > 1), key=lambda s: (-len(s), s))
-        if not long:
-            return characters(text)
-        quoted = "|".join(re.sub(r"([^\w\s])", r"\\\1", s) for s in long)
-        return F.regexp_extract_all(text, F.lit(f"(?s){quoted}|."), F.lit(0))
+        long = {s: c for s, c in self.codes.items() if len(s) > 1}
+        return _cut(text, long, "array<string>", lambda t, found: [x for lo, hi, s in found for x in (*t[lo:hi], *([s] if s else []))]) if long else characters(text)
 
     def encode(self, text: Column, normal: bool = True, tokenizer: Callable[[Column], Column] | None = None) -> Column:
         """array<int> of codes; unknown symbols get 1.  normal: bring the text to its normal form first.
 
         tokenizer: a function from a column of texts to one of arrays of symbols; without one a text is cut by symbols().
-        Characters are first moved to code points from BASE on, by code, whose numbers are then read off; alphabets
-        with symbols of several characters, and tokenizers, look each symbol up in a map.
+        Characters are first moved to code points from BASE on, by code, whose numbers are then read off.  Alphabets with symbols of several characters find
+        these by an automaton, in time that does not depend on how many there are; symbols of a tokenizer are looked up in a map.
         """
-        if tokenizer is not None or any(len(s) > 1 for s in self.codes):
+        if tokenizer is not None:
             table = F.create_map(*(F.lit(x) for s, c in sorted(self.codes.items()) for x in (s, c)))
-            return F.transform((tokenizer or self.symbols)(normalized(text) if normal else text), lambda s: F.coalesce(F.try_element_at(table, s), F.lit(UNKNOWN_CODE)))
+            return F.transform(tokenizer(normalized(text) if normal else text), lambda s: F.coalesce(F.try_element_at(table, s), F.lit(UNKNOWN_CODE)))
+        if long := {s: c for s, c in self.codes.items() if len(s) > 1}:
+            one = {s: c for s, c in self.codes.items() if len(s) == 1}
+            codes = lambda t, found: [x for lo, hi, s in found for x in (*(one.get(c, UNKNOWN_CODE) for c in t[lo:hi]), *([long[s]] if s else []))]
+            return _cut(normalized(text) if normal else text, long, "array<int>", codes)
         of = {s: chr(BASE + c) for s, c in self.codes.items() if len(s) == 1}
         moved = self._translated(normalized(text) if normal else text, of, chr(BASE + UNKNOWN_CODE))
         return F.transform(characters(moved), lambda c: F.ascii(c) - BASE)
@@ -200,6 +201,69 @@ class Alphabet:
         return self._translated(text, single, UNKNOWN)
 
 
+class Trie:
+    """Strings of several characters as a trie with failure links, in flat tables, read backwards.
+
+    Reading a text from its end, the state is the longest part read that some string ends with, so the longest string of the state is the
+    longest that begins at this place of the text: one pass, whatever the strings; a second one from the left takes them.
+    """
+
+    def __init__(self, strings: Iterable[str]):
+        self.after: list[dict[str, int]] = [{}]
+        depth, ends = [0], [False]
+        for s in strings:
+            at = 0
+            for c in reversed(s):
+                if c not in self.after[at]:
+                    self.after[at][c] = len(self.after)
+                    self.after.append({}), depth.append(depth[at] + 1), ends.append(False)
+                at = self.after[at][c]
+            ends[at] = True
+        # by breadth: where to go on when a character does not follow, and the length of the longest string that the state ends with
+        self.fail, self.longest = [0] * len(depth), [0] * len(depth)
+        queue = [0]
+        for at in queue:
+            for c, to in self.after[at].items():
+                queue.append(to)
+                if at:
+                    back = self.fail[at]
+                    while back and c not in self.after[back]:
+                        back = self.fail[back]
+                    self.fail[to] = self.after[back].get(c, 0)
+                self.longest[to] = depth[to] if ends[to] else self.longest[self.fail[to]]
+
+    def cut(self, text: str) -> list[tuple[int, int, str | None]]:
+        """(lo, hi, string): the longest string from the left at a time; places lo to hi before it are single characters, and the last part has no string."""
+        at, found = 0, []
+        for i in range(len(text) - 1, -1, -1):
+            c = text[i]
+            while at and c not in self.after[at]:
+                at = self.fail[at]
+            at = self.after[at].get(c, 0)
+            if self.longest[at]:
+                found.append((i, self.longest[at]))
+        out, lo = [], 0
+        for i, n in reversed(found):
+            if i >= lo:
+                out.append((lo, i, text[i : i + n]))
+                lo = i + n
+        out.append((lo, len(text), None))
+        return out
+
+
+def _cut(text: Column, long: dict[str, int], kind: str, made: Callable) -> Column:
+    """made(text, its Trie.cut()) of each text as a column; null for null."""
+    held: list[Trie] = []  # one for each worker's function
+
+    @F.arrow_udf(kind)
+    def run(column: pa.Array) -> pa.Array:
+        if not held:
+            held.append(Trie(long))
+        return pa.array([None if t is None else made(t, held[0].cut(t)) for t in column.to_pylist()], pa.list_(pa.string() if "string" in kind else pa.int32()))
+
+    return run(text)
+
+
 def ranges(symbols: Iterable[str]) -> str:
     """The inside of a regular expression's character class for these characters: neighbours as ranges, since each part costs time for each character."""
     out: list[list[int]] = []
@@ -216,6 +280,14 @@ def collapsed(labels: Column, null: int = NULL_CODE) -> Column:
     return F.filter(labels, lambda v, i: (v != null) & ((i == 0) | (v != F.get(labels, i - 1))))
 
 
+def own_codes(text: Column, null: str = NULL) -> Column:
+    """array<(symbol, code)>: a text's own alphabet, its distinct characters by code point from 1, and the null symbol as 0 unless the text holds it."""
+    found = F.array_sort(F.array_distinct(characters(text)))
+    codes = F.transform(found, lambda s, i: F.struct(s.alias("symbol"), (i + 1).cast("int").alias("code")))
+    first = F.array(F.struct(F.lit(null).alias("symbol"), F.lit(0).alias("code")))
+    return F.when(F.array_contains(found, null), codes).otherwise(F.concat(first, codes))
+
+
 def duplicates(groups: Sequence[Sequence[str]]) -> list[str]:
     return sorted(s for s, n in Counter(s for g in groups for s in g).items() if n > 1)
 

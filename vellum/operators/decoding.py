@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,45 +91,147 @@ def predicted(rows: DataFrame, alphabet: Alphabet, frames: str = "frames", lengt
     return rows.withColumn("prediction", alphabet.decode_ctc(labels)).withColumn("scores", F.aggregate("_best", start, step, lambda s: s["out"])).drop("_best")
 
 
-def beam(probabilities: np.ndarray, width: int = 3, null: int = NULL_CODE) -> tuple[list[int], float]:
-    """Prefix beam search over (time, classes): the most probable collapsed labels among the prefixes kept, and their log probability.
+class Beams:
+    """Prefix beam search over one frame after another.
 
-    Prefixes of equal labels are one, whatever the frames they come from.  Ties keep the smaller labels.
+    Prefixes are nodes of a trie, so a beam is a number, and equal prefixes are one whatever the frames they come from.  From time to time
+    what all beams have in common is moved to `said`, and nodes that no beam leads to are dropped: the state is the labels and
+    as much of the trie as the beams differ in, however many frames have passed.  Ties keep the smaller labels.
     """
+
+    #: Nodes from which the trie is pruned.
+    PRUNE = 4096
+
+    def __init__(self, width: int = 3, null: int = NULL_CODE):
+        self.width, self.null = width, null
+        self.said: list[int] = []
+        self.parent, self.label, self.child, self.limit = [-1], [-1], {}, self.PRUNE
+        self.nodes, self.blank, self.value = [0], np.zeros(1), np.full(1, -np.inf)
+
+    def prefix(self, node: int) -> list[int]:
+        """Labels from the root of the trie."""
+        out = []
+        while self.parent[node] >= 0:
+            out.append(self.label[node])
+            node = self.parent[node]
+        return out[::-1]
+
+    def frame(self, logs: np.ndarray) -> None:
+        """Takes the log probabilities of the classes."""
+        row = np.arange(len(self.nodes))
+        last = np.array([self.label[n] for n in self.nodes])
+        both = np.logaddexp(self.blank, self.value)
+        some = last >= 0
+        kept = np.where(some, self.value + logs[last], -np.inf)
+        grown = both[:, None] + logs
+        grown[row[some], last[some]] = self.blank[some] + logs[last[some]]
+        grown[:, self.null] = -np.inf
+        place = {n: k for k, n in enumerate(self.nodes)}
+        for k, n in enumerate(self.nodes):  # a beam that another one grows into
+            if (p := place.get(self.parent[n])) is not None:
+                kept[k] = np.logaddexp(kept[k], grown[p, last[k]])
+                grown[p, last[k]] = -np.inf
+        blank = both + logs[self.null]
+        total = np.concatenate([np.logaddexp(blank, kept), grown.ravel()])
+        best = self._best(total)
+        classes, n = len(logs), len(self.nodes)
+        nodes = [self.nodes[k] if k < n else self._grown(self.nodes[(k - n) // classes], (k - n) % classes) for k in best]
+        best = np.array(best)
+        stays = best < n
+        self.blank = np.where(stays, blank[np.minimum(best, n - 1)], -np.inf)
+        self.value = np.where(stays, kept[np.minimum(best, n - 1)], total[best])
+        self.nodes = nodes
+        if len(self.parent) > self.limit:
+            self._prune()
+
+    def _best(self, total: np.ndarray) -> list[int]:
+        """The places of the largest totals in order, equal ones by their labels."""
+        width = min(self.width, int(np.count_nonzero(total > -np.inf)))
+        if not width:
+            return list(range(len(self.nodes)))
+        least = -np.partition(-total, width - 1)[width - 1]
+        found = np.flatnonzero(total >= least)
+        found = found[np.argsort(-total[found], kind="stable")]
+        if (np.diff(total[found]) == 0).any():
+            n, classes = len(self.nodes), (len(total) - len(self.nodes)) // len(self.nodes)
+            labels = lambda k: self.prefix(self.nodes[k]) if k < n else [*self.prefix(self.nodes[(k - n) // classes]), (k - n) % classes]
+            return sorted(found.tolist(), key=lambda k: (-total[k], labels(k)))[:width]
+        return found[:width].tolist()
+
+    def _grown(self, node: int, label: int) -> int:
+        if (node, label) not in self.child:
+            self.child[node, label] = len(self.parent)
+            self.parent.append(node), self.label.append(label)
+        return self.child[node, label]
+
+    def _prune(self) -> None:
+        paths = []
+        for n in self.nodes:
+            path = [n]
+            while self.parent[path[-1]] >= 0:
+                path.append(self.parent[path[-1]])
+            paths.append(path[::-1])
+        depth = 0
+        while all(len(p) > depth + 1 and p[depth + 1] == paths[0][depth + 1] for p in paths):
+            depth += 1
+        self.said += [self.label[n] for n in paths[0][1 : depth + 1]]
+        parent, label, number = [-1], [self.label[paths[0][depth]]], {paths[0][depth]: 0}
+        for p in paths:
+            for n in p[depth + 1 :]:
+                if n not in number:
+                    number[n] = len(parent)
+                    parent.append(number[self.parent[n]]), label.append(self.label[n])
+        self.nodes = [number[n] for n in self.nodes]
+        self.parent, self.label = parent, label
+        self.child = {(p, x): k for k, (p, x) in enumerate(zip(parent, label, strict=True)) if k}
+        self.limit = self.PRUNE + 2 * len(parent)
+
+    def result(self) -> tuple[list[int], float]:
+        return [*self.said, *self.prefix(self.nodes[0])], float(np.logaddexp(self.blank[0], self.value[0]))
+
+
+def beam(probabilities: np.ndarray, width: int = 3, null: int = NULL_CODE) -> tuple[list[int], float]:
+    """Prefix beam search over (time, classes): the most probable collapsed labels among the prefixes kept, and their log probability."""
+    beams = Beams(width, null)
     with np.errstate(divide="ignore"):
         logs = np.log(np.asarray(probabilities, float))
-    beams: dict[tuple[int, ...], tuple[float, float]] = {(): (0.0, -np.inf)}
     for frame in logs:
-        found: dict[tuple[int, ...], list[float]] = {}
-
-        def add(prefix, blank, value, found=found):
-            two = found.setdefault(prefix, [-np.inf, -np.inf])
-            two[0 if blank else 1] = np.logaddexp(two[0 if blank else 1], value)
-
-        for prefix, (blank, label) in beams.items():
-            both = np.logaddexp(blank, label)
-            add(prefix, True, both + frame[null])
-            if prefix:
-                add(prefix, False, label + frame[prefix[-1]])
-            for s in range(len(frame)):
-                if s != null:
-                    add((*prefix, s), False, (blank if prefix and s == prefix[-1] else both) + frame[s])
-        ranked = sorted(found.items(), key=lambda x: (-np.logaddexp(*x[1]), x[0]))
-        beams = {k: (v[0], v[1]) for k, v in ranked[:width]}
-    labels, two = next(iter(beams.items()))
-    return list(labels), float(np.logaddexp(*two))
+        beams.frame(frame)
+    return beams.result()
 
 
 def beam_decoded(frames: DataFrame, sequence: Sequence[str], time: str, scores: str = "logits", width: int = 3, softmax: bool = True) -> DataFrame:
-    """(sequence..., labels, log_p) by beam search; one sequence's frames are read together."""
-    schema = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in sequence) + ", labels array<int>, log_p double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values(time)[scores].to_numpy()).astype(float)
-        if softmax:
-            x = np.exp(x - x.max(axis=1, keepdims=True))
-            x /= x.sum(axis=1, keepdims=True)
-        labels, p = beam(x, width)
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in sequence), labels, p]], columns=[*sequence, "labels", "log_p"])
-
-    return frames.select(*sequence, time, scores).groupBy(*sequence).applyInPandas(run, schema)
+    """(sequence..., labels, log_p) by beam search.
+
+    Frames stream through a task in order, with one sequence's beams as the state that goes from one batch to the next, so that
+    a sequence may be longer than memory.
+    """
+    schema = ", ".join(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in sequence) + ", labels array<int>, log_p double"
+
+    def run(batches):
+        now, beams = None, None
+
+        def ended():
+            labels, p = beams.result()
+            columns = [pa.array([v], kinds[c]) for c, v in zip(sequence, now, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([labels], pa.list_(pa.int32())), pa.array([p])], [*sequence, "labels", "log_p"])
+
+        kinds = {}
+        for batch in batches:
+            kinds = kinds or {c: batch.schema.field(c).type for c in sequence}
+            column = batch.column("_scores")
+            values, at = column.values.to_numpy(False), column.offsets.to_numpy(False)
+            keys = list(zip(*(batch.column(c).to_pylist() for c in sequence), strict=True))
+            for k, key in enumerate(keys):
+                if key != now:
+                    if beams is not None:
+                        yield ended()
+                    now, beams = key, Beams(width)
+                x = values[at[k] : at[k + 1]]
+                with np.errstate(divide="ignore"):
+                    beams.frame(x - x.max() - np.log(np.exp(x - x.max()).sum()) if softmax else np.log(x))
+        if beams is not None:
+            yield ended()
+
+    rows = frames.select(*sequence, time, F.col(scores).cast("array<double>").alias("_scores"))
+    return rows.repartition(*sequence).sortWithinPartitions(*sequence, time).mapInArrow(run, schema)

@@ -89,12 +89,15 @@ def epoch_losses(log: DataFrame, epoch: str = "epoch", loss: str = "loss") -> Da
     return log.groupBy(epoch).agg(F.count(loss).alias("n"), F.avg(loss).alias("loss"))
 
 
-def epochs(log: DataFrame, by: Sequence[str] = (), epoch: str = "epoch", metric: str = "cer", patience: int = 50, rows: int | None = None) -> DataFrame:
+def epochs(log: DataFrame, by: Sequence[str] = (), epoch: str = "epoch", metric: str = "cer", patience: int = 50, rows: int | None = None, later: bool = False, worst: float | None = None) -> DataFrame:
     """A training log with the best value so far, its epoch, the epochs since and whether patience has run out; null values are never the best.
 
+    later: of equal values the last epoch is the best one, else the first.  worst: larger values are never the best.
     A log of more than `rows` rows (ranking.ROWS) is cut into cells, whose own minima meet those of the cells before.
     """
-    value = F.when(F.col(metric).isNotNull(), F.struct(F.col(metric).alias("value"), F.col(epoch).alias("at")))
+    at = -F.col(epoch) if later else F.col(epoch)
+    counts = F.col(metric).isNotNull() if worst is None else F.col(metric) <= worst
+    value = F.when(counts, F.struct(F.col(metric).alias("value"), at.alias("at")))
     cut = in_cells(log, by, [epoch], rows)
     keys = [*by, CELL] if cut is not None else list(by)
     own = F.min(value).over(Window.partitionBy(*keys).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0))
@@ -103,5 +106,22 @@ def epochs(log: DataFrame, by: Sequence[str] = (), epoch: str = "epoch", metric:
     else:
         cells = before_cells(cut.groupBy(*keys).agg(F.min(value).alias("_least")), by, {"_before": F.min("_least")}).drop("_least")
         best = same(cut.withColumn("_own", own), cells, keys).withColumn("_best", F.least("_own", "_before")).drop(CELL, "_own", "_before")
-    best = best.withColumns({f"best_{metric}": F.col("_best.value"), "best_epoch": F.col("_best.at")}).drop("_best")
+    best = best.withColumns({f"best_{metric}": F.col("_best.value"), "best_epoch": -F.col("_best.at") if later else F.col("_best.at")}).drop("_best")
     return best.withColumn("since_best", F.col(epoch) - F.col("best_epoch")).withColumn("stop", F.col("since_best") >= patience)
+
+
+def training(log: DataFrame, by: Sequence[str] = (), epoch: str = "epoch", metric: str = "cer", lr: float = 1e-3, max_epoch: Column | None = None, patience: int = 50, rows: int | None = None) -> DataFrame:
+    """A log of epochs from 0 as a training run would have seen it: epochs() with the last best one on ties and 1 as the value to beat, lr, and `ran`.
+
+    lr falls to a tenth at half and at three quarters of the epochs planned (max_epoch, a column; by default as many as the log has).  A run ends with the first epoch whose
+    distance from the best one, or from -1 while there is none, is over the patience; ran is false for the epochs after it.
+    """
+    seen = log.groupBy(*by).agg(F.count(F.lit(1)).alias("_planned"))
+    out = epochs(log, by, epoch, metric, patience, rows, later=True, worst=1.0).withColumn("best_epoch", F.coalesce("best_epoch", F.lit(-1)))
+    out = out.withColumns({f"best_{metric}": F.coalesce(f"best_{metric}", F.lit(1.0)), "since_best": F.col(epoch) - F.col("best_epoch")}).withColumn("stop", F.col("since_best") > patience)
+    ends = out.filter("stop").groupBy(*by).agg(F.min(epoch).alias("_end"))
+    out = same(same(out, seen, by), ends, by, "left")
+    planned = F.col("_planned") if max_epoch is None else max_epoch
+    passed = sum((F.col(epoch) >= F.floor(planned * part)).cast("int") for part in (0.5, 0.75))
+    out = out.withColumns({"lr": F.lit(lr) * F.pow(F.lit(0.1), passed), "ran": F.col("_end").isNull() | (F.col(epoch) <= F.col("_end"))})
+    return out.drop("_planned", "_end")

@@ -1,15 +1,17 @@
 """Polygon masks, crops, paddings and channels of images, in Arrow functions over numpy.
 
 An image is a struct (height, width, channels, data) with rows of uint8 samples in data; a mask has one channel.
-A pixel belongs to a polygon if its centre does (even-odd rule), its left and top borders included.
+A pixel belongs to a polygon if its centre does (even-odd rule), its left and top borders included.  mask() and mask_sum() give images of whole
+pages; mask_tiles(), page_cover() and area() work on scan-line spans, for pages of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,111 @@ def polygon_mask(points, height: int, width: int) -> np.ndarray:
     return out
 
 
+def polygon_spans(points, top: int, bottom: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, lo, hi) of the pixels lo to hi - 1 of polygon_mask() in the rows from top to bottom - 1, in order."""
+    p = np.array([list(q) for q in points], float).reshape(-1, 2)
+    return _spans(p[:, 0], p[:, 1], np.array([0, len(p)]), *(np.array([v]) for v in (top, bottom, width)))[1:]
+
+
+def _spans(x, y, at, top, bottom, width) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(polygon, y, lo, hi) of many polygons: what their edges cross is sorted along each row.  x, y: all points; at: where polygons begin and end."""
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    after = np.arange(1, len(x) + 1)
+    after[at[1:][np.diff(at) > 0] - 1] = at[:-1][np.diff(at) > 0]
+    some = np.flatnonzero((y != y[after]) & (np.diff(at)[of] > 2))
+    of, x0, y0, x1, y1 = of[some], x[some], y[some], x[after[some]], y[after[some]]
+    first = np.maximum(np.ceil(np.minimum(y0, y1) - 0.5), top[of]).astype(np.int64)
+    n = np.maximum(np.minimum(np.ceil(np.maximum(y0, y1) - 0.5), bottom[of]).astype(np.int64) - first, 0)
+    edge = np.repeat(np.arange(len(n)), n)
+    row = np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n) + first[edge]
+    cross = x0[edge] + (row + 0.5 - y0[edge]) * (x1[edge] - x0[edge]) / (y1[edge] - y0[edge])
+    order = np.lexsort((cross, row, of[edge]))
+    of, row, cross = of[edge][order], row[order], cross[order]
+    left = np.ceil(cross - 0.5)  # the first pixel whose centre is not left of the crossing
+    left += (left + 0.5 < cross).astype(float) - (left - 0.5 >= cross).astype(float)
+    left = np.clip(left, 0, width[of]).astype(np.int64)
+    lo, hi = left[::2], left[1::2]
+    on = lo < hi
+    return of[::2][on], row[::2][on], lo[on], hi[on]
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("y", "lo", "hi")]))
+#: Rows of polygons that are scanned together.
+SCANNED = 1 << 20
+
+
+def _structs(at: np.ndarray, valid: np.ndarray | None, **fields: np.ndarray) -> pa.Array:
+    values = pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], list(fields))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values, mask=None if valid is None else pa.array(~valid))
+
+
+@F.arrow_udf(SPANS)
+def spans(points: pa.Array, top: pa.Array, bottom: pa.Array, width: pa.Array) -> pa.Array:
+    """polygon_spans() of polygons; null where an argument is null.  A polygon takes memory for its rows, not for its page."""
+    valid = np.logical_and.reduce([c.is_valid().to_numpy(False) for c in (points, top, bottom, width)])
+    low, high, wide = (c.fill_null(0).to_numpy(False).astype(np.int64) for c in (top, bottom, width))
+    size = np.where(valid, points.value_lengths().fill_null(0).to_numpy(False), 0).astype(np.int64)
+    at = np.append(0, np.cumsum(size))
+    pair = points.filter(pa.array(valid)).flatten()
+    first = pair.offsets.to_numpy(False)[: len(pair)]
+    values = pair.values.to_numpy(False).astype(float)
+    x, y = values[first], values[first + 1]
+    work = np.cumsum(np.maximum(high - low, 1))
+    parts, lo = [np.zeros((4, 0), np.int64)], 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + SCANNED)))
+        found = _spans(x[at[lo] : at[hi]], y[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], low[lo:hi], high[lo:hi], wide[lo:hi])
+        parts.append(np.stack([found[0] + lo, *found[1:]]))
+        lo = hi
+    of, row, left, right = np.concatenate(parts, axis=1)
+    begin = np.append(0, np.cumsum(np.bincount(of, minlength=len(size))))
+    return _structs(begin, valid, y=row.astype(np.int32), lo=left.astype(np.int32), hi=right.astype(np.int32))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([*SPANS.elementType.fields, T.StructField("n", T.LongType())])))
+def _summed(steps: pa.Array) -> pa.Array:
+    """Runs of equal sums from sorted steps (y, x, n), which end each row at 0."""
+    y, x, n = (f.to_numpy(False) for f in steps.flatten().flatten())
+    total = np.cumsum(n)
+    on = total != 0
+    begin = np.append(0, np.cumsum(steps.value_lengths().to_numpy(False)))
+    return _structs(np.append(0, np.cumsum(on))[begin], None, y=y[on], lo=x[on], hi=np.append(x[1:], 0)[on].astype(np.int32), n=total[on])
+
+
+def area(points: Column, height: Column, width: Column) -> Column:
+    """Pixels of a polygon's mask, without the mask."""
+    return F.aggregate(spans(points, F.lit(0), height, width), F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+
+
+def mask_tiles(found: DataFrame, keys: Sequence[str], polygon: str, height: Column | int, width: Column | int, tile: int = 256) -> DataFrame:
+    """(keys..., tile_row, tile_col, runs): of each square tile of a page that a polygon touches, how many polygons hold each pixel.
+
+    runs: array of (y, lo, hi, n), in places of the page, in order, where n is not 0.  A polygon is cut into bands of a tile's height before it is scanned, and where spans
+    begin and end is added up by pixel, so that neither a page nor a crowd of polygons is held anywhere: a tile has tile * tile such places at most.
+    """
+    t = F.lit(tile)
+    y = F.transform(polygon, lambda p: p[1])
+    low, high = F.greatest(F.floor(F.array_min(y)), F.lit(0)), F.least(F.ceil(F.array_max(y)), F.lit(height))
+    bands = found.withColumns({"_low": low.cast("long"), "_high": high.cast("long"), "_width": F.lit(width).cast("int")}).filter("_low < _high")
+    bands = bands.withColumn("tile_row", F.explode(F.sequence((F.col("_low") / t).cast("long"), ((F.col("_high") - 1) / t).cast("long"))))
+    ends = F.least((F.col("tile_row") + 1) * t, F.col("_high"))
+    rows = bands.select(*keys, "tile_row", F.explode(spans(F.col(polygon), (F.col("tile_row") * t).cast("int"), ends.cast("int"), F.col("_width"))).alias("s"))
+    rows = rows.withColumn("tile_col", F.explode(F.sequence((F.col("s.lo") / t).cast("long"), ((F.col("s.hi") - 1) / t).cast("long"))))
+    lo, hi = F.greatest("s.lo", (F.col("tile_col") * t).cast("int")), F.least("s.hi", ((F.col("tile_col") + 1) * t).cast("int"))
+    step = lambda x, n: F.struct(x.alias("x"), F.lit(n).cast("long").alias("n"))
+    steps = rows.select(*keys, "tile_row", "tile_col", "s.y", F.explode(F.array(step(lo, 1), step(hi, -1))).alias("e"))
+    steps = steps.groupBy(*keys, "tile_row", "tile_col", "y", "e.x").agg(F.sum("e.n").alias("n")).filter("n <> 0")
+    each = steps.groupBy(*keys, "tile_row", "tile_col").agg(F.sort_array(F.collect_list(F.struct("y", "x", "n"))).alias("e"))
+    return each.select(*keys, "tile_row", "tile_col", _summed("e").alias("runs"))
+
+
+def page_cover(found: DataFrame, keys: Sequence[str], polygon: str, height: Column | int, width: Column | int, tile: int = 256) -> DataFrame:
+    """(keys..., covered, total, most): pixels of a page in any polygon, the sum over all, and the most polygons that hold one pixel."""
+    runs = mask_tiles(found, keys, polygon, height, width, tile).select(*keys, F.explode("runs").alias("r"))
+    size = (F.col("r.hi") - F.col("r.lo")).cast("long")
+    return runs.groupBy(*keys).agg(F.sum(size).alias("covered"), F.sum(size * F.col("r.n")).alias("total"), F.max("r.n").alias("most"))
+
+
 def _frame_udf(kind: T.DataType):
     """Like pandas_udf for functions that take one struct column as a frame."""
 
@@ -64,6 +171,15 @@ def mask(points, height, width):
     return image_of(polygon_mask(points, height, width) * 255)
 
 
+@_frame_udf(IMAGE)
+def tile_image(runs, row, col, tile):
+    """One channel of a tile of mask_tiles(): how many polygons hold each pixel, 255 at most."""
+    out = np.zeros((tile, tile), np.uint8)
+    for r in runs:
+        out[r["y"] - row * tile, r["lo"] - col * tile : r["hi"] - col * tile] = min(r["n"], 255)
+    return image_of(out)
+
+
 @_frame_udf(IMAGE)
 def mask_sum(polygons, height, width):
     """One channel: how many of the polygons hold each pixel."""

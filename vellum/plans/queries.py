@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vellum.functions import charsets, distance, nested
 from vellum.functions import text as texts
 from vellum.operators import alphabet as alpha
-from vellum.operators import decoding, layout, metrics, profile, raster, sampling
+from vellum.operators import decoding, layout, metrics, profile, ranking, raster, sampling
 from vellum.operators.alphabet import Alphabet
 from vellum.plans import jobs, network_spec
 from vellum.sources import pagexml, tables
@@ -155,11 +155,20 @@ def alphabet_prototype(spark, d):
     return Alphabet.prototype(_table(spark, d, "documents"), "text", STANDARD, ["ij"]).table(spark)
 
 
-@query("SELECT symbol, count(*) AS n FROM (SELECT unnest([" + ", ".join(_Q(s) for g in STANDARD for s in g) + "]) AS symbol UNION ALL SELECT unnest(string_split(mode, '')) FROM (SELECT 'aA' AS mode)) GROUP BY symbol HAVING count(*) > 1")
+@query("WITH " + CHARS_SQL.replace("{k}", "lang") + " SELECT symbol, count(DISTINCT lang) AS n FROM s GROUP BY symbol HAVING count(DISTINCT lang) > 1")
 def duplicate_symbols(spark, d):
-    """Symbols in more than one class of the standard ones and one more; reads no table."""
-    classes = spark.createDataFrame([(g,) for g in [list(g) for g in STANDARD] + [["a", "A"]]], "symbols array<string>")
-    return alpha.repeated(classes, "symbols")
+    """Symbols that stand in more than one class, where the characters of each language are a class."""
+    found = alpha.charset(_table(spark, d, "documents"), "text", ["lang"])
+    return alpha.repeated(found.groupBy("lang").agg(F.collect_list("symbol").alias("symbols")), "symbols")
+
+
+@query("""
+WITH x AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE list_sort(list_distinct(string_split(text, ''))) END AS s FROM documents)
+SELECT doc_id, array_to_string(list_transform(CASE WHEN list_contains(s, 'ϵ') THEN [] ELSE ['ϵ'] END || s, lambda c: c || coalesce(list_position(s, c), 0)), ' ') AS codes FROM x""")
+def text_alphabets(spark, d):
+    """Each document's own alphabet."""
+    rows = _table(spark, d, "documents").select("doc_id", alpha.own_codes(F.col("text")).alias("c"))
+    return rows.select("doc_id", F.array_join(F.transform("c", lambda x: F.concat(x["symbol"], x["code"].cast("string"))), " ").alias("codes"))
 
 
 NORMAL_SQL = "replace(replace(replace(replace(replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), 'ß', 'ss'), 'æ', 'ae'), 'Æ', 'AE'), 'œ', 'oe'), 'Œ', 'OE')"
@@ -511,7 +520,19 @@ def mask_areas(spark, d):
     w, h = F.col("l_linenumber") + 2, F.floor("l_quantity").cast("int") + 1
     rows = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", w.alias("w"), h.alias("h"))
     points = F.array(F.array(F.lit(0), F.lit(0)), F.array("w", F.lit(0)), F.array("w", "h"), F.array(F.lit(0), F.col("h")))
-    return rows.select("l_orderkey", "l_linenumber", raster.pixels(raster.mask(points=points, height=F.lit(60), width=F.lit(12))).cast("int").alias("area"))
+    return rows.select("l_orderkey", "l_linenumber", raster.area(points, F.lit(60), F.lit(12)).cast("int").alias("area"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, unnest(range(l_linenumber, least(l_linenumber + 3, 9))) AS x, CAST(floor(l_quantity) AS INT) AS q FROM lineitem),
+c AS (SELECT l_orderkey, x, y, count(*) AS n FROM (SELECT l_orderkey, x, unnest(range(q // 2, q + 1)) AS y FROM p) GROUP BY ALL)
+SELECT l_orderkey, count(*) AS covered, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS most FROM c GROUP BY l_orderkey""")
+def page_cover(spark, d):
+    """Overlapping rectangles on pages of 9 by 60 pixels, summed by tiles of 8 by 8."""
+    x, q = F.col("l_linenumber"), F.floor("l_quantity").cast("int")
+    top = (q / 2).cast("int")
+    points = F.array(F.array(x, top), F.array(x + 3, top), F.array(x + 3, q + 1), F.array(x, q + 1))
+    return raster.page_cover(_table(spark, d, "lineitem").select("l_orderkey", points.alias("coords")), ["l_orderkey"], "coords", 60, 9, 8)
 
 
 @query("SELECT l_orderkey, l_linenumber, 128 AS height, CAST(least(2048, floor((l_linenumber * 40) * 128 / CAST(floor(l_quantity) AS INT))) AS INT) AS width FROM lineitem")
@@ -595,28 +616,47 @@ def pad_scores(spark, d):
     return rows.select("user_id", F.size("v").cast("long").alias("n"), F.size(nested.padded(F.col("v"), width, 0.0)).cast("long").alias("width"))
 
 
-SPECS = ["[2,96,0,1 Cr3,3,16 Mp2,2 Cr5,3,24,2,1 Do0.3,2 Mp4,1 S1(1x0)1,3 Lbx48 O1c37]", "[1,20,30,2 ([Cl3,3,8 Gn4] [Rn6 A3,5]) Gfys7 I]", "[1,9,9,4 CTr3,3,5,2,2 RO16,8]"]
+#: A specification for each part: s is its size, k its key.
+SPEC = "[1,{16s},0,1 Cr3,3,{8k} Mp2,2 ([Cl3,3,8 Gn4] [Rn6 A3,5]) Cr5,3,24,2,1 Do0.3,2 Mp4,1 S1(1x0)1,3 Lbx{s10} O1c{3s} I]"
 
 
 #: The shapes are worked out by hand from the rules of the blocks.
-@query("""SELECT * FROM (VALUES
-(0, 0, 'Cr3,3,16', 'conv', 0, 2, 16, 96, 0), (0, 1, 'Mp2,2', 'maxpool', 0, 2, 16, 48, 0), (0, 2, 'Cr5,3,24,2,1', 'conv', 0, 2, 24, 24, 0), (0, 3, 'Do0.3,2', 'dropout', 0, 2, 24, 24, 0),
-(0, 4, 'Mp4,1', 'maxpool', 0, 2, 24, 6, 0), (0, 5, 'S1(1x0)1,3', 'reshape', 0, 2, 144, 1, 0), (0, 6, 'Lbx48', 'recurrent', 0, 2, 96, 1, 0), (0, 7, 'O1c37', 'output', 0, 2, 37, 1, 0),
-(1, 0, 'Cl3,3,8', 'conv', 2, 1, 8, 20, 30), (1, 1, 'Gn4', 'groupnorm', 2, 1, 8, 20, 30), (1, 2, 'Rn6', 'residual', 2, 1, 6, 20, 30), (1, 3, 'A3,5', 'addition', 2, 1, 5, 20, 30),
-(1, 4, 'Gfys7', 'recurrent', 0, 1, 7, 1, 30), (1, 5, 'I', 'identity', 0, 1, 7, 1, 30), (2, 0, 'CTr3,3,5,2,2', 'conv', 0, 1, 5, 17, 17), (2, 1, 'RO16,8', 'readingorder', 0, 1, 5, 17, 17)
-) AS x(spec_id, idx, block, op, depth, n, c, h, w)""")
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part), b AS (SELECT k, s, 1 + k % 5 AS f, unnest(range(13)) AS i FROM p)
+SELECT k AS p_partkey, CAST(i AS INT) AS idx,
+ ['Cr3,3,' || f * 8, 'Mp2,2', 'Cl3,3,8', 'Gn4', 'Rn6', 'A3,5', 'Cr5,3,24,2,1', 'Do0.3,2', 'Mp4,1', 'S1(1x0)1,3', 'Lbx' || s + 10, 'O1c' || s * 3, 'I'][i + 1] AS block,
+ ['conv', 'maxpool', 'conv', 'groupnorm', 'residual', 'addition', 'conv', 'dropout', 'maxpool', 'reshape', 'recurrent', 'output', 'identity'][i + 1] AS op,
+ CAST(CASE WHEN i BETWEEN 2 AND 5 THEN 2 ELSE 0 END AS INT) AS depth, 1 AS n,
+ CAST([f * 8, f * 8, 8, 8, 6, 5, 24, 24, 24, 24 * s, 2 * s + 20, 3 * s, 3 * s][i + 1] AS INT) AS c, CAST([16 * s, 8 * s, 8 * s, 8 * s, 8 * s, 8 * s, 4 * s, 4 * s, s, 1, 1, 1, 1][i + 1] AS INT) AS h, 0 AS w FROM b""")
 def vgsl_shapes(spark, d):
-    """Shapes of three specifications; reads no table."""
-    rows = spark.createDataFrame(list(enumerate(SPECS)), "spec_id int, spec string")
-    return rows.select("spec_id", F.explode(network_spec.shapes(F.col("spec"))).alias("b")).select("spec_id", "b.*")
-
-
-@query("WITH m AS (SELECT conv_id, turn, length(text) AS n, max(length(text)) OVER (PARTITION BY conv_id) AS width FROM conversations) SELECT conv_id, turn, CAST(n AS INT) AS length, CAST(width AS INT) AS width, CAST(0 AS BIGINT) AS filled FROM m")
+    """Shapes of a specification for each part, made from its size and key."""
+    s, f = F.col("p_size"), F.col("p_partkey") % 5 + 1
+    spec = F.lit(SPEC)
+    for name, value in (("{16s}", s * 16), ("{8k}", f * 8), ("{s10}", s + 10), ("{3s}", s * 3)):
+        spec = F.replace(spec, F.lit(name), value.cast("string"))
+    rows = _table(spark, d, "part").select("p_partkey", F.explode(network_spec.shapes(spec)).alias("b"))
+    return rows.select("p_partkey", "b.*")
+
+
+@query(f"""WITH m AS (SELECT {_CODES_SQL} AS m), t AS (SELECT conv_id, turn, CASE WHEN text = '' THEN [] ELSE string_split(text, '') END AS s FROM conversations),
+c AS (SELECT conv_id, turn, list_transform(s, lambda x: coalesce(m[x], 1)) AS codes, max(len(s)) OVER (PARTITION BY conv_id) AS width FROM t, m)
+SELECT conv_id, turn, CAST(len(codes) AS INT) AS length, CAST(width AS INT) AS width, array_to_string(codes || list_transform(range(width - len(codes)), lambda i: 0), ' ') AS codes FROM c""")
 def encode_batches(spark, d):
-    """Codes of each conversation's turns as one batch, filled up to the longest turn; `filled` counts places beyond a turn's length that are not null."""
+    """Codes of each conversation's turns as one batch, filled with null codes up to the longest turn."""
     out = LETTERS.encode_batch(_table(spark, d, "conversations"), "text", ["conv_id"], normal=False)
-    beyond = F.filter(F.slice("codes", F.col("length") + 1, F.size("codes") + 1), lambda c: c != alpha.NULL_CODE)
-    return out.select("conv_id", "turn", "length", F.size("codes").alias("width"), F.size(beyond).cast("long").alias("filled"))
+    return out.select("conv_id", "turn", "length", F.size("codes").alias("width"), F.array_join(F.col("codes").cast("array<string>"), " ").alias("codes"))
+
+
+@query("""
+WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS epoch, value / 100 AS cer, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+m AS (SELECT *, least(1.0, min(cer) OVER w) AS best FROM e WINDOW w AS (PARTITION BY user_id ORDER BY epoch)),
+b AS (SELECT *, coalesce(max(CASE WHEN cer = best THEN epoch END) OVER (PARTITION BY user_id ORDER BY epoch), -1) AS best_epoch FROM m),
+s AS (SELECT *, min(CASE WHEN epoch - best_epoch > 12 THEN epoch END) OVER (PARTITION BY user_id) AS last FROM b)
+SELECT user_id, epoch, round(best, 9) AS best_cer, best_epoch, round(0.001 * pow(0.1, CAST(epoch >= floor(n * 0.5) AS INT) + CAST(epoch >= floor(n * 0.75) AS INT)), 9) AS lr, last IS NULL OR epoch <= last AS ran FROM s""")
+def training_runs(spark, d):
+    """Events of each user as the epochs of a training run: learning rate, best epoch and early end."""
+    log = ranking.numbered(_table(spark, d, "events"), "k", "event_id", by=["user_id"]).select("user_id", (F.col("k") - 1).alias("epoch"), (F.col("value") / 100).alias("cer"))
+    out = metrics.training(log, ["user_id"], patience=12)
+    return out.select("user_id", "epoch", F.round("best_cer", 9).alias("best_cer"), "best_epoch", F.round("lr", 9).alias("lr"), "ran")
 
 
 @query("SELECT CAST(user_id % 7 AS INT) AS epoch, count(*) AS n, round(avg(value), 6) AS loss FROM events GROUP BY user_id % 7")

@@ -123,7 +123,7 @@ def write_lines(found: DataFrame, path: str, partition: str = "iteration", mode:
 
 def write_alphabet(table: DataFrame, path: str, mode: str = "error") -> None:
     """symbol and code, tab-separated, by symbol; an alphabet is bounded by Unicode."""
-    table.select("symbol", "code").orderBy("symbol").coalesce(1).write.mode(mode).csv(path, sep="\t", quote="")
+    table.orderBy("symbol").coalesce(1).select(F.concat_ws("\t", "symbol", F.col("code").cast("string"))).write.mode(mode).text(path)
 
 
 def write_confusions(table: DataFrame, path: str, mode: str = "error") -> None:
