@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import collections
+import zlib
+
 import numpy as np
 from test_operators import ROWS, SCHEMA, brute_one_of_each, brute_quality, text
 
 import corpus_pipeline
+from vellum.llm.encoders import tokenizer_path
 from vellum.llm.shared import written
 
 
@@ -44,5 +48,28 @@ def test_stages(spark, tmp_path):
         want.append((repr(r[0]), np.frombuffer(b, np.uint8)[~gone].tobytes().decode(errors="ignore")))
     assert docs.columns == columns and sorted((repr(r.doc_id), r.text) for r in docs.collect()) == sorted(want)
 
-    packed = corpus_pipeline.run(spark, path)
-    assert {r.doc_id for r in packed.collect()} == {r[0] for r in rows}
+    # the pieces of run() are those of the texts that the stages keep, each id in one piece
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    ids = collections.defaultdict(list)
+    for r in docs.collect():
+        ids[r.doc_id].append([*library.encode(r.text or "", add_special_tokens=False).ids, 2])
+    pieces = collections.defaultdict(list)
+    packed = corpus_pipeline.run(spark, path).collect()
+    for r in packed:
+        pieces[r.doc_id].append(r)
+    assert set(pieces) == set(ids)
+    for name, found in pieces.items():
+        assert sum(r.length for r in found) == sum(map(len, ids[name]))
+        for r in found:
+            assert any(len(x) == r.doc_tokens and zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for x in ids[name])
+        if len(ids[name]) == 1:
+            found.sort(key=lambda r: r.start)
+            assert [r.start for r in found] == [sum(x.length for x in found[:k]) for k in range(len(found))]
+    used = collections.defaultdict(list)
+    for r in packed:
+        used[r.sequence_id].append((r.offset, r.length))
+    for parts in used.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096

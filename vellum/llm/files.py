@@ -30,6 +30,14 @@ def committed(path: str):
         raise
 
 
+@contextmanager
+def opened(path: str):
+    """A file to be read in pieces, as it is."""
+    where, name = store(path)
+    with where.open_input_stream(name, compression=None) as f:
+        yield f
+
+
 def read(path: str) -> bytes:
     where, name = store(path)
     with where.open_input_stream(name) as f:

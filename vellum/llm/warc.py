@@ -1,7 +1,7 @@
 """Operator 6: a deterministic, sharded writer of WARC archives, and their reader.
 
 Records are range-sorted by page_id (ranges follow from the rows alone), each range is written in order as it is read, and a
-file is closed when its compressed size passes a limit; a range holds several files' worth, so that only its last file
+file is closed when its compressed size passes a limit, record by record, with no file held in memory; a range holds several files' worth, so that only its last file
 ends with the range.  Headers, record ids and digests are made anew from the record; dates are a parameter.  A file is
 written under a temporary name and renamed when complete, and a manifest lists the files, so an attempt that is
 repeated writes the same bytes under the same names.
@@ -18,7 +18,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -83,18 +83,19 @@ def write(pages: DataFrame, path: str, roll_bytes: int = 4 * MB, range_bytes: in
     rows = in_ranges(rows, cuts).sortWithinPartitions("key", F.col("digest").asc_nulls_last(), "payload", "url")
 
     def run(batches):
-        number, made, out, size, refer = 0, 0, [], 0, {}
+        number, refer, archive = 0, {}, None
+        made = 0
 
-        def close():
-            nonlocal made, size
-            name = f"pages-{number:07d}-{made:04d}.warc.gz"
-            data = b"".join([member(info(name, date)), *out])
+        def archived(name: str, first: bytes):
+            """Takes the records of a file one by one, and None at its end; gives the compressed size so far, and then the file's row."""
+            seen, total, n, data = hashlib.sha256(), 0, 0, member(info(name, date)) + first
             with files.committed(f"{path}/{name}") as f:
-                f.write(data)
-            row = pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([name]), pa.array([len(out)]), pa.array([len(data)]), pa.array([hashlib.sha256(data).hexdigest()])], ["range", "name", "records", "bytes", "sha256"])
-            made, size = made + 1, 0
-            out.clear()
-            return row
+                while data is not None:
+                    f.write(data)
+                    seen.update(data)
+                    total, n = total + len(data), n + 1
+                    data = yield total
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([name]), pa.array([n]), pa.array([total]), pa.array([seen.hexdigest()])], ["range", "name", "records", "bytes", "sha256"])
 
         for batch in batches:
             for i, url, payload, digest, to, number in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to", "range")), strict=True):
@@ -103,12 +104,17 @@ def write(pages: DataFrame, path: str, roll_bytes: int = 4 * MB, range_bytes: in
                     refer = {k: v for k, v in refer.items() if k[0] == i} | {(i, digest): to.as_py()}
                     continue
                 data = payload.as_py().encode()
-                out.append(member(record(i, url, data, refer.get((i, hashlib.sha1(data).hexdigest())), date)))
-                size += len(out[-1])
+                data = member(record(i, url, data, refer.get((i, hashlib.sha1(data).hexdigest())), date))
+                if archive is None:
+                    archive = archived(f"pages-{number:07d}-{made:04d}.warc.gz", data)
+                    made, size = made + 1, next(archive)
+                else:
+                    size = archive.send(data)
                 if size >= roll_bytes:
-                    yield close()
-        if out:
-            yield close()
+                    yield archive.send(None)
+                    archive = None
+        if archive is not None:
+            yield archive.send(None)
 
     spark = pages.sparkSession
     found = rows.select("page_id", "url", "payload", "digest", "refers_to", "range").mapInArrow(run, "range int, name string, records long, bytes long, sha256 string")
@@ -117,17 +123,16 @@ def write(pages: DataFrame, path: str, roll_bytes: int = 4 * MB, range_bytes: in
     return spark.read.parquet(f"{path}/_manifest")
 
 
-def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """The gzip members of a file, one at a time."""
-    view, at, n = memoryview(data), 0, len(data)
-    while at < n:
+def members(more: Callable[[], bytes]) -> Iterator[bytes]:
+    """The gzip members of a file, one at a time; more() gives its next bytes, and none at its end."""
+    data = more()
+    while data:
         z, out = zlib.decompressobj(31), []
         while not z.eof:
-            out.append(z.decompress(view[at : at + step]))
-            at += min(step, n - at)
-            if at >= n and not z.eof:
+            if not data:
                 raise ValueError("a member ends early")
-        at -= len(z.unused_data)
+            out.append(z.decompress(data))
+            data = z.unused_data or more()
         yield b"".join(out)
 
 
@@ -144,22 +149,37 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, record_id) of all records in the manifest's files.
 
+    Tasks open the files that the manifest names, so that no folder is listed, and read them in pieces, so that archives may be of any size.
     Digests of responses are computed from the payload and must agree with the header; those of revisits come from theirs.
     """
     manifest = spark.read.parquet(f"{path}/_manifest")
-    names = manifest.select("name", "sha256")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    found = found.withColumn("name", F.element_at(F.split("path", "/"), -1)).select("name", "content").join(names, "name")
 
     def run(batches):
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"])
         for batch in batches:
-            for name, content, whole in zip(batch.column("name"), batch.column("content"), batch.column("sha256").to_pylist(), strict=True):
-                content = content.as_py()
-                if hashlib.sha256(content).hexdigest() != whole:
+            for name, whole in zip(batch.column("name").to_pylist(), batch.column("sha256").to_pylist(), strict=True):
+                seen, rows = hashlib.sha256(), []
+                with files.opened(f"{path}/{name}") as f:
+
+                    def more(f=f, seen=seen) -> bytes:
+                        data = f.read(1 << 20)
+                        seen.update(data)
+                        return data
+
+                    for m in members(more):
+                        if x := _row(*parse(m)):
+                            rows.append(x)
+                        if len(rows) >= 4096:
+                            yield made(rows)
+                            rows = []
+                if seen.hexdigest() != whole:
                     raise ValueError(f"{name} differs from the manifest")
-                rows = [x for x in (_row(*parse(m)) for m in members(content)) if x]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"])
+                if rows:
+                    yield made(rows)
 
+    count = (manifest.agg(F.max("range")).first()[0] or 0) + 1
+    found = manifest.select("name", "sha256", "range").repartitionById(count, "range")
     return found.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string")
 
 
