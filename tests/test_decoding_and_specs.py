@@ -212,3 +212,16 @@ def test_logs_counts_and_summaries(spark, tmp_path):
     tables.write_confusions(found, f"{tmp_path}/confusions")
     back = spark.read.parquet(f"{tmp_path}/confusions")
     assert sorted(map(repr, back.collect())) == sorted(map(repr, found.collect()))
+
+
+def test_another_decoder(spark):
+    """The second best class of each frame, for want of a better idea."""
+    a = Alphabet.from_classes(["a", "b"])
+    rows = spark.createDataFrame([([[0.1, 0.0, 0.5, 0.4], [0.1, 0.0, 0.3, 0.9], [0.9, 0.8, 0.0, 0.0]],)], "frames array<array<double>>")
+
+    def second(frames, length):
+        score = lambda f: F.get(F.sort_array(f, asc=False), F.lit(1))
+        return F.transform(frames, lambda f: F.struct((F.array_position(f, score(f)) - 1).cast("int").alias("label"), score(f).alias("score")))
+
+    r = jobs.decode(rows, a, decoder=second).first()
+    assert (r.prediction, r.scores) == ("ba?", [0.4, 0.3, 0.8])

@@ -356,3 +356,39 @@ def test_incremental_jobs_make_each_output_once(spark, tmp_path):
             run(**options)
     assert run() == [("a", "X"), ("b", "Y"), ("c", "Z"), ("d", "W")]
     assert run() == [("a", "X"), ("b", "Y"), ("c", "Z"), ("d", "W")]
+
+
+def test_a_chain_of_incremental_jobs(spark, tmp_path):
+    """Pages to regions to lines to texts; one run dies in the middle step."""
+    from vellum.streaming import incremental
+
+    def put(name, *pages):
+        (tmp_path / "new").mkdir(exist_ok=True)
+        (tmp_path / "new" / name).write_text("".join(json.dumps({"page_id": p, "regions": r}) + "\n" for p, r in pages))
+
+    def run(broken=False):
+        lost = F.raise_error(F.lit("lost")).cast("string")
+        steps = [
+            ("regions", ["page_id"], lambda df: df.select("page_id", F.posexplode("regions").alias("region", "text"))),
+            ("lines", ["page_id", "region"], lambda df: df.select("page_id", "region", F.posexplode(F.split("text", "/")).alias("line", "text")).withColumn("text", lost if broken else F.col("text"))),
+            ("texts", ["page_id", "region", "line"], lambda df: df.withColumn("text", F.upper("text"))),
+        ]
+        found = incremental.chain(spark.readStream.schema("page_id string, regions array<string>").json(f"{tmp_path}/new"), steps, f"{tmp_path}/work")
+        return found and sorted((r.page_id, r.region, r.line, r.text) for r in found.collect())
+
+    (tmp_path / "new").mkdir()
+    assert run() is None
+    put("1.json", ("a", ["x/y", "z"]))
+    first = [("a", 0, 0, "X"), ("a", 0, 1, "Y"), ("a", 1, 0, "Z")]
+    assert run() == first
+    put("2.json", ("b", ["u"]), ("a", ["again"]))
+    with pytest.raises(Exception, match="lost"):
+        run(broken=True)
+    assert run() == [*first, ("b", 0, 0, "U")] == run()
+
+
+def test_augmentation_by_a_function(spark):
+    rows = spark.createDataFrame([("p", 0, [[1, 1], [5, 1], [5, 5]], "t")], "page_id string, line_pos int, coords array<array<int>>, text string")
+    grow = lambda df: df.withColumn("coords", F.when(F.col("iteration") == 0, F.col("coords")).otherwise(F.transform("coords", lambda p: F.array(p[0] * 2, p[1] * 0)))).withColumn("text", F.upper("text"))
+    out = raster.augmented(rows, 2, 0, seed=1, augment=grow).collect()
+    assert [(r.iteration, r.text) for r in out] == [(0, "T")]  # flat copies go

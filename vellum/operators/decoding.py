@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -73,9 +73,12 @@ def ctc_labels(frames: DataFrame, sequence: Sequence[str], time: str, label: str
     return kept.groupBy(*sequence).agg(F.transform(ordered, lambda x: x[label]).alias("labels"))
 
 
-def predicted(rows: DataFrame, alphabet: Alphabet, frames: str = "frames", length: str | None = None) -> DataFrame:
-    """Adds prediction and scores (one for each character) to rows that hold their frames in an array."""
-    rows = rows.withColumn("_best", greedy(F.col(frames), F.col(length) if length else None))
+def predicted(rows: DataFrame, alphabet: Alphabet, frames: str = "frames", length: str | None = None, decoder: Callable[[Column, Column | None], Column] = greedy) -> DataFrame:
+    """Adds prediction and scores (one for each character) to rows that hold their frames in an array.
+
+    decoder: from the frames and their number, if given, to array<(label, score)>, one for each frame.
+    """
+    rows = rows.withColumn("_best", decoder(F.col(frames), F.col(length) if length else None))
     labels = F.transform("_best", lambda b: b["label"])
     # a fold over frames: the largest score of each run of one label
     start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<double>").alias("out"))

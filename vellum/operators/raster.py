@@ -312,8 +312,11 @@ def moved(image, dx, dy):
     return image_of(out)
 
 
-def augmented(found: DataFrame, copies: int, shift: int, seed: int, images: tuple[str, ...] = ()) -> DataFrame:
-    """Lines with `copies` seeded shifts of their polygons, and of the images and masks in the columns named; copies without area are dropped with their texts."""
+def augmented(found: DataFrame, copies: int, shift: int, seed: int, images: tuple[str, ...] = (), augment: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Lines with `copies` seeded shifts of their polygons, and of the images and masks in the columns named; copies without area are dropped with their texts.
+
+    augment: takes the shifted rows, with `iteration` (0: the line itself), and gives them back changed as it likes; the check of areas comes after it.
+    """
     from vellum.functions.nested import box, has_area, shifted
 
     rows = found.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(copies))))
@@ -321,6 +324,7 @@ def augmented(found: DataFrame, copies: int, shift: int, seed: int, images: tupl
     rows = rows.withColumn("coords", shifted(F.col("coords"), move(0), move(1)))
     for c in images:
         rows = rows.withColumn(c, moved(image=F.col(c), dx=move(0), dy=move(1)))
+    rows = augment(rows) if augment else rows
     return rows.filter(has_area(box(F.col("coords"))))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import nested
@@ -36,11 +38,11 @@ def _in_order(stem: str):
     return Window.partitionBy(stem, "region_id").orderBy("line_pos")
 
 
-def decode(samples: DataFrame, alphabet: Alphabet, frames: str = "frames", split_output: bool = False) -> DataFrame:
-    """Samples with prediction and scores from their frames of class scores."""
+def decode(samples: DataFrame, alphabet: Alphabet, frames: str = "frames", split_output: bool = False, decoder: Callable[[Column, Column | None], Column] = decoding.greedy) -> DataFrame:
+    """Samples with prediction and scores from their frames of class scores, by any decoder that decoding.predicted() takes."""
     if split_output:
         samples = samples.withColumn(frames, F.transform(frames, decoding.half))
-    return decoding.predicted(samples, alphabet, frames)
+    return decoding.predicted(samples, alphabet, frames, decoder=decoder)
 
 
 def compiled_counts(compiled: DataFrame, stem: str = "page_id") -> DataFrame:

@@ -40,3 +40,19 @@ def advance(source: DataFrame, work: Callable[[DataFrame], DataFrame], keys: Seq
 
     query = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def chain(source: DataFrame, steps: Sequence[tuple[str, Sequence[str], Callable[[DataFrame], DataFrame]]], path: str) -> DataFrame | None:
+    """Runs steps (name, keys, work) one after the other over what is new: each reads as a stream what the one before has written.
+
+    Outputs and checkpoints lie in path, by the step's name.  A run that dies leaves finished batches finished, in every step; the next run goes on from there.
+    Gives the outputs of the last step, or None while there are none.
+    """
+    spark, found = source.sparkSession, None
+    for name, keys, work in steps:
+        advance(source, work, keys, f"{path}/{name}/out", f"{path}/{name}/state")
+        found = outputs(spark, f"{path}/{name}/out")
+        if found is None:
+            return None
+        source = spark.readStream.schema(found.drop("batch").schema).option("recursiveFileLookup", True).parquet(f"{path}/{name}/out")
+    return found
