@@ -199,6 +199,26 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
     want = [(d, len(b), int(g.sum()), int((g & ~np.append(False, g)[:-1]).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~g].tobytes()).hexdigest()) for d, b, g in brute_bytes(200)]
     same([tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()], want)
+    same([tuple(r) for r in suffix_dedup.remove_repeats(docs, large=0).collect()], want)  # every group counts as large
+
+
+def test_suffix_dedup_of_a_passage_in_many_surroundings(spark):
+    """1,500 documents share 150 bytes, and 1,500 others 240, in surroundings of their own."""
+    rng = np.random.default_rng(5)
+    made = lambda n, k: ["".join(map(chr, x)) for x in rng.integers(97, 123, (k, n))]
+    (short,), (long,) = made(150, 1), made(240, 1)
+    texts = [a + m + b for m in (short, long) for a, b in zip(made(170, 1500), made(170, 1500), strict=True)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    count = collections.Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    want = {}
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 199):
+            if count[t[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        want[i] = int(gone.sum())
+    assert sum(want.values()) >= 1500 * 240
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df, large=1 << 16).collect()} == want
 
 
 def test_suffix_dedup_settles_equal_pieces_by_the_transform(spark, monkeypatch):
@@ -240,6 +260,33 @@ def test_interval_expansion_on_random_strings():
             assert got.tolist() == want, (texts, length)
 
 
+@pytest.mark.parametrize("together", [1, 7, 1 << 21])
+def test_thinned_pieces_give_what_whole_ones_give(monkeypatch, together):
+    monkeypatch.setattr(suffix_dedup, "SORTED", together)
+    rng = np.random.default_rng(together)
+    for _ in range(80):
+        length, letters, base = int(rng.choice([3, 5, 8])), int(rng.choice([2, 3, 6])), rng.integers(0, 3, 40)
+        pieces = collections.Counter()
+        for _ in range(rng.integers(1, 30)):
+            m, at = int(rng.integers(length, 30)), int(rng.integers(0, 8))
+            pieces[(rng.integers(0, letters, m) if rng.random() < 0.5 else base[at : at + m]).astype(np.uint8).tobytes()] += int(rng.integers(1, 3))
+        raw, size, times = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces]), np.array(list(pieces.values()))
+        assert (suffix_dedup.thinned(raw, size, length, times) == suffix_dedup.repeated(raw, size, length, times)).all()
+
+
+def test_thinned_pieces_take_little_memory():
+    """60,000 pieces of one minimiser that share 150 bytes: no window of 200 is repeated."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    raw = rng.integers(97, 123, (60_000, 350)).astype(np.uint8)
+    raw[:, 100:250] = raw[0, 100:250]
+    tracemalloc.start()
+    assert not suffix_dedup.thinned(raw.reshape(-1), np.full(60_000, 350), 200, np.ones(60_000)).any()
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 def test_sentencepiece(docs, empty):
     import sentencepiece as library
 

@@ -6,6 +6,8 @@ bucket, equal pieces of a chunk once.  A bucket builds the transform of its dist
 are compared byte by byte with the first), expands intervals breadth-first by backward extension, which yields the common
 prefixes of neighbouring suffixes by increasing value, and stops at `length`: boundaries without a value by then join
 suffixes that share `length` bytes, and an interval whose suffixes count twice or more, by their multiplicities, is repeated.
+Where the pieces of one minimiser are too many for one transform, those of their windows whose hash no other has are left out before it; what is
+left, equal stretches once, is decided by the transform as all else.
 
 Null and empty texts have no bytes; texts shorter than `length` lose none (a text of 2**28 bytes or more is an error); rows with equal doc_ids are documents of
 their own, so repeated rows remove each other; a null doc_id is a document like others; an empty table gives no rows.
@@ -28,6 +30,10 @@ from vellum.llm.shared import MB
 from vellum.llm.substring_dedup import _groups, alike, blocks
 
 ANCHOR = 32
+#: Bytes of pieces with one minimiser from which unique windows are left out before the transform.
+LARGE = MB
+#: Windows whose hashes are sorted together.
+SORTED = 1 << 21
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -78,7 +84,7 @@ def repeated_anchors(group: pa.Table) -> pa.Table:
     return table(*out)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bucket_bytes: int = MB, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bucket_bytes: int = MB, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, large: int = LARGE) -> DataFrame:
     """SCHEMA for each row; with_text adds the kept text as `text` and the row's other columns as `rest`."""
     routing = Routing(docs, chunk_bytes, bucket_bytes, id_column, text_column, with_text)
     buckets = routing.buckets
@@ -141,7 +147,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
         for a, b in _batches(group_of[given], n):
             some = one[given[a:b]]
             to = int(text_at[given[a]])
-            flags[to : to + int(n[a:b].sum())] = repeated(raw[gather(lo[some], size[some])], size[some], length, times[given[a:b]])
+            total = int(n[a:b].sum())
+            decide = thinned if total > large else repeated
+            flags[to : to + total] = decide(raw[gather(lo[some], size[some])], size[some], length, times[given[a:b]])
         windows = size[one].astype(np.int64) - length + 1
         p = np.sort(given)
         run, at = spans(windows[p])
@@ -339,4 +347,65 @@ def repeated(raw: np.ndarray, size: np.ndarray, length: int, times: np.ndarray)
     return flag[where] & (at + length <= size[piece])
 
 
-__all__ = ["remove_repeats", "repeated", "suffix_array"]
+def thinned(raw: np.ndarray, size: np.ndarray, length: int, times: np.ndarray) -> np.ndarray:
+    """repeated() for many pieces, by transforms of those of their windows that may be repeated: the others' hashes occur once.
+
+    Pieces are cut where the number of times changes that a window's hash occurs.  Equal windows have equal numbers, so stretches of different
+    numbers go to different transforms, and so may single windows, as each stands there once: equal stretches enter once, with
+    the sum of their multiplicities.  Hashes are sorted a part at a time.
+    """
+    size = size.astype(np.int64)
+    lo = np.cumsum(size) - size
+    windows = size - length + 1
+    hashes = np.empty(int(windows.sum()), U64)
+    at = np.cumsum(windows) - windows
+    for a, b in blocks(np.append(lo, len(raw)), 1 << 18):
+        if a < b:
+            each = Rolling(SPREAD[raw[lo[a] : lo[b - 1] + size[b - 1]]]).each(length)
+            hashes[at[a] : at[b - 1] + windows[b - 1]] = each[gather(lo[a:b] - lo[a], windows[a:b])]
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), windows)
+    count = np.zeros(len(hashes), np.int32)
+    parts = -(-len(hashes) // SORTED)
+    for part in range(parts):
+        some = np.flatnonzero(hashes % U64(parts) == U64(part))
+        some = some[np.argsort(hashes[some])]
+        first = np.flatnonzero(np.append(True, hashes[some[1:]] != hashes[some[:-1]])) if len(some) else some
+        if len(some):
+            total = np.minimum(np.add.reduceat(times[owner[some]].astype(np.int64), first), 1 << 30)
+            count[some] = np.repeat(total, np.diff(np.append(first, len(some))))
+    flags = np.zeros(len(raw), bool)
+    edge = (np.diff(owner) != 0) | (np.diff(count) != 0)
+    head = np.flatnonzero((count > 1) & np.append(True, edge))
+    tail = np.flatnonzero((count > 1) & np.append(edge, True))
+    if not len(head):
+        return flags
+    begin = lo[owner[head]] + head - at[owner[head]]
+    left = tail - head + length
+    content = np.empty(len(head), U64)
+    for a in range(0, len(head), 1024):
+        b = min(a + 1024, len(head))
+        to = np.cumsum(left[a:b])
+        content[a:b] = Rolling(SPREAD[raw[gather(begin[a:b], left[a:b])]]).of(to - left[a:b], to)
+    _, one, which = np.unique(content, return_index=True, return_inverse=True)
+    alike(raw, begin, left, np.arange(len(head)), one[which])
+    weight = np.bincount(which, weights=times[owner[head]], minlength=len(one))
+    number = count[head[one]].astype(np.int64)
+    order = np.argsort(number, kind="stable")
+    longest = np.zeros(len(one), np.int64)
+    first = np.flatnonzero(np.diff(number[order], prepend=-1))
+    longest[order] = np.repeat(np.maximum.reduceat(left[one[order]], first), np.diff(np.append(first, len(order))))
+    apart = np.where(longest[order] == length, np.arange(len(order)), 0)
+    group = np.cumsum((np.diff(number[order], prepend=-1) != 0) | (apart > 0))
+    kept = np.empty(len(one), object)
+    for a, b in _batches(group, left[one[order]]):
+        some = order[a:b]
+        n = left[one[some]]
+        for k, part in zip(some.tolist(), np.split(repeated(raw[gather(begin[one[some]], n)], n, length, weight[some]), np.cumsum(n)[:-1]), strict=True):
+            kept[k] = part
+    found = np.concatenate(kept)
+    from_ = np.cumsum(left[one]) - left[one]
+    flags[gather(begin, left)] |= found[gather(from_[which], left)]
+    return flags
+
+
+__all__ = ["remove_repeats", "repeated", "suffix_array", "thinned"]
