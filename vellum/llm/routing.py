@@ -49,6 +49,28 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((mix(hashes ^ U64(BASE)) >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int64)
 
 
+def groups(keys: np.ndarray):
+    """(lo, hi) of the runs of equal keys."""
+    if len(keys):
+        cut = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+        yield from zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True)
+
+
+def _often(group: pa.Table) -> pa.Table:
+    """A bucket's answer: the keys that occur twice or more, to each chunk that has them."""
+    chunks = group["chunk"].to_pylist()
+    parts = [unpack(x.as_py()) for x in group["body"]]
+    keys, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+    values, which = np.unique(keys, return_inverse=True)
+    often = np.bincount(which, weights=times, minlength=len(values)) >= 2
+    owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    p = np.flatnonzero(often[which])
+    out = ([], [], [])
+    for lo, hi in groups(owner[p]):
+        out[0].append(group["bucket"][0].as_py()), out[1].append(chunks[owner[p[lo]]]), out[2].append(pack(keys[p[lo:hi]]))
+    return table(*out)
+
+
 class Routing:
     def __init__(self, docs: DataFrame, chunk_bytes: int, bucket_bytes: int, id_column: str = "doc_id", text_column: str = "text", carry: bool = False):
         """carry: chunks also hold each row's other columns, in `rest`."""
@@ -74,6 +96,22 @@ class Routing:
         """f: all questions to a bucket -> its answers, a row for each chunk."""
         return questions.repartition(self.partitions, "bucket").groupBy("bucket").applyInArrow(f, ROW)
 
+    def repeated(self, keys_of: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+        """keys_of: the keys of a chunk's pieces.  Answers to each chunk: those of its keys that occur twice or more in all chunks."""
+        buckets = self.buckets
+
+        def ask(group: pa.Table) -> pa.Table:
+            keys, count = np.unique(keys_of(group), return_counts=True)
+            to = bucket_of(keys, buckets)
+            by = np.argsort(to, kind="stable")
+            to, keys, times = to[by], keys[by], np.minimum(count, 2).astype(np.uint8)[by]
+            number, out = group["chunk"][0].as_py(), ([], [], [])
+            for lo, hi in groups(to):
+                out[0].append(int(to[lo])), out[1].append(number), out[2].append(pack(keys[lo:hi], times[lo:hi]))
+            return table(*out)
+
+        return self.answer(self.ask(ask), _often)
+
     def finish(self, answers: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
         """f: a chunk and the answers to it -> results."""
         return self.docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(f, schema)

@@ -2,7 +2,8 @@
 
 Each window of `width` consecutive words has a minimiser, the three words of smallest hash in it.  Consecutive
 windows that share it travel as one packed string to the minimiser's bucket, with the smallest and the largest doc_id that hold
-the string in the chunk (equal hashes of strings are compared byte by byte).  A bucket sorts all its windows, so that equal ones meet, and finds the smallest doc_id of each; a
+the string in the chunk (equal hashes of strings are compared byte by byte); chunks first ask which minimisers occur
+twice or more, and strings of the others, whose windows are unique, stay.  A bucket sorts all its windows, so that equal ones meet, and finds the smallest doc_id of each; a
 word is removed if a window that covers it also starts in a document with a smaller doc_id.
 
 Null and empty texts have no words; texts of fewer than `width` words lose none; rows with the same doc_id do not
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 
 from vellum.llm.flat import SPREAD, U64, Rolling, covered, flat, gather, spans, strings, words
 from vellum.llm.routing import Routing, bucket_of, minimisers, ordered, pack, runs, table, unpack
+from vellum.llm.routing import groups as _groups
 from vellum.llm.shared import MB
 
 MINIMISER = 3
@@ -96,12 +98,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 /
     routing = Routing(docs, chunk_bytes, bucket_bytes, id_column, text_column)
     buckets = routing.buckets
 
-    def ask(group: pa.Table) -> pa.Table:
-        c = _Chunk(group, width)
-        if not len(c.first):
+    def pieces(group: pa.Table, answers: pa.Table) -> pa.Table:
+        if not answers.num_rows or not group.num_rows:
             return table([], [], [])
+        c = _Chunk(group, width)
         number = group["chunk"][0].as_py()
-        order = np.lexsort((c.id, c.content))
+        some = np.flatnonzero(np.isin(c.key, np.concatenate([unpack(x.as_py())[0] for x in answers["body"]])))
+        order = some[np.lexsort((c.id[some], c.content[some]))]
         content = c.content[order]
         new = np.ones(len(order), bool)
         new[1:] = content[1:] != content[:-1]
@@ -172,14 +175,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 /
         out = {"doc_id": c.ids, "n_words": np.diff(c.before), "n_removed": np.diff(sums[c.before]), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())}
         return pa.table(out | ({"text": pa.array([bytes(t).decode() for t in texts], pa.string())} if with_text else {}))
 
-    return routing.finish(routing.answer(routing.ask(ask), answer), finish, SCHEMA + ", text string" * with_text)
-
-
-def _groups(keys: np.ndarray):
-    """(lo, hi) of the runs of equal keys."""
-    if len(keys):
-        cut = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
-        yield from zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True)
+    known = routing.repeated(lambda group: _Chunk(group, width).key)
+    return routing.finish(routing.answer(routing.ask_again(known, pieces), answer), finish, SCHEMA + ", text string" * with_text)
 
 
 def same_windows(ids: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from vellum.llm.flat import SPREAD, U64, Rolling, covered, flat, gather, spans
 from vellum.llm.routing import Routing, bucket_of, minimisers, ordered, pack, runs, table, unpack
+from vellum.llm.routing import groups as _groups
 from vellum.llm.shared import MB
-from vellum.llm.substring_dedup import _groups, alike, blocks
+from vellum.llm.substring_dedup import alike, blocks
 
 ANCHOR = 32
 #: Bytes of pieces with one minimiser from which unique windows are left out before the transform.
@@ -63,44 +64,11 @@ def _pieces(raw: np.ndarray, at: np.ndarray, length: int):
     return first, last - first + 1, hashes[centre], (centre - first).astype("<u2"), roll.of(first, last + length)
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct keys, one index of each, 1 or 2 for once or more)."""
-    values, index, count = np.unique(keys, return_index=True, return_counts=True)
-    return values, index, np.minimum(count, 2).astype(np.uint8)
-
-
-def repeated_anchors(group: pa.Table) -> pa.Table:
-    """A bucket's answer: the keys that occur twice or more, to each chunk that has them."""
-    chunks = group["chunk"].to_pylist()
-    parts = [unpack(x.as_py()) for x in group["body"]]
-    keys, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-    values, which = np.unique(keys, return_inverse=True)
-    often = np.bincount(which, weights=times, minlength=len(values)) >= 2
-    owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    p = np.flatnonzero(often[which])
-    out = ([], [], [])
-    for lo, hi in _groups(owner[p]):
-        out[0].append(group["bucket"][0].as_py()), out[1].append(chunks[owner[p[lo]]]), out[2].append(pack(keys[p[lo:hi]]))
-    return table(*out)
-
-
 def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bucket_bytes: int = MB, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, large: int = LARGE) -> DataFrame:
     """SCHEMA for each row; with_text adds the kept text as `text` and the row's other columns as `rest`."""
     routing = Routing(docs, chunk_bytes, bucket_bytes, id_column, text_column, with_text)
     buckets = routing.buckets
 
-    def anchors(group: pa.Table) -> pa.Table:
-        c = _Chunk(group, length)
-        number = group["chunk"][0].as_py()
-        keys, _, times = _distinct(c.key)
-        to = bucket_of(keys, buckets)
-        by = np.argsort(to, kind="stable")
-        to, keys, times = to[by], keys[by], times[by]
-        out = ([], [], [])
-        for lo, hi in _groups(to):
-            out[0].append(int(to[lo])), out[1].append(number), out[2].append(pack(keys[lo:hi], times[lo:hi]))
-        return table(*out)
-
     def pieces(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not group.num_rows:
             return table([], [], [])
@@ -197,7 +165,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
         out = {"doc_id": ids, "n_bytes": np.diff(at), "n_removed": np.diff(sums[at]), "n_spans": np.diff(heads[at]), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())}
         return pa.table(out | ({"text": pa.array([bytes(t).decode(errors="ignore") for t in texts], pa.string()), "rest": group["rest"]} if with_text else {}))
 
-    known = routing.answer(routing.ask(anchors), repeated_anchors)
+    known = routing.repeated(lambda group: _Chunk(group, length).key)
     asked = routing.ask_again(known, pieces)
     return routing.finish(routing.answer(asked, answer), finish, _schema(routing.docs) if with_text else SCHEMA)
 
