@@ -80,7 +80,7 @@ def confusions(df: DataFrame, pred: str = "pred", gt: str = "gt", by: Sequence[s
 def mean_confusions(df: DataFrame, batch: str, pred: str = "pred", gt: str = "gt") -> DataFrame:
     """(gt_char, pred_char, share): the mean over batches of their row shares; an absent pair counts as 0."""
     shares = confusions(df, pred, gt, [batch])
-    batches = df.select(F.count_distinct(batch)).first()[0]
+    batches = df.select(F.count_distinct(batch)).scalar()
     return shares.groupBy("gt_char", "pred_char").agg((F.sum("share") / batches).alias("share"))
 
 

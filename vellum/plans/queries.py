@@ -612,7 +612,7 @@ def flatten_lists(spark, d):
 @query("WITH x AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), m AS (SELECT max(n) AS m FROM x) SELECT user_id, n, m AS width FROM x, m")
 def pad_scores(spark, d):
     rows = _table(spark, d, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    width = rows.agg(F.max(F.size("v"))).scalar()
     return rows.select("user_id", F.size("v").cast("long").alias("n"), F.size(nested.padded(F.col("v"), width, 0.0)).cast("long").alias("width"))
 
 
