@@ -79,19 +79,13 @@ def predicted(rows: DataFrame, alphabet: Alphabet, frames: str = "frames", lengt
     decoder: from the frames and their number, if given, to array<(label, score)>, one for each frame.
     """
     rows = rows.withColumn("_best", decoder(F.col(frames), F.col(length) if length else None))
-    labels = F.transform("_best", lambda b: b["label"])
-    # a fold over frames: the largest score of each run of one label
-    start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<double>").alias("out"))
-
-    def step(state: Column, frame: Column) -> Column:
-        score = frame["score"].cast("double")
-        same = state["last"] == frame["label"]
-        n = F.size(state["out"])
-        grown = F.concat(F.slice(state["out"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.greatest(F.get(state["out"], n - 1), score)))
-        out = F.when(frame["label"] == NULL_CODE, state["out"]).when(same, grown).otherwise(F.concat(state["out"], F.array(score)))
-        return F.struct(frame["label"].alias("last"), out.alias("out"))
-
-    return rows.withColumn("prediction", alphabet.decode_ctc(labels)).withColumn("scores", F.aggregate("_best", start, step, lambda s: s["out"])).drop("_best")
+    rows = rows.withColumn("_labels", F.transform("_best", lambda b: b["label"]))
+    places = F.transform("_labels", lambda v, i: F.struct(v.alias("label"), i.alias("at")))
+    # first and last frames of the runs, which stand in the same order; each run's frames are looked at once
+    edge = lambda step: F.filter(places, lambda x: (x["label"] != NULL_CODE) & ~F.coalesce(F.get("_labels", x["at"] + step) == x["label"], F.lit(False)))
+    highest = lambda a, b: F.array_max(F.transform(F.slice("_best", a["at"] + 1, b["at"] - a["at"] + 1), lambda f: f["score"].cast("double")))
+    scores = F.zip_with(edge(-1), edge(1), highest)
+    return rows.withColumn("prediction", alphabet.decode_ctc(F.col("_labels"))).withColumn("scores", scores).drop("_best", "_labels")
 
 
 class Beams:
