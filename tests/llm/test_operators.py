@@ -175,6 +175,8 @@ def test_substring_dedup(docs, empty):
                 gone[k : k + 13] = [True] * 13
         want.append((d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
     same([tuple(r) for r in substring_dedup.remove_repeats(docs).collect()], want)
+    for hot in (0, 1):  # all minimisers are frequent, to one degree or another
+        same([tuple(r) for r in substring_dedup.remove_repeats(docs, hot=hot).collect()], want)
 
 
 def test_equal_hashes_are_told_apart(monkeypatch):

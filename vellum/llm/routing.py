@@ -57,17 +57,18 @@ def groups(keys: np.ndarray):
 
 
 def _often(group: pa.Table) -> pa.Table:
-    """A bucket's answer: the keys that occur twice or more, to each chunk that has them."""
+    """A bucket's answer: the keys that occur twice or more, and how often, to each chunk that has them."""
     chunks = group["chunk"].to_pylist()
     parts = [unpack(x.as_py()) for x in group["body"]]
     keys, times = (np.concatenate(x) for x in zip(*parts, strict=True))
     values, which = np.unique(keys, return_inverse=True)
-    often = np.bincount(which, weights=times, minlength=len(values)) >= 2
+    total = np.bincount(which, weights=times, minlength=len(values))
+    often = total >= 2
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     p = np.flatnonzero(often[which])
     out = ([], [], [])
     for lo, hi in groups(owner[p]):
-        out[0].append(group["bucket"][0].as_py()), out[1].append(chunks[owner[p[lo]]]), out[2].append(pack(keys[p[lo:hi]]))
+        out[0].append(group["bucket"][0].as_py()), out[1].append(chunks[owner[p[lo]]]), out[2].append(pack(keys[p[lo:hi]], total[which[p[lo:hi]]].astype("<i8")) if times.dtype != np.uint8 else pack(keys[p[lo:hi]]))
     return table(*out)
 
 
@@ -96,15 +97,15 @@ class Routing:
         """f: all questions to a bucket -> its answers, a row for each chunk."""
         return questions.repartition(self.partitions, "bucket").groupBy("bucket").applyInArrow(f, ROW)
 
-    def repeated(self, keys_of: Callable[[pa.Table], np.ndarray]) -> DataFrame:
-        """keys_of: the keys of a chunk's pieces.  Answers to each chunk: those of its keys that occur twice or more in all chunks."""
+    def repeated(self, keys_of: Callable[[pa.Table], np.ndarray], counted: bool = False) -> DataFrame:
+        """keys_of: the keys of a chunk's pieces.  Answers to each chunk: those of its keys that occur twice or more in all chunks; counted: with how often."""
         buckets = self.buckets
 
         def ask(group: pa.Table) -> pa.Table:
             keys, count = np.unique(keys_of(group), return_counts=True)
             to = bucket_of(keys, buckets)
             by = np.argsort(to, kind="stable")
-            to, keys, times = to[by], keys[by], np.minimum(count, 2).astype(np.uint8)[by]
+            to, keys, times = to[by], keys[by], (count.astype("<i4") if counted else np.minimum(count, 2).astype(np.uint8))[by]
             number, out = group["chunk"][0].as_py(), ([], [], [])
             for lo, hi in groups(to):
                 out[0].append(int(to[lo])), out[1].append(number), out[2].append(pack(keys[lo:hi], times[lo:hi]))

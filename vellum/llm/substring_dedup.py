@@ -6,6 +6,10 @@ the string in the chunk (equal hashes of strings are compared byte by byte); chu
 twice or more, and strings of the others, whose windows are unique, stay.  A bucket sorts all its windows, so that equal ones meet, and finds the smallest doc_id of each; a
 word is removed if a window that covers it also starts in a document with a smaller doc_id.
 
+A minimiser that occurs very often, such as a common phrase, is no bucket of its own: its super-k-mers are cut by where it lies in the windows, and each
+part is dealt by the words that all its windows share around it.  The more often it occurs, the more parts, up to a part for each place, which is
+dealt by all the window's words.  Equal windows have the minimiser in the same place and share all words, so they still meet.
+
 Null and empty texts have no words; texts of fewer than `width` words lose none; rows with the same doc_id do not
 remove each other's words; a null doc_id is neither smaller nor larger than any; an empty table gives no rows.
 Further columns are ignored.
@@ -19,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vellum.llm.flat import SPREAD, U64, Rolling, covered, flat, gather, spans, strings, words
+from vellum.llm.flat import BASE, SPREAD, U64, Rolling, covered, flat, gather, mix, spans, strings, words
 from vellum.llm.routing import Routing, bucket_of, minimisers, ordered, pack, runs, table, unpack
 from vellum.llm.routing import groups as _groups
 from vellum.llm.shared import MB
 
 MINIMISER = 3
+#: Times that a minimiser may occur before its super-k-mers are cut; and with each further FINER times as many, the parts they are cut into.
+HOT, FINER, PARTS = 1 << 14, 4, (2, 4)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -38,9 +44,9 @@ def word_hashes(raw: np.ndarray, ws: np.ndarray, we: np.ndarray, block: int = 1
 
 
 class _Chunk:
-    """A chunk's words (each followed by one blank) and its super-k-mers."""
+    """A chunk's words (each followed by one blank) and its super-k-mers; `frequent` are minimisers, ascending, and the parts into which theirs are cut."""
 
-    def __init__(self, group: pa.Table, width: int):
+    def __init__(self, group: pa.Table, width: int, frequent: tuple[np.ndarray, np.ndarray] | None = None):
         group = ordered(group)
         self.ids = group["doc_id"].combine_chunks()
         raw, offsets = flat(group["text"])
@@ -54,9 +60,9 @@ class _Chunk:
         counts = np.diff(self.before)
         self.doc = np.repeat(np.arange(len(counts)), counts)
         counts = np.where(self.ids.is_valid().to_numpy(zero_copy_only=False), counts, 0)
-        found = [_pieces(roll[self.before[lo] : self.before[hi]], self.before[lo : hi + 1] - self.before[lo], counts[lo:hi], width) for lo, hi in blocks(self.before, 1 << 16)]
+        found = [_pieces(roll[self.before[lo] : self.before[hi]], self.before[lo : hi + 1] - self.before[lo], counts[lo:hi], width, frequent) for lo, hi in blocks(self.before, 1 << 16)]
         base = np.repeat(np.array([self.before[lo] for lo, _ in blocks(self.before, 1 << 16)], np.int64), [len(x[0]) for x in found])
-        self.first, self.windows, self.key, self.content = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.first, self.windows, self.minimiser, self.key, self.content = (np.concatenate(x) for x in zip(*found, strict=True))
         self.first = self.first + base
         self.end = self.first + self.windows - 1 + width
         self.id = self.ids.fill_null(0).to_numpy()[self.doc[self.first]] if len(self.first) else np.zeros(0, np.int64)
@@ -81,8 +87,14 @@ def alike(raw: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b
             raise ValueError("different pieces have one content hash")
 
 
-def _pieces(values: np.ndarray, at: np.ndarray, counts: np.ndarray, width: int):
-    """(first word, windows, minimiser's hash, content hash) of the super-k-mers of some texts, from the hashes of their words."""
+def parts_of(times: np.ndarray, span: int, hot: int) -> np.ndarray:
+    """Into how many parts the super-k-mers of minimisers are cut that occur so many times; span: the minimiser's places in a window."""
+    limits = [hot * FINER**k for k in range(len(PARTS) + 1)]
+    return np.minimum(np.array([1, *PARTS, span]), span)[np.searchsorted(limits, times)].astype(np.uint8)
+
+
+def _pieces(values: np.ndarray, at: np.ndarray, counts: np.ndarray, width: int, frequent: tuple[np.ndarray, np.ndarray] | None):
+    """(first word, windows, minimiser's hash, hash that deals it, content hash) of the super-k-mers of some texts, from the hashes of their words."""
     roll = Rolling(values)
     long = np.flatnonzero(counts >= width)
     n = counts[long] - width + 1
@@ -90,10 +102,33 @@ def _pieces(values: np.ndarray, at: np.ndarray, counts: np.ndarray, width: int):
     hashes = roll.each(MINIMISER)
     centre = minimisers(hashes, places, width - MINIMISER + 1)
     first, last, centre = runs(places, centre, np.repeat(long, n))
-    return first, last - first + 1, hashes[centre], roll.of(first, last + width)
+    least = key = hashes[centre]
+    if frequent and len(frequent[0]):
+        place = np.minimum(np.searchsorted(frequent[0], least), len(frequent[0]) - 1)
+        parts = np.where(frequent[0][place] == least, frequent[1][place], 1).astype(np.int64)
+        first, last, least, key = _cut(roll, first, last, centre, least, parts, width - MINIMISER + 1)
+    return first, last - first + 1, least, key, roll.of(first, last + width)
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 // 2, bucket_bytes: int = MB * 3 // 4, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
+def _cut(roll: Rolling, first: np.ndarray, last: np.ndarray, centre: np.ndarray, least: np.ndarray, parts: np.ndarray, span: int):
+    """Super-k-mers cut by the minimiser's place in their windows: (first window, last window, minimiser, hash that deals it).
+
+    The windows of part j have the minimiser at one of the places low to high; all of them hold the `low` words before it and the span-1-high words after it.
+    """
+    hot, cold = np.flatnonzero(parts > 1), np.flatnonzero(parts == 1)
+    piece, at = spans(last[hot] - first[hot] + 1)
+    window, middle, n = first[hot][piece] + at, centre[hot][piece], parts[hot][piece]
+    part = (middle - window) * n // span
+    head = np.flatnonzero((np.diff(piece, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+    tail = np.append(head[1:], len(window))[: len(head)] - 1
+    j, n, middle = part[head], n[head], middle[head]
+    low, high = -(-j * span // n), -(-(j + 1) * span // n) - 1
+    around = mix(roll.of(middle - low, middle + MINIMISER + span - 1 - high) + (j + 1).astype(U64) * U64(BASE))
+    of_ = least[hot][piece[head]]
+    return tuple(np.concatenate(x) for x in ((first[cold], window[head]), (last[cold], window[tail]), (least[cold], of_), (least[cold], around)))
+
+
+def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 // 2, bucket_bytes: int = MB * 3 // 4, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
     """SCHEMA for each row; with_text adds the kept words as `text`."""
     routing = Routing(docs, chunk_bytes, bucket_bytes, id_column, text_column)
     buckets = routing.buckets
@@ -101,9 +136,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 /
     def pieces(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not group.num_rows:
             return table([], [], [])
-        c = _Chunk(group, width)
+        known, times = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in answers["body"]), strict=True))
+        known, times = known[np.argsort(known)], times[np.argsort(known)]
+        parts = parts_of(times, width - MINIMISER + 1, hot)
+        frequent = known[parts > 1], parts[parts > 1]
+        c = _Chunk(group, width, frequent)
         number = group["chunk"][0].as_py()
-        some = np.flatnonzero(np.isin(c.key, np.concatenate([unpack(x.as_py())[0] for x in answers["body"]])))
+        some = np.flatnonzero(np.isin(c.minimiser, known))
         order = some[np.lexsort((c.id[some], c.content[some]))]
         content = c.content[order]
         new = np.ones(len(order), bool)
@@ -114,7 +153,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 /
         low, high = c.id[one], c.id[order[np.append(begin[1:], len(order)) - 1]]
         to = bucket_of(c.key[one], buckets)
         by = np.argsort(to, kind="stable")
-        out = ([], [], [])
+        # a note to the chunk itself: which of its minimisers are frequent
+        out = ([-1 - number], [number], [pack(*frequent)]) if len(frequent[0]) else ([], [], [])
         for lo, hi in _groups(to[by]):
             some = by[lo:hi]
             p = one[some]
@@ -124,6 +164,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 /
         return table(*out)
 
     def answer(group: pa.Table) -> pa.Table:
+        if group["bucket"][0].as_py() < 0:
+            return group
         chunks = group["chunk"].to_pylist()
         parts = [unpack(x.as_py()) for x in group["body"]]
         raw, n_words, low, more = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -153,17 +195,19 @@ def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 /
         return table(*out)
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Chunk(group, width)
+        bodies = [(b < 0, unpack(x)) for b, x in zip(answers["bucket"].to_pylist(), answers["body"].to_pylist(), strict=True)]
+        found, frequent = [x for note, x in bodies if not note], next((tuple(x) for note, x in bodies if note), None)
+        c = _Chunk(group, width, frequent)
         gone = np.zeros(c.n, bool)
-        if answers.num_rows:
-            content, windows, least = (np.concatenate(x) for x in zip(*(unpack(b.as_py()) for b in answers["body"]), strict=True))
+        if found:
+            content, windows, least = (np.concatenate(x) for x in zip(*found, strict=True))
             before = np.cumsum(windows) - windows
             order = np.argsort(content)
             place = np.minimum(np.searchsorted(content[order], c.content), len(order) - 1)
             hit = np.flatnonzero(content[order][place] == c.content)
-            found = order[place[hit]]
+            answer_of = order[place[hit]]
             run, at = spans(c.windows[hit])
-            bad = least[before[found][run] + at] < c.id[hit][run]
+            bad = least[before[answer_of][run] + at] < c.id[hit][run]
             lo = (c.first[hit][run] + at)[bad]
             gone = covered(lo, lo + width, c.n)
         sums = np.append(0, np.cumsum(gone))
@@ -175,7 +219,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 /
         out = {"doc_id": c.ids, "n_words": np.diff(c.before), "n_removed": np.diff(sums[c.before]), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())}
         return pa.table(out | ({"text": pa.array([bytes(t).decode() for t in texts], pa.string())} if with_text else {}))
 
-    known = routing.repeated(lambda group: _Chunk(group, width).key)
+    known = routing.repeated(lambda group: _Chunk(group, width).key, counted=True)
     return routing.finish(routing.answer(routing.ask_again(known, pieces), answer), finish, SCHEMA + ", text string" * with_text)
 
 
