@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 from vellum.llm import substring_dedup
-from vellum.llm.substring_dedup import MINIMISER, _Chunk, parts_of
+from vellum.llm.routing import parts_of
+from vellum.llm.substring_dedup import MINIMISER, PARTS, _Chunk
 
 WIDTH = 13
 SPAN = WIDTH - MINIMISER + 1
@@ -28,9 +29,9 @@ def windows_of(c):
 
 
 def test_number_of_parts():
-    got = parts_of(np.array([2, 10, 11, 40, 41, 160, 161, 1 << 40]), SPAN, 10).tolist()
+    got = parts_of(np.array([2, 10, 11, 40, 41, 160, 161, 1 << 40]), SPAN, 10, PARTS).tolist()
     assert got == [1, 1, 2, 2, 4, 4, SPAN, SPAN]
-    assert parts_of(np.array([1 << 40]), 1, 10).tolist() == [1]  # nothing to tell windows apart by
+    assert parts_of(np.array([1 << 40]), 1, 10, PARTS).tolist() == [1]  # nothing to tell windows apart by
 
 
 @pytest.mark.parametrize("parts", [2, 3, 4, SPAN])

@@ -202,6 +202,8 @@ def test_suffix_dedup(docs, empty):
     want = [(d, len(b), int(g.sum()), int((g & ~np.append(False, g)[:-1]).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~g].tobytes()).hexdigest()) for d, b, g in brute_bytes(200)]
     same([tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()], want)
     same([tuple(r) for r in suffix_dedup.remove_repeats(docs, large=0).collect()], want)  # every group counts as large
+    for hot in (0, 1):  # all minimisers are frequent, to one degree or another
+        same([tuple(r) for r in suffix_dedup.remove_repeats(docs, hot=hot).collect()], want)
 
 
 def test_suffix_dedup_of_a_passage_in_many_surroundings(spark):
@@ -220,7 +222,8 @@ def test_suffix_dedup_of_a_passage_in_many_surroundings(spark):
                 gone[k : k + 200] = True
         want[i] = int(gone.sum())
     assert sum(want.values()) >= 1500 * 240
-    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df, large=1 << 16).collect()} == want
+    for hot in (1 << 14, 700, 60):  # whole, in two parts, in 32 parts
+        assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df, large=1 << 16, hot=hot).collect()} == want
 
 
 def test_suffix_dedup_settles_equal_pieces_by_the_transform(spark, monkeypatch):

@@ -8,7 +8,7 @@ chunk.  A bucket answers each chunk in one row.  Both passes over the chunks use
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.flat import BASE, U64, mix, sliding_min
+from vellum.llm.flat import BASE, U64, Rolling, mix, sliding_min, spans
 from vellum.llm.shared import pieces_for, settled, spread
 
 ROW = "bucket int, chunk int, body binary"
@@ -142,3 +142,38 @@ def runs(places: np.ndarray, centre: np.ndarray, doc: np.ndarray) -> tuple[np.nd
     new[1:] = (centre[1:] != centre[:-1]) | (places[1:] != places[:-1] + 1) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
     return places[begin], places[np.append(begin[1:], len(places)) - 1], centre[begin]
+
+
+def parts_of(times: np.ndarray, span: int, hot: int, parts: Sequence[int]) -> np.ndarray:
+    """Into how many parts pieces are cut whose minimiser, with `span` places in a window, occurs so many times: the first of `parts` beyond hot, the next beyond 4 times that, and so on."""
+    limits = [hot * 4**k for k in range(len(parts))]
+    return np.minimum(np.array([1, *parts]), span)[np.searchsorted(limits, times)].astype(np.uint8)
+
+
+def repeated_and_frequent(answers: pa.Table, span: int, hot: int, parts: Sequence[int]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """From a chunk's answers by Routing.repeated(counted=True): its repeated keys, ascending, and those whose pieces are cut, with the number of parts."""
+    known, times = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in answers["body"]), strict=True))
+    order = np.argsort(known)
+    known, n = known[order], parts_of(times[order], span, hot, parts)
+    return known, (known[n > 1], n[n > 1])
+
+
+def cut(roll: Rolling, first: np.ndarray, last: np.ndarray, centre: np.ndarray, key: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], anchor: int, width: int):
+    """Pieces (first and last window, minimiser, its hash) with those of frequent minimisers cut: first and last window, minimiser, and the hash that deals each.
+
+    Pieces are cut where the minimiser's place in the window passes from one of equal parts to another.  With the minimiser at the places low to high,
+    all windows of a part hold the `low` elements before it, and width-anchor-high after it, by which the part is dealt: equal windows have equal places, and so one hash.
+    """
+    span = width - anchor + 1
+    place = np.minimum(np.searchsorted(frequent[0], key), len(frequent[0]) - 1)
+    parts = np.where(frequent[0][place] == key, frequent[1][place], 1).astype(np.int64)
+    hot, cold = np.flatnonzero(parts > 1), np.flatnonzero(parts == 1)
+    piece, at = spans(last[hot] - first[hot] + 1)
+    window, middle, n = first[hot][piece] + at, centre[hot][piece], parts[hot][piece]
+    part = (middle - window) * n // span
+    head = np.flatnonzero((np.diff(piece, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+    tail = np.append(head[1:], len(window))[: len(head)] - 1
+    j, n, middle = part[head], n[head], middle[head]
+    low, high = -(-j * span // n), -(-(j + 1) * span // n) - 1
+    around = mix(roll.of(middle - low, middle + width - high) + (j + 1).astype(U64) * U64(BASE))
+    return tuple(np.concatenate(x) for x in ((first[cold], window[head]), (last[cold], window[tail]), (centre[cold], middle), (key[cold], around)))

@@ -23,14 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vellum.llm.flat import BASE, SPREAD, U64, Rolling, covered, flat, gather, mix, spans, strings, words
-from vellum.llm.routing import Routing, bucket_of, minimisers, ordered, pack, runs, table, unpack
+from vellum.llm.flat import SPREAD, U64, Rolling, covered, flat, gather, spans, strings, words
+from vellum.llm.routing import Routing, bucket_of, cut, minimisers, ordered, pack, repeated_and_frequent, runs, table, unpack
 from vellum.llm.routing import groups as _groups
 from vellum.llm.shared import MB
 
 MINIMISER = 3
-#: Times that a minimiser may occur before its super-k-mers are cut; and with each further FINER times as many, the parts they are cut into.
-HOT, FINER, PARTS = 1 << 14, 4, (2, 4)
+#: Times that a minimiser may occur before its super-k-mers are cut, and the parts they are cut into first (routing.parts_of).
+HOT, PARTS = 1 << 14, (2, 4, 11)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -87,12 +87,6 @@ def alike(raw: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b
             raise ValueError("different pieces have one content hash")
 
 
-def parts_of(times: np.ndarray, span: int, hot: int) -> np.ndarray:
-    """Into how many parts the super-k-mers of minimisers are cut that occur so many times; span: the minimiser's places in a window."""
-    limits = [hot * FINER**k for k in range(len(PARTS) + 1)]
-    return np.minimum(np.array([1, *PARTS, span]), span)[np.searchsorted(limits, times)].astype(np.uint8)
-
-
 def _pieces(values: np.ndarray, at: np.ndarray, counts: np.ndarray, width: int, frequent: tuple[np.ndarray, np.ndarray] | None):
     """(first word, windows, minimiser's hash, hash that deals it, content hash) of the super-k-mers of some texts, from the hashes of their words."""
     roll = Rolling(values)
@@ -104,30 +98,11 @@ def _pieces(values: np.ndarray, at: np.ndarray, counts: np.ndarray, width: int,
     first, last, centre = runs(places, centre, np.repeat(long, n))
     least = key = hashes[centre]
     if frequent and len(frequent[0]):
-        place = np.minimum(np.searchsorted(frequent[0], least), len(frequent[0]) - 1)
-        parts = np.where(frequent[0][place] == least, frequent[1][place], 1).astype(np.int64)
-        first, last, least, key = _cut(roll, first, last, centre, least, parts, width - MINIMISER + 1)
+        first, last, centre, key = cut(roll, first, last, centre, least, frequent, MINIMISER, width)
+        least = hashes[centre]
     return first, last - first + 1, least, key, roll.of(first, last + width)
 
 
-def _cut(roll: Rolling, first: np.ndarray, last: np.ndarray, centre: np.ndarray, least: np.ndarray, parts: np.ndarray, span: int):
-    """Super-k-mers cut by the minimiser's place in their windows: (first window, last window, minimiser, hash that deals it).
-
-    The windows of part j have the minimiser at one of the places low to high; all of them hold the `low` words before it and the span-1-high words after it.
-    """
-    hot, cold = np.flatnonzero(parts > 1), np.flatnonzero(parts == 1)
-    piece, at = spans(last[hot] - first[hot] + 1)
-    window, middle, n = first[hot][piece] + at, centre[hot][piece], parts[hot][piece]
-    part = (middle - window) * n // span
-    head = np.flatnonzero((np.diff(piece, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
-    tail = np.append(head[1:], len(window))[: len(head)] - 1
-    j, n, middle = part[head], n[head], middle[head]
-    low, high = -(-j * span // n), -(-(j + 1) * span // n) - 1
-    around = mix(roll.of(middle - low, middle + MINIMISER + span - 1 - high) + (j + 1).astype(U64) * U64(BASE))
-    of_ = least[hot][piece[head]]
-    return tuple(np.concatenate(x) for x in ((first[cold], window[head]), (last[cold], window[tail]), (least[cold], of_), (least[cold], around)))
-
-
 def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 // 2, bucket_bytes: int = MB * 3 // 4, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
     """SCHEMA for each row; with_text adds the kept words as `text`."""
     routing = Routing(docs, chunk_bytes, bucket_bytes, id_column, text_column)
@@ -136,10 +111,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = MB * 3 /
     def pieces(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not group.num_rows:
             return table([], [], [])
-        known, times = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in answers["body"]), strict=True))
-        known, times = known[np.argsort(known)], times[np.argsort(known)]
-        parts = parts_of(times, width - MINIMISER + 1, hot)
-        frequent = known[parts > 1], parts[parts > 1]
+        known, frequent = repeated_and_frequent(answers, width - MINIMISER + 1, hot, PARTS)
         c = _Chunk(group, width, frequent)
         number = group["chunk"][0].as_py()
         some = np.flatnonzero(np.isin(c.minimiser, known))

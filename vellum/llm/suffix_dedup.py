@@ -7,7 +7,8 @@ are compared byte by byte with the first), expands intervals breadth-first by ba
 prefixes of neighbouring suffixes by increasing value, and stops at `length`: boundaries without a value by then join
 suffixes that share `length` bytes, and an interval whose suffixes count twice or more, by their multiplicities, is repeated.
 Where the pieces of one minimiser are too many for one transform, those of their windows whose hash no other has are left out before it; what is
-left, equal stretches once, is decided by the transform as all else.
+left, equal stretches once, is decided by the transform as all else.  The pieces of a minimiser that occurs very often are cut before they travel, by where it
+lies in their windows, and dealt by the bytes that the windows of a part share around it, so that they go to many buckets.
 
 Null and empty texts have no bytes; texts shorter than `length` lose none (a text of 2**28 bytes or more is an error); rows with equal doc_ids are documents of
 their own, so repeated rows remove each other; a null doc_id is a document like others; an empty table gives no rows.
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.flat import SPREAD, U64, Rolling, covered, flat, gather, spans
-from vellum.llm.routing import Routing, bucket_of, minimisers, ordered, pack, runs, table, unpack
+from vellum.llm.routing import Routing, bucket_of, cut, minimisers, ordered, pack, repeated_and_frequent, runs, table, unpack
 from vellum.llm.routing import groups as _groups
 from vellum.llm.shared import MB
 from vellum.llm.substring_dedup import alike, blocks
 
 ANCHOR = 32
+#: Times that a minimiser may occur before its pieces are cut, and the parts they are cut into first (routing.parts_of).
+HOT, PARTS = 1 << 14, (2, 8, 32)
 #: Bytes of pieces with one minimiser from which unique windows are left out before the transform.
 LARGE = MB
 #: Windows whose hashes are sorted together.
@@ -39,20 +42,20 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 class _Chunk:
-    """A chunk's pieces: consecutive windows of a document that share a minimiser."""
+    """A chunk's pieces: consecutive windows of a document that share a minimiser; `frequent` are minimisers, ascending, and the parts into which theirs are cut."""
 
-    def __init__(self, group: pa.Table, length: int):
+    def __init__(self, group: pa.Table, length: int, frequent: tuple[np.ndarray, np.ndarray] | None = None):
         group = ordered(group)
         self.raw, self.at = flat(group["text"])
-        found = [_pieces(self.raw[self.at[lo] : self.at[hi]], self.at[lo : hi + 1] - self.at[lo], length) for lo, hi in blocks(self.at, 1 << 18)]
+        found = [_pieces(self.raw[self.at[lo] : self.at[hi]], self.at[lo : hi + 1] - self.at[lo], length, frequent) for lo, hi in blocks(self.at, 1 << 18)]
         base = np.repeat(np.array([self.at[lo] for lo, _ in blocks(self.at, 1 << 18)], np.int64), [len(x[0]) for x in found])
-        self.first, self.windows, self.key, self.place, self.content = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.first, self.windows, self.minimiser, self.key, self.place, self.content = (np.concatenate(x) for x in zip(*found, strict=True))
         self.first = self.first + base
         self.end = self.first + self.windows - 1 + length
 
 
-def _pieces(raw: np.ndarray, at: np.ndarray, length: int):
-    """(first byte, windows, minimiser's hash, its place in the piece, content hash) of the pieces of some texts."""
+def _pieces(raw: np.ndarray, at: np.ndarray, length: int, frequent: tuple[np.ndarray, np.ndarray] | None):
+    """(first byte, windows, minimiser's hash, hash that deals the piece, the minimiser's place in the piece, content hash) of the pieces of some texts."""
     size = np.diff(at)
     roll = Rolling(SPREAD[raw])
     hashes = roll.each(ANCHOR)
@@ -61,10 +64,13 @@ def _pieces(raw: np.ndarray, at: np.ndarray, length: int):
     places = gather(at[:-1][long], counts)
     centre = minimisers(hashes, places, length - ANCHOR + 1)
     first, last, centre = runs(places, centre, np.repeat(long, counts))
-    return first, last - first + 1, hashes[centre], (centre - first).astype("<u2"), roll.of(first, last + length)
+    key = hashes[centre]
+    if frequent and len(frequent[0]):
+        first, last, centre, key = cut(roll, first, last, centre, key, frequent, ANCHOR, length)
+    return first, last - first + 1, hashes[centre], key, (centre - first).astype("<u2"), roll.of(first, last + length)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bucket_bytes: int = MB, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, large: int = LARGE) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bucket_bytes: int = MB, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, large: int = LARGE, hot: int = HOT) -> DataFrame:
     """SCHEMA for each row; with_text adds the kept text as `text` and the row's other columns as `rest`."""
     routing = Routing(docs, chunk_bytes, bucket_bytes, id_column, text_column, with_text)
     buckets = routing.buckets
@@ -72,10 +78,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
     def pieces(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not group.num_rows:
             return table([], [], [])
-        c = _Chunk(group, length)
+        known, frequent = repeated_and_frequent(answers, length - ANCHOR + 1, hot, PARTS)
+        c = _Chunk(group, length, frequent)
         number = group["chunk"][0].as_py()
-        known = np.concatenate([unpack(x.as_py())[0] for x in answers["body"]])
-        some = np.flatnonzero(np.isin(c.key, known))
+        some = np.flatnonzero(np.isin(c.minimiser, known))
+        some = some[np.argsort(c.first[some], kind="stable")]
         _, index, which, times = np.unique(c.content[some], return_index=True, return_inverse=True, return_counts=True)
         times = np.minimum(times, 2).astype(np.uint8)
         one = some[index]
@@ -165,7 +172,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = MB, bu
         out = {"doc_id": ids, "n_bytes": np.diff(at), "n_removed": np.diff(sums[at]), "n_spans": np.diff(heads[at]), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())}
         return pa.table(out | ({"text": pa.array([bytes(t).decode(errors="ignore") for t in texts], pa.string()), "rest": group["rest"]} if with_text else {}))
 
-    known = routing.repeated(lambda group: _Chunk(group, length).key)
+    known = routing.repeated(lambda group: _Chunk(group, length).key, counted=True)
     asked = routing.ask_again(known, pieces)
     return routing.finish(routing.answer(asked, answer), finish, _schema(routing.docs) if with_text else SCHEMA)
 
