@@ -207,7 +207,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     meetings = texts.join(placed, "node").repartition(parts, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
     links = written(meetings.mapInArrow(lambda b: _verified(b, n, threshold), "node binary, links long, root binary"), "links")
     drop(members, groups)
-    label = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+    label = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     per = sets.select("node", "copies", "first_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per = per.join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     nodes = written(per.select("node", "copies", "first_id", "label", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "nodes")
