@@ -17,7 +17,7 @@ TEXTS = ["the ringing nation\nquä..ours", "", None, "SCHösch ing\ttion…", ".
 def folder(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
-    turns = [(1, 0, "user", "a line"), (1, 1, "assistant", "  "), (1, 2, "user", "<b> & \"c\""), (2, 0, "system", ""), (3, 0, "user", "ü"), (3, 1, "system", "x y")]
+    turns = [(1, 0, "user", "a line"), (1, 1, "assistant", "  "), (1, 2, "user", "<b> & \"c\""), (2, 0, "system", ""), (3, 0, "user", "ü"), (3, 1, "system", "x\u2003y")]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{d}/conversations.parquet")
     spark.createDataFrame([(1, 1), (2, 50), (3, 9)], "p_partkey long, p_size int").write.parquet(f"{d}/part.parquet")
     return d
@@ -57,7 +57,7 @@ def test_case_folding(spark, folder):
 
 
 def test_pages_survive_json(spark, folder):
-    want = [(1, "l0", "r_user", "a line", 15), (1, "l2", "r_user", "<b> & \"c\"", 55), (3, "l0", "r_user", "ü", 15), (3, "l1", "r_system", "x y", 35)]
+    want = [(1, "l0", "r_user", "a line", 15), (1, "l2", "r_user", "<b> & \"c\"", 55), (3, "l0", "r_user", "ü", 15), (3, "l1", "r_system", "x\u2003y", 35)]
     assert sorted(rows(spark, folder, "json_roundtrip")) == want
     assert sorted(rows(spark, folder, "owned_regions")) == [(1, "r_user"), (3, "r_system"), (3, "r_user")]
     assert rows(spark, folder, "compiled_counts") == [(4, 2)]
@@ -85,3 +85,30 @@ def test_reports(spark, folder):
     assert log[0][1:] == ("a lime".replace("n", "m"), "a line", "a line")
     roles = {r[0]: r[1:3] for r in rows(spark, folder, "evaluated_roles")}
     assert roles["user"] == (3, 0) and roles["system"] == (1, 1)
+
+
+def test_decoding_up_to_a_length(spark, folder):
+    got = {(r[0], r[1]): r[2] for r in rows(spark, folder, "decoded_lengths")}
+    assert got[(1, 0)] == "a " and got[(1, 1)] == "  " and got[(2, 0)] == "" and got[(3, 1)] == "x?y"  # an em space is no symbol
+    assert got[(1, 2)][1] == "b" and len(got[(1, 2)]) == 4 and len(got[(3, 0)]) == 1
+    assert all(len(v) <= t + 2 for (_, t), v in got.items())
+
+
+def test_stamped_pages(spark, folder):
+    assert sorted(rows(spark, folder, "stamped_pages")) == [(1, "reviewed", "2024-05-01", 2, 0), (3, "reviewed", "2024-05-01", 2, 0)]
+
+
+def test_prediction_report(spark, folder):
+    got = {r[0]: r[1:] for r in rows(spark, folder, "prediction_report")}
+    assert got["1-0"] == ("a lime".replace("u", ""), "a line", "0.5 4.25", "user") and got["2-0"][1] == ""
+
+
+def test_line_samples(spark, folder, tmp_path):
+    docs = [(1, "web", "a line \n"), (2, None, ""), (3, "book", "x")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0.5), (1, 0.7)], "doc_id long, quality double").write.parquet(f"{tmp_path}/labels.parquet")
+    import hashlib
+
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    got = sorted(rows(spark, str(tmp_path), "line_samples"))
+    assert got == [("1", 5, md5("a line"), True), ("2", 1, md5(""), False), ("3", 6, md5("x"), False)]

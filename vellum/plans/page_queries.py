@@ -9,8 +9,8 @@ from vellum.operators import alphabet as alpha
 from vellum.operators import layout, profile, raster
 from vellum.operators.alphabet import Alphabet
 from vellum.plans import jobs
-from vellum.plans.queries import _Q, ALPHABET, READ_FROM, READ_TO, _pages, _parsed, _reduced_sql, _round, _table, query
-from vellum.sources import pagexml
+from vellum.plans.queries import _LKNOWN, _LMOVED, _Q, ALPHABET, LETTERS, READ_FROM, READ_TO, _pages, _parsed, _reduced_sql, _round, _table, query
+from vellum.sources import pagexml, tables
 
 
 @query(r"SELECT conv_id, 'l' || turn AS line_id, 'r_' || role AS region_id, text, CAST(turn * 20 + 15 AS INT) AS base FROM conversations WHERE regexp_matches(text, '\S')")
@@ -123,3 +123,41 @@ def line_images(spark, d):
     rows = rows.select("*", raster.alpha_channel(inside=F.col("wide"), transparency=F.lit(0.5)).alias("a"))
     count = lambda c: raster.pixels(inside=F.col(c)).cast("long")
     return rows.select("p_partkey", count("m").alias("inside"), F.col("x.r").cast("int").alias("r"), F.col("x.b").cast("int").alias("b"), count("c").alias("cropped"), count("kept").alias("kept"), count("a").alias("channel"), count("s").alias("summed"), count("z").alias("zeroed"))
+
+
+# samples and reports
+
+
+@query("""SELECT CAST(d.doc_id AS VARCHAR) AS stem, octet_length(encode(d.url)) AS img_bytes, md5(regexp_replace(d.text, '\\s+$', '')) AS text_md5, l.quality IS NOT NULL AS has_channel
+FROM (SELECT doc_id, source || '/' || doc_id AS url, text FROM documents) d LEFT JOIN (SELECT doc_id, any_value(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)""".replace("\\\\", "\\"))
+def line_samples(spark, d):
+    """Images, texts, masks and channels joined by their stems; documents stand for texts, labels for channels, which some samples lack."""
+    docs = _table(spark, d, "documents").withColumn("stem", F.col("doc_id").cast("string"))
+    content = lambda rows, c: rows.select("stem", c.cast("binary").alias("content"))
+    images = content(docs, F.concat_ws("/", "source", "stem"))
+    channels = content(_table(spark, d, "labels").withColumn("stem", F.col("doc_id").cast("string")), F.col("quality").cast("string")).dropDuplicates(["stem"])
+    found = tables.samples(images, content(docs, F.col("text")), images, channels)
+    return found.select("stem", F.octet_length("img").cast("long").alias("img_bytes"), F.md5(F.col("transcription").cast("binary")).alias("text_md5"), F.col("img_channel").isNotNull().alias("has_channel"))
+
+
+@query(f"SELECT conv_id, turn, substr(translate(regexp_replace(text, '[^{_LKNOWN}]', '?', 'g'), {_Q(''.join(_LMOVED))}, {_Q(''.join(_LMOVED.values()))}), 1, CAST(turn + 2 AS INT)) AS decoded FROM conversations")
+def decoded_lengths(spark, d):
+    """Codes of a padded batch decoded up to a length of each row's own."""
+    return _table(spark, d, "conversations").select("conv_id", "turn", LETTERS.decode(LETTERS.encode(F.col("text"), normal=False), F.col("turn").cast("int") + 2).alias("decoded"))
+
+
+@query(r"SELECT conv_id, 'reviewed' AS comments, '2024-05-01' AS created, count(*) AS n_lines, 0 AS n_texts FROM conversations WHERE regexp_matches(text, '\S') GROUP BY conv_id")
+def stamped_pages(spark, d):
+    """Page documents without their transcriptions, with a comment and a date."""
+    pages = _parsed(spark, d)
+    pages = pages.withColumn("lines", F.transform("lines", lambda x: x.withField("text", F.lit(None).cast("string")))).filter(F.size("lines") > 0)
+    read = jobs.xml_to_json(pages, "conv_id").select("conv_id", F.from_json("json", schemas.DOCUMENT).alias("p")).select("conv_id", "p.*")
+    out = layout.commented(read, "reviewed", "2024-05-01")
+    return out.select("conv_id", "metadata.comments", "metadata.created", F.size("lines").cast("long").alias("n_lines"), F.size(F.filter("lines", lambda x: x["text"].isNotNull())).alias("n_texts"))
+
+
+@query(f"SELECT conv_id || '-' || turn AS id, {_PREDICTED} AS prediction, text AS gt, turn || '.5 ' || length(role) || '.25' AS scores, role FROM conversations")
+def prediction_report(spark, d):
+    """Rows of a tab-separated report: predictions, ground truths, scores and metadata."""
+    rows = _table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.translate("text", READ_FROM, READ_TO).alias("prediction"), F.col("text").alias("gt"), F.array(F.col("turn") + F.lit(0.5), F.length("role") + F.lit(0.25)).cast("array<double>").alias("scores"), "role")
+    return tables.report(rows, ["role"])
