@@ -328,6 +328,21 @@ def test_a_page_too_large_for_a_bitmap(spark):
     assert tuple(raster.page_cover(df, ["page_id"], "coords", n, n, 4096).first()) == ("p", 2 * n + 300 * 300 - 600, 2 * n + 300 * 300, 2)
 
 
+def test_polygons_of_small_pages_travel_as_they_are(spark):
+    """Not their spans by tile: the shuffle files of pages of 9 by 60 pixels are smaller than the polygons' own rows."""
+    n, x, q = 20_000, F.col("id") % 5, (F.col("id") % 30 + 20).cast("int")
+    corner = lambda a, b: F.array(a.cast("int"), b)
+    df = spark.range(n).select((F.col("id") / 4).cast("long").alias("page"), F.array(corner(x, q / 2), corner(x + 3, q / 2), corner(x + 3, q.cast("double")), corner(x, q.cast("double"))).cast("array<array<int>>").alias("coords"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executorList(False))
+    total = lambda: sum(e.totalShuffleWrite() for e in written())
+    before = total()
+    got = raster.page_cover(df, ["page"], "coords", 60, 9, 8).agg(F.count("page"), F.sum("total")).first()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got[0] == n // 4
+    assert total() - before < 64 * n
+
+
 def test_incremental_jobs_make_each_output_once(spark, tmp_path):
     from vellum.streaming import incremental
 

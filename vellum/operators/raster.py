@@ -144,11 +144,60 @@ def mask_tiles(found: DataFrame, keys: Sequence[str], polygon: str, height: Colu
     return each.select(*keys, "tile_row", "tile_col", _summed("e").alias("runs"))
 
 
+#: Scanned rows and points of a page's polygons up to which page_cover() sums the page in one row.
+WHOLE = 1 << 11
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("covered", "total", "most")]))
+def _covered(polygons: pa.Array) -> pa.Array:
+    """What page_cover() gives of each page, from lists of its polygons (low, high, width, flat points)."""
+    sizes = lambda lists: np.append(0, np.cumsum(lists.value_lengths().to_numpy(False), dtype=np.int64))
+    count = sizes(polygons)
+    low, high, width, flat = polygons.flatten().flatten()
+    low, high, width = (v.to_numpy(False).astype(np.int64) for v in (low, high, width))
+    at = sizes(flat) // 2
+    values = flat.flatten().to_numpy(False).astype(float)
+    page = np.repeat(np.arange(len(polygons)), np.diff(count))
+    work = np.append(0, np.cumsum(high - low))[count]
+    out, lo = np.zeros((3, len(polygons)), np.int64), 0
+    while lo < len(polygons):
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + SCANNED, "right")) - 1)
+        a, b = count[lo], count[hi]
+        points = values[2 * at[a] : 2 * at[b]]
+        of, y, left, right = _spans(points[::2], points[1::2], at[a : b + 1] - at[a], low[a:b], high[a:b], width[a:b])
+        of = np.tile(page[a:b][of], 2)
+        y, x, n = np.tile(y, 2), np.append(left, right), np.repeat([1, -1], len(left))
+        order = np.lexsort((x, y, of))
+        of, y, x, n = of[order], y[order], x[order], np.cumsum(n[order])
+        on = np.flatnonzero(n[:-1] * np.diff(x))  # every row of a page ends at 0
+        of, size, n = of[on], x[on + 1] - x[on], n[on]
+        np.add.at(out[0], of, size), np.add.at(out[1], of, size * n), np.maximum.at(out[2], of, n)
+        lo = hi
+    return pa.StructArray.from_arrays([pa.array(v) for v in out], ["covered", "total", "most"])
+
+
 def page_cover(found: DataFrame, keys: Sequence[str], polygon: str, height: Column | int, width: Column | int, tile: int = 256) -> DataFrame:
-    """(keys..., covered, total, most): pixels of a page in any polygon, the sum over all, and the most polygons that hold one pixel."""
-    runs = mask_tiles(found, keys, polygon, height, width, tile).select(*keys, F.explode("runs").alias("r"))
+    """(keys..., covered, total, most): pixels of a page in any polygon, the sum over all, and the most polygons that hold one pixel.
+
+    The polygons of a page with little to scan (WHOLE) travel as they are and are summed in one row; larger pages go by mask_tiles().  What they have to scan is
+    counted first; the large ones are fewer than a WHOLE-th of all that is scanned, so their keys are broadcast.
+    """
+    y = F.transform(polygon, lambda p: p[1])
+    low, high = F.greatest(F.floor(F.array_min(y)), F.lit(0)), F.least(F.ceil(F.array_max(y)), F.lit(height))
+    some = (low < high) & (F.size(polygon) > 2)
+    work = F.when(some, (high - low).cast("long") + F.size(polygon))
+    large = found.groupBy(*keys).agg(F.sum(work).alias("_work")).filter(F.col("_work") > WHOLE).select(*(F.col(f"`{k}`").alias(f"_of_{k}") for k in keys))
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(f"`{k}`").eqNullSafe(F.col(f"`_of_{k}`"))
+    runs = mask_tiles(found.join(F.broadcast(large), on, "left_semi"), keys, polygon, height, width, tile).select(*keys, F.explode("runs").alias("r"))
     size = (F.col("r.hi") - F.col("r.lo")).cast("long")
-    return runs.groupBy(*keys).agg(F.sum(size).alias("covered"), F.sum(size * F.col("r.n")).alias("total"), F.max("r.n").alias("most"))
+    tiled = runs.groupBy(*keys).agg(F.sum(size).alias("covered"), F.sum(size * F.col("r.n")).alias("total"), F.max("r.n").alias("most"))
+    flat = F.flatten(F.transform(polygon, lambda p: F.slice(p, 1, 2)))
+    each = F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(width).cast("int").alias("width"), flat.alias("flat"))
+    rest = found.join(F.broadcast(large), on, "left_anti").filter(some)
+    whole = rest.groupBy(*keys).agg(F.collect_list(each).alias("_polygons")).select(*keys, _covered("_polygons").alias("_c"))
+    return tiled.unionByName(whole.select(*keys, "_c.*").filter("covered > 0"))
 
 
 def _frame_udf(kind: T.DataType):
