@@ -217,36 +217,54 @@ def distances(pairs: Sequence[tuple[np.ndarray, np.ndarray]], free: Sequence[np.
 
 
 def _diagonals(pairs, free):
+    """A diagonal is one contiguous piece of (place, pair) arrays of the narrowest integers that hold the distances."""
     count = len(pairs)
     n = np.array([len(x) for x, _ in pairs])
     m = np.array([len(y) for _, y in pairs])
     height, width = int(n.max()), int(m.max())
-    x = np.full((count, height + 1), -1, np.int64)
-    y = np.full((count, width + 1), -2, np.int64)
-    cost = np.ones((count, width + 1), np.int64)
+    symbols, at = np.unique(np.concatenate([v for pair in pairs for v in pair]), return_inverse=True)
+    kind = np.int16 if max(height + width, len(symbols)) < 1 << 14 else np.int32 if max(height + width, len(symbols)) < 1 << 30 else np.int64
+    # y and its costs run backwards, so that a diagonal meets them in ascending places, too
+    x = np.full((height + 1, count), -1, kind)
+    y = np.full((width + 1, count), -2, kind)
+    cost = np.ones((width + 1, count), kind)
+    lo = 0
     for k, (a, b) in enumerate(pairs):
-        x[k, 1 : len(a) + 1], y[k, 1 : len(b) + 1] = a, b
+        x[1 : len(a) + 1, k] = at[lo : lo + len(a)]
+        y[width - len(b) : width, k] = at[lo + len(a) : lo + len(a) + len(b)][::-1]
+        lo += len(a) + len(b)
         if free is not None:
-            cost[k, 1 : len(b) + 1] = ~free[k]
-    top = np.cumsum(cost, axis=1) - cost[:, :1]
-    out = np.where(n == 0, top[np.arange(count), m], np.where(m == 0, n, -1))
+            cost[width - len(b) : width, k] = ~free[k][::-1]
+    cost[width] = 0
+    top = np.cumsum(cost[::-1], axis=0, dtype=np.int64)
+    out = np.where(n == 0, top[m, np.arange(count)], np.where(m == 0, n, -1))
+    by_end = np.argsort(n + m, kind="stable")
+    ends = np.searchsorted((n + m)[by_end], np.arange(height + width + 2))
     # diagonal d holds cells (i, d - i) at place i
-    before, last = np.zeros((count, height + 1), np.int64), np.zeros((count, height + 1), np.int64)
+    before, last, now = (np.zeros((height + 1, count), kind) for _ in range(3))
+    one, two = (np.empty((height + 1, count), kind) for _ in range(2))
     for d in range(1, height + width + 1):
-        now = np.zeros((count, height + 1), np.int64)
         a, b = max(1, d - width), min(height, d - 1)
         if a <= b:
-            i = np.arange(a, b + 1)
-            j = d - i
-            least = np.minimum(np.minimum(before[:, i - 1], last[:, i - 1]), last[:, i]) + cost[:, j]
-            now[:, a : b + 1] = np.where(x[:, i] == y[:, j], before[:, i - 1], least)
+            diagonal, least, same = before[a - 1 : b], one[a : b + 1], two[a : b + 1]
+            np.minimum(last[a - 1 : b], last[a : b + 1], out=least)
+            np.minimum(least, diagonal, out=least)
+            least += cost[width - d + a : width - d + b + 1]
+            # all bits where the elements are equal: there the diagonal, else the least
+            np.bitwise_xor(x[a : b + 1], y[width - d + a : width - d + b + 1], out=same)
+            np.minimum(same.view(f"u{same.itemsize}"), 1, out=same.view(f"u{same.itemsize}"))
+            same -= 1
+            diagonal = np.bitwise_xor(diagonal, least, out=now[a : b + 1])
+            diagonal &= same
+            diagonal ^= least
         if d <= width:
-            now[:, 0] = top[:, d]
+            now[0] = top[d]
         if d <= height:
-            now[:, d] = d
-        done = np.flatnonzero((n + m == d) & (n > 0) & (m > 0))
-        out[done] = now[done, n[done]]
-        before, last = last, now
+            now[d] = d
+        done = by_end[ends[d] : ends[d + 1]]
+        done = done[(n[done] > 0) & (m[done] > 0)]
+        out[done] = now[n[done], done]
+        before, last, now = last, now, before
     return out
 
 
