@@ -91,8 +91,10 @@ def _column(same: int, rise: int, fall: int, full: int) -> tuple[int, int, int,
     return (b | ~(down | a)) & full, a & down & full, up, low
 
 
-#: Longest sequence, in blocks of 64, that many_bits() handles together with others.
-MOST_BLOCKS = 8
+#: Longest sequence, in blocks of 64, that advances together with others, if these are enough.
+MOST_BLOCKS = 64
+#: Bytes of the places of values, or of recorded columns, of pairs that advance together.
+RECORD = 64 << 20
 
 
 def _trimmed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,72 +110,123 @@ def _trimmed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:hi], y[: len(y) - (len(x) - hi)]
 
 
-def many_bits(pairs: Sequence[tuple[np.ndarray, np.ndarray]], together: int = 2048) -> np.ndarray:
-    """bits() of many pairs of integer arrays: pairs with equally many blocks advance together, one element of y at a time."""
-    short = [_trimmed(x, y) for x, y in pairs]
-    out = np.array([len(y) for _, y in short], np.int64)
-    blocks = np.array([(len(x) + 63) // 64 for x, _ in short], np.int64)
-    for k in np.flatnonzero(blocks > MOST_BLOCKS):
-        out[k] = bits(short[k][0].tolist(), short[k][1].tolist())
-    some = np.flatnonzero((blocks > 0) & (blocks <= MOST_BLOCKS))
-    some = some[np.lexsort((-out[some], blocks[some]))]
+def _bands(m: np.ndarray, n: np.ndarray, part: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """How far from the diagonal (rows above, rows below) a path of x (m) and y (n, not fewer) goes that costs at most n // part + 16 more than n - m; None: any path.
+
+    What is worked out inside a band is exact if it costs no more than that.
+    """
+    if part is None:
+        return n, m
+    more = (n // part + 16) // 2
+    return n - m + more, more
+
+
+def _groups(m: np.ndarray, n: np.ndarray, above: np.ndarray, below: np.ndarray, kinds: int, alone: tuple[float, float], together: int = 2048):
+    """Places of pairs that advance together, by descending n, with the blocks that they record for a column; None: one that goes alone.
+
+    alone: microseconds that a pair takes for a column by itself, and for each bit of it.
+    """
+    blocks = (m + 63) // 64
+    wide = np.minimum((above + below) // 64 + 2, blocks)
+    step = 1 << np.maximum(np.log2(np.maximum(wide, 1)).astype(np.int64) - 2, 0)
+    wide = -(-wide // step) * step
+    order = np.lexsort((-n, wide))
     lo = 0
-    while lo < len(some):
-        width = int(blocks[some[lo]])
-        hi = min(len(some), lo + together, lo + int(np.searchsorted(blocks[some[lo:]], width, "right")))
-        out[some[lo:hi]] = _advance([short[k] for k in some[lo:hi]], width)
+    while lo < len(order):
+        width = int(wide[order[lo]])
+        each = (int(n[order[lo]]) + 1) * (width + 2) * 8 * kinds if kinds else 8 * int(blocks[order[lo]]) * int(m[order[lo]])
+        hi = min(len(order), lo + max(1, min(together, RECORD // max(each, 1))), lo + int(np.searchsorted(wide[order[lo:]], width, "right")))
+        some = order[lo:hi]
+        all_ = int(n[some[0]]) * width * 18 * (0.7 + 0.0006 * len(some))
+        apart = float((n[some] * (alone[0] + alone[1] * m[some])).sum())
+        if blocks[some].max() > MOST_BLOCKS or blocks[some].max() > 8 and all_ > apart:
+            yield from ((np.array([k]), True) for k in some)
+        else:
+            yield some, False
         lo = hi
+
+
+def many_bits(pairs: Sequence[tuple[np.ndarray, np.ndarray]], together: int = 2048, part: int | None = 4) -> np.ndarray:
+    """bits() of many pairs of integer arrays: pairs of like length advance together, one element of y at a time, first in a band around the diagonal, then those that left it over all rows."""
+    short = [_trimmed(x, y) for x, y in pairs]
+    m, out = (np.array([len(p[side]) for p in short], np.int64) for side in (0, 1))
+    some = np.flatnonzero(m)
+    m, n = m[some], out[some]
+    above, below = _bands(m, n, part)
+    left: list[int] = []
+    for group, alone in _groups(m, n, above, below, 0, (1.1, 0.00027), together):
+        at = some[group]
+        if alone:
+            out[at[0]] = bits(short[at[0]][0].tolist(), short[at[0]][1].tolist())
+            continue
+        out[at] = _advance([short[k] for k in at], int(above[group].max()), int(below[group].max()))
+        if part is not None:
+            left += at[out[at] > above[group] + below[group]].tolist()
+    if left:
+        out[left] = many_bits([short[k] for k in left], together, None)
     return out
 
 
-def _encoded(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For pairs by descending length of y: where each x holds each value, in blocks of 64 bits; the row of these that each element of y asks for; how many pairs reach each column."""
+def _encoded(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pairs by descending length of y: where each x holds each of its own values, in blocks of 64 bits; column by column the row of these that each element of y asks for; where columns begin."""
     one = np.uint64(1)
     m, n = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
     symbols, x = np.unique(np.concatenate([x for x, _ in pairs]), return_inverse=True)
-    kinds = len(symbols) + 1
     row, at = np.repeat(np.arange(len(pairs)), m), np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-    same = np.zeros((width, len(pairs) * kinds), np.uint64)
-    np.add.at(same.reshape(-1), (at >> 6) * (len(pairs) * kinds) + row * kinds + x, one << (at & 63).astype(np.uint64))
+    own, x = np.unique(row * (len(symbols) + 1) + x, return_inverse=True)
+    same = np.zeros((int(m.max() + 63) // 64, len(own) + 1), np.uint64)
+    np.bitwise_or.at(same.reshape(-1), (at >> 6) * (len(own) + 1) + x, one << (at & 63).astype(np.uint64))
     place = np.searchsorted(symbols, y := np.concatenate([y for _, y in pairs]))
     place[(place == len(symbols)) | (symbols[np.minimum(place, len(symbols) - 1)] != y)] = len(symbols)
-    steps = np.zeros((int(n[0]), len(pairs)), np.int64)
-    steps[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(len(pairs)), n)] = place + np.repeat(np.arange(len(pairs)) * kinds, n)
-    return same, steps, np.searchsorted(-n, -np.arange(int(n[0])), "left")
+    row, at = np.repeat(np.arange(len(pairs)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    wanted = row * (len(symbols) + 1) + place
+    place = np.searchsorted(own, wanted)
+    place[own[np.minimum(place, len(own) - 1)] != wanted] = len(own)
+    begin = np.append(0, np.cumsum(np.searchsorted(-n, -np.arange(int(n[0])), "left")))
+    steps = np.empty(len(place), np.int64)
+    steps[begin[at] + row] = place
+    return same, steps, begin
 
 
-def _advance(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, columns: np.ndarray | None = None) -> np.ndarray:
-    """Pairs by descending length of y; the carries of a row pass from block to block as two bits.
+def _window(columns: int, blocks: int, above: int, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of a band at each column from 0, and the one after its last."""
+    j = np.arange(columns + 1)
+    return np.maximum(j - above - 1, 0) >> 6, np.minimum(blocks, (np.maximum(j + below - 1, 0) >> 6) + 1)
 
-    columns, if given, takes the vectors of _column() for each column from 1, (4, columns, blocks, pairs).
+
+def _advance(pairs: list[tuple[np.ndarray, np.ndarray]], above: int, below: int, columns: np.ndarray | None = None) -> np.ndarray:
+    """Distances of pairs by descending length of y inside a band; the carries of a row pass from block to block as two bits.
+
+    A block that leaves the band stays as it was, one that enters rises everywhere, and what passes below the last one that left rises by 1 a column: never less than the true distances.
+    columns, if given, takes the vectors of _column() for each column from 1, (4, columns, blocks of the window, pairs).
     """
     one, top = np.uint64(1), np.uint64(63)
-    m = np.array([len(x) for x, _ in pairs])
-    same, steps, live = _encoded(pairs, width)
-    rise, fall = np.full((width, len(pairs)), ~np.uint64(0)), np.zeros((width, len(pairs)), np.uint64)
-    last, score = ((m - 1) & 63).astype(np.uint64), m.astype(np.int64)
-    for j in range(len(steps)):
-        count = int(live[j])
+    same, steps, begin = _encoded(pairs)
+    first, after = _window(len(begin) - 1, len(same), above, below)
+    rise, fall = np.full((len(same), len(pairs)), ~np.uint64(0)), np.zeros((len(same), len(pairs)), np.uint64)
+    for j in range(len(begin) - 1):
+        asked = steps[begin[j] : begin[j + 1]]
+        count, lo = len(asked), int(first[j + 1])
         plus, minus = one, np.uint64(0)
-        for b in range(width):
-            eq, pv, mv = same[b][steps[j, :count]], rise[b, :count], fall[b, :count]
+        for b in range(lo, int(after[j + 1])):
+            eq, pv, mv = same[b][asked], rise[b, :count], fall[b, :count]
             down = eq | mv
             eq = eq | minus
             across = (((eq & pv) + pv) ^ pv) | eq
             up, low = mv | ~(across | pv), pv & across
-            if b == width - 1:
-                score[:count] += (up >> last[:count] & one).astype(np.int64) - (low >> last[:count] & one).astype(np.int64)
-            else:
-                carry = up >> top, low >> top
+            carry = up >> top, low >> top
             if columns is not None:
-                columns[2, j + 1, b, :count], columns[3, j + 1, b, :count] = up, low
+                columns[2, j + 1, b - lo, :count], columns[3, j + 1, b - lo, :count] = up, low
             up, low = up << one | plus, low << one | minus
             rise[b, :count], fall[b, :count] = low | ~(down | up), up & down
             if columns is not None:
-                columns[0, j + 1, b, :count], columns[1, j + 1, b, :count] = rise[b, :count], fall[b, :count]
-            if b < width - 1:
-                plus, minus = carry
-    return score
+                columns[0, j + 1, b - lo, :count], columns[1, j + 1, b - lo, :count] = rise[b, :count], fall[b, :count]
+            plus, minus = carry
+    # a last row is as far as its column, and every rise and fall down to it
+    rows = np.clip(np.array([len(x) for x, _ in pairs]) - 64 * np.arange(len(same))[:, None], 0, 64).astype(np.uint64)
+    inside = np.where(rows == 64, ~np.uint64(0), (one << (rows & top)) - one)
+    rises, falls = (np.bitwise_count(v & inside).sum(axis=0, dtype=np.int64) for v in (rise, fall))
+    return np.array([len(y) for _, y in pairs]) + rises - falls
 
 
 @F.pandas_udf(T.LongType())
@@ -283,14 +336,12 @@ def masked_distance(x: pd.Series, y: pd.Series, masks: pd.Series) -> pd.Series:
 
 #: Steps of a path through the table: both sides, only x, only y.
 BOTH, UP, LEFT = range(3)
-#: Bytes of recorded columns for pairs that are traced together.
-RECORD = 64 << 20
 
 
-def paths(pairs: Sequence[tuple[np.ndarray, np.ndarray]], common: bool = False) -> list[np.ndarray]:
+def paths(pairs: Sequence[tuple[np.ndarray, np.ndarray]], common: bool = False, part: int | None = 4) -> list[np.ndarray]:
     """The steps of each pair's back-trace, in order: diagonal where equal or least, then up, then left; common: that of a longest common subsequence.
 
-    Short x advance together on bit vectors whose columns are recorded.  A long x goes through its columns twice: first every
+    Short x advance together on bit vectors whose columns are recorded, first in a band around the diagonal, then those whose path leaves it over all rows.  A long x goes through its columns twice: first every
     few columns are kept, then, from the end, those between are made again, so that memory grows with the sequences and not with their product.
     """
     out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(pairs)
@@ -302,59 +353,73 @@ def paths(pairs: Sequence[tuple[np.ndarray, np.ndarray]], common: bool = False)
         cut.append((x[: len(x) - tail[k]], y[: len(y) - tail[k]]))
     size = np.array([len(x) for x, _ in cut], np.int64)
     steps = np.array([len(y) for _, y in cut], np.int64)
-    blocks = (size + 63) // 64
     trivial = (size == 0) | (steps == 0)
     for k in np.flatnonzero(trivial):
         out[k] = np.full(size[k] + steps[k], UP if size[k] else LEFT, np.uint8)
-    for k in np.flatnonzero(~trivial & (blocks > MOST_BLOCKS)):
-        out[k] = _long_path(cut[k][0].tolist(), cut[k][1].tolist(), common)
-    some = np.flatnonzero(~trivial & (blocks <= MOST_BLOCKS))
-    some = some[np.lexsort((-steps[some], blocks[some]))]
-    lo = 0
-    while lo < len(some):
-        width = int(blocks[some[lo]])
-        each = (int(steps[some[lo]]) + 1) * width * 32
-        hi = min(lo + max(1, min(2048, RECORD // each)), lo + int(np.searchsorted(blocks[some[lo:]], width, "right")))
-        for k, ops in zip(some[lo:hi], _short_paths([cut[k] for k in some[lo:hi]], width, common), strict=True):
+    some = np.flatnonzero(~trivial)
+    m, n = size[some], steps[some]
+    above, below = _bands(np.minimum(m, n), np.maximum(m, n), part if part is None or not common else max(1, part // 2))
+    above, below = np.where(m > n, below, above), np.where(m > n, above, below)
+    left: list[int] = []
+    for group, alone in _groups(m, n, above, below, 1 if common else 4, (2.5, 0.0006) if common else (3.5, 0.001)):
+        at = some[group]
+        if alone:
+            out[at[0]] = _long_path(cut[at[0]][0].tolist(), cut[at[0]][1].tolist(), common)
+            continue
+        found, costs = _short_paths([cut[k] for k in at], int(above[group].max()), int(below[group].max()), common)
+        for k, ops in zip(at, found, strict=True):
+            out[k] = ops
+        if part is not None:
+            left += at[costs > above[group] + below[group]].tolist()
+    if left:
+        for k, ops in zip(left, paths([cut[k] for k in left], common, None), strict=True):
             out[k] = ops
-        lo = hi
     return [np.append(ops, np.zeros(t, np.uint8)) if t else ops for ops, t in zip(out, tail, strict=True)]
 
 
-def _grow(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, columns: np.ndarray) -> None:
-    """The columns of lengths of common subsequences: bits are off where a column rises."""
+def _grow(pairs: list[tuple[np.ndarray, np.ndarray]], above: int, below: int, columns: np.ndarray) -> None:
+    """The columns of lengths of common subsequences inside a band, never more than the true ones: bits are off where a column rises."""
     top = np.uint64(63)
-    same, steps, live = _encoded(pairs, width)
-    flat = np.full((width, len(pairs)), ~np.uint64(0))
-    for j in range(len(steps)):
-        count = int(live[j])
+    same, steps, begin = _encoded(pairs)
+    first, after = _window(len(begin) - 1, len(same), above, below)
+    flat = np.full((len(same), len(pairs)), ~np.uint64(0))
+    for j in range(len(begin) - 1):
+        asked = steps[begin[j] : begin[j + 1]]
+        count, lo = len(asked), int(first[j + 1])
         carry = np.uint64(0)
-        for b in range(width):
+        for b in range(lo, int(after[j + 1])):
             v = flat[b, :count]
-            u = v & same[b][steps[j, :count]]
+            u = v & same[b][asked]
             total = v + u + carry
             carry = (v & u | (v | u) & ~total) >> top
-            flat[b, :count] = columns[0, j + 1, b, :count] = total | (v & ~u)
+            flat[b, :count] = columns[0, j + 1, b - lo, :count] = total | (v & ~u)
 
 
-def _short_paths(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, common: bool) -> list[np.ndarray]:
-    """Back-traces of pairs by descending length of y, a step of all of them at a time."""
+def _short_paths(pairs: list[tuple[np.ndarray, np.ndarray]], above: int, below: int, common: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """Back-traces of pairs by descending length of y inside a band, a step of all of them at a time, and what they cost; those that leave the band cost more than any."""
     m, n = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
-    columns = np.empty((1 if common else 4, int(n[0]) + 1, width, len(pairs)), np.uint64)
+    first, after = _window(int(n[0]), int(m.max() + 63) // 64, above, below)
+    # a block that enters rises in the column before, too
+    columns = np.empty((1 if common else 4, int(n[0]) + 1, int((after - first).max()) + 2, len(pairs)), np.uint64)
+    columns[0] = ~np.uint64(0)
     if common:
-        _grow(pairs, width, columns)
+        _grow(pairs, above, below, columns)
     else:
-        columns[0, 0], columns[1, 0] = ~np.uint64(0), 0
-        _advance(pairs, width, columns)
+        columns[1] = 0
+        _advance(pairs, above, below, columns)
     x, y = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
     at_x, at_y = np.cumsum(m) - m, np.cumsum(n) - n
     i, j, live = m.copy(), n.copy(), np.arange(len(pairs))
-    ops, done = np.empty((int((m + n).max()), len(pairs)), np.uint8), np.zeros(len(pairs), np.int64)
+    ops, done, costs = np.empty((int((m + n).max()), len(pairs)), np.uint8), np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
     step = 0
     while len(live):
         a, b = i[live], j[live]
+        inside = ((a - 1) >> 6 >= first[b]) & ((a - 1) >> 6 < after[b])
+        if not inside.all():
+            costs[live[~inside]] = 1 << 62
+            live, a, b = live[inside], a[inside], b[inside]
         block, place = (a - 1) >> 6, ((a - 1) & 63).astype(np.uint64)
-        bit = lambda kind, column, block=block, place=place: (columns[kind, column, block, live] >> place & np.uint64(1)).astype(np.int8)  # noqa: B023, E731
+        bit = lambda kind, column, block=block, place=place: (columns[kind, column, block - first[column], live] >> place & np.uint64(1)).astype(np.int8)  # noqa: B023, E731
         equal = x[at_x[live] + a - 1] == y[at_y[live] + b - 1]
         if common:
             op = np.where(equal, BOTH, np.where(bit(0, b) == 1, UP, LEFT))
@@ -363,13 +428,15 @@ def _short_paths(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, common:
             diagonal = left + bit(1, b - 1) - bit(0, b - 1)
             op = np.where(equal | (diagonal <= np.minimum(up, left)), BOTH, np.where(up <= left, UP, LEFT))
         ops[step, live] = op
+        costs[live] += ~equal | (op != BOTH)
         i[live] -= op != LEFT
         j[live] -= op != UP
         step += 1
         ended = (i[live] == 0) | (j[live] == 0)
         done[live[ended]] = step
         live = live[~ended]
-    return [np.concatenate([np.full(i[k] + j[k], UP if i[k] else LEFT, np.uint8), ops[: done[k], k][::-1]]) for k in range(len(pairs))]
+    costs += np.where(costs < 1 << 62, i + j, 0)
+    return [np.concatenate([np.full(i[k] + j[k], UP if i[k] else LEFT, np.uint8), ops[: done[k], k][::-1]]) for k in range(len(pairs))], costs
 
 
 def _long_path(x: list, y: list, common: bool) -> np.ndarray:
