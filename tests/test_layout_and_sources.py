@@ -407,3 +407,14 @@ def test_augmentation_by_a_function(spark):
     grow = lambda df: df.withColumn("coords", F.when(F.col("iteration") == 0, F.col("coords")).otherwise(F.transform("coords", lambda p: F.array(p[0] * 2, p[1] * 0)))).withColumn("text", F.upper("text"))
     out = raster.augmented(rows, 2, 0, seed=1, augment=grow).collect()
     assert [(r.iteration, r.text) for r in out] == [(0, "T")]  # flat copies go
+
+
+def test_documents_are_read_in_slices_and_once(spark):
+    """A filter on what was read does not read again, and few documents are Python objects at a time."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"xml": ["x" * 100] * 150 + ["y" * (3 << 20)] * 2})
+    sizes = [len(x) for x in pagexml._slices(batch)]
+    assert max(sizes) <= 64 and sum(sizes) == 152 and sizes[-2:] == [1, 1]
+    df = spark.createDataFrame([("a",)], "xml string").select(pagexml.parsed(F.col("xml")).alias("p")).select("p.*").filter(F.size("lines") > 0)
+    assert df._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
