@@ -225,3 +225,13 @@ def test_another_decoder(spark):
 
     r = jobs.decode(rows, a, decoder=second).first()
     assert (r.prediction, r.scores) == ("ba?", [0.4, 0.3, 0.8])
+
+
+def test_equal_specifications_of_a_batch_are_parsed_once(monkeypatch):
+    import pyarrow as pa
+
+    seen, parse = [], spec.parse
+    monkeypatch.setattr(spec, "parse", lambda s: seen.append(s) or parse(s))
+    text = "[1,48,0,1 Cr3,3,8]"
+    out = spec.shapes.func(pa.array([text, "no", text, None, text])).to_pylist()
+    assert [len(r) if r else r for r in out] == [1, None, 1, None, 1] and seen == [text, "no"]

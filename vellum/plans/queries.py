@@ -633,7 +633,7 @@ def vgsl_shapes(spark, d):
     spec = F.lit(SPEC)
     for name, value in (("{16s}", s * 16), ("{8k}", f * 8), ("{s10}", s + 10), ("{3s}", s * 3)):
         spec = F.replace(spec, F.lit(name), value.cast("string"))
-    rows = _table(spark, d, "part").select("p_partkey", F.explode(network_spec.shapes(spec)).alias("b"))
+    rows = profile.spread(_table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", F.explode(network_spec.shapes(spec)).alias("b"))
     return rows.select("p_partkey", "b.*")
 
 
