@@ -191,6 +191,24 @@ def test_padding_and_channels(spark):
     assert tuple(size.s) == (128, 2048) and tuple(size.t) == (128, 32)
 
 
+def test_operators_together(spark):
+    """Steps give what columns give, take nulls to nulls, and run once however many take them."""
+    box = [[1, 1], [4, 1], [4, 3], [1, 3]]
+    df = spark.createDataFrame([(k, box if k % 3 else None, k % 5) for k in range(300)], "k int, p array<array<int>>, r int").coalesce(1)
+    m = raster.mask(points=F.col("p"), height=F.lit(5), width=F.lit(6))
+    chained = df.select("k", "r", m.alias("m")).select("*", raster.crop(image=F.col("m"), l=F.lit(1), t=F.lit(1), r=F.col("r"), b=F.lit(9)).alias("c"))
+    want = [tuple(r) for r in chained.select("k", "m", "c", raster.pixels(inside=F.col("c")).alias("n")).collect()]
+    m = raster.mask.step(points=F.col("p"), height=F.lit(5), width=F.lit(6))
+    c = raster.crop.step(m, F.lit(1), F.lit(1), F.col("r"), F.lit(9))
+    got = df.select("k", raster.together(m=m, c=c, n=raster.pixels.step(c)).alias("o")).select("k", "o.*")
+    assert [tuple(r) for r in got.collect()] == want and got.schema["n"].dataType.simpleString() == "bigint"
+    assert {r[3] for r in want if r[0] % 3 == 0} == {None} and {r[3] for r in want if r[0] % 3} == {0, 2, 4, 6}
+    drawn = raster._operator(raster.T.DoubleType())(lambda r: np.random.default_rng().random()).step(F.col("r"))
+    same = raster._operator(raster.T.DoubleType())(lambda x, y: x - y).step(drawn, drawn)
+    assert {r[0] for r in df.select(raster.together(d=same)["d"]).collect()} == {0.0}
+    assert df.filter("k < 0").select(raster.together(m=m)).collect() == []
+
+
 def test_augmentation(spark):
     rows = spark.createDataFrame([("p", 0, [[1, 1], [5, 1], [5, 5]], "t"), ("p", 1, [[1, 1], [5, 1]], "flat")], "page_id string, line_pos int, coords array<array<int>>, text string")
     out = raster.augmented(rows, 3, 4, seed=1).orderBy("iteration").collect()

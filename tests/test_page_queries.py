@@ -79,6 +79,12 @@ def test_line_images(spark, folder):
     assert {r[0]: r[1:] for r in rows(spark, folder, "line_images")} == {k: (w * h, w - 1, h - 1, w * h, w * h, 16 * h, w * h, w * h) for k, w, h in ((1, 3, 1), (2, 7, 50), (3, 2, 9))}
 
 
+def test_line_images_pass_through_no_columns(spark, folder):
+    """One Python process a task, given polygons and boxes: it was five, with batches of whole images between them."""
+    plan = QUERIES["line_images"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "binary" not in plan
+
+
 def test_reports(spark, folder):
     log = rows(spark, folder, "sample_log")
     assert [r[0] for r in log] == ["1-0000", "1-0001", "1-0002", "2-0000", "3-0000", "3-0001"]

@@ -1,5 +1,7 @@
 """Polygon masks, crops, paddings and channels of images, in Arrow functions over numpy.
 
+Operators on images take columns by name and give a column; null where an argument is null.  Where one follows another, their step() goes into together().
+
 An image is a struct (height, width, channels, data) with rows of uint8 samples in data; a mask has one channel.
 A pixel belongs to a polygon if its centre does (even-odd rule), its left and top borders included.  mask() and mask_sum() give images of whole
 pages; mask_tiles(), page_cover() and area() work on scan-line spans, for pages of any size.
@@ -7,14 +9,17 @@ pages; mask_tiles(), page_cover() and area() work on scan-line spans, for pages
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from vellum.functions.batches import slices
 
 IMAGE = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
@@ -30,14 +35,13 @@ def image_of(a: np.ndarray) -> dict:
 
 def polygon_mask(points, height: int, width: int) -> np.ndarray:
     """Boolean (height, width): along each row of centres, inside changes at every edge crossed."""
-    p = np.array([list(q) for q in points], float)
+    p = np.array([list(q) for q in points], float).tolist()
     out = np.zeros((height, width), bool)
     if len(p) < 3:
         return out
-    q = np.roll(p, -1, axis=0)
     y = np.arange(height) + 0.5
     x = np.arange(width) + 0.5
-    for (x0, y0), (x1, y1) in zip(p, q, strict=True):
+    for (x0, y0), (x1, y1) in zip(p, [*p[1:], p[0]], strict=True):
         if y0 == y1:
             continue
         rows = np.flatnonzero((y >= min(y0, y1)) & (y < max(y0, y1)))
@@ -200,27 +204,69 @@ def page_cover(found: DataFrame, keys: Sequence[str], polygon: str, height: Colu
     return tiled.unionByName(whole.select(*keys, "_c.*").filter("covered > 0"))
 
 
-def _frame_udf(kind: T.DataType):
-    """Like pandas_udf for functions that take one struct column as a frame."""
+class Step:
+    """An operator with what it is given, columns or earlier steps, until together() makes columns."""
 
-    def wrap(f: Callable):
-        @F.pandas_udf(kind)
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            out = [f(**{k: r[k] for k in rows.columns}) for r in rows.to_dict("records")]
-            return pd.DataFrame(out, columns=["height", "width", "channels", "data"])
+    def __init__(self, f: Callable, kind: T.DataType, given: dict[str, Column | Step]):
+        self.f, self.kind, self.given = f, kind, given
+
+
+def together(**steps: Step) -> Column:
+    """A struct of what the steps give, row by row in one function: images that one step takes from another are no columns, and those not given back are held for one row only.
+
+    Operators that take each other's columns need a Python process each in every task, with a batch of all images between them.
+    """
+    order: list[Step] = []
+    columns: list[Column] = []
+
+    def place(step: Step) -> None:
+        if step not in order:
+            for v in step.given.values():
+                place(v) if isinstance(v, Step) else columns.append(v)
+            order.append(step)
 
-        return lambda **columns: run(F.struct(*(c.alias(k) for k, c in columns.items())))
+    for s in steps.values():
+        place(s)
+    names = {id(c): f"c{k}" for k, c in enumerate(columns)}
+    calls = [(s.f, {k: order.index(v) if isinstance(v, Step) else names[id(v)] for k, v in s.given.items()}) for s in order]
+    ends = {k: order.index(s) for k, s in steps.items()}
+    kind = T.StructType([T.StructField(k, s.kind) for k, s in steps.items()])
+    made = to_arrow_type(kind)
+
+    def row(r: dict) -> dict:
+        found = []
+        for f, given in calls:
+            values = {k: r[v] if isinstance(v, str) else found[v] for k, v in given.items()}
+            found.append(None if any(v is None for v in values.values()) else f(**values))
+        return {k: found[v] for k, v in ends.items()}
+
+    @F.arrow_udf(kind)
+    def run(rows: pa.Array) -> pa.Array:
+        parts = [pa.array([row(r) for r in some.to_pylist()], made) for some in slices(rows)]
+        return pa.concat_arrays(parts) if parts else pa.array([], made)
+
+    return run(F.struct(*(c.alias(names[id(c)]) for c in {id(c): c for c in columns}.values())))
+
+
+def _operator(kind: T.DataType):
+    """A function of one row's values as an operator on columns; its step() takes steps, too."""
+
+    def wrap(f: Callable):
+        step = lambda *a, **given: Step(f, kind, inspect.signature(f).bind(*a, **given).arguments)
+        run = lambda *a, **given: together(out=step(*a, **given))["out"]
+        run.step, run.__name__, run.__doc__ = step, f.__name__, f.__doc__
+        return run
 
     return wrap
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def mask(points, height, width):
     """One channel, 255 inside the polygon: mask(points=..., height=..., width=...)."""
     return image_of(polygon_mask(points, height, width) * 255)
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def tile_image(runs, row, col, tile):
     """One channel of a tile of mask_tiles(): how many polygons hold each pixel, 255 at most."""
     out = np.zeros((tile, tile), np.uint8)
@@ -229,7 +275,7 @@ def tile_image(runs, row, col, tile):
     return image_of(out)
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def mask_sum(polygons, height, width):
     """One channel: how many of the polygons hold each pixel."""
     total = np.zeros((height, width), np.int64)
@@ -238,19 +284,19 @@ def mask_sum(polygons, height, width):
     return image_of(np.minimum(total, 255))
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def crop(image, l, t, r, b):  # noqa: E741
     """Pixels of the box, right and bottom borders included, cut to the image."""
     return image_of(array_of(image)[max(t, 0) : b + 1, max(l, 0) : r + 1])
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def zero_pad(image, inside):
     """The image where the mask is set, 0 elsewhere."""
     return image_of(array_of(image) * (array_of(inside) > 0))
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def median_pad(image, inside):
     """The image where the mask is set, each channel's median there elsewhere; an empty mask counts as 0."""
     a, m = array_of(image), array_of(inside)[:, :, 0] > 0
@@ -258,14 +304,14 @@ def median_pad(image, inside):
     return image_of(np.where(m[:, :, None], a, fill))
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def noise_pad(image, inside, seed):
     """The image where the mask is set, noise from the seed elsewhere."""
     a, m = array_of(image), array_of(inside) > 0
     return image_of(np.where(m, a, np.random.default_rng(seed).integers(0, 255, a.shape, dtype=np.uint8)))
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def alpha_channel(inside, transparency):
     """255 where the mask is set, 255 * transparency elsewhere."""
     return image_of(np.where(array_of(inside) > 0, 255, int(255 * transparency)))
@@ -276,12 +322,12 @@ def _gray(a: np.ndarray) -> np.ndarray:
     return a[:, :, 0].astype(float) if a.shape[2] == 1 else a[:, :, :3] @ np.array([0.2125, 0.7154, 0.0721])
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def gray_channel(image):
     return image_of(np.rint(_gray(array_of(image))))
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def blurry_channel(image, size):
     """Mean of the gray values in a square of `size` around each pixel, as far as it lies in the image."""
     g = np.rint(_gray(array_of(image)))
@@ -295,7 +341,7 @@ def blurry_channel(image, size):
     return image_of(total // ((y1 - y0)[:, None] * (x1 - x0)[None, :]))
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def with_channel(image, channel):
     """The image with one more channel."""
     return image_of(np.concatenate([array_of(image), array_of(channel)[:, :, :1]], axis=2))
@@ -307,7 +353,7 @@ def target_size(height: Column, width: Column, to_height: int, most_width: int)
     return F.struct(F.lit(to_height).alias("height"), F.least(wide, F.lit(most_width)).alias("width"))
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def resized(image, height, width):
     """Area-weighted means: each new pixel averages the part of the old image that it covers (linear between pixels if larger)."""
     a = array_of(image).astype(float)
@@ -325,14 +371,14 @@ def _resample(a: np.ndarray, n: int, axis: int) -> np.ndarray:
     return np.moveaxis(np.tensordot(weight, a, (1, axis)), 0, axis)
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def padded(image, width):
     """Zeros to the right up to a width; wider images stay as they are."""
     a = array_of(image)
     return image_of(np.pad(a, ((0, 0), (0, max(0, width - a.shape[1])), (0, 0))))
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def padding_mask(image, width):
     """One channel: 255 where padded() keeps the image."""
     a = array_of(image)
@@ -349,7 +395,7 @@ def mask_box(points: Column) -> Column:
     return F.struct(b["l"].alias("l"), b["t"].alias("t"), (b["r"] - 1).alias("r"), (b["b"] - 1).alias("b"))
 
 
-@_frame_udf(IMAGE)
+@_operator(IMAGE)
 def moved(image, dx, dy):
     """The image shifted by (-dx, -dy) as shifted() moves polygons; 0 where nothing comes from."""
     a = array_of(image)
@@ -377,7 +423,7 @@ def augmented(found: DataFrame, copies: int, shift: int, seed: int, images: tupl
     return rows.filter(has_area(box(F.col("coords"))))
 
 
-@F.pandas_udf(T.LongType())
-def pixels(inside: pd.DataFrame) -> pd.Series:
+@_operator(T.LongType())
+def pixels(inside):
     """Number of set samples of an image."""
-    return pd.Series([int(np.count_nonzero(np.frombuffer(d, np.uint8))) for d in inside["data"]], dtype="int64")
+    return int(np.count_nonzero(np.frombuffer(inside["data"], np.uint8)))

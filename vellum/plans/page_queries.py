@@ -116,13 +116,16 @@ def line_images(spark, d):
     """Masks of rectangular polygons on pages of 64 by 16: their boxes, crops, paddings to a width with their masks, channels and sums, as numbers of pixels that are set."""
     w, h = (F.col("p_size") % 9 + 2).cast("int"), F.col("p_size").cast("int")
     zero = F.lit(0)
-    rows = profile.spread(_table(spark, d, "part").select("p_partkey", F.array(F.array(zero, zero), F.array(w, zero), F.array(w, h), F.array(zero, h)).alias("p"), h.alias("h")))
-    rows = rows.select("*", raster.mask(points=F.col("p"), height=F.lit(64), width=F.lit(16)).alias("m"), raster.mask_sum(polygons=F.array("p", "p"), height=F.lit(64), width=F.lit(16)).alias("s"), raster.mask_box(F.col("p")).alias("x"))
-    rows = rows.select("*", raster.crop(image=F.col("m"), l=F.col("x.l"), t=F.col("x.t"), r=F.col("x.r"), b=F.col("x.b")).alias("c"), raster.zero_pad(image=F.col("s"), inside=F.col("m")).alias("z"))
-    rows = rows.select("*", raster.padded(image=F.col("c"), width=F.lit(16)).alias("wide"), raster.padding_mask(image=F.col("c"), width=F.lit(16)).alias("kept"))
-    rows = rows.select("*", raster.alpha_channel(inside=F.col("wide"), transparency=F.lit(0.5)).alias("a"))
-    count = lambda c: raster.pixels(inside=F.col(c)).cast("long")
-    return rows.select("p_partkey", count("m").alias("inside"), F.col("x.r").cast("int").alias("r"), F.col("x.b").cast("int").alias("b"), count("c").alias("cropped"), count("kept").alias("kept"), count("a").alias("channel"), count("s").alias("summed"), count("z").alias("zeroed"))
+    rows = profile.spread(_table(spark, d, "part").select("p_partkey", F.array(F.array(zero, zero), F.array(w, zero), F.array(w, h), F.array(zero, h)).alias("p")))
+    rows = rows.withColumn("x", raster.mask_box(F.col("p")))
+    m, s = raster.mask.step(points=F.col("p"), height=F.lit(64), width=F.lit(16)), raster.mask_sum.step(polygons=F.array("p", "p"), height=F.lit(64), width=F.lit(16))
+    c, z = raster.crop.step(image=m, l=F.col("x.l"), t=F.col("x.t"), r=F.col("x.r"), b=F.col("x.b")), raster.zero_pad.step(image=s, inside=m)
+    wide, kept = raster.padded.step(image=c, width=F.lit(16)), raster.padding_mask.step(image=c, width=F.lit(16))
+    a = raster.alpha_channel.step(inside=wide, transparency=F.lit(0.5))
+    counted = {"inside": m, "cropped": c, "kept": kept, "channel": a, "summed": s, "zeroed": z}
+    n = raster.together(**{k: raster.pixels.step(inside=i) for k, i in counted.items()})
+    rows = rows.select("p_partkey", F.col("x.r").cast("int").alias("r"), F.col("x.b").cast("int").alias("b"), n.alias("n"))
+    return rows.select("p_partkey", "n.inside", "r", "b", "n.cropped", "n.kept", "n.channel", "n.summed", "n.zeroed")
 
 
 # samples and reports
