@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.functions import charsets, distance, nested
+from vellum.functions import bands, charsets, distance, nested
 from vellum.functions import text as texts
 from vellum.operators import alphabet as alpha
 from vellum.operators import decoding, layout, metrics, profile, ranking, raster, sampling
@@ -335,7 +335,7 @@ def confusion_documents(spark, d):
 def alignment_lines(spark, d):
     """alignment_pairs over every line of documents, the longest included."""
     rows = _read(_lines(spark, d))
-    return rows.select("doc_id", "line_pos", F.size(distance.align("pred", "gt")).alias("n_aligned"), F.size(distance.align_lcs("pred", "gt")).alias("n_lcs"))
+    return rows.select("doc_id", "line_pos", bands.alignment_counts("pred", "gt").alias("n")).select("doc_id", "line_pos", "n.n_aligned", "n.n_lcs")
 
 
 @query()
