@@ -31,16 +31,31 @@ _ONE, _63 = _SHIFT[1], _SHIFT[63]
 
 def counts(pairs: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Of each pair of integer arrays: how many equal elements are on the path of distance.paths(), and the length of a longest common subsequence."""
-    m, n = (np.array([len(p[side]) for p in pairs], np.int64) for side in (0, 1))
-    out = np.zeros((2, len(pairs)), np.int64)
+    size = np.array([[len(v) for v in p] for p in pairs], np.int64).reshape(-1, 2)
+    return _counts(*(np.concatenate([np.zeros(0, np.int64), *(p[side] for p in pairs)]) for side in (0, 1)), *size.T)
+
+
+def _counts(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """counts() of pairs that stand one after the other in x and y, and how long they are.
+
+    Equal elements of a path are a common subsequence, and none is longer than all that either side has of the other's elements; only where these differ is it looked for.
+    """
+    equal, most = np.zeros((2, len(m)), np.int64)
     some = np.flatnonzero((m > 0) & (n > 0))
     if len(some):
-        found, kinds = _dense([pairs[k] for k in some])
-        m, n = m[some], n[some]
-        one, two = _surplus(found, m, n)
-        out[0, some] = _counted(found, m, n, kinds, np.maximum(one, two), _matches, _long_matches, MATCHES)
-        out[1, some] = _counted(found, m, n, kinds, one + two, _common, _long_common, COMMON)
-    return out[0], out[1]
+        x, y, kinds = _dense(x, y)
+        one, two = _surplus(x, y, m, n)
+        pairs = [(x[a:b], y[c:d]) for (a, b), (c, d) in zip(_spans(m), _spans(n), strict=True)]
+        equal[some] = _counted([pairs[k] for k in some], m[some], n[some], kinds, np.maximum(one, two)[some], _matches, _long_matches, MATCHES)
+        most[some] = equal[some]
+        some = some[equal[some] < (m - one)[some]]
+        most[some] = _counted([pairs[k] for k in some], m[some], n[some], kinds, (one + two)[some], _common, _long_common, COMMON)
+    return equal, most
+
+
+def _spans(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    ends = np.cumsum(size).tolist()
+    return zip([0, *ends], ends, strict=False)
 
 
 def _counted(pairs, m: np.ndarray, n: np.ndarray, kinds: int, least: np.ndarray, together, alone, price: tuple[float, ...]) -> np.ndarray:
@@ -61,34 +76,33 @@ def _counted(pairs, m: np.ndarray, n: np.ndarray, kinds: int, least: np.ndarray,
     return out
 
 
-def _dense(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """The pairs with their values numbered from 0, and how many there are."""
-    size = np.array([len(v) for p in pairs for v in p])
-    values = np.concatenate([v for p in pairs for v in p])
-    low, high = int(values.min()), int(values.max())
-    if high - low < max(1 << 21, len(values)):
-        seen = np.zeros(high - low + 1, np.int64)
-        seen[values - low] = 1
-        kinds = int(seen.sum())
-        values = (np.cumsum(seen) - 1)[values - low]
-    else:
-        seen, values = np.unique(values, return_inverse=True)
-        kinds = len(seen)
-    parts = np.split(values, np.cumsum(size)[:-1])
-    return list(zip(parts[::2], parts[1::2], strict=True)), kinds
-
-
-def _surplus(pairs: list[tuple[np.ndarray, np.ndarray]], m: np.ndarray, n: np.ndarray, bins: int = 128) -> tuple[np.ndarray, np.ndarray]:
+def _dense(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Both with their values numbered from 0, and how many there are."""
+    low, high = min(int(x.min()), int(y.min())), max(int(x.max()), int(y.max()))
+    if high - low >= max(1 << 21, len(x) + len(y)):
+        seen, both = np.unique(np.concatenate([x, y]), return_inverse=True)
+        return both[: len(x)], both[len(x) :], len(seen)
+    seen = np.zeros(high - low + 1, np.int32)
+    for v in (x, y):
+        seen[v - low] = 1
+    number = np.cumsum(seen, dtype=np.int32) - 1
+    return number[x - low], number[y - low], int(number[-1]) + 1
+
+
+def _surplus(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, bins: int = 128, together: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """How many elements of each side the other one lacks, whatever their order; values of one bin count as equal."""
-    one, two = np.empty(len(pairs), np.int64), np.empty(len(pairs), np.int64)
-    for lo in range(0, len(pairs), 4096):
-        some = slice(lo, lo + 4096)
+    one, two = np.empty(len(m), np.int64), np.empty(len(m), np.int64)
+    ends = [np.append(0, np.cumsum(size)) for size in (m, n)]
+    for lo in range(0, len(m), together):
+        hi = min(len(m), lo + together)
         count = []
-        for side, size in ((0, m[some]), (1, n[some])):
-            row = np.repeat(np.arange(len(size)) * bins, size)
-            count.append(np.bincount(row + (np.concatenate([p[side] for p in pairs[some]]) & bins - 1), minlength=len(size) * bins).reshape(-1, bins))
+        for v, size, at in ((x, m, ends[0]), (y, n, ends[1])):
+            row = np.repeat(np.arange(hi - lo) * bins, size[lo:hi])
+            row += v[at[lo] : at[hi]] & bins - 1
+            count.append(np.bincount(row, minlength=(hi - lo) * bins).reshape(-1, bins))
         more = count[0] - count[1]
-        one[some], two[some] = np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)
+        one[lo:hi] = np.maximum(more, 0).sum(axis=1)
+        two[lo:hi] = one[lo:hi] - more.sum(axis=1)
     return one, two
 
 
@@ -297,16 +311,22 @@ def _common(pairs, m: np.ndarray, n: np.ndarray, width: int, kinds: int) -> tupl
     return length, m + n - 2 * length
 
 
-def _windows(x: np.ndarray, y: list, bits: int, above: int, first: int = 0, after: int | None = None) -> Iterator[int]:
-    """For columns after `first` up to `after`, where the band holds the value of y: bit p of column j is row j - above + p."""
-    full, each = (1 << bits) - 1, max(1024, 2 * bits)
-    after = len(y) if after is None else after
+def _windows(x: np.ndarray, y: np.ndarray, bits: int, above: int, first: int, after: int) -> Iterator[tuple[list[int], dict[int, int], int]]:
+    """(values of y in some columns after `first` up to `after`, where x holds them as bits, the shift for the first column): bit p of column j is row j - above + p; a column shifts by one more."""
+    each = max(1024, 2 * bits)
     for lo in range(first, after, each):
-        begin = max(0, lo - above)  # the first row that is needed, from 0
-        masks, skip = Masks(x[begin : max(begin, lo + each - above + bits)].tolist()), lo - above - begin
-        for j in range(lo, min(lo + each, after)):
-            at = j - lo + skip
-            yield (masks.of(y[j]) >> at if at >= 0 else masks.of(y[j]) << -at) & full
+        hi, begin = min(lo + each, after), max(0, lo - above)  # the first row that is needed, from 0
+        near, part = x[begin : max(begin, hi - above + bits)], y[lo:hi]
+        kinds = np.unique(part).tolist()
+        if len(kinds) < 256:
+            where = {v: int.from_bytes(np.packbits(near == v, bitorder="little").tobytes(), "little") for v in kinds}
+        else:
+            masks = Masks(near.tolist())
+            where = {v: masks.of(v) for v in kinds}
+        skip = lo - above - begin
+        if skip < 0:  # rows before the first
+            where, skip = {v: mask << -skip for v, mask in where.items()}, 0
+        yield part.tolist(), where, skip
 
 
 def _trimmed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -322,18 +342,20 @@ def _long_matches(x: np.ndarray, y: np.ndarray, bits: int) -> tuple[int, int]:
     above, full = _above(len(x), len(y), bits), (1 << bits) - 1
     p = above - len(y) + len(x)
     x, y, tail = _trimmed(x, y)
-    values, each = y.tolist(), max(256, RECORD * 4 // bits)
+    each = max(256, RECORD * 4 // bits)
 
     def advanced(first: int, after: int, rise: int, fall: int, kept: list | None) -> tuple[int, int]:
-        for eq in _windows(x, values, bits, above, first, after):
-            total = (eq & rise) + rise ^ rise | eq
-            up = fall | full & ~(total | rise)
-            total &= rise
-            if kept is not None:
-                stay = eq | total << 1
-                kept.append((stay, (stay | fall) ^ eq))
-            part = (eq | fall) >> 1
-            rise, fall = total | full & ~(part | up), part & up
+        for values, where, at in _windows(x, y, bits, above, first, after):
+            for at, v in enumerate(values, at):
+                eq = where[v] >> at & full
+                total = (eq & rise) + rise ^ rise | eq
+                up = fall | full & ~(total | rise)
+                total &= rise
+                if kept is not None:
+                    stay = eq | total << 1
+                    kept.append((stay, (stay | fall) ^ eq))
+                part = (eq | fall) >> 1
+                rise, fall = total | full & ~(part | up), part & up
         return rise, fall
 
     parts = [(lo, min(lo + each, len(y))) for lo in range(0, len(y), each)] or [(0, 0)]
@@ -346,14 +368,14 @@ def _long_matches(x: np.ndarray, y: np.ndarray, bits: int) -> tuple[int, int]:
         advanced(lo, hi, *state, kept)
         while kept:
             stay, ways = kept.pop()
-            while stay >> p & ways >> p & 1:
+            one, two = stay >> p & 1, ways >> p & 1
+            while one and two:
                 p, ups = p - 1, ups + 1
-            if stay >> p & 1:
-                equal += 1
-            elif ways >> p & 1:
-                p += 1
-                if p == bits:  # it leaves the band
-                    return 0, max(len(x), len(y))
+                one, two = stay >> p & 1, ways >> p & 1
+            equal += one
+            p += two
+            if p == bits:  # it leaves the band
+                return 0, max(len(x), len(y))
     return equal + tail, len(y) - equal + ups + max(p - above, 0)
 
 
@@ -362,34 +384,33 @@ def _long_common(x: np.ndarray, y: np.ndarray, bits: int) -> tuple[int, int]:
     above, size = _above(len(x), len(y), bits), len(x) + len(y)
     x, y, tail = _trimmed(x, y)
     flat, last, length = (1 << bits) - 1, 1 << bits - 1, 0
-    for eq in _windows(x, y.tolist(), bits, above):
-        eq &= flat
-        flat = flat + eq | flat ^ eq
-        length += ~flat & 1
-        flat = flat >> 1 | last
+    for values, where, at in _windows(x, y, bits, above, 0, len(y)):
+        for at, v in enumerate(values, at):
+            eq = where[v] >> at & flat
+            flat = flat + eq | flat ^ eq
+            length += ~flat & 1
+            flat = flat >> 1 | last
     length += bits - (flat & (last << 1) - 1).bit_count() + tail
     return length, size - 2 * length
 
 
-def _texts(x: pa.Array) -> list[np.ndarray]:
-    """The code points of each string."""
-    texts = x.to_pylist()
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-    return np.split(np.frombuffer("".join(texts).encode("utf-32-le"), np.int32), ends[:-1])
-
-
 def _of_texts(x: pa.Array, y: pa.Array, characters: int = 16 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows without nulls, their counts()) of two columns of strings, so many characters at a time."""
     on = pc.and_(x.is_valid(), y.is_valid())
     rows, x, y = np.flatnonzero(on.to_numpy(False)), x.filter(on), y.filter(on)
-    size = np.cumsum(pc.add(pc.utf8_length(x), pc.utf8_length(y)).to_numpy(False), dtype=np.int64)
-    lo = 0
+    m, n = (pc.utf8_length(v).to_numpy(False).astype(np.int64) for v in (x, y))
+    size, lo = np.cumsum(m + n), 0
     while lo < len(rows):
         hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + characters, "right")))
-        yield rows[lo:hi], *counts(list(zip(_texts(x.slice(lo, hi - lo)), _texts(y.slice(lo, hi - lo)), strict=True)))
+        yield rows[lo:hi], *_counts(_characters(x.slice(lo, hi - lo)), _characters(y.slice(lo, hi - lo)), m[lo:hi], n[lo:hi])
         lo = hi
 
 
+def _characters(x: pa.Array) -> np.ndarray:
+    """The code points of all strings, one after the other."""
+    return np.frombuffer("".join(x.to_pylist()).encode("utf-32-le"), np.int32)
+
+
 @F.arrow_udf(COUNTS)
 def alignment_counts(x: pa.Array, y: pa.Array) -> pa.Array:
     """The sizes of distance.align() and distance.align_lcs() of two strings; null where one is null."""

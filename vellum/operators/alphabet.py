@@ -142,10 +142,20 @@ class Alphabet:
     # columns
 
     def _translated(self, text: Column, of: dict[str, str], unknown: str) -> Column:
-        """Characters replaced as in `of`, all others with `unknown`: one translate() that also lists the row's other characters."""
+        """Characters replaced as in `of`, all others with `unknown`: one translate() that also lists the row's other characters.
+
+        Where some characters stay as they are, texts of such ones up to U+00FF alone are not translated, and those of known ones have no others: a class of these, one by one, is a table to
+        the regular expression, while each range costs time for each character.
+        """
         known = "".join(of)
         other = F.array_join(F.array_distinct(characters(F.translate(text, known, ""))), "")
-        return F.call_function("translate", text, F.concat(F.lit(known), other), F.concat(F.lit("".join(of.values())), F.repeat(F.lit(unknown), F.length(other))))
+        near = [s for s in of if ord(s) < 256]
+        same = [s for s in near if of[s] == s]
+        beyond = lambda symbols: text.rlike("[^" + "".join(f"\\x{{{ord(s):x}}}" for s in symbols) + "]")
+        if same:
+            other = F.when(~beyond(near), F.lit("")).otherwise(other)
+        moved = F.call_function("translate", text, F.concat(F.lit(known), other), F.concat(F.lit("".join(of.values())), F.repeat(F.lit(unknown), F.length(other))))
+        return F.when(~beyond(same), text).otherwise(moved) if same else moved
 
     def symbols(self, text: Column) -> Column:
         """The text cut into symbols: at each place the longest symbol of several characters that begins there, else one character."""
