@@ -27,6 +27,7 @@ COUNTS = T.StructType([T.StructField("n_aligned", T.IntegerType()), T.StructFiel
 # an array costs a function less than a number that it has to make one of
 _SHIFT = [np.array(k, np.uint64) for k in range(64)]
 _ONE, _63 = _SHIFT[1], _SHIFT[63]
+_add, _and, _or, _xor, _not, _left, _right = np.add, np.bitwise_and, np.bitwise_or, np.bitwise_xor, np.invert, np.left_shift, np.right_shift
 
 
 def counts(pairs: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,10 +47,14 @@ def _counts(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple
         x, y, kinds = _dense(x, y)
         one, two = _surplus(x, y, m, n)
         pairs = [(x[a:b], y[c:d]) for (a, b), (c, d) in zip(_spans(m), _spans(n), strict=True)]
-        equal[some] = _counted([pairs[k] for k in some], m[some], n[some], kinds, np.maximum(one, two)[some], _matches, _long_matches, MATCHES)
-        most[some] = equal[some]
-        some = some[equal[some] < (m - one)[some]]
-        most[some] = _counted([pairs[k] for k in some], m[some], n[some], kinds, (one + two)[some], _common, _long_common, COMMON)
+        pairs, m, n, one, two = [pairs[k] for k in some], m[some], n[some], one[some], two[some]
+        least, apart = np.maximum(one, two), np.abs(n - m)
+        # a path goes up and left (outside a band of w bits w times or more), and where it goes up (left) it costs one more than the elements that y (x) has more than the other side
+        needed = lambda cost, k: np.minimum(cost[k], apart[k] + 2 * (cost[k] - least[k])) + 1
+        found = _counted(pairs, m, n, kinds, least + (least >> 5) + 8, needed, _matches, _long_matches, MATCHES)
+        equal[some] = most[some] = found
+        rest = np.flatnonzero(found < m - one)
+        most[some[rest]] = _counted([pairs[k] for k in rest], m[rest], n[rest], kinds, (one + two + (one + two >> 4))[rest], lambda cost, k: cost[k] + 1, _common, _long_common, COMMON)
     return equal, most
 
 
@@ -58,12 +63,12 @@ def _spans(size: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip([0, *ends], ends, strict=False)
 
 
-def _counted(pairs, m: np.ndarray, n: np.ndarray, kinds: int, least: np.ndarray, together, alone, price: tuple[float, ...]) -> np.ndarray:
-    """What together() and alone() count, in bands that hold all best paths: first somewhat wider than the least that a pair can cost, then as what was found costs."""
-    out, cost = np.zeros(len(pairs), np.int64), least + (least >> 4)
+def _counted(pairs, m: np.ndarray, n: np.ndarray, kinds: int, cost: np.ndarray, needed, together, alone, price: tuple[float, ...]) -> np.ndarray:
+    """What together() and alone() count, in bands of the bits that are needed, so that all best paths are inside: first for a guess of the costs, then for those that were found."""
+    out, cost = np.zeros(len(pairs), np.int64), cost.copy()
     left = np.arange(len(pairs))
     while len(left):
-        words = cost[left] // 64 + 1
+        words = (needed(cost, left) - 1) // 64 + 1
         for group, width in _groups(words, n[left], price, kinds):
             at = left[group]
             if width:
@@ -71,8 +76,7 @@ def _counted(pairs, m: np.ndarray, n: np.ndarray, kinds: int, least: np.ndarray,
                 out[at], cost[at] = together([pairs[k] for k in at], m[at], n[at], width, kinds)
             else:
                 out[at], cost[at] = alone(*pairs[at[0]], int(words[group[0]]) * 64)
-        # a band of w bits holds all paths that cost less than w
-        left = left[cost[left] >= words * 64]
+        left = left[needed(cost, left) > words * 64]
     return out
 
 
@@ -179,7 +183,7 @@ def _carry(total: np.ndarray, term: np.ndarray) -> None:
         full = total == _ALL
         for w in range(1, len(total) - 1):
             over[w] |= full[w] & over[w - 1]
-    np.add(total[1:], over[:-1], out=total[1:])
+    _add(total[1:], over[:-1], total[1:])
 
 
 def _from(above: np.ndarray, width: int) -> np.ndarray:
@@ -219,57 +223,57 @@ def _matches(pairs, m: np.ndarray, n: np.ndarray, width: int, kinds: int) -> tup
             found, (eq, part, total, up) = np.empty((width + 1, count), np.uint64), np.empty((4, width, count), np.uint64)
             low, high, bit = found[:-1], found[1:], np.empty((width - 1, count), np.uint64)
         for j in range(lo, hi):
-            np.take(rows, asked[j, :count], axis=1, out=found, mode="clip")
+            rows.take(asked[j, :count], 1, found, "clip")
             if j & 63:
-                np.right_shift(low, _SHIFT[j & 63], out=eq)
-                np.left_shift(high, _SHIFT[-(j & 63)], out=part)
-                np.bitwise_or(eq, part, out=eq)
+                _right(low, _SHIFT[j & 63], eq)
+                _left(high, _SHIFT[-(j & 63)], part)
+                _or(eq, part, eq)
             else:
                 eq[:] = low
-            np.bitwise_and(eq, rise, out=part)
-            np.add(part, rise, out=total)
+            _and(eq, rise, part)
+            _add(part, rise, total)
             if width > 1:
                 _carry(total, part)
-            np.bitwise_xor(total, rise, out=total)
-            np.bitwise_or(total, eq, out=total)
+            _xor(total, rise, total)
+            _or(total, eq, total)
             # where the row rises and falls from the column before
-            np.bitwise_or(total, rise, out=up)
-            np.invert(up, out=up)
-            np.bitwise_or(up, fall, out=up)
-            np.bitwise_and(rise, total, out=total)
+            _or(total, rise, up)
+            _not(up, up)
+            _or(up, fall, up)
+            _and(rise, total, total)
             stay, ways = kept[0, j, :, :count], kept[1, j, :, :count]
-            np.add(total, total, out=part)
+            _add(total, total, part)
             if width > 1:
-                np.right_shift(total[:-1], _63, out=bit)
-                np.bitwise_or(part[1:], bit, out=part[1:])
-            np.bitwise_or(part, eq, out=stay)
-            np.bitwise_or(stay, fall, out=part)
-            np.bitwise_xor(part, eq, out=ways)
+                _right(total[:-1], _63, bit)
+                _or(part[1:], bit, part[1:])
+            _or(part, eq, stay)
+            _or(stay, fall, part)
+            _xor(part, eq, ways)
             # the next column is a row further down
-            np.bitwise_or(eq, fall, out=eq)
-            np.right_shift(eq, _ONE, out=part)
+            _or(eq, fall, eq)
+            _right(eq, _ONE, part)
             if width > 1:
-                np.left_shift(eq[1:], _63, out=bit)
-                np.bitwise_or(part[:-1], bit, out=part[:-1])
-            np.bitwise_and(part, up, out=fall)
-            np.bitwise_or(part, up, out=part)
-            np.invert(part, out=part)
-            np.bitwise_or(total, part, out=rise)
+                _left(eq[1:], _63, bit)
+                _or(part[:-1], bit, part[:-1])
+            _and(part, up, fall)
+            _or(part, up, part)
+            _not(part, part)
+            _or(total, part, rise)
     first = _bit(above - n + m, width)
     now, ups, equal = np.zeros_like(first), np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
     began, begun = np.searchsorted(-n, -np.arange(int(n[0]) + 1), "right").tolist(), 0
     for lo, hi, count in reversed(stretches):
         here = now[:, :count].copy()
         seen, (up, part) = np.empty((hi - lo, width, count), np.uint64), np.empty((2, width, count), np.uint64)
-        each, ways_up = here.reshape(-1), up.reshape(-1)
+        each, ways_up, flat = here.reshape(-1), up.reshape(-1), part.reshape(-1)
         for j in range(hi - 1, lo - 1, -1):
             if began[j] > begun:
                 here[:, begun : began[j]] = first[:, begun : began[j]]
                 begun = began[j]
             stay, ways = kept[0, j, :, :count], kept[1, j, :, :count]
-            np.bitwise_and(stay, ways, out=up)
-            np.bitwise_and(up, here, out=part)
-            moved = np.flatnonzero(part.reshape(-1))
+            _and(stay, ways, up)
+            _and(up, here, part)
+            (moved,) = flat.nonzero()
             while len(moved):
                 ups[moved % count] += 1
                 value = each[moved] >> _ONE
@@ -279,12 +283,12 @@ def _matches(pairs, m: np.ndarray, n: np.ndarray, width: int, kinds: int) -> tup
                     value[value == 0] = np.uint64(1 << 63)
                     each[moved] = value
                 moved = moved[(ways_up[moved] & value) != 0]
-            np.bitwise_and(here, stay, out=seen[j - lo])
-            np.bitwise_and(here, ways, out=part)
-            np.add(here, part, out=here)
+            _and(here, stay, seen[j - lo])
+            _and(here, ways, part)
+            _add(here, part, here)
             if width > 1:
-                np.right_shift(part, _63, out=part)
-                np.bitwise_or(here[1:], part[:-1], out=here[1:])
+                _right(part, _63, part)
+                _or(here[1:], part[:-1], here[1:])
         now[:, :count] = here
         equal[:count] += np.bitwise_count(seen).sum(axis=(0, 1), dtype=np.int64)
     place = np.where(now > 0, np.bitwise_count(now - (now > 0)) + 64 * np.arange(width)[:, None], 0).sum(axis=0)
@@ -301,12 +305,12 @@ def _common(pairs, m: np.ndarray, n: np.ndarray, width: int, kinds: int) -> tupl
         if count != old:
             (found, total), old = np.empty((2, width + 1, count), np.uint64), count
         for j in range(lo, hi):
-            np.take(rows, asked[j, :count], axis=1, out=found, mode="clip")
-            np.bitwise_and(found, here, out=found)
-            np.add(found, here, out=total)
+            rows.take(asked[j, :count], 1, found, "clip")
+            _and(found, here, found)
+            _add(found, here, total)
             _carry(total, found)
-            np.bitwise_xor(here, found, out=here)
-            np.bitwise_or(here, total, out=here)
+            _xor(here, found, here)
+            _or(here, total, here)
     length = np.bitwise_count(~flat).sum(axis=0, dtype=np.int64)
     return length, m + n - 2 * length
 
@@ -344,18 +348,19 @@ def _long_matches(x: np.ndarray, y: np.ndarray, bits: int) -> tuple[int, int]:
     x, y, tail = _trimmed(x, y)
     each = max(256, RECORD * 4 // bits)
 
-    def advanced(first: int, after: int, rise: int, fall: int, kept: list | None) -> tuple[int, int]:
+    def advanced(first: int, after: int, rise: int, fall: int, kept: tuple[list, list] | None) -> tuple[int, int]:
         for values, where, at in _windows(x, y, bits, above, first, after):
             for at, v in enumerate(values, at):
                 eq = where[v] >> at & full
                 total = (eq & rise) + rise ^ rise | eq
-                up = fall | full & ~(total | rise)
+                up = (total | rise) ^ full | fall
                 total &= rise
                 if kept is not None:
-                    stay = eq | total << 1
-                    kept.append((stay, (stay | fall) ^ eq))
+                    stay = total << 1 | eq
+                    kept[0].append(stay)
+                    kept[1].append((stay | fall) ^ eq)
                 part = (eq | fall) >> 1
-                rise, fall = total | full & ~(part | up), part & up
+                rise, fall = (part | up) & full ^ full | total, part & up
         return rise, fall
 
     parts = [(lo, min(lo + each, len(y))) for lo in range(0, len(y), each)] or [(0, 0)]
@@ -364,10 +369,10 @@ def _long_matches(x: np.ndarray, y: np.ndarray, bits: int) -> tuple[int, int]:
         states.append(advanced(lo, hi, *states[-1], None))
     equal = ups = 0
     for (lo, hi), state in zip(reversed(parts), reversed(states), strict=True):
-        kept: list = []
+        kept: tuple[list, list] = ([], [])
         advanced(lo, hi, *state, kept)
-        while kept:
-            stay, ways = kept.pop()
+        while kept[0]:
+            stay, ways = kept[0].pop(), kept[1].pop()
             one, two = stay >> p & 1, ways >> p & 1
             while one and two:
                 p, ups = p - 1, ups + 1
@@ -388,7 +393,7 @@ def _long_common(x: np.ndarray, y: np.ndarray, bits: int) -> tuple[int, int]:
         for at, v in enumerate(values, at):
             eq = where[v] >> at & flat
             flat = flat + eq | flat ^ eq
-            length += ~flat & 1
+            length += flat & 1 ^ 1
             flat = flat >> 1 | last
     length += bits - (flat & (last << 1) - 1).bit_count() + tail
     return length, size - 2 * length
