@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -41,6 +42,34 @@ def test_counts_are_those_of_the_paths(monkeypatch, how):
     assert (one.tolist(), two.tolist()) == whole(pairs)
 
 
+def test_counts_of_many_kinds_of_values():
+    """More than a table has, and larger ones than a table is made for."""
+    rng = np.random.default_rng(4)
+    x = rng.permutation(3000)
+    pairs = [(x, np.delete(x, slice(100, 160))), (x[:1500], rng.permutation(x)[:1500]), (np.arange(500), np.arange(500)[::-1])]
+    want = whole(pairs)
+    for values in (pairs, [(a * 10**7, b * 10**7) for a, b in pairs]):
+        assert tuple(v.tolist() for v in bands.counts(values)) == want
+
+
+@pytest.mark.parametrize("how", ["matches", "common"])
+def test_long_lines_need_little_memory(how):
+    """Whole tables of bits would take 136 MB each."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 30, 33_000)
+    y = np.delete(x, rng.integers(0, 33_000, 900))
+    y[rng.integers(0, len(y), 5000)] = rng.integers(0, 30, 5000)
+    counts = []
+    tracemalloc.start()
+    if how == "matches":
+        counts.append(bands._long_matches(x, y, 9024))
+    else:
+        counts.append(bands._long_common(x, y, 12032))
+    assert tracemalloc.get_traced_memory()[1] < 90e6
+    tracemalloc.stop()
+    assert counts[0][0] == bands.counts([(x, y)])[how == "common"][0]
+
+
 def test_counts_of_texts(spark):
     rows = [("Iten per manum notarii", "It per manus notari."), ("x", ""), (None, "y"), ("x", None), ("é👍x", "👍"), ("", ""), ("ab" * 900, "ba" * 800)]
     df = spark.createDataFrame(rows, "x string, y string").coalesce(1)
@@ -63,3 +92,13 @@ def test_counts_of_lines_take_a_part_of_the_time_of_their_paths():
     want = whole(pairs)
     assert (got[0].tolist(), got[1].tolist()) == want
     assert took < 0.5 * (time.perf_counter() - began)
+
+
+def test_texts_that_stay_as_they_are(spark):
+    """Texts of characters that are not moved, of known ones up to U+00FF, of others on either side of it."""
+    from vellum.plans.queries import ALPHABET
+
+    of = {s: ALPHABET.representatives[c] for s, c in ALPHABET.codes.items() if len(s) == 1}
+    texts = ["", "plain text, 1-2.", "(Éa) [b] \\ ^ |", "é!%é", "ꝑ and ž", "日本 a!", "a\n", "\n", "x👍", "ÿþ", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", ALPHABET.reduce(F.col("t")).alias("t")).collect()
+    assert {r.k: r.t for r in got} == {k: t if t is None else "".join((of[c] if len(of[c]) == 1 else c) if c in of else "?" for c in t) for k, t in enumerate(texts)}

@@ -19,7 +19,7 @@ from vellum.functions.distance import Masks
 #: Bytes of the columns that are recorded at a time, and pairs that advance together at most.
 RECORD, TOGETHER = 48 << 20, 2048
 #: Microseconds that a group takes for a column, for each word in it, and for each word of each pair; that a pair alone takes for a column, and for each word; bytes of a word that are recorded.
-MATCHES, COMMON = (20, 7, 0.03, 2.7, 0.025, 16), (9, 3, 0.012, 1.1, 0.01, 0)
+MATCHES, COMMON = (22, 10, 0.035, 1.4, 0.015, 16), (9, 3, 0.012, 1.1, 0.01, 0)
 #: Columns between which the number of pairs stays as it is.
 STRETCH = 16
 _ALL = ~np.uint64(0)
@@ -93,12 +93,13 @@ def _dense(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return number[x - low], number[y - low], int(number[-1]) + 1
 
 
-def _surplus(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, bins: int = 128, together: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def _surplus(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, bins: int = 128, together: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """How many elements of each side the other one lacks, whatever their order; values of one bin count as equal."""
     one, two = np.empty(len(m), np.int64), np.empty(len(m), np.int64)
     ends = [np.append(0, np.cumsum(size)) for size in (m, n)]
-    for lo in range(0, len(m), together):
-        hi = min(len(m), lo + together)
+    lo = 0
+    while lo < len(m):
+        hi = max(lo + 1, min(lo + 1024, int(np.searchsorted(sum(ends), ends[0][lo] + ends[1][lo] + together, "right")) - 1))
         count = []
         for v, size, at in ((x, m, ends[0]), (y, n, ends[1])):
             row = np.repeat(np.arange(hi - lo) * bins, size[lo:hi])
@@ -107,6 +108,7 @@ def _surplus(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, bins: i
         more = count[0] - count[1]
         one[lo:hi] = np.maximum(more, 0).sum(axis=1)
         two[lo:hi] = one[lo:hi] - more.sum(axis=1)
+        lo = hi
     return one, two
 
 
@@ -159,8 +161,9 @@ def _encoded(pairs: list[tuple[np.ndarray, np.ndarray]], m: np.ndarray, n: np.nd
     words = (int(n[0]) + 64 * width >> 6) + 2
     same = np.zeros((words, none + 1), np.uint64)
     at = np.arange(len(row)) - np.repeat(np.cumsum(m) - m - above - 1, m)
-    np.bitwise_or.at(same.reshape(-1), (at >> 6) * (none + 1) + own[key], np.uint64(1) << (at & 63).astype(np.uint64))
-    asked = np.full((len(pairs), int(n[0]) + 1), none, np.int64)
+    # each bit once, so that a sum will do
+    np.add.at(same.reshape(-1), (at >> 6) * (none + 1) + own[key], np.uint64(1) << (at & 63).astype(np.uint64))
+    asked = np.full((len(pairs), int(n[0]) + 1), none, np.int32)
     places = np.arange(int(n[0]) + 1)
     asked[(places > 0) & (places <= n[:, None])] = own[np.repeat(np.arange(len(pairs)) * kinds, n) + np.concatenate([y for _, y in pairs])]
     return same, np.ascontiguousarray(asked.T)
@@ -222,8 +225,9 @@ def _matches(pairs, m: np.ndarray, n: np.ndarray, width: int, kinds: int) -> tup
             rise, fall, old = np.ascontiguousarray(rise[:, :count]), np.ascontiguousarray(fall[:, :count]), count
             found, (eq, part, total, up) = np.empty((width + 1, count), np.uint64), np.empty((4, width, count), np.uint64)
             low, high, bit = found[:-1], found[1:], np.empty((width - 1, count), np.uint64)
+        steps = asked[lo:hi, :count].astype(np.intp)
         for j in range(lo, hi):
-            rows.take(asked[j, :count], 1, found, "clip")
+            rows.take(steps[j - lo], 1, found, "clip")
             if j & 63:
                 _right(low, _SHIFT[j & 63], eq)
                 _left(high, _SHIFT[-(j & 63)], part)
@@ -304,8 +308,9 @@ def _common(pairs, m: np.ndarray, n: np.ndarray, width: int, kinds: int) -> tupl
         rows, here = same[lo >> 6 : (lo >> 6) + width + 1], flat[lo >> 6 : (lo >> 6) + width + 1, :count]
         if count != old:
             (found, total), old = np.empty((2, width + 1, count), np.uint64), count
+        steps = asked[lo:hi, :count].astype(np.intp)
         for j in range(lo, hi):
-            rows.take(asked[j, :count], 1, found, "clip")
+            rows.take(steps[j - lo], 1, found, "clip")
             _and(found, here, found)
             _add(found, here, total)
             _carry(total, found)
@@ -346,7 +351,7 @@ def _long_matches(x: np.ndarray, y: np.ndarray, bits: int) -> tuple[int, int]:
     above, full = _above(len(x), len(y), bits), (1 << bits) - 1
     p = above - len(y) + len(x)
     x, y, tail = _trimmed(x, y)
-    each = max(256, RECORD * 4 // bits)
+    each = max(256, RECORD * 4 // (bits + 320))  # two numbers a column, with what Python keeps of each
 
     def advanced(first: int, after: int, rise: int, fall: int, kept: tuple[list, list] | None) -> tuple[int, int]:
         for values, where, at in _windows(x, y, bits, above, first, after):
@@ -399,7 +404,7 @@ def _long_common(x: np.ndarray, y: np.ndarray, bits: int) -> tuple[int, int]:
     return length, size - 2 * length
 
 
-def _of_texts(x: pa.Array, y: pa.Array, characters: int = 16 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _of_texts(x: pa.Array, y: pa.Array, characters: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows without nulls, their counts()) of two columns of strings, so many characters at a time."""
     on = pc.and_(x.is_valid(), y.is_valid())
     rows, x, y = np.flatnonzero(on.to_numpy(False)), x.filter(on), y.filter(on)
