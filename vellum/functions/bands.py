@@ -1,7 +1,8 @@
 """How many elements two sequences have in common: on the back-trace of their distances, and in a longest common subsequence.
 
-Counts need no list of places.  Pairs of like length advance together on bit vectors that move along the diagonal, as wide as their distance asks for: a lower bound of it, by how
-often values occur on either side, is tried first, and what a pair costs inside that band is wide enough for a second time.  Long pairs, of which there are few, go alone on long integers.
+Counts need no lists of places.  Pairs advance together on bit vectors that move along the diagonal, in bands wide enough for all best paths: how often values occur on either side bounds
+what a path costs from below, and every step away from the diagonals of both ends adds to it.  A guess is tried first; what a pair costs there says whether the band was wide enough, and
+how wide one is that surely is.  Long pairs, of which there are few, go alone on long integers.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def _counts(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple
         pairs = [(x[a:b], y[c:d]) for (a, b), (c, d) in zip(_spans(m), _spans(n), strict=True)]
         pairs, m, n, one, two = [pairs[k] for k in some], m[some], n[some], one[some], two[some]
         least, apart = np.maximum(one, two), np.abs(n - m)
-        # a path goes up and left (outside a band of w bits w times or more), and where it goes up (left) it costs one more than the elements that y (x) has more than the other side
+        # a path that leaves a band of w bits goes up and left w times or more; one that goes up (left) u times costs u more than the elements that y (x) has more than the other side
         needed = lambda cost, k: np.minimum(cost[k], apart[k] + 2 * (cost[k] - least[k])) + 1
         found = _counted(pairs, m, n, kinds, least + (least >> 5) + 8, needed, _matches, _long_matches, MATCHES)
         equal[some] = most[some] = found
